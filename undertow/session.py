@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,10 +34,11 @@ def ship(spark: SparkSession) -> SparkSession:
     if app not in _shipped:
         _shipped.add(app)
         root = Path(__file__).resolve().parent
-        with tempfile.TemporaryDirectory() as folder:
-            path = os.path.join(folder, "undertow-package.zip")
-            with zipfile.ZipFile(path, "w") as archive:
-                for file in sorted(root.rglob("*.py")):
-                    archive.write(file, file.relative_to(root.parent).as_posix())
-            spark.sparkContext.addPyFile(path)
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="undertow-"))  # the driver serves it as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "undertow-package.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent).as_posix())
+        spark.sparkContext.addPyFile(path)
     return spark
