@@ -16,14 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
     Only where the session names none (tests on one machine) a folder of our own is set.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "undertow-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

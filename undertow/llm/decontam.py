@@ -180,13 +180,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def free_of(index):
+    """A condition on texts: that they overlap no item of the index."""
+
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        return pd.Series([not t or not index.value.overlaps(words().of(t.encode())) for t in texts], dtype=bool)
+
+    return free("text")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, with all its columns, without the rows whose text overlaps an item of the benchmark."""
     for index in indexes(benchmark):
-
-        @F.pandas_udf("boolean")
-        def free(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([not t or not index.value.overlaps(words().of(t.encode())) for t in texts], dtype=bool)
-
-        docs = docs.where(free("text"))
+        docs = docs.where(free_of(index))
     return docs

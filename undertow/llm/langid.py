@@ -84,7 +84,7 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def fit(docs: DataFrame, per_lang: int = 300, max_langs: int = 128, clusters: int = 4, reject_share: float = 0.02) -> Model:
+def fit(docs: DataFrame, per_lang: int = 300, max_langs: int = 128, clusters: int = 4, reject_share: float = 0.3) -> Model:
     """A model from labelled rows of docs (doc_id, text, lang), of which a bounded sample is used.
 
     At most about per_lang rows of each of the max_langs most frequent languages are sampled by a hash of
