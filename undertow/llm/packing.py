@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import struct
+import unicodedata
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm.common import arrow_schema, as_bytes
+from undertow.llm.tokens import byte_letters
 
 TIERS = (64, 128, 256, 512, 1024, 2048)
 
@@ -17,28 +21,76 @@ class WordIds:
     """Ids of texts, as little-endian unsigned 32-bit bytes, under a tokenizer that drops white space.
 
     No token of such a tokenizer spans white space, so what stands between ASCII white space is encoded by
-    itself, and remembered up to a bound.
+    itself, and remembered up to a bound. A unit that is one lower-case word of letters is one piece to the
+    tokenizer's merge rules, which tiktoken applies to it at once: a byte that no UTF-8 text has stands for
+    the end of the word, and the merges of it with each byte come first, as they do in the vocabulary. All
+    other units go through the tokenizers library.
     """
 
-    def __init__(self, path: str, max_memo: int = 300_000):
+    END = b"\xff"
+
+    def __init__(self, path: str, max_memo: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, letters = spec["model"], byte_letters()
+        end = model["end_of_word_suffix"]
+        added = {t["content"] for t in spec["added_tokens"]}
+        ranks = {}
+        for token, number in model["vocab"].items():
+            if token not in added:
+                ends = token.endswith(end)
+                ranks[bytes(letters[c] for c in (token[: -len(end)] if ends else token)) + self.END * ends] = number
+        ranks.setdefault(self.END, max(ranks.values()) + 1)
+        for b in range(256):  # tiktoken wants every single byte, met or not
+            ranks.setdefault(bytes([b]), (1 << 20) + b)
+        self.merges = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.memo: dict[bytes, bytes] = {}
         self.max_memo = max_memo
 
     def encoded(self, units: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for e in found for ids in (e.ids,)]
+
+    def word(self, word: bytes) -> bytes:
+        """Ids of a lower-case word of letters."""
+        ids = self.merges(word + self.END)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, texts: list[list[bytes]]) -> None:
+        """Remember the ids of all short units of some texts."""
         if len(self.memo) > self.max_memo:
             self.memo.clear()
-        new = [u for u in set().union(*texts).difference(self.memo) if len(u) <= 64]
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            self.memo.update(zip(part, self.encoded(part), strict=True))
+        memo, rest = self.memo, []
+        for unit in set().union(*texts).difference(memo):
+            if len(unit) > 64:
+                continue
+            word, sign = (unit[:-1], unit[-1:]) if unit[-1:] in (b".", b",") else (unit, b"")
+            if word.isalpha():
+                ids = self.word(word.lower())
+            else:
+                try:
+                    text = word.decode()
+                except UnicodeDecodeError:
+                    text = ""
+                if not (text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
+                    rest.append(unit)
+                    continue
+                ids = self.word(word)
+            memo[unit] = ids + self.sign(sign) if sign else ids
+        for at in range(0, len(rest), 50_000):
+            part = rest[at : at + 50_000]
+            memo.update(zip(part, self.encoded(part), strict=True))
+
+    def sign(self, sign: bytes) -> bytes:
+        ids = self.memo.get(sign)
+        if ids is None:
+            ids = self.memo[sign] = self.encoded([sign])[0]
+        return ids
 
     def ids(self, units: list[bytes]) -> bytes:
         get = self.memo.get
