@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from undertow.config import D
+from undertow.functions.text import let
 
 
 def ewma(series: Column, alpha: float = D.alpha) -> Column:
@@ -16,9 +17,13 @@ def ewma(series: Column, alpha: float = D.alpha) -> Column:
 
 def acceleration(series: Column) -> Column:
     """Second differences; none for fewer than three values."""
-    at = lambda i: F.get(series, i)
-    some = F.transform(F.sequence(F.lit(2), F.size(series) - 1), lambda i: at(i) - 2 * at(i - 1) + at(i - 2))
-    return F.when(F.size(series) > 2, some).otherwise(F.array().cast("array<double>"))
+
+    def of(s: Column) -> Column:
+        n = F.size(s) - 2
+        ends = F.zip_with(F.slice(s, 3, n), F.slice(s, 1, n), lambda x, z: x + z)
+        return F.when(n > 0, F.zip_with(ends, F.slice(s, 2, n), lambda e, y: e - 2 * y)).otherwise(F.array().cast("array<double>"))
+
+    return let(series, of)
 
 
 def mean(values: Column) -> Column:
@@ -27,11 +32,15 @@ def mean(values: Column) -> Column:
 
 def z_of_last(accel: Column) -> Column:
     """The last value against mean and population deviation of those before; bounded where those are flat."""
-    base, last = F.slice(accel, 1, F.size(accel) - 1), F.element_at(accel, -1)
-    centre = mean(base)
-    deviation = F.sqrt(F.aggregate(base, F.lit(0.0), lambda acc, x: acc + (x - centre) * (x - centre)) / F.size(base))
-    flat = F.when(F.abs(last) < D.eps, 0.0).otherwise(D.flat_z)
-    return F.when(deviation < D.eps, flat).otherwise((last - centre) / deviation)
+
+    def of(a: Column) -> Column:
+        base, last = F.slice(a, 1, F.size(a) - 1), F.element_at(a, -1)
+        squares = lambda centre: F.aggregate(base, F.lit(0.0), lambda acc, x: acc + (x - centre) * (x - centre)) / F.size(base)
+        flat = F.when(F.abs(last) < D.eps, 0.0).otherwise(D.flat_z)
+        scaled = lambda centre: let(F.sqrt(squares(centre)), lambda d: F.when(d < D.eps, flat).otherwise((last - centre) / d))
+        return let(mean(base), scaled)
+
+    return let(accel, of)
 
 
 def gap_score(z: Column, presence: Column, weight: Column, inauthenticity: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from undertow.config import D
 
@@ -32,10 +33,19 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, though body may use it often, or within a lambda of its own."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(tokens: Column, n: int) -> Column:
     """n neighbouring tokens each, joined by a space; fewer tokens are one shingle, none are none."""
-    some = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, some).when(F.size(tokens) > 0, F.array(F.array_join(tokens, " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, some).when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
 
 
 def md5_64(value: Column) -> Column:
@@ -46,33 +56,38 @@ def md5_64(value: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def simhash_of(hashes: Column) -> Column:
-    """Signed 64-bit simhash of an array of 64-bit hashes: a bit is set if more hashes have it than not; 0 for none."""
-    bits = F.array(*[F.lit(0)] * 64)
-    tally = F.aggregate(hashes, bits, lambda acc, h: F.transform(acc, lambda n, b: n + F.when(F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", h, b)) == 1, 1).otherwise(-1)))
-    return F.aggregate(F.transform(tally, lambda n, b: F.when(n > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-@F.pandas_udf("long")
+def _voted(digests: list[bytes]) -> int:
+    """Signed 64-bit value whose bits are those that more than half of some 8-byte digests have; 0 for none."""
+    import numpy as np
+
+    if not digests:
+        return 0
+    votes = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=int)
+    return int.from_bytes(np.packbits(2 * votes > len(digests)).tobytes(), "big", signed=True)
+
+
+@F.pandas_udf(LongType())
+def simhash_md5(grams: pd.Series) -> pd.Series:
+    """Simhash of an array of shingles by the first 64 bits of md5, which SQL engines share."""
+    import hashlib
+
+    return grams.map(lambda g: _voted([hashlib.md5(x.encode()).digest()[:8] for x in g]) if g is not None else 0, na_action=None)
+
+
+@F.pandas_udf(LongType())
 def simhash_blake2b(texts: pd.Series) -> pd.Series:
-    """Simhash of word bigrams by blake2b-64, as a signed long; for data that was hashed so elsewhere."""
+    """Simhash of word bigrams by blake2b-64; for data that was hashed so elsewhere."""
     import hashlib
     import re
 
-    import numpy as np
-
     def one(text: str | None) -> int:
         words = re.findall(r"\w+", (text or "").casefold())
-        grams = [" ".join(words[i : i + 2]) for i in range(len(words) - 1)] or ([words[0]] if words else [])
-        if not grams:
-            return 0
-        raw = b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams)
-        votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=int)
-        return int.from_bytes(np.packbits(2 * votes > len(grams)).tobytes(), "big", signed=True)
+        grams = [" ".join(words[i : i + 2]) for i in range(len(words) - 1)] or words[:1]
+        return _voted([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams])
 
     return texts.map(one, na_action=None)
 
@@ -118,7 +133,7 @@ def strip_html(html: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     """As strip_html, with every entity of HTML."""
     import html

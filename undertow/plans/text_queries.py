@@ -52,12 +52,8 @@ sim AS (SELECT d.doc_id, coalesce(u, 0) AS u FROM documents d LEFT JOIN f USING
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simhash of every document: 64 conditional sums for each, in one aggregation of its bigrams."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(T.shingles(T.word_tokens(F.col("text")), 2)).alias("s")).withColumn("h", T.md5_64(F.col("s")))
-    bit = lambda b: F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(1) == 1, 1).otherwise(-1)) > 0
-    sums = rows.groupBy("doc_id").agg(F.count("h").alias("n"), *[bit(b).alias(f"b{b}") for b in range(64)])
-    bits = sum((F.when(F.col(f"b{b}"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(0) for b in range(63)), F.lit(0).cast("long")).bitwiseOR(F.when(F.col("b63"), F.shiftleft(F.lit(1).cast("long"), 63)).otherwise(F.lit(0).cast("long")))
-    return sums.select("doc_id", F.when(F.col("n") > 0, bits).otherwise(F.lit(0).cast("long")).alias("simhash"))
+    """Simhash of every document: shingles in the JVM, votes in one Arrow batch at a time; no row for each bit."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.simhash_md5(T.shingles(T.word_tokens(F.col("text")), 2)).alias("simhash"))
 
 
 @query(f"WITH {SIMHASH} SELECT doc_id, CAST(u AS VARCHAR) AS simhash FROM sim")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from undertow.config import D
 from undertow.functions.geo import mean_vertex
@@ -38,7 +39,7 @@ def iso_time(value: Column, naive_utc: bool = False) -> Column:
     return out.when(naive, F.try_to_timestamp(F.concat(value, F.when(value.rlike("[T ]"), "Z").otherwise("T00:00:00Z")))) if naive_utc else out
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(TimestampType())
 def mail_time(values: pd.Series) -> pd.Series:
     """RFC 822 dates, with two-digit years and zone names; null without a zone."""
     from datetime import UTC
