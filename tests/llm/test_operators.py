@@ -1,0 +1,268 @@
+"""Operators on small tables with nulls, empty and long texts, ties, repeated rows, none at all, and extra columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("public_tokenizers")
+
+from undertow.llm import catalog, components, decontam, embeddings, langid, licenses, linededup, packing, shard, simhash, substrings, tokens  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, shard string, text_key string, n_lines string, fp string, ut_x int"
+RNG = random.Random(3)
+WORDS = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+
+
+def prose(n: int) -> str:
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    passage, long = prose(60), prose(30_000)
+    near = prose(400).split()
+    texts = [passage, f"{prose(20)} {passage} {prose(30)}", None, "", " \n\t ", long, prose(200), passage, "one", "one", "a\nb\nc\nd", "x\na\nb\nc\ny", "c\nd\na\nb\nc", "q\nq\nq\nq", "日本 été", " ".join(near), " ".join([*near[:200], "changed", *near[201:]])]
+    rows = [(i, t, "en", "s", "k", "l", "f", 1) for i, t in enumerate(texts)] + [(7, passage, "en", "s", "k", "l", "f", 1), (None, passage, None, "s", "k", "l", "f", 1), (None, "one", "en", "s", "k", "l", "f", 1), (50, prose(3), "en", None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_shards(docs, empty):
+    got = shard.shard(docs, 4, 3).collect()
+    assert len(got) == docs.count() and shard.shard(empty).count() == 0
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in got)
+
+
+def test_shards_are_even_even_with_a_hot_group(spark):
+    table = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("x"), 50)).otherwise(F.repeat(F.col("id").cast("string"), (F.col("id") % 17).cast("int"))).alias("text"))
+    sizes = [r["s"] for r in shard.shard(table).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.01 * sum(sizes) / 8
+
+
+def test_token_counts(docs, empty):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = sorted(((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or "").ids)) for r in docs.collect()), key=repr)
+    assert rows(tokens.count_tokens(docs), "doc_id", "n_bytes", "n_tokens") == want
+    assert tokens.count_tokens(empty).count() == 0
+
+
+def brute_classes(found, limit):
+    root = list(range(len(found)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(found)):
+        for j in range(i):
+            if (found[i][1] ^ found[j][1]).bit_count() <= limit:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(found):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(found))]
+
+
+def test_near_duplicates(docs, empty):
+    found = [(r["doc_id"], simhash.fingerprint((r["text"] or "").encode(), 3)) for r in docs.collect()]
+    want = sorted(((d, f"{f:016x}", c) for (d, f), c in zip(found, brute_classes(found, 3), strict=True)), key=repr)
+    assert rows(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.representatives(empty).count() == 0
+
+
+def test_one_row_of_each_class_stays(docs):
+    kept = simhash.representatives(docs, shingle=3)
+    assert kept.columns == docs.columns
+    n = len({c for c in rows(simhash.near_duplicates(docs), "component_id")})
+    assert kept.count() == n
+
+
+@pytest.mark.parametrize("most", [4, 4096])
+def test_links_of_crowded_signatures(spark, most):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    values = sorted({b ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 5))}) for b in base for _ in range(60)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    table = spark.createDataFrame([(v,) for v in signed], "fp long")
+    got = {r["node"]: r["root"] for r in components.components(simhash.links(table, 3, most)).collect()}
+    classes = brute_classes([(v, u) for v, u in zip(signed, values, strict=True)], 3)
+    assert {v: got.get(v, v) for v in signed} == dict(zip(signed, classes, strict=True))
+
+
+def brute_lines(found, window):
+    order = sorted(((d is None, d if d is not None else 0, i) for i, (d, t) in enumerate(found) if t is not None))
+    first, out = {}, {}
+    for none, d, i in order:
+        lines = found[i][1].split("\n")
+        for s in range(len(lines) - window + 1):
+            place = (none, d, s)
+            first[tuple(lines[s : s + window])] = min(first.get(tuple(lines[s : s + window]), place), place)
+    for none, d, i in order:
+        lines = found[i][1].split("\n")
+        gone = {j for s in range(len(lines) - window + 1) if first[tuple(lines[s : s + window])] < (none, d, s) for j in range(s, s + window)}
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+def test_line_dedup(docs, empty):
+    found = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_lines(found, 3)
+    out = linededup.dedup_lines(docs)
+    assert rows(out, "doc_id", "text") == sorted(((d, want.get(i)) for i, (d, _) in enumerate(found)), key=repr)
+    assert sorted(out.columns) == sorted(docs.columns + ["n_removed"])
+    assert linededup.dedup_lines(empty).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_decontamination(spark, docs, empty):
+    text = docs.where("doc_id = 1").first()["text"].split()
+    leaked = text[30:60]
+    leaked[5], leaked[11] = "other", "words"
+    bench = spark.createDataFrame([(1, " ".join(leaked)), (2, prose(40)), (3, None), (4, "")], "item_id long, text string")
+    got = decontam.find_overlaps(docs, bench)
+    assert {r["doc_id"] for r in got.collect()} == {0, 1, 7, None} and {r["item_id"] for r in got.collect()} == {1}
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({0, 1, 7})
+    assert decontam.find_overlaps(empty, bench).count() == 0
+    assert decontam.clean(docs, bench.where("item_id = 9")).count() == docs.count()
+
+
+def test_a_large_benchmark_is_held_in_blocks(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(i, prose(40)) for i in range(30)] + [(99, docs.where("doc_id = 0").first()["text"])], "item_id long, text string")
+    assert len(list(decontam.indexes(bench, block_words=100))) > 5
+    one = rows(decontam.find_overlaps(docs, bench), "doc_id", "item_id")
+    split = decontam.indexes
+    monkeypatch.setattr(decontam, "indexes", lambda b: split(b, 100))
+    assert rows(decontam.find_overlaps(docs, bench), "doc_id", "item_id") == one and one
+
+
+def vectors(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(12, 64))
+    out = []
+    for i in range(240):
+        v = base[i % 12] + rng.normal(size=64) * rng.choice([0, 0.05, 0.12, 0.18, 1])
+        out.append((i, [float(x) for x in v.astype(np.float32)], i % 12 % 3))
+    out += [(300, out[0][1], out[0][2]), (301, out[0][1], out[0][2]), (302, out[0][1], None), (303, None, 1), (304, [0.0] * 64, 1), (305, [float("nan"), *[1.0] * 63], 1), (306, [None, *[1.0] * 63], 1), (307, [], 1), (308, [1.0, 2.0], 1), (309, [2.0, 4.0], 1), (310, [float("inf"), *[1.0] * 63], 1)]
+    return out, spark.createDataFrame(out, "vec_id long, embedding array<float>, label int")
+
+
+@pytest.mark.parametrize("most", [7, 4096])
+def test_vector_links(spark, most):
+    plain, table = vectors(spark)
+    fine = [v for v in plain if v[2] is not None and v[1] and all(x is not None and np.isfinite(x) for x in v[1]) and any(v[1])]
+    root, n = {v[0]: v[0] for v in plain}, {v[0]: 0 for v in plain}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fine):
+        for b in fine[:i]:
+            x, y = np.float32(a[1]).astype(float), np.float32(b[1]).astype(float)
+            if a[2] == b[2] and len(x) == len(y) and x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.98:
+                n[a[0]] += 1
+                n[b[0]] += 1
+                p, q = find(a[0]), find(b[0])
+                root[max(p, q)] = min(p, q)
+    want = sorted(((v[0], n[v[0]], find(v[0]), find(v[0]) == v[0]) for v in plain), key=repr)
+    assert sum(n.values()) > 100
+    assert rows(embeddings.near_duplicates(table, most=most), "vec_id", "n_links", "component_id", "kept") == want
+    assert embeddings.near_duplicates(table.where("vec_id < 0")).count() == 0
+
+
+def test_licences(docs, empty):
+    out = licenses.scan_licenses(docs)
+    assert out.count() == docs.count() and licenses.scan_licenses(empty).count() == 0
+    assert out.where("n_base > 0 or labels <> ''").count() == 0
+
+
+def test_substrings(docs, empty):
+    found = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    first = {}
+    for d, t in found:
+        w = (t or "").encode().split()
+        for i in range(len(w) - 12):
+            key = tuple(w[i : i + 13])
+            first[key] = min(first.get(key, 1 << 60), 1 << 59 if d is None else d)
+    want = []
+    for d, t in found:
+        w = (t or "").encode().split()
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < (1 << 59 if d is None else d) for j in range(i, i + 13)}
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        want.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    got = substrings.digests(substrings.remove_repeats(docs, chunk=500))
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    assert sum(r[2] for r in want) > 100
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_packing_round_trip(docs, empty):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    pieces = packing.pack_documents(docs, pool_tokens=3000).collect()
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["doc_id"], []).append(np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4"))
+    total = sum(len(i) for ids in texts.values() for i in ids)
+    assert sum(p["length"] for p in pieces) == total
+    for p in pieces:
+        assert any(i[p["start"] : p["start"] + p["length"]].tobytes() == p["ids"] and len(i) == p["doc_tokens"] for i in texts[p["doc_id"]])
+    by_sequence = {}
+    for p in pieces:
+        by_sequence.setdefault(p["sequence_id"], []).append((p["offset"], p["length"], p["tier"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length, tier in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == tier
+    assert packing.pack_documents(empty).count() == 0
+    crc = packing.digests(packing.pack_documents(docs.where("doc_id = 8"))).first()["ids_crc32"]
+    assert crc == zlib.crc32(texts[8][0].tobytes())
+
+
+def test_language_identification(spark, docs, empty):
+    rng = random.Random(1)
+    sounds = {"aa": ["tion", "the", "ing", "ed"], "bb": ["che", "ung", "lich", "sch"], "cc": ["eau", "oir", "que", "ez"]}
+    make = lambda lang: " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(20, 60)))
+    table = spark.createDataFrame([(i, make(lang), lang, 0) for i, lang in enumerate(["aa", "bb", "cc"] * 60)], "doc_id long, text string, lang string, score int")
+    model = langid.fit(langid.learnable(table))
+    held = langid.identify(table, model).join(table.select("doc_id", "lang"), "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2)
+    assert held.count() > 20 and held.where("lang <> lang_pred or rejected or score not between 0 and 1").count() == 0
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!"), (4, "日本語 中文 한국어 " * 5)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and all(got[i]["rejected"] for i in got)
+    assert [r["doc_id"] for r in langid.accepted(odd.union(table.select("doc_id", "text").where("doc_id = 9")), model).collect()] == [9]
+    assert langid.identify(empty, langid.fit(empty)).count() == 0
+    nothing = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_every_operator_has_one_query():
+    assert sorted({int(n[2:].split("_")[0]) for n in catalog.QUERIES}) == list(range(1, 11)) and len(catalog.QUERIES) == 10

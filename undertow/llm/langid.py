@@ -21,10 +21,11 @@ def counts(text: str) -> np.ndarray:
     """Hashed counts of a text's character 1-, 2- and 3-grams; all that is no letter is one space."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     letters = _letters()[np.minimum(points, _LAST)]
-    points = np.where(letters, points, 32).astype(np.uint32)
+    points = np.concatenate([[32], np.where(letters, points, 32), [32]]).astype(np.uint32)
+    letters = np.concatenate([[False], letters, [False]])
     keep = np.ones(len(points), bool)
     keep[1:] = letters[1:] | letters[:-1]  # runs of other characters count as one
-    points = np.concatenate([[np.uint32(32)], points[keep], [np.uint32(32)]])
+    points = points[keep]
     out = np.zeros(DIM, np.int64)
     mixed = points * np.uint32(2654435761)
     two = (mixed[:-1] ^ points[1:]) * np.uint32(2246822519)
