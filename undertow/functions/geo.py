@@ -11,7 +11,7 @@ RADIUS_KM = 6371.0
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     up, along = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(up), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(along), 2)
-    return 2 * RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * RADIUS_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # null if any is; least() would skip it
 
 
 def mean_vertex(ring: Column) -> Column:

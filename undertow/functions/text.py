@@ -70,12 +70,16 @@ def _voted(digests: list[bytes]) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(digests)).tobytes(), "big", signed=True)
 
 
+def _bigrams(words: list[str]) -> list[str]:
+    return [" ".join(words[i : i + 2]) for i in range(len(words) - 1)] or words[:1]
+
+
 @F.pandas_udf(LongType())
-def simhash_md5(grams: pd.Series) -> pd.Series:
-    """Simhash of an array of shingles by the first 64 bits of md5, which SQL engines share."""
+def simhash_md5(tokens: pd.Series) -> pd.Series:
+    """Simhash of an array of words, by bigrams and the first 64 bits of md5, which SQL engines share."""
     import hashlib
 
-    return grams.map(lambda g: _voted([hashlib.md5(x.encode()).digest()[:8] for x in g]) if g is not None else 0, na_action=None)
+    return tokens.map(lambda t: 0 if t is None else _voted([hashlib.md5(g.encode()).digest()[:8] for g in _bigrams(list(t))]), na_action=None)
 
 
 @F.pandas_udf(LongType())
@@ -86,8 +90,7 @@ def simhash_blake2b(texts: pd.Series) -> pd.Series:
 
     def one(text: str | None) -> int:
         words = re.findall(r"\w+", (text or "").casefold())
-        grams = [" ".join(words[i : i + 2]) for i in range(len(words) - 1)] or words[:1]
-        return _voted([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams])
+        return _voted([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in _bigrams(words)])
 
     return texts.map(one, na_action=None)
 

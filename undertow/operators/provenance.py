@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from undertow.config import D
 from undertow.functions.geo import haversine_km
 from undertow.functions.text import hamming
-from undertow.operators.graph import components
+from undertow.operators.graph import components, frozen
 
 RANK = {"rumor": 0, "corroborated": 1, "primary_backed": 2}
 
@@ -61,7 +61,8 @@ def copy_edges(items: DataFrame, bits: int = D.copy_bits) -> DataFrame:
     bands = bits + 1
     cuts = [64 * i // bands for i in range(bands + 1)]
     band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", a).bitwiseAND((1 << b - a) - 1).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    side = items.where(F.coalesce("simhash", F.lit(0)) != 0).select("story_id", F.explode(band).alias("key"), "id", "ts", "simhash")
+    hashed = frozen(items.select("story_id", "id", "ts", "simhash"))  # narrow; both sides read it, and hashes may be costly
+    side = hashed.where(F.coalesce("simhash", F.lit(0)) != 0).select("story_id", F.explode(band).alias("key"), "id", "ts", "simhash")
     x, y = (side.select("story_id", "key", F.col("id").alias(f"{p}_id"), F.col("ts").alias(f"{p}_ts"), F.col("simhash").alias(f"{p}_hash")) for p in "xy")
     return _oriented(x.join(y, ["story_id", "key"]).where((F.col("x_id") < F.col("y_id")) & (hamming(F.col("x_hash"), F.col("y_hash")) <= bits)), "copy")
 

@@ -80,7 +80,7 @@ def score_cycle(stories: DataFrame, items: DataFrame, edges: DataFrame, mentions
 
     stories (story_id, last_seen, entity_set, trust_state, independent_origins, inauthenticity).
     """
-    live = active(stories, now)
+    live = active(stories, now).select("story_id", "entity_set", "trust_state", "independent_origins")
     start = warming(mentions, now).first()  # one row
     since = start["since"] // seconds * seconds
     entities = live.select("story_id", F.explode("entity_set").alias("entity"))

@@ -29,10 +29,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
     return d.select(
         n.alias("id"), "text", "lang", "source", F.get(F.array(*map(F.lit, SOURCE_CLASSES)), (n % 5).cast("int")).alias("source_class"), (START + n * 60).alias("ts"),
-        F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("a"), (n % 37).cast("string"))).alias("author_ref"),
+        F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("a"), (n % STORIES % 12 * 4 + F.floor(n / STORIES) % 4).cast("string"))).alias("author_ref"),
         F.when((n % 4 == 0) & (n >= STORIES), F.concat(F.lit("h"), (n - STORIES).cast("string"))).otherwise("").alias("parent_ref"),
         F.concat(F.lit("h"), n.cast("string")).alias("content_hash"),
-        F.when(n % 3 == 0, F.array(F.concat(F.lit("u"), (n % 211).cast("string")))).otherwise(F.array().cast("array<string>")).alias("urls"),
+        F.when(n % STORIES % 3 == 0, F.array(F.concat(F.lit("u"), (F.floor(n / STORIES) % 5).cast("string")))).otherwise(F.array().cast("array<string>")).alias("urls"),
         F.array("source", "lang").alias("entities"), (n % STORIES).alias("story_id"), (n % 50 == 0).alias("exploration"),
         (n % 180 - 90).cast("double").alias("lat"), (n % 360 - 180).cast("double").alias("lon"),
     )
@@ -40,9 +40,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ITEMS = f"""items AS (
   SELECT doc_id AS id, text, lang, source, (['social', 'authoritative', 'primary', 'mainstream', 'local_news'])[CAST(doc_id % 5 AS INTEGER) + 1] AS source_class,
-         {START} + doc_id * 60 AS ts, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'a' || (doc_id % 37) END AS author_ref,
+         {START} + doc_id * 60 AS ts, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'a' || (doc_id % {STORIES} % 12 * 4 + doc_id // {STORIES} % 4) END AS author_ref,
          CASE WHEN doc_id % 4 = 0 AND doc_id >= {STORIES} THEN 'h' || (doc_id - {STORIES}) ELSE '' END AS parent_ref, 'h' || doc_id AS content_hash,
-         CASE WHEN doc_id % 3 = 0 THEN ['u' || (doc_id % 211)] ELSE [] END AS urls, [source, lang] AS entities,
+         CASE WHEN doc_id % {STORIES} % 3 = 0 THEN ['u' || (doc_id // {STORIES} % 5)] ELSE [] END AS urls, [source, lang] AS entities,
          doc_id % {STORIES} AS story_id, doc_id % 50 = 0 AS exploration, CAST(doc_id % 180 - 90 AS DOUBLE) AS lat, CAST(doc_id % 360 - 180 AS DOUBLE) AS lon
   FROM documents)"""
 

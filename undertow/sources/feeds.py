@@ -67,7 +67,7 @@ def point(coordinates: Column) -> Column:
 
 def places(names: Column, geo: Column) -> Column:
     """Place entities of names, each trimmed and cut; empty ones are left out."""
-    kept = F.filter(F.transform(names, F.trim), lambda n: n != "")
+    kept = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != "")
     entities = F.transform(kept, lambda n: F.struct(F.substring(n, 1, 256).alias("text"), F.lit("place").alias("type"), geo.alias("geo")))
     return F.coalesce(entities, F.array().cast(NO_ENTITIES))
 
