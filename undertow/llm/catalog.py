@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_language": op10_language,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": linededup.SQL, "op6_embedding_duplicates": embeddings.SQL, "op8_substrings": substrings.SQL}

@@ -1,42 +1,7 @@
-"""Connected components of a distributed graph."""
+"""Connected components, as the library has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from undertow.operators.graph import components
 
-from undertow.llm.common import frozen
-
-
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation: each vertex hands its neighbours (large: the greater, else the smaller) to the least.
-
-    The least neighbour of each vertex is aggregated before the shuffle and joined back, so no vertex's
-    neighbours are gathered; a vertex with very many is a skewed join key, which Spark splits.
-    """
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    if large:
-        least = least.select("a", F.least("a", "m").alias("m"))
-        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    handed = both.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return handed.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node of edges (a, b), where root is the least node of its component.
-
-    Large-star and small-star rounds until nothing changes; each round is checkpointed, so a lost executor
-    costs at most that round. Nothing but two sums reaches the driver. Null ends and loops must be left out.
-    """
-    edges = frozen(edges.select("a", "b").where("a <> b").distinct())
-    digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")))).first())
-    before = digest(edges)
-    while before[0]:
-        edges = frozen(star(star(edges, True), False))
-        after = digest(edges)
-        if after == before:
-            break
-        before = after
-    stars = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-    return stars.union(stars.select(F.col("root"), F.col("root")).distinct())
+__all__ = ["components"]

@@ -230,3 +230,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, most: int = 4096) -
         classes = known.drop("first").join(least_id, "root")
         out = marked.where("vid is not null").join(classes, "vid").select("vec_id", "n_links", "component_id").union(marked.where("vid is null").select("vec_id", *plain))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: The result of near_duplicates(embeddings).
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.n > 0 AND b.n > 0 AND isfinite(a.n) AND isfinite(b.n) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots ON vec_id = roots.a LEFT JOIN degrees ON vec_id = degrees.a
+"""

@@ -216,7 +216,7 @@ def covered(docs: DataFrame, window: int, buckets: int, chunk: int) -> DataFrame
 
     row_schema, row_arrow = arrow_schema(ROW)
     out_schema, out_arrow = arrow_schema("doc_id long, ut_text_key long, a long, b long")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     strings = docs.select(F.col("doc_id").cast("long"), short_key(), "text").mapInArrow(spread, row_schema)
     return strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, out_schema)
 
@@ -256,3 +256,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, buckets: int | None = None
 
 def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The result of digests(remove_repeats(documents)).
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS a FROM documents),
+g AS (SELECT doc_id, i, array_to_string(a[i:i + 12], ' ') AS s FROM (SELECT doc_id, a, unnest(range(1, len(a) - 11)) AS i FROM w)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS later FROM g),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p FROM f WHERE later),
+e AS (SELECT doc_id, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS p FROM w),
+k AS (
+  SELECT e.doc_id, count(c.p) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY e.p) FILTER (WHERE c.p IS NULL), '') AS kept
+  FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(a) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
