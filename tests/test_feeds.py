@@ -123,3 +123,47 @@ def test_validated_stream_sets_bad_payloads_aside(spark):
     records, dead = jobs.validated(raw(spark, {"a": 1}, {"a": 1, "b": 2}, "x" * 70_000, {"a": -1}), "a int", F.col("a") >= 0)
     assert [r["a"] for r in records.collect()] == [1]
     assert sorted(r["reason"] for r in dead.collect()) == ["too long", "unreadable"]
+
+
+class Answer:
+    def __init__(self, body):
+        self.body = body
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+    def read(self):
+        return self.body
+
+    def __iter__(self):
+        return iter(self.body.splitlines(keepends=True))
+
+
+def test_live_cursors():
+    from undertow.sources import live
+
+    asked = []
+
+    def pages(url, headers):
+        asked.append(url)
+        if "bad" in url:
+            raise OSError
+        return Answer(b'[{"id": "9"}, {"id": "8"}]' if "since_id" not in url else b"[]")
+
+    out, cursor = live.mastodon_page("", ["a.org", "bad.org"], pages)
+    assert [json.loads(r)["id"] for r in out] == ["8", "9"] and json.loads(cursor) == {"a.org": "9"}
+    assert live.mastodon_page(cursor, ["a.org"], pages) == ([], cursor) and asked[-1].endswith("since_id=9")
+    out, cursor = live.wikipedia_changes("", 1, lambda u, h: Answer(b'id: 5\ndata: {"a": 1}\n\nid: 6\ndata: {"a": 2}\n\n'))
+    assert (out, cursor) == (['{"a": 1}'], "5")
+    out, cursor = live.bluesky_posts("3", 9, lambda url: ['{"time_us": 4}', "no json", '{"time_us": 7}'])
+    assert len(out) == 2 and cursor == "7"
+
+
+def test_seen_keys_leave_in_order():
+    from undertow.operators.seen import FifoDeduper
+
+    keys = FifoDeduper(2)
+    assert [keys.seen(k) for k in "aabacab"] == [False, True, False, True, False, False, False]

@@ -247,3 +247,13 @@ def test_weak_labels(spark):
     rows = table(spark, [item(1, 1), item(2, 1, source_class="primary"), item(3, 2), item(4, 3), item(5, 9)]).withColumn("exploration", F.col("id").isin(4, 5))
     known = spark.createDataFrame([(1, 0.7, "rumor"), (2, 0.0, "corroborated"), (3, 0.0, "rumor")], "story_id int, inauthenticity double, trust_state string")
     assert {r["id"]: r["label"] for r in labels.weak_labels(rows, known).collect()} == {1: 0, 2: None, 3: 1, 4: 0, 5: 0}
+
+
+def test_nodes_and_the_current_model(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "(AP) some words", ["https://www.a.org/x/", "nothing"]), (2, None, [])], "id int, text string, urls array<string>")
+    got = {r["id"]: r for r in provenance.nodes(rows).collect()}
+    assert got[1]["urls"] == ["a.org/x"] and got[1]["wire_ref"] == "ap" and got[1]["simhash"] != 0 and got[2]["simhash"] == 0
+    model = labels.CurrentModel(spark, str(tmp_path / "m"))
+    assert model.get() is None
+    storage.publish_model(spark.createDataFrame([(1, 0.5)], "idx int, weight double"), str(tmp_path / "m"), "{}")
+    assert model.get().count() == 1 and model.version

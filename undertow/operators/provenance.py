@@ -25,6 +25,15 @@ def origin_key() -> Column:
     )
 
 
+def nodes(items: DataFrame) -> DataFrame:
+    """items with what edges look at: canonical URLs without empty ones, simhash (0 for no text) and wire_ref."""
+    from undertow.functions.text import simhash_blake2b, wire_ref
+    from undertow.functions.url import canonical_url
+
+    urls = F.array_distinct(F.filter(F.transform("urls", lambda u: canonical_url(u)), lambda u: u != ""))
+    return items.withColumns({"urls": urls, "simhash": F.coalesce(simhash_blake2b("text"), F.lit(0)), "wire_ref": wire_ref(F.col("text"))})
+
+
 def _oriented(pairs: DataFrame, kind: str) -> DataFrame:
     """Edges lead from the later item to the earlier one, one for each pair."""
     later = F.struct("x_ts", "x_id") > F.struct("y_ts", "y_id")
