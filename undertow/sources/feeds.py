@@ -50,9 +50,9 @@ def mail_time(values: pd.Series) -> pd.Series:
             found = parsedate_to_datetime(value)
         except (TypeError, ValueError):
             return None
-        return found.astimezone(UTC).replace(tzinfo=None) if found is not None and found.tzinfo is not None else None
+        return found.astimezone(UTC) if found is not None and found.tzinfo is not None else None
 
-    return pd.to_datetime(values.map(one, na_action="ignore"))
+    return pd.to_datetime(values.map(one, na_action="ignore"), utc=True)  # with its zone, as the session's may be another
 
 
 def filled(value: Column) -> Column:
@@ -124,7 +124,7 @@ def gdacs(raw: DataFrame) -> DataFrame:
 def gdelt(raw: DataFrame) -> DataFrame:
     url, domain = F.col("r.url"), F.substring(F.coalesce("r.domain", F.lit("")), 1, 256)
     lang = F.when(F.lower("r.language") == "english", "en").otherwise("und")
-    time = F.try_to_timestamp("r.seendate", F.lit("yyyyMMdd'T'HHmmss'Z'"))
+    time = F.try_to_timestamp("r.seendate", F.lit("yyyyMMdd'T'HHmmssX"))
     return item(parsed(raw, "gdelt"), "gdelt", "mainstream", F.col("r.title"), digest_key("gdelt:", url), url.startswith("http"), ts_event=time, lang=lang, urls=link(url), author_ref=domain, raw_ref=domain)
 
 
