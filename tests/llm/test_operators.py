@@ -92,10 +92,13 @@ def test_near_duplicates(docs, empty):
 
 
 def test_one_row_of_each_class_stays(docs):
-    kept = simhash.representatives(docs, shingle=3)
+    kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
-    n = len({c for c in rows(simhash.near_duplicates(docs), "component_id")})
-    assert kept.count() == n
+    prints = [simhash.wide_fingerprint((r["text"] or "").encode(), 5) for r in docs.collect()]
+    classes = brute_classes([(i, a << 64 | b) for i, (a, b) in enumerate(prints)], 22)
+    assert kept.count() == len(set(classes))
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {0, 15} <= ids and not {7, 16, None} & ids
 
 
 @pytest.mark.parametrize("most", [4, 4096])
@@ -110,6 +113,20 @@ def test_links_of_crowded_signatures(spark, most):
     assert {v: got.get(v, v) for v in signed} == dict(zip(signed, classes, strict=True))
 
 
+@pytest.mark.parametrize("small", [3, 24])
+def test_wide_links_find_all_within_15_bits(spark, small):
+    rng = random.Random(11)
+    base = [rng.getrandbits(128) for _ in range(8)]
+    values = sorted({b ^ sum({1 << rng.randrange(128) for _ in range(rng.randint(0, 12))}) for b in base for _ in range(30)})
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    table = spark.createDataFrame([(signed(v >> 64), signed(v & (1 << 64) - 1)) for v in values], "fp long, fp2 long")
+    got = {r["node"]: r["root"] for r in components.components(simhash.wide_links(table, 15, small)).collect()}
+    nodes = simhash.node(np.array([v >> 64 for v in values], np.uint64), np.array([v & (1 << 64) - 1 for v in values], np.uint64)).view(np.int64).tolist()
+    classes = brute_classes(list(enumerate(values)), 15)
+    mine = [got.get(n, n) for n in nodes]
+    assert len(set(zip(mine, classes, strict=True))) == len(set(mine)) == len(set(classes))
+
+
 def brute_lines(found, window):
     order = sorted(((d is None, d if d is not None else 0, i) for i, (d, t) in enumerate(found) if t is not None))
     first, out = {}, {}
