@@ -17,6 +17,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
+def unit(a: Column) -> Column:
+    """a at length one, in double precision; null if it has no length. Dot products of these are cosines."""
+    return F.get(F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), F.lit(0))
+
+
 def hash_embedding(dim: int = 384):
     """A unit vector that only depends on the text: sha256 of the text and a counter, as unsigned integers."""
 

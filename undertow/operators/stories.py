@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undertow.config import D
-from undertow.functions.vector import cosine
+from undertow.functions.vector import dot, unit
 from undertow.operators.graph import roots
 
 
@@ -17,11 +17,11 @@ def nearest(items: DataFrame, k: int = D.neighbours, window_s: int = D.story_win
     items (id, ts, embedding, entities). Exact: an item meets those of its own and the earlier slots of the
     window only, by an equality join on slots as long as the window. Ties go to the smaller id.
     """
-    rows = items.where("embedding is not null").withColumn("slot", F.floor(F.col("ts") / window_s))
-    left = rows.select("id", "ts", F.col("embedding").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
-    right = rows.select("slot", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("embedding").alias("other"))
+    rows = items.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), F.floor(F.col("ts") / window_s).alias("slot"))
+    left = rows.select("id", "ts", F.col("unit").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
+    right = rows.select("slot", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("unit").alias("other"))
     earlier = F.struct("then", "neighbour") < F.struct("ts", "id")
-    pairs = left.join(right, "slot").where(earlier & (F.col("then") >= F.col("ts") - window_s)).select("id", "neighbour", cosine(F.col("own"), F.col("other")).alias("similarity"))
+    pairs = left.join(right, "slot").where(earlier & (F.col("then") >= F.col("ts") - window_s)).select("id", "neighbour", dot(F.col("own"), F.col("other")).alias("similarity"))
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 
@@ -46,12 +46,12 @@ def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours,
         codes = (signs * (1 << np.arange(bits))).sum(2)
         return pd.Series(list(codes + (np.arange(tables) << bits)))
 
-    rows = items.where("embedding is not null").withColumn("bucket", F.explode(buckets("embedding"))).withColumn("slot", F.floor(F.col("ts") / window_s))
-    left = rows.select("id", "ts", "bucket", F.col("embedding").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
-    right = rows.select("slot", "bucket", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("embedding").alias("other"))
+    rows = items.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), F.explode(buckets("embedding")).alias("bucket"), F.floor(F.col("ts") / window_s).alias("slot"))
+    left = rows.select("id", "ts", "bucket", F.col("unit").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
+    right = rows.select("slot", "bucket", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("unit").alias("other"))
     earlier = F.struct("then", "neighbour") < F.struct("ts", "id")
     met = left.join(right, ["slot", "bucket"]).where(earlier & (F.col("then") >= F.col("ts") - window_s))
-    pairs = met.select("id", "neighbour", cosine(F.col("own"), F.col("other")).alias("similarity")).where(F.col("similarity") >= theta).distinct()
+    pairs = met.select("id", "neighbour", dot(F.col("own"), F.col("other")).alias("similarity")).where(F.col("similarity") >= theta).distinct()
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 
