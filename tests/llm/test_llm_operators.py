@@ -153,6 +153,17 @@ def test_line_dedup(docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_runs_of_many_words_go(spark):
+    long, half, other = prose(60), prose(30), prose(28)
+    texts = [f"{long}\na", f"b\n{long}\nc", f"{half}\n{other}\nd", f"e\n{half}\n{other}", f"{half}\nf\n{other}", f"{long}\na", long, f"{prose(3)}\n{prose(49)}", None, f"g\n{long}\n{long}"]
+    texts += [f"h\n{texts[7].splitlines()[1]}", f"{half}\n{other}\nd\n{long}"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = texts[:1] + ["b\nc", texts[2], "e", texts[4], texts[5], "", texts[7], None, "g", texts[10], ""]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(table, words=50).collect()}
+    assert [got[i]["text"] for i in range(12)] == want
+    assert [got[i]["n_removed"] for i in (1, 3, 5, 9, 11)] == [1, 2, 0, 2, 4]
+
+
 def test_decontamination(spark, docs, empty):
     text = docs.where("doc_id = 1").first()["text"].split()
     leaked = text[30:60]

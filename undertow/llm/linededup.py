@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from undertow.llm.common import frozen, same_document, text_key
 
 
-def marks(docs: DataFrame, window: int) -> DataFrame:
+def marks(docs: DataFrame, window: int, words: int = 0) -> DataFrame:
     """doc_id, ut_text_key, mark, starts: the least line hash of each window of lines, the last of equal ones.
 
+    Only windows of at least so many words count.
+
     starts holds the windows (first line, hash of all lines) of which that line is the least. A selected line
     so stands once, with all the windows that it is the fingerprint of, and each window has one fingerprint.
     """
@@ -20,20 +22,31 @@ def marks(docs: DataFrame, window: int) -> DataFrame:
         F.sequence(F.lit(0), F.size("ut_lines") - window),
         lambda i: F.struct(least(i).alias("m"), i.alias("s"), F.xxhash64(*[at(i + j) for j in range(window)]).alias("g")),
     )
-    lines = docs.select(*text_key(), F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("ut_lines")).where(F.size("ut_lines") >= window)
+    split = F.split("text", "\n", -1)
+    own = [F.transform(split, lambda x: F.xxhash64(x)).alias("ut_lines")]
+    if words:
+        own.append(F.transform(split, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))).alias("ut_words"))
+        full = lambda w: sum((F.get("ut_words", w["s"] + j) for j in range(1, window)), F.get("ut_words", w["s"])) >= words
+        windows = F.filter(windows, full)
+    lines = docs.select(*text_key(), *own).where(F.size("ut_lines") >= window)
     rows = lines.select("doc_id", "ut_text_key", F.explode(windows).alias("w"))
     return rows.select("doc_id", "ut_text_key", F.col("w.m.h").alias("mark"), F.col("w.g").alias("sequence"), F.col("w.s").alias("start"))
 
 
-def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, ut_text_key, runs (array of a, b): lines a to b - 1 repeat lines that stand earlier."""
-    rows = frozen(marks(docs, window))
+def repeated_runs(docs: DataFrame, window: int, words: int = 0) -> DataFrame:
+    """doc_id, ut_text_key, runs (array of a, b): lines a to b - 1 repeat lines that stand earlier.
+
+    With words, windows of fewer do not count, nor do those whose first place is the same one of an equal text.
+    """
+    rows = frozen(marks(docs, window, words))
     # marks that stand twice at least; counted before the shuffle, so a very frequent line is one row a task
     shared = rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     rows = rows.join(shared, "mark", "left_semi")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", *(["ut_text_key"] if words else []))
     first = rows.groupBy("mark", "sequence").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = rows.join(first, ["mark", "sequence"]).where(place > F.col("first"))
+    if words:
+        later = later.where((F.col("start") != F.col("first.start")) | (F.col("ut_text_key") != F.col("first.ut_text_key")))
     starts = later.groupBy("doc_id", "ut_text_key").agg(F.array_sort(F.collect_set("start")).alias("s"))
     # a match extends both ways as far as the windows next to it match too
     opens = F.filter("s", lambda x, i: (i == 0) | (x > F.get("s", i - 1) + window))
@@ -41,7 +54,16 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     return starts.select("doc_id", "ut_text_key", F.zip_with(opens, shuts, lambda a, b: F.struct(a.alias("a"), (b + window).alias("b"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
+def runs_of_all_lengths(docs: DataFrame, window: int, words: int) -> DataFrame:
+    """As repeated_runs, with the shorter runs of words words or more; each run is one line."""
+    runs = repeated_runs(docs, window)
+    for shorter in range(1, window):
+        runs = runs.union(repeated_runs(docs, shorter, words))
+    lines = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("runs")), lambda r: F.sequence(r["a"], r["b"] - 1))))
+    return runs.groupBy("doc_id", "ut_text_key").agg(F.transform(lines, lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
+
+
+def dedup_lines(docs: DataFrame, window: int = 3, words: int | None = None) -> DataFrame:
     """docs, with all its columns, and in text only the lines that belong to no later repeated run.
 
     A run is window or more consecutive lines that also stand, in this order, at an earlier place: in a
@@ -52,10 +74,13 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     and lose the same lines; rows without doc_id come after all others. n_lines and n_removed are added, in
     place of columns so named.
 
+    With words, a run of fewer lines than window goes too if it has at least so many words. A copy of a whole
+    text does not lose such runs to the text that it copies: near-dedup takes out that row.
+
     Marks are joined by value; windows are grouped under them and the first place of each is aggregated
     before the shuffle, then joined back, so a line however frequent costs its own rows and no pairs.
     """
-    runs = repeated_runs(docs, window).withColumnRenamed("runs", "ut_runs")
+    runs = (runs_of_all_lengths(docs, window, words) if words else repeated_runs(docs, window)).withColumnRenamed("runs", "ut_runs")
     keyed = docs.drop("n_lines", "n_removed").withColumn("ut_text_key", F.xxhash64("text"))
     joined = same_document(keyed, runs, "left")
     lines = F.split("text", "\n", -1)
