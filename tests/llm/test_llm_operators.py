@@ -101,6 +101,52 @@ def test_one_row_of_each_class_stays(docs):
     assert {0, 15} <= ids and not {7, 16, None} & ids
 
 
+def planted(n, seed, cluster):
+    """Texts in clusters: each a copy of the cluster's first with some words in a row changed, so that similarities lie around 0.8."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(n):
+        words = [word() for _ in range(104)]
+        texts.append(" ".join(words))
+        for _ in range(cluster - 1):
+            k, at = rng.randint(1, 30), rng.randint(0, 70)
+            texts.append(" ".join([*words[:at], *[word() for _ in range(k)], *words[at + k :]]))
+    return texts
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("n, cluster", [(250, 4), (3, 60)])
+def test_near_copies_equal_brute_force_jaccard(spark, n, cluster):
+    texts = planted(n, 21, cluster)
+    own = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    close = 0
+    for i in range(len(texts)):
+        for j in range(i // cluster * cluster, i):
+            s = jaccard(own[i], own[j])
+            close += 0.8 <= s < 0.85
+            if s >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert close > 40
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.representatives(table).collect()) == [i for i in range(len(texts)) if find(i) == i]
+
+
 @pytest.mark.parametrize("most", [4, 4096])
 def test_links_of_crowded_signatures(spark, most):
     rng = random.Random(9)
