@@ -147,6 +147,20 @@ def test_near_copies_equal_brute_force_jaccard(spark, n, cluster):
     assert sorted(r["doc_id"] for r in simhash.representatives(table).collect()) == [i for i in range(len(texts)) if find(i) == i]
 
 
+def test_documents_below_the_similarity_stay(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    chain = [word() for _ in range(104)]
+    texts = []
+    for i in range(40):  # each shares 0.75 with the one before
+        chain = [*chain[: i * 11 % 90], *[word() for _ in range(11)], *chain[i * 11 % 90 + 11 :]]
+        texts.append(" ".join(chain))
+    own = [shingles(t) for t in texts]
+    assert all(0.7 < jaccard(a, b) < 0.8 for a, b in zip(own, own[1:], strict=False))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.representatives(table).count() == 40
+
+
 @pytest.mark.parametrize("most", [4, 4096])
 def test_links_of_crowded_signatures(spark, most):
     rng = random.Random(9)
