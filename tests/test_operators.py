@@ -116,6 +116,17 @@ def test_lsh_recall(spark):
     assert near <= exact and len(near) >= 0.9 * len(exact)
 
 
+def test_lsh_recall_of_loose_neighbours(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(i, i, [float(x) for x in rng.normal(size=64)]) for i in range(600)]
+    data = spark.createDataFrame(rows, "id int, ts long, embedding array<float>")
+    exact = {(r["id"], r["neighbour"]) for r in stories.nearest(data).where("similarity >= 0.3").collect()}
+    near = {(r["id"], r["neighbour"]) for r in stories.nearest_lsh(data, 0.3).collect()}
+    assert len(exact) > 500 and len(near & exact) >= 0.9 * len(exact)
+
+
 def test_primary_match(spark):
     ddl = "id int, ts long, entities array<string>, lat double, lon double, story_id int"
     claims = spark.createDataFrame([(1, 100_000, ["Rome"], 41.9, 12.5, 1), (2, 100_000, ["Oslo"], None, None, 2), (3, 100_000, ["Paris"], 48.8, 2.3, 3)], ddl)

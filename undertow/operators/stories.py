@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,14 +28,29 @@ def nearest(items: DataFrame, k: int = D.neighbours, window_s: int = D.story_win
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 
 
-def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours, window_s: int = D.story_window_s, tables: int = 8, bits: int = 12, seed: int = 5) -> DataFrame:
+def lsh_shape(theta: float, recall: float = 0.95, most: int = 32) -> tuple[int, int]:
+    """(tables, bits): the most bits for which up to most tables meet a neighbour at cosine theta with probability recall; one bit at least."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, theta))) / math.pi
+    shape = None
+    for bits in range(1, 17):
+        missed = 1 - agree**bits
+        tables = 1 if missed <= 0 else math.ceil(math.log(1 - recall) / math.log(missed))
+        if shape and tables > most:
+            break
+        shape = tables, bits
+    return shape
+
+
+def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours, window_s: int = D.story_window_s, tables: int | None = None, bits: int | None = None, seed: int = 5) -> DataFrame:
     """As nearest, for large windows: only items that share a bucket of random hyperplane signs meet; then exact.
 
-    A neighbour at cosine c is met with probability 1 - (1 - (1 - acos(c) / pi) ** bits) ** tables; recall
-    against nearest is what tests report.
+    A neighbour at cosine c is met with probability 1 - (1 - (1 - acos(c) / pi) ** bits) ** tables. Tables and
+    bits not given are those of lsh_shape, so this is 0.95 at theta and more above; a low theta saves little.
     """
     import numpy as np
 
+    fitting = lsh_shape(theta)
+    tables, bits = tables or fitting[0], bits or fitting[1]
     dim = items.select(F.size("embedding")).where("embedding is not null").first()[0]
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
 
@@ -46,11 +63,14 @@ def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours,
         codes = (signs * (1 << np.arange(bits))).sum(2)
         return pd.Series(list(codes + (np.arange(tables) << bits)))
 
-    rows = items.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), F.explode(buckets("embedding")).alias("bucket"), F.floor(F.col("ts") / window_s).alias("slot"))
-    left = rows.select("id", "ts", "bucket", F.col("unit").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
-    right = rows.select("slot", "bucket", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("unit").alias("other"))
+    rows = items.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), buckets("embedding").alias("all"), F.floor(F.col("ts") / window_s).alias("slot"))
+    rows = rows.select("*", F.posexplode("all").alias("place", "bucket"))
+    left = rows.select("id", "ts", "bucket", "place", F.col("all").alias("own_all"), F.col("unit").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
+    right = rows.select("slot", "bucket", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("all").alias("other_all"), F.col("unit").alias("other"))
     earlier = F.struct("then", "neighbour") < F.struct("ts", "id")
-    met = left.join(right, ["slot", "bucket"]).where(earlier & (F.col("then") >= F.col("ts") - window_s))
+    # a pair meets in the first of the buckets that it shares only
+    first = F.array_position(F.zip_with("own_all", "other_all", lambda x, y: x == y), True) == F.col("place") + 1
+    met = left.join(right, ["slot", "bucket"]).where(earlier & (F.col("then") >= F.col("ts") - window_s) & first)
     pairs = met.select("id", "neighbour", dot(F.col("own"), F.col("other")).alias("similarity")).where(F.col("similarity") >= theta).distinct()
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
