@@ -288,6 +288,17 @@ def test_licences(docs, empty):
     assert out.where("n_base > 0 or labels <> ''").count() == 0
 
 
+def test_long_licence_expressions_are_read_whole():
+    names = [f"GPL-{i}.0-only" for i in range(40)]
+    for inner, end in ((f"({' AND '.join(names)}) OR Apache-2.0", True), (f"{' OR '.join(['MIT'] * 90)} AND GPL-3.0-only", True), (f"{' AND '.join(['MIT'] * 90)} AND GPL-3.0-only", False)):
+        assert len(inner) > 400
+        _, _, _, labels, expressions, permissive = licenses.scan(f"SPDX-License-Identifier: {inner}\nprose".encode())
+        assert len(expressions) == 1 and permissive is end and "gpl" in labels
+        assert len(expressions[0].split()) == len(inner.replace("(", "").replace(")", "").split())
+    two = f"SPDX-License-Identifier: MIT {prose(200)} SPDX-License-Identifier: ISC"
+    assert licenses.scan(two.encode())[4] == ["mit", "isc"]
+
+
 def test_substrings(docs, empty):
     found = [(r["doc_id"], r["text"]) for r in docs.collect()]
     first = {}

@@ -23,7 +23,7 @@ FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apac
 PERMISSIVE = {"apache", "mit", "bsd", "isc", "bsl", "cc0", "cc-by", "unlicense"}
 #: Bytes that stand in no word become spaces, and A-Z lower case.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-EXPRESSION = re.compile(rb"spdx-license-identifier\s*:\s*([a-z0-9.+\-() \t]{1,400})", re.I)
+EXPRESSION = re.compile(rb"spdx-license-identifier\s*:\s*((?:(?!spdx-license-identifier)[a-z0-9.+\-() \t])+)", re.I)
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
