@@ -22,14 +22,25 @@ def session(app: str = "undertow", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        BATCH: BATCH_BYTES,
     }
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+#: The bytes of one Arrow batch: texts are long, and a task holds a batch several times over on both sides.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors through Spark's own file server, once for each application."""
+    """Send this package to the executors through Spark's own file server, once for each application.
+
+    A session that has Spark's own bound on the bytes of an Arrow batch, 64 MB, gets BATCH_BYTES.
+    """
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
