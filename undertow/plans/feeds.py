@@ -104,11 +104,11 @@ def normalize_bluesky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.bluesky(record).select("content_hash", "text", "author_ref", "parent_ref", when(), F.array_join("urls", ",").alias("urls"))
 
 
-@query(f"""SELECT 'masto:' || substr(sha256('u/' || doc_id), 1, 40) AS content_hash, 'a & b' || chr(10) || source AS text, substr(sha256('inst:' || doc_id), 1, 32) AS author_ref, {SECONDS} AS ts FROM documents WHERE lang = 'en' AND doc_id % 2 = 0 AND doc_id % 5 <> 0""")
+@query(f"""SELECT 'masto:' || substr(sha256('u/' || doc_id), 1, 40) AS content_hash, 'a & b’s café — x €' || chr(10) || source AS text, substr(sha256('inst:' || doc_id), 1, 32) AS author_ref, {SECONDS} AS ts FROM documents WHERE lang = 'en' AND doc_id % 2 = 0 AND doc_id % 5 <> 0""")
 def normalize_mastodon(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = raw(
         spark, sf_dir, id=n().cast("string"), created_at=clock("Z"), language=F.col("lang"), uri=F.concat(F.lit("u/"), n().cast("string")), visibility=F.when(n() % 2 == 0, "public").otherwise("private"),
-        content=F.concat(F.lit("<p>a &amp; b</p><b>"), "source", F.lit("</b>")), account=F.struct(n().cast("string").alias("id"), (n() % 5 == 0).alias("bot")),
+        content=F.concat(F.lit("<p>a &amp; b&#8217;s caf&eacute; &mdash; x &#x20ac;</p><b>"), "source", F.lit("</b>")), account=F.struct(n().cast("string").alias("id"), (n() % 5 == 0).alias("bot")),
     )
     return feeds.mastodon(record, "inst").select("content_hash", "text", "author_ref", when())
 

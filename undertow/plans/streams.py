@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.operators.graph import frozen
+from undertow.operators.graph import shared_folder
 from undertow.plans.adapters import seconds
 from undertow.plans.catalog import query
 from undertow.streaming import jobs
@@ -15,9 +15,7 @@ from undertow.streaming import jobs
 
 def folder(spark: SparkSession) -> str:
     """A new folder among those that the session shares with its executors."""
-    frozen(spark.range(0))  # makes sure that there is one
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +32,10 @@ def stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.newest_tallies(spark.read.parquet(f"{out}/tallies")).select("entity", F.unix_timestamp("bucket_ts").alias("bucket"), "mentions")
 
 
-@query("SELECT count(DISTINCT text) AS texts FROM documents")
+@query("SELECT md5(text) AS digest, length(text) AS n_chars FROM documents GROUP BY text")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream, each text once."""
     out = folder(spark)
     rows = stream(spark, sf_dir, "documents").select("doc_id", "text", F.lit("").alias("content_hash"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("ts_observed"))
     jobs.deduplicated(rows).select("doc_id", "text").writeStream.format("parquet").option("path", f"{out}/kept").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/kept").agg(F.count("text").alias("texts"))
+    return spark.read.parquet(f"{out}/kept").select(F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("n_chars"))

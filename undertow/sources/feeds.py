@@ -9,7 +9,7 @@ from pyspark.sql.types import TimestampType
 
 from undertow.config import D
 from undertow.functions.geo import mean_vertex
-from undertow.functions.text import digest_key, strip_html
+from undertow.functions.text import digest_key, html_text
 from undertow.schemas import ENTITY, GEO
 
 SCHEMAS = {
@@ -172,7 +172,7 @@ def mastodon(raw: DataFrame, instance: str, langs: tuple[str, ...] = ("en",), sk
     author = F.when(filled(account), digest_key("", F.concat(F.lit(f"{instance}:"), account), 32)).otherwise("")
     lang = F.when(filled(F.col("r.language")), F.substring(F.lower("r.language"), 1, 8)).otherwise("und")
     return item(
-        parsed(raw, "mastodon"), "mastodon", "social", strip_html(F.col("r.content")), F.when(filled(uri), digest_key("masto:", uri)), mastodon_kept(langs, skip_bots),
+        parsed(raw, "mastodon"), "mastodon", "social", html_text(F.col("r.content")), F.when(filled(uri), digest_key("masto:", uri)), mastodon_kept(langs, skip_bots),
         ts_event=iso_time(F.col("r.created_at")), lang=lang, urls=link(F.col("r.url")), author_ref=author, raw_ref=F.substring(F.coalesce("r.id", F.lit("")), 1, 256),
     )
 

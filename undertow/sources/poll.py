@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 import json
 import os
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -36,23 +37,22 @@ def sse_events(lines: Iterable[str]) -> Iterator[tuple[str, dict]]:
             data.append(line[5:].strip())
 
 
+def bare(node: ET.Element) -> str:
+    """A tag without its namespace, in lower case."""
+    return node.tag[node.tag.find("}") + 1 :].lower()
+
+
 def rss_items(body: bytes, content_type: str = "application/xml") -> list[dict]:
     """Items of an RSS or entries of an Atom document as flat records, the first of each wanted tag; HTML is refused."""
-    if "xml" not in content_type and "rss" not in content_type:
+    if not re.search("xml|rss", content_type):
         raise ValueError(f"not XML but {content_type}")
-    if b"<!DOCTYPE" in body[:2048].upper() or b"<!ENTITY" in body.upper():
+    if re.search(rb"<!doctype", body[:2048], re.I) or re.search(rb"<!entity", body, re.I):
         raise ValueError("document types and entities are refused")
-    local = lambda tag: tag.rpartition("}")[2].lower()
-    out = []
-    for node in ET.fromstring(body).iter():
-        if local(node.tag) in ("item", "entry"):
-            record: dict = {}
-            for child in node:
-                name = local(child.tag)
-                if name in WANTED and name not in record:
-                    record[name] = (child.text or child.get("href") or "").strip()
-            out.append(record)
-    return out
+    records = []
+    for entry in filter(lambda node: bare(node) in ("item", "entry"), ET.fromstring(body).iter()):
+        values = {bare(node): (node.text or node.get("href") or "").strip() for node in reversed(entry)}  # so the first of a tag is what stays
+        records.append({name: values[name] for name in WANTED if name in values})
+    return records
 
 
 def json_items(body: bytes, path: str = "") -> list[dict]:
@@ -98,10 +98,11 @@ FEEDS = {
 }
 
 
-def poll_once(feed: Feed, fetch: Callable[[str, dict], tuple[bytes, str]], seen: dict, key: Callable[[dict], str], publish: Callable[[dict], None], most: int = 10_000) -> int:
-    """Publish the records of one poll that were not seen; seen (insertion ordered) forgets its oldest beyond most.
+def poll_once(feed: Feed, fetch: Callable[[str, dict], tuple[bytes, str]], seen: dict, key: Callable[[dict], str], publish: Callable[[dict], object], most: int = 10_000) -> int:
+    """Publish the records of one poll that were not seen, and count those; seen (insertion ordered) forgets its oldest beyond most.
 
-    A record is remembered once it is published, and also if publish finds it unusable and returns.
+    A record is remembered once it is handed on; one that publish finds unusable, and says so by returning False, is
+    remembered too but does not count. If publish fails the record is not remembered, and comes again.
     """
     body, content_type = fetch(feed.url, feed.headers)
     n = 0
@@ -109,21 +110,30 @@ def poll_once(feed: Feed, fetch: Callable[[str, dict], tuple[bytes, str]], seen:
         name = key(record)
         if name in seen:
             continue
-        publish(record)
+        n += publish(record) is not False
         seen[name] = True
         while len(seen) > most:
             seen.pop(next(iter(seen)))
-        n += 1
     return n
 
 
+def gov_rss(name: str, url: str, source_class: str = "authoritative", seconds: float = 300, max_age_days: int | None = None) -> Feed:
+    """A feed of press releases, with what the environment says of it."""
+    return Feed(name, url, seconds, kind="rss", source_class=source_class, max_age_days=max_age_days).configured()
+
+
 def _transport(options: dict) -> Callable[[str], tuple[list[str], str]]:
     module, _, name = options["transport"].partition(":")
     return getattr(importlib.import_module(module), name)
 
 
 class FeedSource(DataSource):
-    """format("undertow_feed").option("transport", "module:function"): rows (raw string), streamed or as one batch."""
+    """format("undertow_feed").option("transport", "module:function"): rows (raw string), streamed or as one batch.
+
+    Option log names a folder that outlives the driver. Each batch is written there before it is handed on and deleted
+    once it is committed, so a restarted stream repeats the very rows of the batch that failed, which a live feed may
+    no longer give. Without it the feed is asked again, as often as it was then.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -140,23 +150,52 @@ class FeedSource(DataSource):
 
 
 class _Stream(SimpleDataSourceStreamReader):
+    """Offsets are a cursor and the number of fetches that led to it."""
+
     def __init__(self, options: dict):
         self.options = options
 
+    def _log(self):
+        """The file system and folder of the option log."""
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(self.options["log"])
+        files.create_dir(folder, recursive=True)
+        return files, folder
+
     def initialOffset(self) -> dict:
-        return {"cursor": self.options.get("cursor", "")}
+        return {"cursor": self.options.get("cursor", ""), "n": 0}
 
     def read(self, start: dict):
         rows, cursor = _transport(self.options)(start["cursor"])
-        return iter([(r,) for r in rows]), {"cursor": cursor}
+        end = {"cursor": cursor, "n": start["n"] + bool(rows or cursor != start["cursor"])}
+        if self.options.get("log") and end["n"] > start["n"]:
+            files, folder = self._log()
+            with files.open_output_stream(f"{folder}/{end['n']:012d}.json") as out:
+                out.write(json.dumps(rows).encode())
+        return iter([(r,) for r in rows]), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
         rows, cursor = [], start["cursor"]
-        while cursor != end["cursor"]:
-            more, cursor = _transport(self.options)(cursor)
-            rows += more
+        for n in range(start["n"] + 1, end["n"] + 1):
+            if self.options.get("log"):
+                files, folder = self._log()
+                with files.open_input_stream(f"{folder}/{n:012d}.json") as kept:
+                    rows += json.loads(kept.read())
+            else:
+                more, cursor = _transport(self.options)(cursor)
+                rows += more
         return iter([(r,) for r in rows])
 
+    def commit(self, end: dict) -> None:
+        if self.options.get("log"):
+            from pyarrow import fs
+
+            files, folder = self._log()
+            for file in files.get_file_info(fs.FileSelector(folder)):
+                if file.base_name.endswith(".json") and int(file.base_name[:-5]) <= end["n"]:
+                    files.delete_file(file.path)
+
 
 class _Batch(DataSourceReader):
     def __init__(self, options: dict):

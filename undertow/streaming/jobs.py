@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from undertow.config import D
 from undertow.operators.admission import Governor
@@ -16,15 +16,58 @@ WALL = f"{D.retention_days} days"
 
 
 def validated(raw: DataFrame, ddl: str, valid, cap: int = 65_536) -> tuple[DataFrame, DataFrame]:
-    """(records, dead letters) of a stream with a column raw: too long, unreadable or invalid payloads are set aside."""
+    """(records, dead letters) of a stream with a column raw. Every payload is in one of them: those too long, unreadable
+    or invalid are set aside with the reason."""
     from undertow.schemas import strict_json
 
-    fits = F.octet_length("raw") <= cap
     rows = strict_json(raw, "raw", ddl)
-    fine = F.coalesce(fits & F.col("well_formed") & F.col("record").isNotNull(), F.lit(False))
-    records = rows.where(fine).select("record.*").where(valid)
-    dead = rows.where(~fine).select("raw", F.when(~fits, "too long").otherwise("unreadable").alias("reason"))
-    return records, dead
+    # the condition speaks of the record's fields, so it is put where these are columns
+    judged = rows.select("raw", "well_formed", "record", "record.*").withColumn("fine", F.coalesce(valid, F.lit(False)))
+    reason = F.when(F.octet_length("raw") > cap, "too long").when(F.coalesce(F.col("well_formed") & F.col("record").isNotNull(), F.lit(False)) == F.lit(False), "unreadable").when(~F.col("fine"), "invalid")
+    judged = judged.select("raw", "record", reason.alias("reason"))
+    return judged.where("reason IS NULL").select("record.*"), judged.where("reason IS NOT NULL").select("raw", "reason")
+
+
+def bounded(reader, files: int = 8, size: str | None = None):
+    """Backpressure: a reader of files that hands on at most so many, or about so much, in a micro-batch; the rest waits where it is."""
+    return reader.option("maxBytesPerTrigger", size) if size else reader.option("maxFilesPerTrigger", files)
+
+
+def redelivered(start: Callable[[], StreamingQuery], attempts: int = 5, seconds: float = 1.0) -> StreamingQuery:
+    """Run a query that ends by itself, and start it again, a moment later, if it fails: from its checkpoint it takes the
+    same batch anew. What fails for good is raised after so many attempts."""
+    import time
+
+    for left in range(attempts - 1, -1, -1):
+        try:
+            query = start()
+            query.awaitTermination()
+            return query
+        except Exception:
+            if not left:
+                raise
+            time.sleep(seconds)
+    raise ValueError("attempts must be 1 at least")
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the newest progress of each query, for health pages: rows in, rows a second, state rows."""
+
+    def __init__(self):
+        self.newest: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.newest[str(event.id)] = {"running": True}
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.newest[str(p.id)] = {"running": True, "batch": p.batchId, "rows": p.numInputRows, "rate": p.processedRowsPerSecond, "state_rows": sum(s.numRowsTotal for s in p.stateOperators)}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.newest[str(event.id)] = self.newest.get(str(event.id), {}) | {"running": False}
 
 
 def deduplicated(items: DataFrame, ts: str = "ts_observed") -> DataFrame:
@@ -86,6 +129,21 @@ def write_items(enriched: DataFrame, path: str, checkpoint: str, then: Callable[
     return enriched.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_tally_flushes(flushes: DataFrame, tallies: str, state: str, checkpoint: str) -> StreamingQuery:
+    """Insert the tallies of a stream of flushes and keep each replica's newest health beat in the state's snapshot."""
+    from undertow.operators import storage
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        storage.insert_absent(storage.exploded_tallies(batch), tallies, "entity_tallies", "bucket_ts")
+        beats = storage.tally_state(batch)
+        current = storage.snapshot(batch.sparkSession, state) if storage.exists(batch.sparkSession, f"{state}/current") else beats.limit(0)
+        storage.save_snapshot(storage.upserted(current, beats), state)
+        batch.unpersist()
+
+    return flushes.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def pushed(alerts: DataFrame, push: Callable[[str, str], None], checkpoint: str) -> StreamingQuery:
     """Push each alert of a stream (entity_set, gap, velocity_z, trust_state) once its batch is planned; a failed
     push fails the batch, which is tried again."""
