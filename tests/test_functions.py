@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import math
 
 import pytest
@@ -121,11 +123,54 @@ def test_gazetteer(spark):
     assert [e["text"] for e in found] == ["New York", "New York", "Kyiv"]
 
 
-def test_bio_and_wordpiece():
-    assert entities.bio_entities(["An", "Bo", "x", "Co", "Do"], ["B-PER", "I-PER", "O", "I-ORG", "B-ORG"]) == [("An Bo", "PER"), ("Co", "ORG"), ("Do", "ORG")]
-    pieces = entities.WordPiece(["[UNK]", "[CLS]", "[SEP]", "play", "##ing", "a"])
+def test_bio_and_wordpiece(tmp_path):
+    text = "An Bo x Co Do U.S. An Bo"
+    spans = [(0, 2), (3, 5), (6, 7), (8, 10), (11, 13), (14, 15), (15, 16), (16, 17), (17, 18), (19, 21), (22, 24)]
+    marks = ["B-PER", "I-PER", "O", "I-ORG", "B-ORG", "B-LOC", "I-LOC", "I-LOC", "I-LOC", "B-PER", "I-PER"]
+    assert entities.bio_entities(text, spans, marks) == [("An Bo", "PER"), ("Co", "ORG"), ("Do", "ORG"), ("U.S.", "LOC")]
+    assert entities.bio_entities(text, spans, marks, entities.TAG_TYPES)[3] == ("U.S.", "place")
+    pieces = entities.WordPiece(["[UNK]", "[CLS]", "[SEP]", "play", "##ing", "a", "p"])
     assert pieces.encode("a Playing zzz") == ([1, 5, 3, 4, 0, 2], [-1, 0, 1, 1, 2, -1])
     assert pieces.encode("a playing", most=4) == ([1, 5, 2], [-1, 0, -1])
+    assert pieces.pieces("pl") == pieces.pieces("p" * 101) == ["[UNK]"] and pieces.pieces("p") == ["p"]
+    words = entities.WordPiece(["[UNK]"])
+    assert words.basic("Café, 東京tower $5\x00x_y") == ["cafe", ",", "東", "京", "tower", "$", "5", "x", "_", "y"]
+    assert words.spans("a  東b") == [(0, 1), (3, 4), (4, 5)]
+    (tmp_path / "vocab.txt").write_text("[UNK]\nÉa\n\nb\n", encoding="utf-8")
+    assert entities.WordPiece.from_folder(str(tmp_path)).basic("Éa") == ["ea"] and entities.label_names(str(tmp_path)) == list(entities.CONLL)
+    (tmp_path / "tokenizer_config.json").write_text('{"do_lower_case": false}')
+    (tmp_path / "config.json").write_text('{"id2label": {"0": "O", "1": "B-X"}}')
+    cased = entities.WordPiece.from_folder(str(tmp_path))
+    assert cased.basic("Éa") == ["Éa"] and cased.ids == {"[UNK]": 0, "Éa": 1, "b": 3} and entities.label_names(str(tmp_path)) == ["O", "B-X"]
+    (tmp_path / "labels.txt").write_text("O\nB-Y\n")
+    assert entities.label_names(str(tmp_path)) == ["O", "B-Y"]
+
+
+def test_pieces_equal_the_library():
+    from tokenizers import BertWordPieceTokenizer
+
+    vocabulary = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", "b", "ab", "##a", "##b", "##ab", "##bc", "c", "東", "-", "'", "é", "e", "##e", "$"]
+    library = BertWordPieceTokenizer({t: i for i, t in enumerate(vocabulary)}, lowercase=True)
+    own = entities.WordPiece(vocabulary)
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("aabbcé東-' $ABZ\t") for _ in range(rng.randint(0, 25)))
+        assert own.encode(text)[0] == library.encode(text).ids, repr(text)
+
+
+def test_padded_feeds():
+    feed = entities.padded([[1, 2, 3], [4]], {"input_ids", "attention_mask"}, pad=9)
+    assert feed["input_ids"].tolist() == [[1, 2, 3], [4, 9, 9]] and feed["attention_mask"].tolist() == [[1, 1, 1], [1, 0, 0]] and len(feed) == 2
+
+
+def test_phrases_of_a_trie_equal_the_alternation(spark):
+    rng = random.Random(6)
+    phrases = {"a", "a b", "a b c d", "b c", "c", "d e"}
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 20))) for _ in range(200)]
+    trie = entities.Phrases({p: p for p in phrases})
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    want = {r["id"]: list(r["m"]) for r in table.select("id", entities.matches(F.col("text"), phrases).alias("m")).collect()}
+    assert {i: trie.find(t) for i, t in enumerate(texts)} == want
 
 
 def test_validity(spark):
