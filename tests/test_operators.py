@@ -202,6 +202,140 @@ def test_storage(spark, tmp_path):
     assert found(kept, "id") == [(1,), (3,)]
 
 
+def test_a_batch_of_many_days_is_inserted_once(spark, tmp_path):
+    path = str(tmp_path / "items")
+    rows = spark.range(1000).select(F.col("id").cast("int"), F.timestamp_seconds(F.col("id") * 43_200).alias("ts_observed"))
+    for _ in range(2):
+        storage.insert_absent(rows.coalesce(1), path, "items", "ts_observed")
+    got = spark.read.parquet(path)
+    assert got.count() == 1000 and got.select("day").distinct().count() == 500
+
+
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "stories")
+    rows = spark.createDataFrame([(1, 0, "rumor", 0.0), (2, 5, "corroborated", 1.0)], "story_id int, independent_origins int, trust_state string, gap double")
+    storage.save_snapshot(rows, path)
+    for n in range(3):
+        states = spark.createDataFrame([(1, n, "corroborated"), (9, 1, "x")], "story_id int, independent_origins int, trust_state string")
+        storage.save_snapshot(storage.trust_updated(storage.snapshot(spark, path), states), path)
+    assert found(storage.snapshot(spark, path), "story_id", "independent_origins", "trust_state", "gap") == [(1, 2, "corroborated", 0.0), (2, 5, "corroborated", 1.0)]
+    assert len([p for p in tmp_path.joinpath("stories").iterdir() if p.name.startswith("v=")]) == 2
+    streams = str(tmp_path / "streams")
+    storage.declare(spark, streams, "ingest", "ingest.")
+    assert found(storage.declare(spark, streams, "ingest", "ingest.", days=3), "name", "days") == [("ingest", 3)]
+    assert storage.declare(spark, streams, "alerts", "alerts.").count() == 2
+
+
+def test_assignments_and_edges(spark, tmp_path):
+    items_ = spark.createDataFrame([(1, 5, "ap"), (2, 6, "")], "id int, simhash long, wire_ref string").withColumn("ts_observed", F.timestamp_seconds(F.lit(0)))
+    done, again = storage.assignments(items_, spark.createDataFrame([(1, 7), (3, 7)], "item_id int, story_id int"))
+    assert found(done, "item_id", "story_id", "simhash", "wire_ref") == [(1, 7, 5, "ap")] and found(again, "item_id") == [(3,)]
+    edges = spark.createDataFrame([(1, 2, 1, 5, "ref"), (1, 3, 1, 100_000, "url")], "story_id int, src int, dst int, ts long, edge_type string")
+    for _ in range(2):
+        storage.insert_edges(edges, str(tmp_path / "edges"))
+    assert spark.read.parquet(str(tmp_path / "edges")).count() == 2
+
+
+def test_claims_that_may_be_backed(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, "social", 100, ["Rome"], 1.0, 1.0), (2, 1, "social", 100, [" "], None, None), (3, 2, "social", 100, ["rome"], None, None), (4, 1, "mainstream", 100, ["rome"], None, None), (5, 9, "primary", 90, ["ROME"], None, None), (6, 9, "authoritative", 86_499, ["rome", "x"], 1.0, 1.1), (7, 9, "primary", 86_501 + 100, ["rome"], 1.0, 1.0)],
+        "id int, story_id int, source_class string, ts long, entities array<string>, lat double, lon double",
+    )
+    claims = spark.createDataFrame([(1, 1, "said"), (1, 1, "again"), (1, 2, "said"), (1, 3, "moved"), (1, 4, "said"), (1, 8, "gone"), (2, 3, "  ")], "story_id int, item_id int, claim string")
+    assert found(provenance.eligible_claims(claims, rows), "story_id", "id") == [(1, 1)]
+    assert found(provenance.claim_matches(claims, rows), "story_id", "id", "primary_id") == [(1, 1, 6)]
+
+
+@pytest.mark.parametrize("bits", [3, 6])
+def test_copy_classes_equal_brute_force(spark, bits):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    values = [0, 0] + [rng.choice(base) ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, bits + 1))}) for _ in range(150)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    members, links = provenance.copy_classes(spark.createDataFrame(list(enumerate(signed)), "id int, simhash long"), bits)
+    first = {v: values.index(v) for v in values if v}
+    assert found(members, "id", "first") == sorted((i, first[v]) for i, v in enumerate(values) if v)
+    assert found(links, "src", "dst") == sorted((b, a) for x, a in first.items() for y, b in first.items() if a < b and (x ^ y).bit_count() <= bits)
+
+
+def test_enrichment(spark):
+    from undertow.operators import enrich, entities
+    from undertow.schemas import ENTITY, GEO
+
+    texts = ["Explosion in Tokyo tonight", "Explosion in Tokyo tonight", "nothing here", None, "of New York and Tokyo, a long text that goes on and on until it has more than eighty characters"]
+    rows = spark.createDataFrame([(i, i * 60, t, "h4" if i == 4 else "", "social") for i, t in enumerate(texts)], "id long, ts long, text string, content_hash string, source_class string")
+    rows = rows.select("*", F.array().cast(f"array<{ENTITY}>").alias("entities"), F.lit(None).cast(GEO).alias("geo"))
+    match = entities.matcher(entities.SEED)
+    assert sorted((r["entity"], r["mentions"]) for r in enrich.drained(rows, match).groupBy("entity").agg(F.sum("mentions").alias("mentions")).collect()) == [("new york", 1), ("tokyo", 3)]
+    got = {r["id"]: r for r in enrich.enriched(rows, match=match).collect()}
+    assert sorted(got) == [0, 2, 3, 4] and not any(r["exploration"] for r in got.values())
+    assert [e["text"] for e in got[4]["entities"]] == ["New York", "Tokyo"] and got[4]["geo"]["lat"] == 40.7128 and got[2]["geo"] is None
+    assert all(len(r["embedding"]) == 384 for r in got.values()) and got[0]["relevance"] > got[2]["relevance"]
+    known = spark.createDataFrame([("h4",), ("",)], "content_hash string")
+    assert sorted(r["id"] for r in enrich.enriched(rows, known=known).collect()) == [0, 2, 3]
+
+
+def test_enrichment_sheds_and_explores(spark):
+    from undertow.operators import enrich
+    from undertow.schemas import ENTITY, GEO
+
+    n = 20_000
+    rows = spark.range(n).select("id", (F.col("id") * 0.01).alias("ts"), F.concat(F.lit("text "), "id").alias("text"), F.lit("").alias("content_hash"), F.when(F.col("id") % 10 == 0, "primary").otherwise("social").alias("source_class"), F.array().cast(f"array<{ENTITY}>").alias("entities"), F.lit(None).cast(GEO).alias("geo"))
+    got = enrich.enriched(rows, embed=lambda c: F.lit(0)).select("id", "exploration", "source_class").collect()
+    assert sum(r["source_class"] == "primary" for r in got) == n // 10 and 0 < sum(r["exploration"] for r in got) < 0.05 * n and len(got) < 0.5 * n
+
+
+def test_a_whole_cycle(spark, tmp_path):
+    stories_ = spark.createDataFrame([(1, 86_400 * 9, ["a"], "corroborated", 3, 0.0, 0.0, 0.0, 0.0), (2, 0, ["a"], "rumor", 0, 0.0, 0.0, 0.0, 0.5)], "story_id long, last_seen long, entity_set array<string>, trust_state string, independent_origins int, inauthenticity double, velocity_z double, mainstream_presence double, gap double")
+    storage.save_snapshot(stories_, str(tmp_path / "stories"))
+    table(spark, [item(1, 1)]).write.parquet(str(tmp_path / "items"))
+    spark.createDataFrame([], "story_id int, src int, dst int, edge_type string").write.parquet(str(tmp_path / "edges"))
+    now = 86_400 * 9
+    spark.createDataFrame([("a", now - 4 * 86_400, 1)] + [("a", now, 50)], "entity string, bucket long, mentions long").write.parquet(str(tmp_path / "mentions"))
+    assert scoring.run_cycle(spark, str(tmp_path), now, 3600) == {"scored": 1, "alerts": 1}
+    assert scoring.run_cycle(spark, str(tmp_path), now, 3600) == {"scored": 1, "alerts": 0}
+    kept = {r["story_id"]: r for r in storage.snapshot(spark, str(tmp_path / "stories")).collect()}
+    assert kept[1]["gap"] > D.alert_gap and kept[2]["gap"] == 0.5 and spark.read.parquet(str(tmp_path / "alerts")).count() == 1
+    assert serving.health(storage.snapshot(spark, str(tmp_path / "state"))).first()["baseline_warming"] is False
+
+
+def test_the_api_and_pushes(spark):
+    now = 100
+    parts = {
+        "stories": spark.createDataFrame([(1, 90, 1.0, "corroborated", ["x"], ["a"])], "story_id int, last_seen int, gap double, trust_state string, source_set array<string>, entity_set array<string>"),
+        "items": table(spark, [item(1, 1), item(2, 1)]).withColumn("text", F.lit("words")),
+        "mentions": spark.createDataFrame([("a", 60, 2)], "entity string, bucket long, mentions long"),
+        "alerts": spark.createDataFrame([(1, 95, 1.0)], "story_id int, ts int, gap double"),
+        "state": spark.createDataFrame([("score", '{"baseline_warming": false}'), ("enrich:a", '{"sampling_active": true}')], "key string, value string"),
+    }
+    broken = []
+
+    def tables():
+        if broken:
+            raise OSError
+        return parts
+
+    api = serving.Api(tables)
+    for _ in range(2):
+        assert api.stories(now)[0][0]["item_count"] == 2 and len(api.story(1)[0]) == 3 and api.story(1)[1] is bool(broken)
+        assert api.velocity(1, now)[0][0]["n"] == 2 and api.alerts(now)[0][0]["entity_set"] == ["a"]
+        assert api.health()[0][0]["sampling_active"] and [r["key"] for r in api.state()[0]] == ["enrich:a", "score"]
+        broken.append(1)
+    with pytest.raises(OSError):
+        api.velocity(2, now)
+    sent = []
+
+    class Done:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    serving.http_push("http://host/topic", "u", "p", lambda request, timeout: sent.append(request) or Done())("title", "body")
+    assert sent[0].data == b"body" and sent[0].get_header("Priority") == "high" and sent[0].get_header("Authorization").startswith("Basic ")
+
+
 def test_feed_and_notifier(spark):
     rows = spark.createDataFrame([(1, 90, 1.0, "corroborated", ["noaa"], ["a"]), (2, 91, 2.0, "corroborated", ["x"], []), (3, 92, 0.5, "primary_backed", ["x"], ["b"])], "story_id int, last_seen int, gap double, trust_state string, source_set array<string>, entity_set array<string>")
     items = table(spark, [item(1, 2), item(2, 2)])
@@ -221,6 +355,10 @@ def test_feed_and_notifier(spark):
     with pytest.raises(OSError):
         stuck.poll(alerts, rows)
     assert stuck.cursor == 5
+    later = serving.Notifier(lambda title, body: title.endswith("b") and fails(), 0)
+    with pytest.raises(OSError):
+        later.poll(alerts, rows)
+    assert later.cursor == 5  # the alert of second 5 went out and is not sent again
 
 
 def test_degradable_reads():
@@ -243,17 +381,55 @@ def test_split_and_metrics(spark):
 
 def test_retrain_and_gate(spark, tmp_path):
     rows = spark.createDataFrame([(i, i, "good news today" if i % 2 else "bad spam here", i % 2) for i in range(300)], "id int, ts int, text string, label int")
-    out = labels.retrain(rows, str(tmp_path), None)
+    out = labels.retrain(rows, str(tmp_path))
     assert out["promoted"] and out["f1"] == 1.0
     version, weights, _ = storage.current_model(spark, str(tmp_path))
     assert version == out["version"] and weights.where("idx = -1").count() == 1
+    assert out["incumbent_f1"] is None
     assert not labels.retrain(rows.where("id < 100"), str(tmp_path))["promoted"]
+    flipped = rows.withColumn("label", F.when(F.col("id") < 240, 1 - F.col("label")).otherwise(F.col("label")))  # what was learned before is right again
+    worse = labels.retrain(flipped, str(tmp_path))
+    assert not worse["promoted"] and worse["incumbent_f1"] == 1.0 and worse["f1"] < 0.5
+    model = labels.CurrentModel(spark, str(tmp_path))
+    assert model.scores(rows.limit(2)).where("(score > 0.5) = (label = 1)").count() == 2 and model.version == version
+    spark.createDataFrame([(3, 9.0)], "idx int, weight double").write.mode("overwrite").parquet(str(tmp_path / "bad" / "weights"))
+    spark.createDataFrame([("bad", '{"sha256": "0"}')], "version string, meta string").write.parquet(str(tmp_path / "bad" / "meta"))
+    spark.createDataFrame([("bad",)], "version string").write.mode("overwrite").parquet(str(tmp_path / "current"))
+    assert model.get() is not None and model.version == version and labels.CurrentModel(spark, str(tmp_path)).get() is None
     counts = {0: 150, 1: 150}
     assert labels.promotes(counts, 0.5, 0.5) and labels.promotes(counts, 0.1, None) and not labels.promotes(counts, 0.4, 0.5) and not labels.promotes({0: 190, 1: 29}, 1.0, None)
     scores = {r["id"]: r["score"] for r in labels.scored(labels.features(rows), labels.features(rows).where("id = 1").select("idx", F.col("value").alias("weight"))).collect()}
     assert scores[1] > scores[0]
 
 
+def test_an_exported_model_scores_alike(spark):
+    import numpy as np
+    import onnxruntime
+
+    rng = np.random.default_rng(3)
+    weights = [(int(i), float(w)) for i, w in zip(rng.choice(labels.DIM, 40, replace=False), rng.normal(size=40), strict=True)] + [(-1, 0.3)]
+    session = onnxruntime.InferenceSession(labels.onnx_model(weights))
+    x = rng.normal(size=(7, labels.DIM)).astype(np.float32)
+    dense = np.zeros(labels.DIM)
+    for i, w in weights[:-1]:
+        dense[i] = w
+    got = session.run(["score"], {"features": x})[0]
+    assert got.shape == (7, 1) and np.allclose(got[:, 0], 1 / (1 + np.exp(-(x @ dense + 0.3))), atol=1e-5)
+
+
+def test_sparse_training_equals_dense(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate([("good day", 1), ("bad day", 0), ("good good", 1), ("", 1), ("bad bad x", 0), ("zzz", None)])], "id int, text string, label int")
+    found = labels.features(rows)
+    dense = np.zeros((5, labels.DIM))
+    for r in found.where("id < 5").collect():
+        dense[r["id"], r["idx"]] = r["value"]
+    w, b = labels.train(dense, np.array([1, 0, 1, 1, 0.0]), epochs=3)
+    got = {r["idx"]: r["weight"] for r in labels.trained_sparse(found, rows, epochs=3).collect()}
+    assert abs(got.pop(-1) - b) < 1e-12 and all(abs(w[i] - v) < 1e-12 for i, v in got.items()) and len(got) == np.count_nonzero(w)
+
+
 def test_weak_labels(spark):
     rows = table(spark, [item(1, 1), item(2, 1, source_class="primary"), item(3, 2), item(4, 3), item(5, 9)]).withColumn("exploration", F.col("id").isin(4, 5))
     known = spark.createDataFrame([(1, 0.7, "rumor"), (2, 0.0, "corroborated"), (3, 0.0, "rumor")], "story_id int, inauthenticity double, trust_state string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,6 +78,28 @@ def copy_edges(items: DataFrame, bits: int = D.copy_bits) -> DataFrame:
     return _oriented(x.join(y, ["story_id", "key"]).where((F.col("x_id") < F.col("y_id")) & (hamming(F.col("x_hash"), F.col("y_hash")) <= bits)), "copy")
 
 
+def copy_classes(hashed: DataFrame, bits: int = D.copy_bits) -> tuple[DataFrame, DataFrame]:
+    """((id, first), (src, dst)) for copies among all rows (id, simhash), however many stories they are in.
+
+    first is the least id of those with the same simhash; src and dst are two such first ids, the later one first, whose
+    simhashes lie within bits. So copies of one simhash are a class and no pairs, and a link between two classes is one
+    row. Simhashes of 0 are left out. Of bits + 3 parts of the 64 bits three are equal in such a pair at least: rows
+    meet under every three parts, which at 6 bits are 84 keys of 21 bits each, and each pair counts once.
+    """
+    rows = frozen(hashed.where(F.coalesce("simhash", F.lit(0)) != 0).select("id", "simhash"))
+    distinct = rows.groupBy("simhash").agg(F.min("id").alias("first"))
+    cuts = [64 * i // (bits + 3) for i in range(bits + 4)]
+    parts = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts, cuts[1:], strict=False)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [signed(x | y | z) for x, y, z in itertools.combinations(parts, 3)]
+    sig = F.array(*[F.struct(F.lit(i).alias("parts"), F.col("simhash").bitwiseAND(F.lit(mask).cast("long")).alias("equal")) for i, mask in enumerate(masks)])
+    n = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = distinct.repartition(n, "simhash").select("simhash", "first", F.explode(sig).alias("sig"))  # even, as each row becomes many
+    x, y = (side.select("sig", F.col("simhash").alias(f"{p}_hash"), F.col("first").alias(f"{p}_id")) for p in "xy")
+    links = x.join(y, "sig").where((F.col("x_id") > F.col("y_id")) & (hamming(F.col("x_hash"), F.col("y_hash")) <= bits))
+    return rows.join(distinct, "simhash").select("id", "first"), links.select(F.col("x_id").alias("src"), F.col("y_id").alias("dst")).distinct()
+
+
 def all_edges(items: DataFrame) -> DataFrame:
     return ref_edges(items).union(copy_edges(items)).union(url_edges(items)).union(author_edges(items))
 
@@ -180,16 +204,36 @@ def candidates(replayed: DataFrame, least: int = D.candidate_origins) -> DataFra
     return replayed.where((F.col("seq") > 0) & (F.col("independent_origins") >= least))
 
 
+def eligible_claims(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """Claims (story_id, item_id, claim) that may be backed, with their item's ts, entities and place.
+
+    The claim says something, its item is still there and in the same story, is social, and names an entity.
+    """
+    known = items.select(F.col("id").alias("item_id"), F.col("story_id").alias("now_in"), "source_class", "ts", "entities", "lat", "lon")
+    said = claims.where(F.trim("claim") != "").select("story_id", "item_id").distinct()
+    fits = (F.col("now_in") == F.col("story_id")) & (F.col("source_class") == "social") & F.exists("entities", lambda e: F.trim(e) != "")
+    return said.join(known, "item_id").where(fits).select("story_id", F.col("item_id").alias("id"), "ts", "entities", "lat", "lon")
+
+
+def claim_matches(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """story_id, id, primary_id: the official item that backs each eligible claim; promoted() takes these."""
+    return primary_matches(eligible_claims(claims, items), items.where(F.col("source_class").isin("authoritative", "primary")))
+
+
 def primary_matches(claims: DataFrame, official: DataFrame) -> DataFrame:
     """story_id, id, primary_id: the newest official item that backs a claim.
 
     claims (story_id, id, ts, entities, lat, lon); official (id, ts, entities, lat, lon). Some entity in
     common, within a day, and not farther apart than 500 km where both have a place. Only the newest 50
-    with a common entity in time are looked at, before distance is.
+    with a common entity in time are looked at, before distance is. Claims and official items meet by entity and day,
+    so an entity's whole history is never one key.
     """
-    a = claims.select("story_id", F.col("id").alias("claim"), F.col("ts").alias("t"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(F.transform("entities", F.lower)).alias("entity")).where("entity <> ''")
-    b = official.select("id", "ts", "lat", "lon", F.explode(F.transform("entities", F.lower)).alias("entity")).where("entity <> ''")
-    met = a.join(b, "entity").where(F.abs(F.col("ts") - F.col("t")) <= D.match_s).drop("entity").distinct()
+    day = F.floor(F.col("ts") / D.match_s)
+    names = lambda rows: F.array_distinct(F.filter(F.transform("entities", F.lower), lambda e: e != ""))
+    a = claims.select("story_id", F.col("id").alias("claim"), F.col("ts").alias("t"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(names(claims)).alias("entity"), F.array(day - 1, day, day + 1).alias("days"))
+    a = a.withColumn("day", F.explode("days")).drop("days")
+    b = official.select("id", "ts", "lat", "lon", F.explode(names(official)).alias("entity"), day.alias("day"))
+    met = a.join(b, ["entity", "day"]).where(F.abs(F.col("ts") - F.col("t")) <= D.match_s).drop("entity", "day").distinct()
     newest = F.row_number().over(W.partitionBy("story_id", "claim").orderBy(F.desc("ts"), "id"))
     near = met.withColumn("place", newest).where(F.col("place") <= D.match_candidates)
     km = haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))

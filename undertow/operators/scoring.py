@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undertow.config import D
 from undertow.functions.series import acceleration, bin_start, corroboration_weight, ewma, gap_score, inauthenticity, z_of_last
 from undertow.operators import tallies
+from undertow.operators.graph import frozen
+from undertow.operators.storage import exists, insert_absent, save_snapshot, scores_updated, snapshot, upserted
 
 
 def mainstream_presence(items: DataFrame) -> DataFrame:
@@ -101,3 +103,30 @@ def new_alerts(scored: DataFrame, alerts: DataFrame, now: int, cooldown_s: int =
     due = scored.where(alert_gate()).select("story_id", F.lit(now).cast("long").alias("ts"), "gap", "velocity_z", "trust_state")
     recent = alerts.where(F.col("ts") > now - cooldown_s).select("story_id")
     return due.join(recent, "story_id", "left_anti")
+
+
+def cycle(stories: DataFrame, items: DataFrame, edges: DataFrame, mentions: DataFrame, alerts: DataFrame, now: int, seconds: int = D.bin_s) -> dict[str, DataFrame]:
+    """A whole cycle, each part a table for its writer: scores, stories with them, alerts to append, and the health beat.
+
+    Scores are of all active stories at once; alerts follow from them; the beat tells readers whether the baseline warms.
+    """
+    scored = score_cycle(stories, items, edges, mentions, now, seconds)
+    warm = F.coalesce(F.bool_or("warming"), F.lit(True))
+    value = F.to_json(F.struct(warm.alias("baseline_warming"), F.count("*").alias("stories")))
+    beat = scored.agg(value.alias("value")).select(F.lit("score").alias("key"), "value", F.timestamp_seconds(F.lit(now)).alias("updated_at"))
+    return {"scores": scored, "stories": scores_updated(stories, scored), "alerts": new_alerts(scored, alerts, now), "state": beat}
+
+
+def run_cycle(spark: SparkSession, folder: str, now: int, seconds: int = D.bin_s) -> dict[str, int]:
+    """A cycle over the tables in folder, written back: the snapshots stories and state, and the table alerts."""
+    stories = snapshot(spark, f"{folder}/stories")
+    read = {name: spark.read.parquet(f"{folder}/{name}") for name in ("items", "edges", "mentions")}
+    old = spark.read.parquet(f"{folder}/alerts") if exists(spark, f"{folder}/alerts") else spark.createDataFrame([], "story_id long, ts long")
+    parts = cycle(stories, read["items"], read["edges"], read["mentions"], old, now, seconds)
+    found = frozen(parts["alerts"].join(stories.select("story_id", "entity_set"), "story_id"))
+    save_snapshot(parts["stories"], f"{folder}/stories")
+    insert_absent(found.withColumn("at", F.timestamp_seconds("ts")), f"{folder}/alerts", "alerts", "at")
+    state = f"{folder}/state"
+    current = snapshot(spark, state) if exists(spark, f"{state}/current") else parts["state"].limit(0)
+    save_snapshot(upserted(current, parts["state"]), state)
+    return {"scored": parts["scores"].count(), "alerts": found.count()}

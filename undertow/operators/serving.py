@@ -67,6 +67,10 @@ def health(state: DataFrame) -> DataFrame:
     return state.agg(F.coalesce(sampling, F.lit(False)).alias("sampling_active"), F.coalesce(warm == "true", F.lit(True)).alias("baseline_warming"))
 
 
+def system_state(state: DataFrame) -> DataFrame:
+    return state.orderBy("key")
+
+
 class Degradable:
     """Calls that answer with what they last returned, flagged as stale, while the store fails."""
 
@@ -102,7 +106,58 @@ class Notifier:
             return 0
         due = alert_rows.where((F.col("ts") > self.cursor) & (F.col("ts") <= last)).join(stories.select("story_id", "entity_set"), "story_id", "left")
         rows = due.select("ts", title.alias("title"), body.alias("body")).orderBy("ts", "title").collect()  # about a batch
-        for row in rows:
+        for i, row in enumerate(rows):
             self.push(row["title"], row["body"])
-        self.cursor = last
+            if i + 1 == len(rows) or rows[i + 1]["ts"] > row["ts"]:
+                self.cursor = row["ts"]  # a failure later repeats only what is newer
         return len(rows)
+
+
+def http_push(url: str, user: str = "", password: str = "", open_: Callable | None = None, seconds: float = 30.0) -> Callable[[str, str], None]:
+    """push(title, body) as a POST of high priority; an answer that is no success is an error."""
+    import base64
+    import urllib.request
+
+    def push(title: str, body: str) -> None:
+        headers = {"Title": title, "Priority": "high", "Tags": "rotating_light"}
+        if user:
+            headers["Authorization"] = "Basic " + base64.b64encode(f"{user}:{password}".encode()).decode()
+        request = urllib.request.Request(url, body.encode(), headers, method="POST")
+        with (open_ or urllib.request.urlopen)(request, timeout=seconds):
+            pass
+
+    return push
+
+
+class Api:
+    """The read API over tables that are read anew for each answer. tables() gives stories, items, mentions, alerts and
+    state; each answer is (rows, stale): while a table cannot be read the last answer is given, marked as stale."""
+
+    def __init__(self, tables: Callable[[], dict[str, DataFrame]]):
+        self.tables, self.answer = tables, Degradable()
+
+    def stories(self, now: int, tab: str = "gap", window_s: int = D.active_s, most: int = 50) -> tuple[list, bool]:
+        return self.answer(("stories", tab, window_s, most), lambda: feed(self._of("stories"), self._of("items"), now, tab, window_s, most).collect())
+
+    def story(self, story_id) -> tuple[list, bool]:
+        """The story, none if there is no such, and its newest items."""
+        return self.answer(("story", story_id), lambda: [*story(self._of("stories"), self._of("items"), story_id).collect(), *story_items(self._of("items"), story_id).collect()])
+
+    def velocity(self, story_id, now: int, window_s: int = 86_400, seconds: int = 900) -> tuple[list, bool]:
+        def read() -> list:
+            named = self._of("stories").where(F.col("story_id") == story_id).select("entity_set").first()
+            return velocity_series(self._of("mentions"), list(named["entity_set"]) if named else [], now, window_s, seconds).orderBy("bin").collect()
+
+        return self.answer(("velocity", story_id, window_s, seconds), read)
+
+    def alerts(self, now: int, most: int = 50) -> tuple[list, bool]:
+        return self.answer(("alerts", most), lambda: alerts(self._of("alerts"), self._of("stories"), now, most=most).collect())
+
+    def health(self) -> tuple[list, bool]:
+        return self.answer("health", lambda: health(self._of("state")).collect())
+
+    def state(self) -> tuple[list, bool]:
+        return self.answer("state", lambda: system_state(self._of("state")).collect())
+
+    def _of(self, name: str) -> DataFrame:
+        return self.tables()[name]

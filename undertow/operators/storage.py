@@ -16,6 +16,8 @@ KEYS = {
     "alerts": ("story_id", "ts"),
     "provenance_edges": ("story_id", "src_item", "dst_item", "edge_type", "ts_observed"),
     "system_state": ("key",),
+    "assignments": ("item_id", "ts_observed"),
+    "streams": ("name",),
 }
 
 
@@ -54,16 +56,88 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def insert_absent(rows: DataFrame, path: str, name: str, ts: str) -> None:
-    """Append those rows whose key the table at path lacks; only the days at hand are read."""
+    """Append those rows whose key the table at path lacks. Of the table only the days at hand are read: days are
+    joined, however many, and prune its partitions."""
     spark = rows.sparkSession
     if exists(spark, path):
-        days = [r[0] for r in rows.select(F.to_date(ts).alias("day")).distinct().limit(400).collect()]
-        rows = absent(rows, spark.read.parquet(path).where(F.col("day").isin(days)), KEYS[name])
+        days = rows.select(F.to_date(ts).alias("day")).distinct()
+        rows = absent(rows, spark.read.parquet(path).join(days, "day", "left_semi"), KEYS[name])
     else:
         rows = rows.dropDuplicates(list(KEYS[name]))
     append(rows, path, ts)
 
 
+def save_snapshot(rows: DataFrame, folder: str) -> str:
+    """Write rows as a new version of a whole table, then the pointer that readers follow, then drop all older versions
+    but the last, which a reader may still hold. rows may be made of the version before."""
+    spark, version = rows.sparkSession, uuid.uuid4().hex
+    before = spark.read.parquet(f"{folder}/current").first()["version"] if exists(spark, f"{folder}/current") else None
+    rows.write.parquet(f"{folder}/v={version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("v=") and name[2:] not in (version, before):
+            files.delete(status.getPath(), True)
+    return version
+
+
+def snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/v={spark.read.parquet(f'{folder}/current').first()['version']}")
+
+
+def updated(current: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """current with columns taken from changes for the keys that those hold; other rows and columns stay."""
+    new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("new_row"))
+    joined = current.join(new, key, "left")
+    return joined.select(*[F.when(F.col("new_row"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns])
+
+
+def trust_updated(stories: DataFrame, states: DataFrame) -> DataFrame:
+    """stories with the origins and state that states (story_id, independent_origins, trust_state) give them."""
+    return updated(stories, states, "story_id", ("independent_origins", "trust_state"))
+
+
+def scores_updated(stories: DataFrame, scored: DataFrame) -> DataFrame:
+    """stories with the four scores of a cycle."""
+    return updated(stories, scored, "story_id", ("velocity_z", "mainstream_presence", "inauthenticity", "gap"))
+
+
+def assignments(items: DataFrame, assigned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the table assignments, those to try again): items are not changed in place but joined with these on read.
+
+    assigned (item_id, story_id). Each row is annotated with the item's simhash and wire_ref; an item that is not there
+    (yet) is handed back.
+    """
+    known = items.select(F.col("id").alias("item_id"), "ts_observed", "simhash", "wire_ref")
+    return assigned.join(known, "item_id").select("item_id", "ts_observed", "story_id", "simhash", "wire_ref"), assigned.join(known, "item_id", "left_anti")
+
+
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """Edges (story_id, src, dst, ts, edge_type) as rows of the table provenance_edges."""
+    return edges.select("story_id", F.col("src").alias("src_item"), F.col("dst").alias("dst_item"), "edge_type", F.timestamp_seconds("ts").alias("ts_observed"))
+
+
+def insert_edges(edges: DataFrame, path: str) -> None:
+    insert_absent(edge_rows(edges), path, "provenance_edges", "ts_observed")
+
+
+def declare(spark: SparkSession, folder: str, name: str, prefix: str, days: int = D.retention_days, cap: int = 65_536) -> DataFrame:
+    """The settings of all declared streams, with this one created or brought up to date: how long its records stay, how
+    long one may be, and the subjects it takes. drop_old and publishable are held to them."""
+    row = spark.createDataFrame([(name, prefix, days, cap)], "name string, prefix string, days int, cap int")
+    rows = snapshot(spark, folder).where(F.col("name") != name).unionByName(row) if exists(spark, f"{folder}/current") else row
+    save_snapshot(rows, folder)
+    return snapshot(spark, folder)
+
+
+def tally_state(flushes: DataFrame) -> DataFrame:
+    """The newest health beat of each replica in flushes, as a row of system_state."""
+    newest = flushes.groupBy("replica").agg(F.max_by(F.struct("sampling_active", "theta"), "flushed_at").alias("v"), F.max("flushed_at").alias("updated_at"))
+    return newest.select(F.concat(F.lit("enrich:"), "replica").alias("key"), F.to_json("v").alias("value"), "updated_at")
+
+
 def drop_old(spark: SparkSession, path: str, today: str, days: int = D.retention_days) -> list[str]:
     """Delete the folders of days behind the wall; the names of those deleted."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

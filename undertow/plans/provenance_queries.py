@@ -13,6 +13,17 @@ WIRED = f"""{ITEMS}, keyed AS (SELECT *, CASE WHEN source_class IN ('local_news'
 WHEN source_class <> '' AND source_class <> 'social' THEN 'src:' || source ELSE '' END AS okey FROM items)"""
 
 
+#: Items of stories of three kinds: as they are; without official ones; and all social, of one source.
+MIXED_ITEMS = ITEMS.replace("items AS (", "plain_items AS (", 1) + """, items AS (SELECT * REPLACE (CASE story_id % 3 WHEN 0 THEN source_class WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'social' ELSE 'mainstream' END ELSE 'social' END AS source_class,
+  CASE story_id % 3 WHEN 2 THEN 'one' ELSE source END AS source) FROM plain_items)"""
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, n = F.col("story_id") % 3, F.col("id")
+    classes = F.when(kind == 0, F.col("source_class")).when((kind == 1) & (n % 2 == 1), "mainstream").otherwise("social")
+    return wired(spark, sf_dir).withColumns({"source_class": classes, "source": F.when(kind == 2, "one").otherwise(F.col("source"))})
+
+
 def wired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of which every eleventh credits a wire service."""
     return items(spark, sf_dir).withColumn("wire_ref", F.when(F.col("id") % 11 == 0, "ap").otherwise(""))
@@ -72,17 +83,18 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("story_id", "distinct_sources")
 
 
-@query(f"""WITH RECURSIVE {ORIGINS}, s AS (SELECT story_id, origin, min(source) AS source FROM items JOIN origin USING (id) GROUP BY ALL),
+@query(f"""WITH RECURSIVE {ORIGINS.replace(ITEMS, MIXED_ITEMS)}, s AS (SELECT story_id, origin, min(source) AS source FROM items JOIN origin USING (id) GROUP BY ALL),
 c AS (SELECT story_id, count(*) AS o, count(DISTINCT source) AS d FROM s GROUP BY story_id),
 p AS (SELECT story_id, bool_or(source_class = 'social') AND bool_or(source_class IN ('authoritative', 'primary')) AS m FROM items GROUP BY story_id)
 SELECT story_id, o AS independent_origins, d AS distinct_sources, CASE WHEN m THEN 'primary_backed' WHEN o >= 3 AND d >= 2 THEN 'corroborated' ELSE 'rumor' END AS trust_state FROM c JOIN p USING (story_id)""")
 def trust_state_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.trust_states(wired(spark, sf_dir), edges(spark, sf_dir))
+    """Of stories of three kinds, so that every state occurs."""
+    return provenance.trust_states(mixed(spark, sf_dir), edges(spark, sf_dir))
 
 
-@query(f"WITH {ITEMS} SELECT story_id, bool_or(source_class = 'social') AND bool_or(source_class IN ('authoritative', 'primary')) AS primary_matched FROM items GROUP BY story_id")
+@query(f"WITH {MIXED_ITEMS} SELECT story_id, bool_or(source_class = 'social') AND bool_or(source_class IN ('authoritative', 'primary')) AS primary_matched FROM items GROUP BY story_id")
 def primary_in_story(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.primary_in_story(items(spark, sf_dir))
+    return provenance.primary_in_story(mixed(spark, sf_dir))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.config import D
+from undertow.functions.text import CUES
 from undertow.functions.series import corroboration_weight, gap_score
 from undertow.operators import admission, labels, provenance, scoring, serving, storage
 from undertow.plans.adapters import ALERTS, EDGES, ITEMS, LAST, MENTIONS, MINUTES, NOW, START, STORY_ROWS, alerts, edges, items, last_mention, latest, mentions, stories, table
@@ -208,17 +209,29 @@ def f1_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lr_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights after 300 epochs over the newest labelled items, trained in one bounded task."""
-    rows = labels.weak_labels(items(spark, sf_dir), stories(spark, sf_dir))
-    return labels.trained(labels.newest_labelled(rows, 500))
+    """Weights after 300 epochs over the labelled items that a cycle fetches, trained in one bounded task."""
+    return labels.trained(labels.newest_labelled(labels.weak_labels(items(spark, sf_dir), stories(spark, sf_dir))))
 
 
-@query()
+FEATURES = """t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), h AS (SELECT id, CAST(('0x' || substr(md5(w), 1, 16)) AS UBIGINT) AS h FROM t),
+c AS (SELECT id, CAST(h % 16384 AS INTEGER) AS idx, sum(CASE WHEN (h >> 20) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS v FROM h GROUP BY ALL),
+x AS (SELECT id, idx, CAST(v AS DOUBLE) / sqrt(sum(v * v) OVER (PARTITION BY id)) AS value FROM c WHERE v <> 0)"""
+#: Two steps of gradient descent from zero.
+TRAINED = f"""y AS (SELECT id, CAST(label AS DOUBLE) AS label FROM labelled WHERE label IS NOT NULL),
+e1 AS (SELECT id, 0.5 - label AS e FROM y), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM y), b1 AS (SELECT -0.5 * avg(e) AS b FROM e1),
+w1 AS (SELECT idx, -0.5 * sum(value * e) / (SELECT n FROM n) AS w FROM x JOIN e1 USING (id) GROUP BY idx),
+z1 AS (SELECT y.id, label, coalesce(sum(value * w), 0) + (SELECT b FROM b1) AS z FROM y LEFT JOIN x USING (id) LEFT JOIN w1 USING (idx) GROUP BY ALL),
+e2 AS (SELECT id, 1 / (1 + exp(-z)) - label AS e FROM z1), b2 AS (SELECT (SELECT b FROM b1) - 0.5 * avg(e) AS b FROM e2),
+g2 AS (SELECT idx, sum(value * e) / (SELECT n FROM n) AS g FROM x JOIN e2 USING (id) GROUP BY idx),
+w2 AS (SELECT idx, coalesce(w, 0) - 0.5 * (g + 0.0001 * coalesce(w, 0)) AS w FROM g2 LEFT JOIN w1 USING (idx))"""
+
+
+@query(f"{BASE}, {LABELLED}, {FEATURES}, {TRAINED} SELECT id, round(1 / (1 + exp(-(coalesce(sum(value * w), 0) + (SELECT b FROM b2)))), 6) AS score FROM x LEFT JOIN w2 USING (idx) GROUP BY id")
 def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inference over all items as a join of sparse features with weights."""
+    """A model trained over all labelled items, for two epochs, and its scores of all items, as joins of sparse features."""
     rows = items(spark, sf_dir)
     found = labels.features(rows)
-    weights = found.groupBy("idx").agg(F.avg("value").alias("weight"))
+    weights = labels.trained_sparse(found, labels.weak_labels(rows, stories(spark, sf_dir)).select("id", "label"), epochs=2)
     return labels.scored(found, weights).select("id", F.round("score", 6).alias("score"))
 
 
@@ -231,11 +244,27 @@ def governor_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.governed(rows)
 
 
-@query("""WITH s AS (SELECT key, value FROM (VALUES ('enrich:a', '{"sampling_active": false}'), ('enrich:b', '{"sampling_active": true}'), ('score', '{"baseline_warming": false}')) t(key, value))
-SELECT bool_or(key LIKE 'enrich:%' AND value LIKE '%true%') AS sampling_active, bool_or(key = 'score' AND value LIKE '%true%') AS baseline_warming FROM s""")
+#: A health beat for each event type, which samples if its events are odd in number, and that of the score cycle.
+STATE = f"""{MENTIONS}, state AS (SELECT 'enrich:' || entity AS key, '{{"sampling_active":' || CASE WHEN count(*) % 2 = 1 THEN 'true' ELSE 'false' END || '}}' AS value FROM mentions GROUP BY entity
+UNION ALL SELECT 'score', '{{"baseline_warming":' || CASE WHEN max(ts) - min(ts) < {D.warm_s} THEN 'true' ELSE 'false' END || '}}' FROM mentions)"""
+
+
+def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mentions(spark, sf_dir)
+    json_of = lambda name, flag: F.to_json(F.struct(flag.alias(name)))
+    replicas = rows.groupBy(F.concat(F.lit("enrich:"), "entity").alias("key")).agg((F.count("*") % 2 == 1).alias("on")).select("key", json_of("sampling_active", F.col("on")).alias("value"))
+    score = rows.agg((F.max("ts") - F.min("ts") < D.warm_s).alias("on")).select(F.lit("score").alias("key"), json_of("baseline_warming", F.col("on")).alias("value"))
+    return replicas.union(score)
+
+
+@query(f"WITH {STATE} SELECT bool_or(key LIKE 'enrich:%' AND value LIKE '%true%') AS sampling_active, bool_or(key = 'score' AND value LIKE '%true%') AS baseline_warming FROM state")
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("enrich:a", '{"sampling_active": false}'), ("enrich:b", '{"sampling_active": true}'), ("score", '{"baseline_warming": false}')]
-    return serving.health(spark.createDataFrame(rows, "key string, value string"))
+    return serving.health(beats(spark, sf_dir))
+
+
+@query(f"WITH {STATE} SELECT key, value FROM state ORDER BY key")
+def system_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.system_state(beats(spark, sf_dir))
 
 
 @query(f"WITH {ITEMS} SELECT id, ts FROM items WHERE id % 3 <> 0")
@@ -244,14 +273,24 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.absent(rows.union(rows), rows.where("id % 3 = 0"), storage.KEYS["items"]).select("id", F.col("ts_observed").alias("ts"))
 
 
-@query(f"{BASE} SELECT story_id, independent_origins >= 2 AS candidate FROM stories")
+@query(f"WITH {ITEMS}, r AS (SELECT id, story_id, row_number() OVER (PARTITION BY story_id ORDER BY ts, id) - 1 AS seq FROM items) SELECT story_id, id FROM r WHERE seq > 0 AND story_id % 6 >= {D.candidate_origins}")
 def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories(spark, sf_dir).select("story_id", (F.col("independent_origins") >= D.candidate_origins).alias("candidate"))
+    """With the origins that each story was given here, in the place of a replay's."""
+    from pyspark.sql import Window as W
+
+    seq = F.row_number().over(W.partitionBy("story_id").orderBy("ts", "id")) - 1
+    return provenance.candidates(items(spark, sf_dir).select("story_id", "id", seq.alias("seq"), (F.col("story_id") % 6).alias("independent_origins"))).select("story_id", "id")
 
 
-@query(f"WITH {ITEMS} SELECT id FROM items WHERE ts >= {NOW} - 3600 * 5")
+@query(f"WITH {ITEMS} SELECT 'g' || id AS content_hash FROM items WHERE id % 9 = 0 OR ts >= {NOW} - 3600 * 5 AND id % 9 <> 0")
 def max_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).where(F.col("ts").isNull() | (F.col("ts") >= latest(spark, sf_dir) - 3600 * 5)).select("id")
+    """Press releases of the last five hours, through their normalizer, and those without a date."""
+    from undertow.sources import feeds
+
+    dated = F.when(F.col("id") % 9 != 0, F.date_format(F.timestamp_seconds("ts"), "dd MMM yyyy HH:mm:ss '+0000'"))
+    raw = items(spark, sf_dir).select(F.to_json(F.struct(F.lit("t").alias("title"), F.concat(F.lit("g"), F.col("id").cast("string")).alias("guid"), dated.alias("pubdate"))).alias("raw"))
+    now = F.timestamp_seconds(F.lit(latest(spark, sf_dir) - 3600 * 5 + 7 * 86_400))
+    return feeds.rss(raw, "cdc", max_age_days=7, now=now).select("content_hash")
 
 
 @query(f"""{BASE}, claims AS (SELECT story_id, id, ts, list_transform(entities, lambda e: lower(e)) AS es, lat, lon FROM items WHERE source_class = 'social'),
@@ -269,3 +308,85 @@ def primary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stories(spark, sf_dir)
     return provenance.promoted(rows, rows.where("story_id % 5 = 0").select("story_id")).select("story_id", "trust_state")
+
+
+CLAIMS = f"""claims AS (SELECT CASE WHEN id % 13 = 0 THEN (story_id + 1) % 97 ELSE story_id END AS story_id, id AS item_id, CASE WHEN id % 3 = 0 THEN '  ' ELSE 'claim' END AS claim FROM items),
+eligible AS (SELECT i.* FROM claims c JOIN items i ON i.id = c.item_id WHERE trim(claim) <> '' AND c.story_id = i.story_id AND source_class = 'social' AND len(entities) > 0)"""
+
+
+@query(f"""{BASE}, {CLAIMS}, said AS (SELECT story_id, id, ts, list_transform(entities, lambda e: lower(e)) AS es, lat, lon FROM eligible),
+official AS (SELECT id, ts, list_transform(entities, lambda e: lower(e)) AS es, lat, lon FROM items WHERE source_class IN ('authoritative', 'primary')),
+met AS (SELECT c.story_id, c.id AS claim, o.id, o.ts, c.lat AS la, c.lon AS lo, o.lat, o.lon FROM said c JOIN official o ON list_has_any(c.es, o.es) AND abs(o.ts - c.ts) <= {D.match_s}),
+near AS (SELECT *, row_number() OVER (PARTITION BY story_id, claim ORDER BY ts DESC, id) AS place FROM met),
+fits AS (SELECT *, 2 * 6371.0 * asin(sqrt(least(1.0, sin(radians(lat - la) / 2) ** 2 + cos(radians(la)) * cos(radians(lat)) * sin(radians(lon - lo) / 2) ** 2))) AS km FROM near WHERE place <= {D.match_candidates})
+SELECT story_id, claim AS id, arg_min(id, place) AS primary_id FROM fits WHERE km <= {D.match_km} GROUP BY ALL""")
+def claim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of all items, some blank, some of items that moved to another story since."""
+    rows, n = items(spark, sf_dir), F.col("id")
+    claims = rows.select(F.when(n % 13 == 0, (F.col("story_id") + 1) % 97).otherwise(F.col("story_id")).alias("story_id"), n.alias("item_id"), F.when(n % 3 == 0, "  ").otherwise("claim").alias("claim"))
+    return provenance.claim_matches(claims, rows)
+
+
+@query(f"WITH {ITEMS} SELECT id AS item_id, ts, story_id, 'w' || (id % 5) AS wire_ref, id % 3 <> 0 AS there FROM items")
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the table assignments, and those handed back as their item is not there."""
+    rows = items(spark, sf_dir).select("id", F.timestamp_seconds("ts").alias("ts_observed"), F.lit(0).alias("simhash"), F.concat(F.lit("w"), (F.col("id") % 5).cast("string")).alias("wire_ref"), "story_id", "ts")
+    wanted = rows.select(F.col("id").alias("item_id"), "story_id", F.col("ts"), F.col("wire_ref").alias("w"))
+    done, again = storage.assignments(rows.where("id % 3 <> 0"), wanted.select("item_id", "story_id"))
+    out = done.select("item_id", F.unix_timestamp("ts_observed").alias("ts"), "story_id", "wire_ref", F.lit(True).alias("there"))
+    return out.union(again.join(wanted.select("item_id", "ts", "w"), "item_id").select("item_id", "ts", "story_id", "w", F.lit(False)))
+
+
+@query(f"{BASE}, {EDGES} SELECT story_id, src AS src_item, dst AS dst_item, edge_type FROM edges")
+def edges_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written twice, and read once each."""
+    from undertow.plans.streams import folder
+
+    path, rows = f"{folder(spark)}/edges", edges(spark, sf_dir)
+    storage.insert_edges(rows.where("edge_type <> 'url'"), path)
+    storage.insert_edges(rows, path)
+    return spark.read.parquet(path).select("story_id", "src_item", "dst_item", "edge_type")
+
+
+@query(f"{BASE} SELECT story_id, CASE WHEN story_id % 2 = 0 THEN 9 ELSE independent_origins END AS independent_origins, CASE WHEN story_id % 2 = 0 THEN 'corroborated' ELSE trust_state END AS trust_state, round(CASE WHEN story_id % 5 = 0 THEN 0.25 ELSE gap END, 6) AS gap FROM stories")
+def stories_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot of stories after new trust of the even ones and new scores of every fifth, written and read again."""
+    from undertow.plans.streams import folder
+
+    path, rows = f"{folder(spark)}/stories", stories(spark, sf_dir)
+    storage.save_snapshot(rows, path)
+    trust = rows.where("story_id % 2 = 0").select("story_id", F.lit(9).cast("long").alias("independent_origins"), F.lit("corroborated").alias("trust_state"))
+    storage.save_snapshot(storage.trust_updated(storage.snapshot(spark, path), trust), path)
+    scores = rows.where("story_id % 5 = 0").select("story_id", "velocity_z", F.lit(0.5).alias("mainstream_presence"), "inauthenticity", F.lit(0.25).alias("gap"))
+    current = storage.snapshot(spark, path).withColumn("mainstream_presence", F.lit(0.0))
+    storage.save_snapshot(storage.scores_updated(current, scores), path)
+    return storage.snapshot(spark, path).select("story_id", "independent_origins", "trust_state", F.round("gap", 6).alias("gap"))
+
+
+def _raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as they come: no text is known to be a copy, and none has entities or a place."""
+    from undertow.schemas import ENTITY, GEO
+
+    rows = items(spark, sf_dir)
+    return rows.select("id", "ts", "text", F.lit("").alias("content_hash"), "source_class", F.array().cast(f"array<{ENTITY}>").alias("entities"), F.lit(None).cast(GEO).alias("geo"))
+
+
+#: While items come a minute apart, the governor sheds none; its threshold stays at zero.
+@query(f"""WITH {ITEMS}, f AS (SELECT min_by(id, ts) AS id, text FROM items GROUP BY text) SELECT id, CAST(round(least(1.0, 0.3 + CASE WHEN length(coalesce(text, '')) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(coalesce(text, '')), '{"|".join(CUES)}') THEN 0.3 ELSE 0 END), 6) AS DOUBLE) AS relevance,
+len(list_distinct(regexp_extract_all(' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), '  ') || ' ', ' (?:of|the|und|de) '))) AS n_entities, 384 AS n_dim FROM f""")
+def enrich_calm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of enrichment over all items, at the pace at which they come."""
+    from undertow.operators import enrich, entities
+
+    phrases = {p: ("other", p, None, None) for p in ("of", "the", "und", "de")}
+    out = enrich.enriched(_raw_items(spark, sf_dir), match=entities.matcher(phrases))
+    return out.select("id", F.round("relevance", 6).alias("relevance"), F.size("entities").cast("long").alias("n_entities"), F.size("embedding").alias("n_dim"))
+
+
+@query()
+def enrich_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same twenty times as fast, so that the governor sheds: what it lets pass depends on all that came before."""
+    from undertow.operators import enrich
+
+    out = enrich.enriched(_raw_items(spark, sf_dir).withColumn("ts", F.col("ts") / 1200))
+    return out.select("id", F.round("relevance", 6).alias("relevance"), "exploration")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,12 @@ def gazetteer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("m") == "of the").alias("of_the"))
 
 
-@query()
+NAMED = "CASE trim(replace(m, '  ', ' ')) WHEN 'of the' THEN 'Of The' WHEN 'of' THEN 'Of' WHEN 'the' THEN 'The' WHEN 'in' THEN 'In' WHEN 'de la' THEN 'De La' WHEN 'und' THEN 'Und' WHEN 'de' THEN 'De' WHEN 'tokyo' THEN 'Tokyo' WHEN 'san francisco' THEN 'San Francisco' WHEN 'new york' THEN 'New York' WHEN 'kyiv' THEN 'Kyiv' WHEN 'gaza' THEN 'Gaza' WHEN 'united nations' THEN 'United Nations' WHEN 'world health organization' THEN 'World Health Organization' END"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '  ') AS flat FROM documents),
+f AS (SELECT doc_id, {NAMED} AS text FROM (SELECT doc_id, unnest(regexp_extract_all(' ' || flat || ' ', ' (?:world  health  organization|de  la|new  york|of  the|san  francisco|united  nations|de|gaza|in|kyiv|of|the|tokyo|und) ')) AS m FROM t))
+SELECT doc_id, text, CASE WHEN text IN ('Tokyo', 'San Francisco', 'New York', 'Kyiv', 'Gaza') THEN 'place' WHEN text IN ('United Nations', 'World Health Organization') THEN 'org' ELSE 'other' END AS type, count(*) AS n FROM f GROUP BY ALL""")
 def gazetteer_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through a table of entries with names and places, as a large gazetteer is matched."""
     table_of = entities.SEED | {p: ("other", p.title(), None, None) for p in PHRASES}
@@ -61,11 +68,18 @@ def simhash_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(spark, sf_dir).select("doc_id", T.unsigned(F.col("simhash")).cast("string").alias("simhash"))
 
 
-@query(f"WITH {SIMHASH} SELECT a.doc_id AS dst, b.doc_id AS src FROM sim a JOIN sim b ON a.doc_id < b.doc_id AND a.doc_id // 500 = b.doc_id // 500 AND bit_count(xor(a.u, b.u)) <= 6 WHERE a.u <> 0 AND b.u <> 0")
+FIRSTS = f"{SIMHASH}, firsts AS (SELECT u, min(doc_id) AS first FROM sim WHERE u <> 0 GROUP BY u)"
+
+
+@query(f"WITH {FIRSTS} SELECT a.first AS dst, b.first AS src FROM firsts a JOIN firsts b ON a.first < b.first AND bit_count(xor(a.u, b.u)) <= 6")
 def copy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies within stories of 500 neighbouring documents."""
-    rows = hashed(spark, sf_dir).select(F.floor(F.col("doc_id") / 500).alias("story_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ts"), "simhash")
-    return provenance.copy_edges(rows).select("src", "dst")
+    """Links of near copies among all documents, between the first of each simhash; copy_members has the others."""
+    return provenance.copy_classes(hashed(spark, sf_dir).select(F.col("doc_id").alias("id"), "simhash"))[1].select("src", "dst")
+
+
+@query(f"WITH {FIRSTS} SELECT doc_id AS id, first FROM sim JOIN firsts USING (u)")
+def copy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.copy_classes(hashed(spark, sf_dir).select(F.col("doc_id").alias("id"), "simhash"))[0]
 
 
 @query()
@@ -136,10 +150,10 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", hash_embedding(64)("text").alias("embedding"))
+    return table(spark, sf_dir, "documents").select("doc_id", hash_embedding()("text").alias("embedding"))
 
 
-@query()
+@query(f"WITH {ITEMS} SELECT id FROM items WHERE CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8)) AS UBIGINT) % 10000 < 200")
 def exploration_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reproducible two per cent of items that are kept when shed: a sampling operator."""
     from undertow.operators.admission import explores
@@ -177,9 +191,10 @@ def ner_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pandas as pd
 
         def one(text):
-            words = (text or "").split()
+            spans = [m.span() for m in re.finditer(r"\S+", text or "")]
+            words = [text[a:b] for a, b in spans]
             marks = ["B-ORG" if w[:1].isupper() else "I-ORG" if i and words[i - 1][:1].isupper() and w.isalpha() else "O" for i, w in enumerate(words)]
-            return [{"text": a, "type": b} for a, b in entities.bio_entities(words, marks)]
+            return [{"text": a, "type": b} for a, b in entities.bio_entities(text or "", spans, marks)]
 
         return pd.Series([one(t) for t in texts])
 
