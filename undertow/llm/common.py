@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,29 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from undertow.operators.graph import components, frozen, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["arrow_schema", "as_bytes", "components", "frozen", "held", "keyed", "map_batches", "same_document", "shared_folder", "table", "text_key", "whole"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a folder of our own is set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "undertow-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
 
-
-def frozen(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
@@ -70,8 +52,32 @@ def text_key() -> list:
     return [F.col("doc_id"), F.xxhash64("text").alias("ut_text_key")]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, ut_text_key and ut_row: every column of docs inside one struct, where no name of ours can clash."""
+    return docs.select(*text_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("ut_row"))
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """The columns that keyed has put aside."""
+    return rows.select("ut_row.*")
+
+
 def same_document(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """a joined with b on doc_id (null safe) and text_key; b's key columns are dropped."""
+    """a joined with b on doc_id (null safe) and text_key; b's key columns are dropped. Neither has other columns of users."""
     b = b.withColumnsRenamed({"doc_id": "ut_doc_id", "ut_text_key": "ut_key"})
     on = F.col("doc_id").eqNullSafe(F.col("ut_doc_id")) & (F.col("ut_text_key") == F.col("ut_key"))
     return a.join(b, on, how).drop("ut_doc_id", "ut_key")
+
+
+_held: dict = {}
+
+
+def held(name, make: Callable):
+    """What make returns, kept by a Python worker from batch to batch; what it kept under another name is let go.
+
+    Workers serve one stage after the other. So one holds one operator's tables at a time, and not those of all.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
