@@ -1,4 +1,4 @@
-"""SimHash fingerprints and their links by deletion-variant signatures; near copies by MinHash bands and exact check."""
+"""SimHash fingerprints and their links by deletion-variant signatures."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import arrow_schema, as_bytes, frozen, map_batches, same_document, text_key
-from undertow.llm.components import components
+from undertow.llm.common import arrow_schema, as_bytes, components, frozen, map_batches
 
 SEED = 42
 
@@ -45,27 +44,14 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return voted(hashes) if len(hashes) else 0
 
 
-def wide_fingerprint(text: bytes | None, shingle: int) -> tuple[int, int]:
-    """128 bits: the fingerprint, and one of the same shingles' hashes mixed once more."""
-    hashes = shingle_hashes(text, shingle)
-    if not len(hashes):
-        return 0, 0
-    mixed = (hashes ^ hashes >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    mixed = (mixed ^ mixed >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
-    return voted(hashes), voted(mixed ^ mixed >> np.uint64(33))
-
-
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
-    """doc_id, ut_text_key, fp (the fingerprint as a signed long) and, if words is 2, fp2 of every row."""
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def work(batch):
-        texts = as_bytes(batch.column(2))
-        found = [(fingerprint(t, shingle),) for t in texts] if words == 1 else [wide_fingerprint(t, shingle) for t in texts]
-        columns = np.array(found, np.uint64).view(np.int64).reshape(len(texts), words)
-        yield {"doc_id": batch.column(0), "ut_text_key": batch.column(1)} | {name: columns[:, i] for i, name in enumerate(("fp", "fp2")[:words])}
+        yield {"doc_id": batch.column(0), "fp": np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs, [*text_key(), F.col("text")], f"doc_id {kind}, ut_text_key long, fp long" + ", fp2 long" * (words == 2), work)
+    return map_batches(docs, [F.col("doc_id"), F.col("text")], f"doc_id {kind}, fp long", work)
 
 
 def forest(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +78,7 @@ def forest(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bounds(limit: int) -> list[int]:
     """Where segments of the 64 bits start and end: of two fingerprints within limit, one differs by at most one bit."""
-    segments = max(2, (limit + 1) // 2)
+    segments = max(2, (limit + 2) // 2)
     return [64 * i // segments for i in range(segments + 1)]
 
 
@@ -153,7 +139,8 @@ def links(distinct: DataFrame, limit: int, most: int = 4096, rounds: int = 3) ->
     than most fingerprints is first dealt out again by parts of its free bits, up to rounds times, after
     which at most 2**14 different ones can be left together at limit 3: no group is dropped or cut.
     """
-    level = frozen(variants(distinct, limit))
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = frozen(variants(distinct.repartition(n, "fp"), limit))  # even, as each row becomes 64
     found = []
     for depth in range(rounds + 1):
         hot = frozen(level.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > most).select("sig"))
@@ -211,7 +198,7 @@ def groups_linked(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int = 3, limit: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, ut_text_key, fp) of every row, and (fp, root, first): first is the least doc_id of fp's class."""
+    """(doc_id, fp) of every row, and (fp, root, first): first is the least doc_id of fp's class."""
     marked = frozen(fingerprints(docs, shingle))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), limit)).withColumnRenamed("node", "fp")
@@ -225,287 +212,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3) -> DataFr
 
     Texts whose fingerprints differ by at most limit bits are linked; component_id is the least doc_id that
     links reach. A null or blank text has fingerprint 0, linked like any other. Rows that repeat are linked
-    like other copies; rows without doc_id get a class, but name none unless alone in it (then null).
+    like other copies; rows without doc_id get a class, but name none unless alone in it (then null). A bit that
+    exactly half of the shingles have is 0. Texts are read whole, however long; an empty table gives no rows.
     """
     marked, known = classes(docs, shingle, limit)
     return marked.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
-
-
-def wide_variants(distinct: DataFrame) -> DataFrame:
-    """sig, fp, fp2: for each 128-bit fingerprint and segment of 16 bits one signature per bit left open."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            halves = [batch.column(i).to_numpy().view(np.uint64) for i in range(2)]
-            for segment in range(8):
-                own = halves[segment // 4] >> np.uint64(segment % 4 * 16) & np.uint64(0xFFFF)
-                for bit in range(16):
-                    sig = (own & ~np.uint64(1 << bit) | np.uint64(segment << 20 | bit << 16)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), batch.column(0), batch.column(1)], schema=arrow)
-
-    schema, arrow = arrow_schema("sig int, fp long, fp2 long")
-    return distinct.mapInArrow(run, schema)
-
-
-def node(fp: np.ndarray, fp2: np.ndarray) -> np.ndarray:
-    """One number for both halves."""
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    out = (fp ^ fp2 * mix) * mix
-    return out ^ out >> np.uint64(32)
-
-
-def wide_forest(fp: np.ndarray, fp2: np.ndarray, limit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """As forest, over both halves: places (from, to) of links that connect all within limit bits."""
-    left, out_a, out_b = np.arange(len(fp)), [], []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]).astype(np.int16) + np.bitwise_count(fp2[left] ^ fp2[at]) <= limit
-            if near.any():
-                reached, left = left[near], left[~near]
-                out_a.append(np.full(len(reached), at))
-                out_b.append(reached)
-                queue.extend(reached)
-    return out_a, out_b
-
-
-def wide_links(distinct: DataFrame, limit: int, small: int = 24) -> DataFrame:
-    """a, b (nodes): links among 128-bit fingerprints (fp, fp2) whose segments match but for a bit.
-
-    Of two fingerprints within 15 bits one of the eight segments differs by at most one bit, so those are
-    found for certain; of those 16 to limit bits apart, each segment matches by chance, most pairs in one of
-    the eight. Segments of 16 bits suit up to some 1e8 different fingerprints: what meets by chance grows with
-    their number by 2 ** 15. Rows of one signature stand together in a task: groups of up to small are compared all at
-    once, pair by pair along the rows; each larger one gives a spanning forest, so its links are linear in it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(0).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))]
-            if held is not None:
-                rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
-            last = np.searchsorted(rows[0], rows[0][-1], "left")  # the last group may go on
-            held = [x[last:] for x in rows]
-            yield from linked(*(x[:last] for x in rows))
-        if held is not None:
-            yield from linked(*held)
-
-    def linked(sig: np.ndarray, fp: np.ndarray, fp2: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(sig) < 2:
-            return
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]])
-        sizes = np.diff(cuts)
-        group_size = np.repeat(sizes, sizes)
-        few = group_size <= small
-        for lag in range(1, min(small, len(sig))):
-            at = np.flatnonzero((sig[lag:] == sig[:-lag]) & few[lag:])
-            if not len(at):
-                break
-            near = np.bitwise_count(fp[at] ^ fp[at + lag]).astype(np.int16) + np.bitwise_count(fp2[at] ^ fp2[at + lag]) <= limit
-            at = at[near]
-            yield from sent(node(fp[at], fp2[at]), node(fp[at + lag], fp2[at + lag]))
-        for i in np.flatnonzero(sizes > small):
-            a, b = fp[cuts[i] : cuts[i + 1]], fp2[cuts[i] : cuts[i + 1]]
-            x, y = wide_forest(a, b, limit)
-            if x:
-                x, y = np.concatenate(x), np.concatenate(y)
-                yield from sent(node(a[x], b[x]), node(a[y], b[y]))
-
-    def sent(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=arrow)
-
-    schema, arrow = arrow_schema("a long, b long")
-    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.rdd.getNumPartitions())
-    return wide_variants(distinct).repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(run, schema)
-
-
-#: MinHash bands: a pair of similarity 0.8 shares none of them once in 14,000, one of 0.85 once in 700,000.
-BANDS, ROWS = 24, 5
-MIX = np.uint64(0x9E3779B97F4A7C15)
-SALTS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
-
-
-def set_name(hashes: np.ndarray) -> int:
-    """One number for a set of shingles, sorted."""
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-
-
-def band_signatures(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band: the least of each of its rows' mixed hashes. Sets without a shingle share all bands."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, ((hashes[at : at + (1 << 12), None] ^ SALTS) * FACTORS).min(0))
-    out = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * MIX
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def banded(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, ut_text_key, node (names the set of shingles) and bands of every row."""
-
-    def work(batch):
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in as_bytes(batch.column(2))]
-        nodes = np.array([set_name(x) for x in sets], np.uint64).view(np.int64)
-        yield {"doc_id": batch.column(0), "ut_text_key": batch.column(1), "node": nodes, "bands": [band_signatures(x).view(np.int64) for x in sets]}
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs, [*text_key(), F.col("text")], f"doc_id {kind}, ut_text_key long, node long, bands array<long>", work)
-
-
-def met(rows: DataFrame, small: int) -> DataFrame:
-    """a, b, sig: of rows (sig, node) each pair of a group of up to small, with sig null; of larger groups the rows, with b null.
-
-    What stands alone under its signature is left out.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(i).to_numpy() for i in range(2)]
-            if held is not None:
-                rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
-            last = np.searchsorted(rows[0], rows[0][-1], "left")  # the last group may go on
-            held = [x[last:] for x in rows]
-            yield from grouped(*(x[:last] for x in rows))
-        if held is not None:
-            yield from grouped(*held)
-
-    def grouped(sig: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(sig) < 2:
-            return
-        sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1, [len(sig)]]))
-        few = np.repeat(sizes, sizes) <= small
-        for lag in range(1, min(small, len(sig))):
-            at = np.flatnonzero((sig[lag:] == sig[:-lag]) & few[lag:])
-            if not len(at):
-                break
-            a, b = nodes[at], nodes[at + lag]
-            yield sent(np.minimum(a, b), np.maximum(a, b), None)
-        if not few.all():
-            yield sent(nodes[~few], None, sig[~few])
-
-    def sent(a: np.ndarray, b: np.ndarray | None, sig: np.ndarray | None) -> pa.RecordBatch:
-        columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x) for x in (a, b, sig)]
-        return pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    schema, arrow = arrow_schema("a long, b long, sig long")
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    return rows.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(run, schema)
-
-
-def alike(one: np.ndarray, flat: np.ndarray, ends: np.ndarray, share: float) -> np.ndarray:
-    """Which of the sets (flat, one after the other, up to ends) have at least that Jaccard similarity to one; all are sorted."""
-    starts = np.concatenate([[0], ends[:-1]])
-    sizes = ends - starts
-    if not len(one):
-        return sizes == 0
-    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-    common = np.diff(np.concatenate([[0], np.cumsum(one[at] == flat)])[np.concatenate([[0], ends])])
-    return common >= share * (len(one) + sizes - common) - 1e-9
-
-
-def verified_pairs(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, own) are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(i).to_pylist()] for i in (2, 3))
-            keep = [bool(alike(p, q, np.array([len(q)]), share)[0]) for p, q in zip(x, y, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, arrow_schema("a long, b long")[0])
-
-
-def verified_groups(rows: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """a, b: of each group of rows (sig, node) links of a spanning forest of the pairs that are similar enough.
-
-    A breadth-first search as in forest: each set is compared with those not yet reached only. One group in memory.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, nodes, sets = None, [], []
-        for batch in batches:
-            for s, node, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != sig and sets:
-                    yield linked(nodes, sets)
-                    nodes, sets = [], []
-                sig = s
-                nodes.append(node)
-                sets.append(np.frombuffer(own, np.uint64))
-        if sets:
-            yield linked(nodes, sets)
-
-    def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = [], []
-        left = np.argsort([len(x) for x in sets], kind="stable")
-        sizes = np.array([len(x) for x in sets])
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                one = queue.pop()
-                # sizes further apart than the share cannot be similar enough
-                fits = (sizes[left] >= share * sizes[one]) & (share * sizes[left] <= sizes[one])
-                near = np.zeros(len(left), bool)
-                some = np.flatnonzero(fits)
-                for at in range(0, len(some), 256):
-                    part = some[at : at + 256]
-                    held = [sets[i] for i in left[part]]
-                    near[part] = alike(sets[one], np.concatenate(held), np.cumsum([len(x) for x in held]), share)
-                reached, left = left[near], left[~near]
-                a += [nodes[one]] * len(reached)
-                b += [nodes[i] for i in reached]
-                queue.extend(reached)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], schema=arrow)
-
-    schema, arrow = arrow_schema("a long, b long")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.join(sets, "node").select("sig", "node", "own").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(run, schema)
-
-
-def similar(docs: DataFrame, marked: DataFrame, shingle: int, share: float, small: int = 12) -> DataFrame:
-    """a, b (nodes of marked): links that connect all sets of shingles that meet in a band and are similar enough.
-
-    Each link is checked on whole sets, which are read again from docs for the nodes that meet another only.
-    """
-
-    def work(batch):
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in as_bytes(batch.column(0))]
-        yield {"node": np.array([set_name(x) for x in sets], np.uint64).view(np.int64), "own": [x.tobytes() for x in sets]}
-
-    distinct = marked.groupBy("node").agg(F.first("bands").alias("bands"))
-    found = frozen(met(distinct.select(F.explode("bands").alias("sig"), "node"), small))
-    pairs = found.where("b is not null").select("a", "b").distinct()
-    crowded = found.where("b is null").select("sig", F.col("a").alias("node"))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "ut_text_key")
-    chosen = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(place).alias("k")).select("k.doc_id", "k.ut_text_key")
-    texts = same_document(docs.select(*text_key(), "text"), chosen, "inner").dropDuplicates(["doc_id", "ut_text_key"])
-    sets = frozen(map_batches(texts, [F.col("text")], "node long, own binary", work))
-    return verified_pairs(pairs, sets, share).union(verified_groups(crowded, sets, share))
-
-
-def representatives(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """docs, with all its columns, one row of each class of near copies: the first by doc_id, then by a hash of its text.
-
-    Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of at least share; a
-    class is what such pairs connect. Candidates are sets that share a MinHash band, and each link is checked
-    on the whole sets, so no link is below share; of pairs at 0.8, one in 14,000 shares no band and is missed.
-    Rows without a word are one class; a row without doc_id stays only if no other of its class has one.
-    """
-    marked = frozen(banded(docs, shingle))
-    roots = components(similar(docs, marked, shingle, share))
-    rows = marked.select("doc_id", "ut_text_key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "ut_text_key")).alias("k")).select("k.doc_id", "k.ut_text_key")
-    out = same_document(docs.withColumn("ut_text_key", F.xxhash64("text")), kept, "inner").dropDuplicates(["doc_id", "ut_text_key"])
-    return out.select(*docs.columns)
