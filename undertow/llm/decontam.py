@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import arrow_schema, as_bytes
+from undertow.llm.common import arrow_schema, as_bytes, held, keyed, map_batches, same_document, text_key, whole
 
 WINDOW = 13
 MISSES = 2
@@ -64,8 +64,9 @@ def seed_keys(hashes: np.ndarray, mask: str) -> np.ndarray:
 class Index:
     """Seeds of a block of test items, sorted by key, and a bitmap that turns most other keys away."""
 
-    def __init__(self, items: list[tuple], bitmap_bits: int = 22):
+    def __init__(self, items: list[tuple], bitmap_bits: int = 22, most_hits: int = 1 << 19):
         words = Words()
+        self.most_hits = most_hits
         hashed = [(item, words.of((text or "").encode())) for item, text in items]
         hashed = [(item, h) for item, h in hashed if len(h)]
         self.items = [item for item, _ in hashed]
@@ -88,9 +89,20 @@ class Index:
             bitmap[keys >> self.shift] = True
             self.tables.append((mask, keys[order], place[order], bitmap))
 
+    def cut(self, at: np.ndarray, low: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places, their first hit and number of hits, in parts of at most about most_hits, a place alone if it has more."""
+        ends = np.cumsum(n)
+        start = 0
+        while start < len(n):
+            base = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + self.most_hits, "right")))
+            yield at[start:stop], low[start:stop], n[start:stop]
+            start = stop
+
     def overlaps(self, hashes: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """For each item found: first word, behind the last word, and equal words of its longest verified overlap."""
-        diagonals: set[tuple[int, int]] = set()
+        diagonals: list[np.ndarray] = []
+        offset, span = len(self.hashes), len(self.hashes) + len(hashes) + 1
         for mask, keys, place, bitmap in self.tables:
             own = seed_keys(hashes, mask)
             at = np.flatnonzero(bitmap[own >> self.shift])
@@ -99,13 +111,20 @@ class Index:
             low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
             hit = high > low
             at, low, n = at[hit], low[hit], (high - low)[hit]
-            if not len(at):
-                continue
-            test = place[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            item = np.searchsorted(self.ends, test, "right")
-            diagonals.update(zip(item.tolist(), (np.repeat(at, n) - test).tolist(), strict=True))
+            # a seed that stands often on both sides hits in every pair of places, but lies on few diagonals: these are
+            # kept, and the hits are made a part at a time
+            for x, y, z in self.cut(at, low, n):
+                test = place[np.repeat(y, z) + np.arange(z.sum()) - np.repeat(np.cumsum(z) - z, z)]
+                item = np.searchsorted(self.ends, test, "right")
+                diagonals.append(np.unique(item * span + np.repeat(x, z) - test + offset))
+                if len(diagonals) > 16:
+                    diagonals = [np.unique(np.concatenate(diagonals))]
+            if len(diagonals) > 1:
+                diagonals = [np.unique(np.concatenate(diagonals))]
         found: dict[int, tuple[int, int, int]] = {}
-        for item, shift in diagonals:
+        for code in np.concatenate(diagonals).tolist() if diagonals else ():
+            item, shift = divmod(code, span)
+            shift -= offset
             a, b = int(max(self.starts[item], -shift)), int(min(self.ends[item], len(hashes) - shift))
             equal = hashes[a + shift : b + shift] == self.hashes[a:b]
             width = min(WINDOW, int(self.ends[item] - self.starts[item]))
@@ -124,28 +143,35 @@ class Index:
         return found
 
 
-def indexes(benchmark: DataFrame, block_words: int = 500_000) -> Iterator:
-    """Broadcast indexes over benchmark (item_id, text), each of about block_words words or one longer item.
+def blocks_of(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
+    """Items (item_id, text) of at most block_words words each, and the number of blocks that hold them.
 
-    However large the benchmark, no more than a block is on the driver or broadcast at once: a larger one
-    takes more blocks, each of which is held against all documents.
+    A longer item is cut into pieces that share 12 words, so that each window of it lies in one.
     """
-    spark = benchmark.sparkSession
     rows = benchmark.select("item_id", "text").where("text is not null")
-    words = rows.agg(F.sum(F.length("text") / 4)).first()[0] or 0  # a bound, as a rule: three letters and a space
-    blocks = max(1, -(-int(words) // block_words))
-    for i in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(blocks)) == i) if blocks > 1 else rows
-        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]))
+    words = F.split(F.trim("text"), r"\s+")
+    total, longest = rows.agg(F.sum(F.size(words)), F.max(F.size(words))).first()
+    if (longest or 0) > block_words:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW, F.lit(0)), F.lit(block_words - WINDOW + 1))
+        pieces = rows.select("item_id", words.alias("w")).select("item_id", "w", F.explode(starts).alias("a"))
+        rows = pieces.select("item_id", F.array_join(F.slice("w", F.col("a") + 1, block_words), " ").alias("text"))
+    return rows, max(1, -(-int(total or 0) // block_words))
 
 
-_words: list[Words] = []
+def indexes(benchmark: DataFrame, block_words: int = 500_000) -> Iterator:
+    """Broadcast indexes over benchmark (item_id, text), each of about block_words words.
+
+    However large the benchmark, no more than a block is on the driver or broadcast at once: a larger one takes more
+    blocks, dealt by a hash of the item and its piece, each of which is held against all documents.
+    """
+    rows, blocks = blocks_of(benchmark, block_words)
+    for i in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(blocks)) == i) if blocks > 1 else rows
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]))
 
 
 def words() -> Words:
-    if not _words:
-        _words.append(Words())
-    return _words[0]
+    return held("decontam", Words)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -154,8 +180,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are lower-cased and freed of punctuation; those left empty do not count. A document overlaps an
     item if, at some alignment, 13 consecutive words agree in all but two (or, in a shorter item, all its
     words agree); the stretch of such windows that is longest is reported, and share is its equal words by
-    the item's words. Null and empty texts overlap nothing; repeated rows give repeated results; only doc_id
-    and text are read. Documents are scanned whole and not shuffled.
+    the item's words; of equally long ones that with more equal words, then the first, is reported. Null and empty texts
+    overlap nothing, and neither does an empty table or benchmark; repeated rows give repeated results; only doc_id and
+    text are read. Documents are scanned whole, however long, and not shuffled. An item of more than 500,000 words is
+    held in pieces, each of which gives its own row.
     """
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema, arrow = arrow_schema(f"doc_id {doc_kind}, item_id {item_kind}, first_word long, last_word long, n_equal long, share double")
@@ -173,25 +201,46 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    found = None
-    for index in indexes(benchmark):
-        part = scan(index)
-        found = part if found is None else found.union(part)
+    parts = [scan(index) for index in indexes(benchmark)]
+    if len(parts) == 1:
+        return parts[0]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
     return found
 
 
-def free_of(index):
-    """A condition on texts: that they overlap no item of the index."""
+def contaminated(docs: DataFrame, index) -> DataFrame:
+    """doc_id, ut_text_key of the documents that overlap an item of the index."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf("boolean")
-    def free(texts: pd.Series) -> pd.Series:
-        return pd.Series([not t or not index.value.overlaps(words().of(t.encode())) for t in texts], dtype=bool)
+    def work(batch):
+        hit = [i for i, t in enumerate(as_bytes(batch.column(2))) if t and index.value.overlaps(words().of(t))]
+        if hit:
+            yield {"doc_id": batch.column(0).take(pa.array(hit)), "ut_text_key": batch.column(1).take(pa.array(hit))}
 
-    return free("text")
+    return map_batches(docs, [*text_key(), F.col("text")], f"doc_id {kind}, ut_text_key long", work)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, with all its columns, without the rows whose text overlaps an item of the benchmark."""
-    for index in indexes(benchmark):
-        docs = docs.where(free_of(index))
-    return docs
+    """docs, with all its columns, without the rows whose text overlaps an item of the benchmark.
+
+    Overlaps are those of find_overlaps; null and empty texts stay, and so does every row if the benchmark has no item;
+    of repeated rows all stay or go; an empty table gives one, no column name clashes, and texts are read whole. A
+    benchmark of one block is a filter on the documents as they pass; each task of a larger one holds one block and
+    names the documents to take out, which are then joined.
+    """
+    held_blocks = list(indexes(benchmark))
+    if len(held_blocks) > 1:
+        found = None
+        for index in held_blocks:
+            part = contaminated(docs, index)
+            found = part if found is None else found.union(part)
+        return whole(same_document(keyed(docs), found.distinct(), "left_anti"))
+    index = held_blocks[0]
+
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        return pd.Series([not t or not index.value.overlaps(words().of(t.encode())) for t in texts], dtype=bool)
+
+    return docs.where(free("text"))
