@@ -10,15 +10,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from undertow.llm.common import arrow_schema, as_bytes, map_batches, same_document
+from undertow.llm.common import arrow_schema, as_bytes, frozen, map_batches, same_document
 
 #: Stands for a missing doc_id: no document's is smaller for it being there.
 NO_ID = np.iinfo(np.int64).max
 ROW = "bucket long, body binary, places binary"
 
 
-def minimisers(hashes: np.ndarray, window: int, mer: int = 2) -> np.ndarray:
+def minimisers(hashes: np.ndarray, window: int, mer: int = 3) -> np.ndarray:
     """The least hash of mer consecutive words in each window of words."""
     mix = np.uint64(0x9E3779B97F4A7C15)
     mers = hashes[: len(hashes) - mer + 1] * mix
@@ -48,20 +49,36 @@ def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     return ids, *(np.frombuffer(raw, "<u4", n, 8 * n + 4 * n * i).astype(np.int64) for i in range(3))
 
 
-def super_kmers(docs: list[tuple[int, int, bytes]], window: int, buckets: int, longest: int = 256) -> tuple[list[list], list[tuple[int, int, int, int]]]:
+def window_hashes(hashes: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
+    """A hash of all words of the windows that start at the given places."""
+    mix, out = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(at), np.uint64)
+    for i in range(window):
+        out = (out ^ hashes[at + i]) * mix
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def flat_words(texts: list[bytes], window: int) -> tuple[list[bytes], list[int]]:
+    """The words of all texts that have window words, one after the other, and how many each text gives."""
+    words, sizes = [], []
+    for text in texts:
+        own = text.split()
+        if len(own) >= window:
+            words += own
+        sizes.append(len(own) if len(own) >= window else 0)
+    return words, sizes
+
+
+def super_kmers(docs: list[tuple[int, int, bytes]], window: int, buckets: int, longest: int = 256, hot: np.ndarray | None = None) -> tuple[list[list], list[tuple[int, int, int, int]]]:
     """Rows of ROW, one for each bucket met, and (doc_id, key, start, end) of words known to be covered.
 
     docs are (doc_id, key, text). Consecutive windows with one minimiser are one string of words. Of equal
     strings in several of these documents only that with the least doc_id travels: in the others its windows
     are covered, which needs no further look. So a group of copies costs a string for each call, not each copy.
+    Windows whose minimiser is among hot (sorted) are dealt by a hash of all their words instead, one string each.
     """
     docs = sorted(docs, key=lambda d: d[0])
-    words, sizes = [], []
-    for _, _, text in docs:
-        own = text.split()
-        if len(own) >= window:
-            words += own
-        sizes.append(len(own) if len(own) >= window else 0)
+    words, sizes = flat_words([text for _, _, text in docs], window)
     if not words:
         return [], []
     hashes = np.fromiter(map(crc32, words), np.uint64, len(words))
@@ -70,6 +87,9 @@ def super_kmers(docs: list[tuple[int, int, bytes]], window: int, buckets: int, l
     flat = b" ".join(words)
     del words
     least = minimisers(hashes, window)
+    if hot is not None and len(hot):
+        crowded = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least)
+        least[crowded] = window_hashes(hashes, window, crowded)
     doc_ends = np.cumsum(sizes)
     doc_starts = doc_ends - sizes
     doc_of = np.repeat(np.arange(len(docs)), sizes)
@@ -116,55 +136,92 @@ def super_kmers(docs: list[tuple[int, int, bytes]], window: int, buckets: int, l
     return rows, [(id_list[i], int(keys[owner[i]]), int(start[i]), int(start[i] + count[i])) for i in covered]
 
 
-def covered_windows(rows: list[tuple], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def covered_windows(rows: list[tuple], window: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, key, start, end) of runs of covered windows among all super-k-mers of one bucket.
 
-    Windows are sorted by a hash of their words' numbers, and equal neighbours compared word by word.
+    Windows are sorted by a hash of their words' numbers, and equal neighbours compared word by word. A bucket of more
+    than most windows is sorted in shares by that hash, so that beside its words' numbers only a share is in memory.
     """
     unpack = zstandard.ZstdDecompressor().decompress
-    words = b"\n".join([unpack(r[1]) for r in rows]).split()
+    number: dict[bytes, int] = {}
+    parts = []
+    for row in rows:
+        words = unpack(row[1]).split()
+        for word in set(words).difference(number):
+            number[word] = len(number)
+        parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+    codes = np.concatenate(parts)
+    del words, parts, number
     ids, keys, starts, count = (np.concatenate(x) for x in zip(*(unpacked(r[2]) for r in rows), strict=True))
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    del words, number
     ends = np.cumsum(count)
-    piece = np.repeat(np.arange(len(count)), count - window + 1)
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(count - window + 1) - (count - window + 1), count - window + 1)
-    at = (ends - count)[piece] + offset
     mix, mixed = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(codes) - window + 1, np.uint64)
-    unsigned = codes.view(np.uint64) + np.uint64(1)
     for i in range(window):
-        mixed = mixed * mix + unsigned[i : len(mixed) + i]
+        mixed = mixed * mix + codes[i : len(mixed) + i] + np.uint64(1)
         mixed ^= mixed >> np.uint64(31)
-    hashes = mixed[at]
-    order = np.argsort(hashes)
-    ordered = hashes[order]
+    valid = np.zeros(len(codes) + 1, np.int8)  # whether a window starts at a place
+    np.add.at(valid, ends - count, 1)
+    np.add.at(valid, ends - window + 1, -1)
+    at = np.flatnonzero(np.cumsum(valid[: len(mixed)], dtype=np.int8))
+    shares = -(-len(at) // most)
+    found = [repeated(codes, mixed, at if shares == 1 else at[mixed[at] % np.uint64(shares) == k], ids, ends, window) for k in range(shares)]
+    found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
+    if not len(found):
+        return none, none, none, none
+    piece = np.searchsorted(ends, found, "right")
+    offset = found - (ends - count)[piece]
+    breaks = np.flatnonzero((np.diff(found) != 1) | (np.diff(piece) != 0)) + 1
+    first, last = np.concatenate([[0], breaks]), np.concatenate([breaks - 1, [len(found) - 1]])
+    return ids[piece[first]], keys[piece[first]], starts[piece[first]] + offset[first], starts[piece[last]] + offset[last] + window
+
+
+def repeated(codes: np.ndarray, mixed: np.ndarray, at: np.ndarray, ids: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Of the windows that start at the given places those whose words also stand in a document with a smaller id."""
+    order = np.argsort(mixed[at])
     place = at[order]
-    equal = np.flatnonzero(ordered[1:] == ordered[:-1])
+    equal = np.flatnonzero(mixed[place[1:]] == mixed[place[:-1]])
+    if not len(equal):
+        return np.zeros(0, np.int64)
     truly = np.ones(len(equal), bool)
     for i in range(window):
         truly &= codes[place[equal] + i] == codes[place[equal + 1] + i]
-    none = np.zeros(0, np.int64)
-    if not len(equal):
-        return none, none, none, none
-    if not truly.all():  # two sequences with one hash: sort these by all their words
-        order = np.lexsort([codes[at + i] for i in range(window)])
-        place = at[order]
-        new = np.zeros(len(order) - 1, bool)
+    if truly.all():
+        new = mixed[place[1:]] != mixed[place[:-1]]
+    else:  # two sequences with one hash: sort these by all their words
+        place = at[np.lexsort([codes[at + i] for i in range(window)])]
+        new = np.zeros(len(place) - 1, bool)
         for i in range(window):
             new |= codes[place[1:] + i] != codes[place[:-1] + i]
-    else:
-        new = ordered[1:] != ordered[:-1]
-    heads = np.concatenate([[0], np.flatnonzero(new) + 1])
-    owner = ids[piece[order]]
-    least = np.minimum.reduceat(owner, heads)
-    group = np.concatenate([[0], np.cumsum(new)])
-    found = np.sort(order[owner > least[group]])
-    if not len(found):
-        return none, none, none, none
-    breaks = np.flatnonzero((np.diff(found) != 1) | (np.diff(piece[found]) != 0)) + 1
-    first, last = found[np.concatenate([[0], breaks])], found[np.concatenate([breaks - 1, [len(found) - 1]])]
-    return ids[piece[first]], keys[piece[first]], starts[piece[first]] + offset[first], starts[piece[last]] + offset[last] + window
+    owner = ids[np.searchsorted(ends, place, "right")]
+    least = np.minimum.reduceat(owner, np.concatenate([[0], np.flatnonzero(new) + 1]))
+    return place[owner > least[np.concatenate([[0], np.cumsum(new)])]]
+
+
+def hot_minimisers(docs: DataFrame, window: int, buckets: int, one_in: int = 64, fewest: int = 100_000) -> np.ndarray:
+    """Minimisers with more windows than four buckets have on average, and than one in fewest of all, sorted.
+
+    They are counted in one document of one_in, chosen by a hash of the text and its id. What is missed or taken for
+    nothing changes where windows meet and no result; there are at most fewest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, sizes = flat_words([t for t in as_bytes(batch.column(0)) if t], window)
+            if not words:
+                continue
+            least = minimisers(np.fromiter(map(crc32, words), np.uint64, len(words)), window)
+            ends = np.cumsum(sizes)
+            at = np.arange(len(least))
+            least, n = np.unique(least[at + window <= ends[np.searchsorted(ends, at, "right")]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(n)], schema=arrow)
+
+    schema, arrow = arrow_schema("m long, n long")
+    part = docs.select("text").where(F.pmod(F.xxhash64("text", "doc_id", F.lit(5)), F.lit(one_in)) == 0)
+    counted = part.mapInArrow(run, schema).groupBy("m").agg(F.sum("n").alias("n"))
+    counted = frozen(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(4 * total / buckets, total / fewest, 64)
+    return np.sort(np.array([r["m"] for r in counted.where(F.col("n") > least).select("m").collect()], np.int64).view(np.uint64))
 
 
 def short_key() -> F.Column:
@@ -172,7 +229,7 @@ def short_key() -> F.Column:
     return F.xxhash64("text").bitwiseAND((1 << 32) - 1).alias("ut_text_key")
 
 
-def covered(docs: DataFrame, window: int, buckets: int, chunk: int) -> DataFrame:
+def covered(docs: DataFrame, window: int, buckets: int, chunk: int, hot: np.ndarray) -> DataFrame:
     """doc_id, ut_text_key, a, b: words a to b - 1 of a document that earlier documents' windows cover."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +245,7 @@ def covered(docs: DataFrame, window: int, buckets: int, chunk: int) -> DataFrame
         yield from sent(held)
 
     def sent(held: list) -> Iterator[pa.RecordBatch]:
-        rows, known = super_kmers(held, window, buckets)
+        rows, known = super_kmers(held, window, buckets, hot=hot)
         if known:  # travels with the rest to where it is returned, dealt evenly
             a = np.array(known, np.int64)
             rows.append([-1 - int(a[0, 1] % buckets), b"", packed(a[:, 0], a[:, 1], a[:, 2], a[:, 3] - a[:, 2])])
@@ -229,11 +286,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, buckets: int | None = None
     is ''; a text shorter than the window keeps its words; kept words are joined by one space. Rows that
     repeat a doc_id are not earlier than each other; a row without doc_id is later than all that have one.
 
-    buckets grows with the input's partitions unless given, so that one bucket fits in memory.
+    A text is split whole, however long; an empty table gives no rows; doc_ids of another integer type are widened, and
+    any that is no integer is an error. buckets grows with the input's partitions unless given, so that one bucket fits
+    in memory, and the windows of minimisers that are much more frequent than a bucket are dealt out one by one.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer")
     if buckets is None:
         buckets = 8 * max(8, docs.rdd.getNumPartitions())
-    runs = covered(docs, window, buckets, chunk).groupBy("doc_id", "ut_text_key").agg(F.collect_list(F.struct("a", "b")).alias("ut_runs"))
+    runs = covered(docs, window, buckets, chunk, hot_minimisers(docs, window, buckets)).groupBy("doc_id", "ut_text_key").agg(F.collect_list(F.struct("a", "b")).alias("ut_runs"))
     joined = same_document(docs.select(F.col("doc_id").cast("long"), short_key(), "text"), runs, "left")
 
     def work(batch):
