@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import as_bytes, map_batches
+from undertow.llm.common import as_bytes, held, map_batches
 
 #: Phrases that count as base places, with their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -23,7 +23,9 @@ FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apac
 PERMISSIVE = {"apache", "mit", "bsd", "isc", "bsl", "cc0", "cc-by", "unlicense"}
 #: Bytes that stand in no word become spaces, and A-Z lower case.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-EXPRESSION = re.compile(rb"spdx-license-identifier\s*:\s*((?:(?!spdx-license-identifier)[a-z0-9.+\-() \t])+)", re.I)
+RAW_TAG = "spdx-license-identifier"
+#: What follows a tag: a colon, then characters of an expression, up to any other or to the next tag.
+EXPRESSION = re.compile(rb"\s*:\s*((?:(?!spdx-license-identifier)[a-z0-9.+\-() \t])+)", re.I)
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -80,20 +82,24 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     return stack[0]
 
 
-_held: list = []
+def machines() -> tuple:
+    """The automaton of phrases over folded words, and that of tags over lower-case text."""
+    import ahocorasick
 
+    phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for phrase, label in (NOTICES | BASE).items():
+        phrases.add_word(f" {phrase} ", (label, phrase in BASE, len(phrase) + 2))
+    phrases.add_word(f" {TAG} ", (TAG, False, len(TAG) + 2))
+    tags.add_word(RAW_TAG, True)
+    phrases.make_automaton()
+    tags.make_automaton()
+    return phrases, tags
 
-def automaton():
-    if not _held:
-        import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for phrase, label in (NOTICES | BASE).items():
-            machine.add_word(f" {phrase} ", (label, phrase in BASE, len(phrase) + 2))
-        machine.add_word(f" {TAG} ", (TAG, False, len(TAG) + 2))
-        machine.make_automaton()
-        _held.append(machine)
-    return _held[0]
+def tagged_expressions(text: bytes) -> list[bytes]:
+    """What stands behind each identifier tag, to its end. Latin-1 keeps a character a byte, so places are the text's."""
+    ends = [end + 1 for end, _ in held("licenses", machines)[1].iter(text.lower().decode("latin-1"))]
+    return [found[1] for found in (EXPRESSION.match(text, end) for end in ends) if found]
 
 
 def scan(text: bytes) -> tuple:
@@ -102,7 +108,7 @@ def scan(text: bytes) -> tuple:
     folded = f" {b' '.join(words).decode('utf-8', 'replace')} "
     places, base, more, expressions, free = [], set(), set(), [], []
     tagged, seen, at = False, 0, 0
-    for end, (label, own, length) in automaton().iter(folded):
+    for end, (label, own, length) in held("licenses", machines)[0].iter(folded):
         start = end - length + 1
         if label == TAG:
             tagged = True
@@ -115,7 +121,7 @@ def scan(text: bytes) -> tuple:
         places.append((first, label, own))
         (base if own else more).add(label)
     if tagged:
-        for found in EXPRESSION.findall(text):
+        for found in tagged_expressions(text):
             postfix = to_postfix(found.decode("ascii"))
             if postfix:
                 labels, permissive = evaluate(postfix)
@@ -132,7 +138,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places (first word,
     label, base), expressions (postfix), permissive (of tags; null without one). A null or empty text has no
     words, labels '' and score 0. score is 1 for a readable tag, else 1 - 2**-n for n places of any phrase.
-    Repeated rows give repeated results. Whole texts, one pass; no shuffle.
+    Repeated rows give repeated results, an empty table none. Whole texts, however long, and whole expressions,
+    each read behind the tag that the automaton finds; of places at one word the labels stand in order; no shuffle.
     """
 
     def work(batch):
