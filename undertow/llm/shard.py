@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -94,34 +95,38 @@ def splitters(keys: DataFrame, parts: int, exact_every: int, tolerance: float, l
     return tuple(np.maximum.accumulate(np.where(take_high, a, b)) for a, b in ((high, low), (high_size, low_size), (high_rows, low_rows)))
 
 
-def shard(docs: DataFrame, shards: int = 8, runs: int = 32, tolerance: float = 0.002) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, runs: int = 32, tolerance: float = 0.002, run_bytes: int = 64 << 20) -> DataFrame:
     """docs (doc_id, text) in shards of nearly equal bytes, in key order.
 
     Columns: doc_id, text, size (UTF-8 bytes and 1; null: 1), shard, slot (from 0 in each shard, without
     gaps, in key order), sort_key. Copies of a text are neighbours, and in one shard unless a cut within
     tolerance (a share of a shard's bytes) needs their group divided. Rows with the same doc_id and text have
-    one key and stay together, whatever their number. Other columns are not read; an empty table stays empty.
+    one key and stay together, whatever their number. Other columns are not read; an empty table stays empty, and
+    texts of any length are one row each.
 
-    Splitters are found for shards * runs runs, so that a task of the exchange sorts a run and never a whole
-    shard. Keys and sizes are written once, narrow, and counted there; texts move once.
+    Each shard is cut into runs runs, or more so that none has over about run_bytes: their number follows the input,
+    and a task of the exchange sorts a run and never a whole shard. Keys and sizes are written once, narrow, and counted
+    there; texts move once. Bytes that no refinement can even out within tolerance (a row larger than it, or more rows
+    with one doc_id and text) are an error of that size in two shards and not of the operator.
     """
-    n = shards * runs
     rows = docs.select("doc_id", "text")
     keys = frozen(rows.select(sort_key().alias("key"), size().alias("size")))
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    runs = max(runs, -(-total // (shards * run_bytes)))
+    n = shards * runs
     cuts, _, before = splitters(keys, n, runs, tolerance)
     of_shard = np.arange(len(cuts) + 1) // runs
     starts = np.concatenate([[0], before])
     shard_starts = starts[::runs]
-    base = (starts - shard_starts[of_shard]).tolist()
-    edges, owner = cuts, of_shard.tolist()
-
-    @F.pandas_udf("int")
-    def run_of(key):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), "right"), dtype="int32")
-
-    placed = rows.withColumns({"sort_key": sort_key(), "size": size()}).withColumn("run", run_of("sort_key"))
-    lookup = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("run") + 1)
-    order = W.partitionBy("run").orderBy("sort_key", "doc_id", F.xxhash64("text"))
-    return placed.select("doc_id", "text", "size", lookup(owner).cast("int").alias("shard"), (lookup(base).cast("long") + F.row_number().over(order) - 1).alias("slot"), "sort_key")
+    sent = docs.sparkSession.sparkContext.broadcast((cuts, starts - shard_starts[of_shard]))  # two numbers a run
+
+    @F.pandas_udf("run int, base long")
+    def run_of(key: pd.Series) -> pd.DataFrame:
+        edges, base = sent.value
+        run = np.searchsorted(edges, key.to_numpy(), "right")
+        return pd.DataFrame({"run": run.astype("int32"), "base": base[run]})
+
+    placed = rows.withColumns({"sort_key": sort_key(), "size": size()}).withColumn("ut_run", run_of("sort_key"))
+    order = W.partitionBy("ut_run.run").orderBy("sort_key", "doc_id", F.xxhash64("text"))
+    slot = F.col("ut_run.base") + F.row_number().over(order) - 1
+    return placed.select("doc_id", "text", "size", F.floor(F.col("ut_run.run") / runs).cast("int").alias("shard"), slot.alias("slot"), "sort_key")
