@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import arrow_schema, frozen
-from undertow.llm.components import components
+from undertow.llm.common import arrow_schema, components, frozen
 
 SLACK = 1e-6
 
@@ -123,23 +123,30 @@ def verified(rows: DataFrame, grid: Grid, kind: str) -> DataFrame:
     """a, b, n: for each tile, links that connect what it links (n is 0), and to how many vectors each one is linked (a = b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        waiting: list[pa.RecordBatch] = []  # parts of one tile, the last one met
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] != key:
-                    yield from out(held)
-                    held, key = [], row[:4]
-                held.append(row)
-        yield from out(held)
-
-    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
+            if not batch.num_rows:
+                continue
+            if waiting and any(waiting[-1].column(i)[-1] != batch.column(i)[0] for i in range(4)):
+                yield from out(waiting)
+                waiting = []
+            changes = np.zeros(batch.num_rows - 1, bool)
+            for column in batch.columns[:4]:
+                changes |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low:
+                    yield from out(waiting)
+                    waiting = []
+                waiting.append(batch.slice(low, high - low))
+        yield from out(waiting)
+
+    def out(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(part.num_rows for part in waiting) < 2:
             return
-        block, tile, parts = held[0][1], held[0][3], held[0][4]
-        part, guest = np.array([r[5] for r in held]), np.array([r[6] for r in held])
-        vids = np.array([r[7] for r in held], np.int64)
-        raw = np.stack([np.frombuffer(r[9], kind) for r in held]).astype(float)
-        copies = np.array([r[8] for r in held], np.int64)
+        block, tile, parts = (waiting[0].column(i)[0].as_py() for i in (1, 3, 4))
+        part, guest, vids, copies = (np.concatenate([w.column(i).to_numpy(zero_copy_only=False) for w in waiting]) for i in (5, 6, 7, 8))
+        raw = np.concatenate([bodies(w.column(9)) for w in waiting]).astype(float)
         unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
         turned = unit @ grid.rotation
         a, b = grid.edges[block], grid.edges[block + 1]
@@ -185,6 +192,12 @@ def verified(rows: DataFrame, grid: Grid, kind: str) -> DataFrame:
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], schema=arrow)
 
+    def bodies(column: pa.Array) -> np.ndarray:
+        """Vectors of one length, from their bytes one after the other."""
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(column), -1)
+
     schema, arrow = arrow_schema("a long, b long, n long")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spot = ["label", "block", "cell", "tile"]
@@ -204,12 +217,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, most: int = 4096) -
     null, is linked with none; so are vectors of unlike lengths. component_id is the smallest vec_id that
     links reach and kept says that it is the row's own. Equal vectors are joined as one that counts for
     all, so copies, and rows that repeat, cost no pairs. Rows without vec_id are linked but name no component
-    unless all of it lacks one (then null, and not kept).
+    unless all of it lacks one (then null, and not kept). Vectors of any length are read whole; an empty table gives none.
     """
-    own = F.when(usable(), F.xxhash64("label", "embedding")).alias("vid")
     rows = vectors.select("vec_id", "label", "embedding")
+    for seed in itertools.count():  # again in the rare case that two vectors have one hash
+        own = F.when(usable(), F.xxhash64(F.lit(seed), "label", "embedding")).alias("vid")
+        found = rows.select("vec_id", "label", "embedding", own).where("vid is not null").groupBy("label", "vid").agg(F.min("embedding").alias("embedding"), F.max("embedding").alias("other"), F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+        distinct = frozen(found.withColumn("other", F.col("other") != F.col("embedding")))
+        if distinct.where("other").isEmpty():
+            break
     marked = frozen(rows.select("vec_id", own))
-    distinct = frozen(rows.select("vec_id", "label", "embedding", own).where("vid is not null").groupBy("label", "vid").agg(F.any_value("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first")))
+    distinct = distinct.drop("other")
     kind = "<f4" if "float" in vectors.schema["embedding"].dataType.simpleString() else "<f8"
     found = None
     for (dim,) in distinct.select(F.size("embedding")).distinct().collect():  # as a rule one
