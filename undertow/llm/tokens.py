@@ -7,21 +7,23 @@ there, and the count there relative to now. That a sequence of tokens is the tok
 two neighbours are makes this determined. States are built when first met, up to a bound; then all are
 dropped and built anew, so memory is bounded for every input.
 
-A chunk of text maps an entry state to an exit state and a count. Wherever a single space stands between two
-other characters, the transducer is in one state whatever came before. So a chunk's map is the triple (bytes
-before the first such place, tokens between the first and the last, bytes after the last), or its bytes alone
-where it has no such place. Those maps compose associatively, and a prefix scan composes those of a text.
+A chunk of text maps an entry state to an exit state and a count. A single space between two visible ASCII characters
+is a synchronising word of the transducer: it is in one and the same state there whatever came before (tests try all
+pairs of such characters). So a chunk's map of all entry states is whole if it tells the count between its first and
+last such place and the bytes outside them, whose count waits for the neighbours; a chunk without such a place is its
+bytes. Those maps compose associatively, and the up-sweep of a prefix scan composes those of a text.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import as_bytes, map_batches
+from undertow.llm.common import as_bytes, held, map_batches
 
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode White_Space
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
@@ -169,8 +171,7 @@ class CountTransducer:
         """Tokens of a text without special tokens: chunk maps, then their scan."""
         if len(text) <= self.chunk:
             return self.finish(self.chunk_map(text))
-        maps = [self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
-        return self.finish(self.scan(maps)[-1])
+        return self.finish(self.scan(self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)))
 
     def chunk_map(self, chunk: bytes):
         """(head, tokens, tail), or (bytes,) without a place that fixes the state."""
@@ -219,15 +220,20 @@ class CountTransducer:
         """Tokens of bytes between two fixing places: they start with a space, which parts() puts back."""
         return self.parts(self.split(text)) if text else 0
 
-    def scan(self, maps: list) -> list:
-        """Inclusive prefix scan by recursive doubling over pairs."""
-        if len(maps) == 1:
-            return maps
-        pairs = [self.compose(maps[i], maps[i + 1]) for i in range(0, len(maps) - 1, 2)]
-        odd = self.scan(pairs)
-        out = [maps[0]]
-        for i in range(1, len(maps)):
-            out.append(odd[i // 2] if i % 2 else self.compose(odd[i // 2 - 1], maps[i]))
+    def scan(self, maps: Iterable):
+        """The composition of all maps, in order, as a counter of the scan's up-sweep: of the prefixes only the last is
+        wanted, so no more is held than one map for each power of two."""
+        levels: list = []
+        for found in maps:
+            at = 0
+            while at < len(levels) and levels[at] is not None:
+                found, levels[at] = self.compose(levels[at], found), None
+                at += 1
+            levels[at : at + 1] = [found]
+        out = None
+        for found in levels:
+            if found is not None:
+                out = found if out is None else self.compose(found, out)
         return out
 
     def finish(self, whole) -> int:
@@ -242,15 +248,6 @@ class CountTransducer:
         return sum(map(self.plain, pieces)) + len(pieces) - 1
 
 
-_held: dict[str, CountTransducer] = {}
-
-
-def transducer(path: str) -> CountTransducer:
-    if path not in _held:
-        _held[path] = CountTransducer(path)
-    return _held[path]
-
-
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text; other columns are not read).
 
@@ -262,7 +259,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     def work(batch):
         import public_tokenizers
 
-        machine = transducer(public_tokenizers.path(vocabulary))
+        path = public_tokenizers.path(vocabulary)
+        machine = held(("tokens", path), lambda: CountTransducer(path))
         ids, texts = batch.column(0), as_bytes(batch.column(1))
         tokens = [machine.count(t) if t else 0 for t in texts]
         yield {"doc_id": ids, "n_bytes": [len(t) if t else 0 for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
