@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import arrow_schema, as_bytes
+from undertow.llm.common import arrow_schema, as_bytes, held
 from undertow.llm.tokens import byte_letters
 
 TIERS = (64, 128, 256, 512, 1024, 2048)
@@ -29,7 +29,7 @@ class WordIds:
 
     END = b"\xff"
 
-    def __init__(self, path: str, max_memo: int = 500_000):
+    def __init__(self, path: str, max_memo: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
@@ -170,9 +170,6 @@ def step_groups(sizes: list[int], group: int) -> list[int]:
     return out
 
 
-_held: dict[str, WordIds] = {}
-
-
 def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, tiers: tuple[int, ...] = TIERS, pool_tokens: int = 4_000_000, group: int = 8) -> DataFrame:
     """Pieces of all documents in sequences of at most tiers[-1] tokens.
 
@@ -185,14 +182,14 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
     if any(t & t - 1 for t in tiers):
         raise ValueError("tiers must be powers of two")
 
-    def pool(state: dict, held: list[tuple]) -> dict:
-        sequences = pack([len(ids) // 4 for _, ids in held], tiers)
+    def pool(state: dict, waiting: list[tuple]) -> dict:
+        sequences = pack([len(ids) // 4 for _, ids in waiting], tiers)
         groups = step_groups([t for t, _ in sequences], group)
         out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group")}
         for n, (tier, pieces) in enumerate(sequences):
             offset = 0
             for doc, start, length in pieces:
-                doc_id, ids = held[doc]
+                doc_id, ids = waiting[doc]
                 row = doc_id, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4, state["base"] + state["sequences"] + n, offset, tier, state["base"] + state["groups"] + groups[n]
                 for column, value in zip(out.values(), row, strict=True):
                     column.append(value)
@@ -206,12 +203,10 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
         import pyarrow as pa
 
         path = public_tokenizers.path(vocabulary)
-        if path not in _held:
-            _held[path] = WordIds(path)
-        words = _held[path]
+        words = held(("packing", path), lambda: WordIds(path))
         context = TaskContext.get()
         state = {"base": (context.partitionId() if context else 0) << 32, "sequences": 0, "groups": 0}
-        end, held, size = end_id.to_bytes(4, "little"), [], 0
+        end, waiting, size = end_id.to_bytes(4, "little"), [], 0
         record = lambda out: pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
@@ -219,13 +214,13 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
                 units = [(t or b"").split() for t in texts[at : at + 256]]
                 words.learn(units)
                 for doc_id, u in zip(ids[at : at + 256], units, strict=True):
-                    held.append((doc_id, words.ids(u) + end))
-                    size += len(held[-1][1]) // 4
+                    waiting.append((doc_id, words.ids(u) + end))
+                    size += len(waiting[-1][1]) // 4
                     if size >= pool_tokens:
-                        yield record(pool(state, held))
-                        held, size = [], 0
-        if held:
-            yield record(pool(state, held))
+                        yield record(pool(state, waiting))
+                        waiting, size = [], 0
+        if waiting:
+            yield record(pool(state, waiting))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema, arrow = arrow_schema(f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long")
