@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
+import tracemalloc
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -30,13 +33,29 @@ def test_chunk_maps_compose_in_any_order():
     own = tokens.CountTransducer(public_tokenizers.path("byte_bpe_50k.json"), chunk=7)
     text = "a few words, and one_long_word_without_spaces then  two spaces".encode()
     maps = [own.chunk_map(text[i : i + 7]) for i in range(0, len(text), 7)]
-    whole = own.finish(own.scan(maps)[-1])
+    whole = own.finish(own.scan(maps))
     right = maps[-1]
     for m in reversed(maps[:-1]):
         right = own.compose(m, right)
     assert own.finish(right) == whole == own.piece(text)
 
 
+def test_a_space_between_visible_characters_fixes_the_state():
+    """What such a place is said to be in the module: the tokens on both sides do not depend on each other."""
+    own = tokens.CountTransducer(public_tokenizers.path("byte_bpe_50k.json"))
+    visible = [chr(c) for c in range(33, 127)]
+    for a, b in itertools.product(visible, visible):
+        for left, right in ((f"x {a}", f"{b}y"), (f"don't{a}", f"{b} z"), (a, b)):
+            assert own.words.findall(f"{left} {right}") == own.words.findall(left) + own.words.findall(f" {right}")
+            assert own.chunk_map(f"{left} {right}".encode())[0] == f"{left} {right}".encode()[: own.place(f"{left} {right}".encode(), 1)]
+
+
+def test_a_scan_holds_few_maps_of_a_long_text():
+    own = tokens.CountTransducer(public_tokenizers.path("byte_bpe_50k.json"), chunk=16)
+    text = ("word " * 700 + "x" * 300 + " end").encode()
+    assert own.count(text) == own.piece(text)
+
+
 def test_word_ids_equal_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     own = packing.WordIds(path)
@@ -110,11 +129,13 @@ def test_super_kmers_cover_what_brute_force_covers():
             s = rng.randint(0, 150)
             docs.append((d, d * 7, b" ".join(base[s : s + rng.randint(0, 50)] if rng.random() < 0.6 else [rng.choice(letters) for _ in range(rng.randint(0, 40))])))
         window, rows, known = rng.choice([3, 5, 13]), [], []
+        least = [substrings.minimisers(np.array([crc32(w) for w in t.split()], np.uint64), window) for _, _, t in docs if len(t.split()) >= window]
+        hot = np.unique(np.concatenate(least))[:: rng.choice([1, 2, 1000])] if least else None
         for part in (docs[::2], docs[1::2]):
-            a, b = substrings.super_kmers(part, window, 4, longest=rng.choice([2, 256]))
+            a, b = substrings.super_kmers(part, window, 4, longest=rng.choice([2, 256]), hot=hot)
             rows, known = rows + a, known + b
         for bucket in {r[0] for r in rows}:
-            known += zip(*(x.tolist() for x in substrings.covered_windows([r for r in rows if r[0] == bucket], window)), strict=True)
+            known += zip(*(x.tolist() for x in substrings.covered_windows([r for r in rows if r[0] == bucket], window, most=rng.choice([7, 1 << 21]))), strict=True)
         got = {d: set() for d, _, _ in docs}
         for d, _, a, b in known:
             got[d] |= set(range(a, b))
@@ -144,6 +165,57 @@ def test_overlaps_survive_substitutions_and_spare_others():
     assert [index.items[k] for k in index.overlaps(hashes.of(b"x ONLY five, words stand here! y"))] == [90]
 
 
+def brute_overlaps(items, text):
+    """Items that agree with the text in all but two of 13 consecutive words at some alignment; short ones, in all."""
+    words = lambda t: [w for w in (re.sub(r"[\W_]+", "", x.lower()) for x in (t or "").split()) if w]
+    own, out = words(text), {}
+    for item, t in items:
+        other = words(t)
+        width = min(13, len(other))
+        for shift in range(-len(other), len(own)):
+            same = [0 <= j + shift < len(own) and own[j + shift] == other[j] for j in range(len(other))]
+            inside = [0 <= j + shift < len(own) for j in range(len(other))]
+            good = [j for j in range(len(other) - width + 1) if width and all(inside[j : j + width]) and sum(same[j : j + width]) >= width - (2 if width == 13 else 0)]
+            runs = []
+            for j in good:
+                if runs and j <= runs[-1][1]:
+                    runs[-1][1] = j + width
+                else:
+                    runs.append([j, j + width])
+            for a, b in runs:
+                row = (b - a, sum(same[a:b]), -(a + shift))
+                out[item] = max(out.get(item, row), row)
+    return {item: (-a, n - a, k) for item, (n, k, a) in out.items()}
+
+
+@pytest.mark.parametrize("most_hits", [5, 1 << 19])
+def test_overlaps_equal_brute_force(most_hits):
+    rng = random.Random(18)
+    for vocabulary in (2, 3, 12, 40):
+        words = [f"w{i}" for i in range(vocabulary)]
+        items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([4, 13, 20, 45])))) for i in range(6)]
+        index, hashes = decontam.Index(items, most_hits=most_hits), decontam.Words()
+        for _ in range(25):
+            own = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+            if rng.random() < 0.7:
+                part = rng.choice(items)[1].split()
+                for _ in range(rng.randint(0, 4)):
+                    part[rng.randrange(len(part))] = "Other!"
+                own[rng.randint(0, len(own)) :] = part
+            text = " ".join(own)
+            got = {index.items[k]: v for k, v in index.overlaps(hashes.of(text.encode())).items()}
+            assert got == brute_overlaps(items, text)
+
+
+def test_repeated_seeds_are_held_a_part_at_a_time():
+    index = decontam.Index([(1, " ".join(["the"] * 2000))])
+    tracemalloc.start()
+    found = index.overlaps(decontam.Words().of(b"the " * 8000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {0: (0, 2000, 2000)} and peak < 60 << 20
+
+
 @pytest.mark.parametrize(
     ("text", "postfix", "labels", "free"),
     [
@@ -174,5 +246,13 @@ def test_licence_scan_finds_places_and_tags():
 
 def test_language_counts_ignore_what_is_no_letter():
     assert (langid.counts("Abc, abc!") == langid.counts("abc -- ABC")).all()
-    model = langid.Model(np.ones(langid.DIM), np.zeros((0, langid.DIM), np.float32), [], 1.0)
-    assert model.predict(["x", None, "12"]) == (["und"] * 3, [0.0] * 3, [True] * 3)
+    assert langid.Model.empty().predict(["x", None, "12"]) == (["und"] * 3, [0.0] * 3, [True] * 3)
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "a", " ", "ab  c", *("".join(rng.choice("abÉ9 .") for _ in range(n)) for n in (6, 7, 8, 13, 50, 200))]
+    whole = [langid.counts(t) for t in texts]
+    for piece in (1, 2, 7):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert all((langid.counts(t) == w).all() for t, w in zip(texts, whole, strict=True))
