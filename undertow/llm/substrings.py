@@ -136,31 +136,34 @@ def super_kmers(docs: list[tuple[int, int, bytes]], window: int, buckets: int, l
     return rows, [(id_list[i], int(keys[owner[i]]), int(start[i]), int(start[i] + count[i])) for i in covered]
 
 
+def word_numbers(bodies: list[bytes]) -> np.ndarray:
+    """A number for each word of packed strings, the same for equal words."""
+    unpack, chunks = zstandard.ZstdDecompressor().decompress, []
+    for body in bodies:  # single spaces and newlines part the words, so each is taken with the space behind it
+        data = np.frombuffer(unpack(body).replace(b"\n", b" ") + b" ", np.uint8)
+        offsets = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+        chunks.append(pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+    return np.concatenate([c.indices.to_numpy() for c in pa.chunked_array(chunks).dictionary_encode().chunks])
+
+
 def covered_windows(rows: list[tuple], window: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, key, start, end) of runs of covered windows among all super-k-mers of one bucket.
 
     Windows are sorted by a hash of their words' numbers, and equal neighbours compared word by word. A bucket of more
     than most windows is sorted in shares by that hash, so that beside its words' numbers only a share is in memory.
     """
-    unpack = zstandard.ZstdDecompressor().decompress
-    number: dict[bytes, int] = {}
-    parts = []
-    for row in rows:
-        words = unpack(row[1]).split()
-        for word in set(words).difference(number):
-            number[word] = len(number)
-        parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
-    codes = np.concatenate(parts)
-    del words, parts, number
+    codes = word_numbers([r[1] for r in rows])
     ids, keys, starts, count = (np.concatenate(x) for x in zip(*(unpacked(r[2]) for r in rows), strict=True))
     ends = np.cumsum(count)
-    mix, mixed = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(codes) - window + 1, np.uint64)
+    mix, mixed, wide = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(codes) - window + 1, np.uint64), codes.astype(np.uint64)
     for i in range(window):
-        mixed = mixed * mix + codes[i : len(mixed) + i] + np.uint64(1)
+        mixed *= mix
+        mixed += wide[i : len(mixed) + i]
         mixed ^= mixed >> np.uint64(31)
+    del wide
     valid = np.zeros(len(codes) + 1, np.int8)  # whether a window starts at a place
-    np.add.at(valid, ends - count, 1)
-    np.add.at(valid, ends - window + 1, -1)
+    valid[ends - count] = 1
+    valid[ends - window + 1] = -1
     at = np.flatnonzero(np.cumsum(valid[: len(mixed)], dtype=np.int8))
     shares = -(-len(at) // most)
     found = [repeated(codes, mixed, at if shares == 1 else at[mixed[at] % np.uint64(shares) == k], ids, ends, window) for k in range(shares)]
@@ -177,18 +180,21 @@ def covered_windows(rows: list[tuple], window: int, most: int = 1 << 21) -> tupl
 
 def repeated(codes: np.ndarray, mixed: np.ndarray, at: np.ndarray, ids: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     """Of the windows that start at the given places those whose words also stand in a document with a smaller id."""
-    order = np.argsort(mixed[at])
-    place = at[order]
-    equal = np.flatnonzero(mixed[place[1:]] == mixed[place[:-1]])
-    if not len(equal):
+    hashes = mixed[at]
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    equal = hashes[1:] == hashes[:-1]
+    if not equal.any():
         return np.zeros(0, np.int64)
-    truly = np.ones(len(equal), bool)
+    several = np.append(equal, False) | np.append(False, equal)  # windows that stand once are done with
+    hashes, place = hashes[several], at[order[several]]
+    new = hashes[1:] != hashes[:-1]
+    same = np.flatnonzero(~new)
+    truly = np.ones(len(same), bool)
     for i in range(window):
-        truly &= codes[place[equal] + i] == codes[place[equal + 1] + i]
-    if truly.all():
-        new = mixed[place[1:]] != mixed[place[:-1]]
-    else:  # two sequences with one hash: sort these by all their words
-        place = at[np.lexsort([codes[at + i] for i in range(window)])]
+        truly &= codes[place[same] + i] == codes[place[same + 1] + i]
+    if not truly.all():  # two sequences with one hash: sort these by all their words
+        place = place[np.lexsort([codes[place + i] for i in range(window)])]
         new = np.zeros(len(place) - 1, bool)
         for i in range(window):
             new |= codes[place[1:] + i] != codes[place[:-1] + i]
@@ -275,7 +281,8 @@ def covered(docs: DataFrame, window: int, buckets: int, chunk: int, hot: np.ndar
     out_schema, out_arrow = arrow_schema("doc_id long, ut_text_key long, a long, b long")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     strings = docs.select(F.col("doc_id").cast("long"), short_key(), "text").mapInArrow(spread, row_schema)
-    return strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, out_schema)
+    # a bucket's number deals it out, so that tasks get equally many
+    return strings.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket").mapInArrow(gather, out_schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, buckets: int | None = None, chunk: int = 12 << 20) -> DataFrame:
