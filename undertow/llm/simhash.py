@@ -140,7 +140,8 @@ def links(distinct: DataFrame, limit: int, most: int = 4096, rounds: int = 3) ->
     which at most 2**14 different ones can be left together at limit 3: no group is dropped or cut.
     """
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    level = frozen(variants(distinct.repartition(n, "fp"), limit))  # even, as each row becomes 64
+    # dealt out anew, as each row becomes 64; by another hash than before, or Spark would take it for done
+    level = frozen(variants(distinct.repartition(n, F.xxhash64("fp")), limit))
     found = []
     for depth in range(rounds + 1):
         hot = frozen(level.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > most).select("sig"))
