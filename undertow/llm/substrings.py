@@ -117,7 +117,7 @@ def super_kmers(docs: list[tuple[int, int, bytes]], window: int, buckets: int, l
     keys = np.array([d[1] for d in docs], np.int64)
     owner_id = ids[owner]
     rows, covered = [], []
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=5)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     text_from, text_to = begins[firsts].tolist(), ends[tails - 1].tolist()
     id_list = owner_id.tolist()
