@@ -164,6 +164,32 @@ def test_recovery_without_a_log_ends():
     assert len(list(reader.readBetweenOffsets(start, {"cursor": "never met", "n": 2}))) == 6
 
 
+def test_streamed_fifo_dedup_equals_the_plain_one(spark, tmp_path):
+    from undertow.operators.seen import FifoDeduper
+
+    texts = [t for t in "aabacabddcaebfa"]
+    plain, ddl = FifoDeduper(3), "id long, ts long, text string, content_hash string"
+    want = [i for i, t in enumerate(texts) if not plain.seen(t)]
+    out, got = str(tmp_path / "out"), None
+    for part in (range(0, 6), range(6, 15)):
+        spark.createDataFrame([(i, i, texts[i], "") for i in part], ddl).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+        jobs.fifo_deduplicated(stream, most=3).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        got = sorted(r["id"] for r in spark.read.parquet(out).collect())
+    assert got == want
+
+
+def test_streams_meet_within_a_day(spark, tmp_path):
+    day = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    claims = [(1, 10, day(2), ["Rome"]), (1, 11, day(5), ["rome"]), (2, 12, day(2), ["Oslo"])]
+    official = [(20, day(2, 23), ["ROME", "x"]), (21, day(4), ["rome"]), (22, day(9), ["oslo"])]
+    spark.createDataFrame(claims, "story_id int, id int, ts timestamp, entities array<string>").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(official, "id int, ts timestamp, entities array<string>").write.parquet(str(tmp_path / "b"))
+    a, b = (spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).parquet(str(tmp_path / n)) for n in "ab")
+    jobs.matches_in_time(a, b).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["claim"], r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(10, 20), (11, 21)]
+
+
 def test_a_failed_query_is_started_again():
     class Query:
         def awaitTermination(self):

@@ -187,3 +187,11 @@ def test_unknown_fields_are_refused(spark):
     raw = spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "b": 2}',), ('{"a": 1, "g": {"x": 1, "y": 2}}',), ("no json",)], "raw string")
     got = strict_json(raw, "raw", "a int, g struct<x:int>", {"$.g": "x int"}).select("well_formed").collect()
     assert [r[0] for r in got] == [True, False, False, False]
+
+
+def test_a_deployment_is_told_by_the_environment(monkeypatch):
+    from undertow.config import Store
+
+    monkeypatch.setenv("UNDERTOW_FOLDER", "/data")
+    monkeypatch.setenv("UNDERTOW_DAYS", "3")
+    assert Store.from_env() == Store("/data", "one", 65_536, 3)

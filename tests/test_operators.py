@@ -47,6 +47,17 @@ def test_origins(spark):
     assert found(got, "story_id", "independent_origins", "distinct_sources") == [(1, 5, 5)]
 
 
+@pytest.mark.parametrize("most", [3, 50_000])
+def test_origins_by_keys_equal_those_by_edges(spark, most):
+    rng = random.Random(12)
+    rows = table(spark, [item(i, i % 5, source=f"s{i % 4}", author_ref=rng.choice(["", "", "a", "b"]), urls=rng.choice([[], ["u"], ["u", "v"], [""]]), parent_ref=f"h{i - 5}" if rng.random() < 0.2 else "") for i in range(60)])
+    want = provenance.corroboration(provenance.origins(rows, provenance.ref_edges(rows).union(provenance.url_edges(rows)).union(provenance.author_edges(rows))))
+    got = provenance.corroboration(provenance.origins(rows, provenance.ref_edges(rows), provenance.shared_keys(), most))
+    assert found(got, "story_id", "independent_origins", "distinct_sources") == found(want, "story_id", "independent_origins", "distinct_sources")
+    pairs = provenance.author_edges(rows)
+    assert found(scoring.copies_by_class(pairs, provenance.key_classes(rows)), "story_id", "copy_edges") == found(scoring.copies(pairs), "story_id", "copy_edges")
+
+
 def test_states_never_fall(spark):
     cases = spark.createDataFrame([("rumor", 3, 2, False), ("rumor", 3, 1, False), ("corroborated", 0, 0, False), ("rumor", 0, 0, True), ("primary_backed", 1, 1, False)], "s string, o int, d int, p boolean")
     state = provenance.next_state(F.col("s"), F.col("o"), F.col("d"), F.col("p"))
@@ -116,6 +127,18 @@ def test_lsh_recall(spark):
     assert near <= exact and len(near) >= 0.9 * len(exact)
 
 
+def test_stories_form_alike_by_buckets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 64))
+    rows = [(i, i * 60, [float(x) for x in base[i % 30] + rng.normal(size=64) * 0.3], [f"e{i % 30}"]) for i in range(400)]
+    data = spark.createDataFrame(rows, "id int, ts long, embedding array<float>, entities array<string>")
+    exact = {r["id"]: r["story_id"] for r in stories.formed(data, exact=True).collect()}
+    near = {r["id"]: r["story_id"] for r in stories.formed(data).collect()}
+    assert len(set(exact.values())) == 30 and sum(near[i] == s for i, s in exact.items()) >= 0.95 * len(exact)
+
+
 def test_lsh_recall_of_loose_neighbours(spark):
     import numpy as np
 
@@ -392,6 +415,11 @@ def test_retrain_and_gate(spark, tmp_path):
     assert not worse["promoted"] and worse["incumbent_f1"] == 1.0 and worse["f1"] < 0.5
     model = labels.CurrentModel(spark, str(tmp_path))
     assert model.scores(rows.limit(2)).where("(score > 0.5) = (label = 1)").count() == 2 and model.version == version
+    from undertow.evaluate import evaluation
+
+    rows.write.parquet(str(tmp_path / "rows"))
+    report = evaluation(spark, str(tmp_path), str(tmp_path / "rows"))
+    assert report["version"] == version and report["f1"] == 1.0 and report["enough"] and evaluation(spark, str(tmp_path / "none"), str(tmp_path / "rows"))["version"] is None
     spark.createDataFrame([(3, 9.0)], "idx int, weight double").write.mode("overwrite").parquet(str(tmp_path / "bad" / "weights"))
     spark.createDataFrame([("bad", '{"sha256": "0"}')], "version string, meta string").write.parquet(str(tmp_path / "bad" / "meta"))
     spark.createDataFrame([("bad",)], "version string").write.mode("overwrite").parquet(str(tmp_path / "current"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 
@@ -65,3 +66,19 @@ class Defaults:
 
 
 D = Defaults()
+
+
+@dataclass(frozen=True)
+class Store:
+    """Where a deployment's tables and streams are, and how long a payload may be and records stay."""
+
+    folder: str
+    replica: str = "one"
+    cap: int = 65_536
+    days: int = D.retention_days
+
+    @classmethod
+    def from_env(cls) -> Store:
+        """UNDERTOW_FOLDER must be set; UNDERTOW_REPLICA, UNDERTOW_PAYLOAD_CAP and UNDERTOW_DAYS may be."""
+        env = os.environ
+        return cls(env["UNDERTOW_FOLDER"], env.get("UNDERTOW_REPLICA", cls.replica), int(env.get("UNDERTOW_PAYLOAD_CAP", cls.cap)), int(env.get("UNDERTOW_DAYS", cls.days)))

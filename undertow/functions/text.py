@@ -71,15 +71,31 @@ def _voted(digests: list[bytes]) -> int:
 
 
 def _bigrams(words: list[str]) -> list[str]:
-    return [" ".join(words[i : i + 2]) for i in range(len(words) - 1)] or words[:1]
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] or words[:1]
+
+
+def _simhash(texts: pd.Series, words_of, digest, most: int = 200_000) -> pd.Series:
+    """Simhashes of texts. Digests of bigrams are kept for the batch, up to a bound, as texts share most of theirs."""
+    known: dict[str, bytes] = {}
+
+    def one(text: str | None) -> int:
+        if len(known) > most:
+            known.clear()
+        return _voted([known.get(g) or known.setdefault(g, digest(g.encode())) for g in _bigrams(words_of(text))])
+
+    return texts.map(one, na_action=None)
 
 
 @F.pandas_udf(LongType())
-def simhash_md5(tokens: pd.Series) -> pd.Series:
-    """Simhash of an array of words, by bigrams and the first 64 bits of md5, which SQL engines share."""
+def _simhash_md5(joined: pd.Series) -> pd.Series:
     import hashlib
 
-    return tokens.map(lambda t: 0 if t is None else _voted([hashlib.md5(g.encode()).digest()[:8] for g in _bigrams(list(t))]), na_action=None)
+    return _simhash(joined, lambda t: t.split("\x1f") if t else [], lambda g: hashlib.md5(g).digest()[:8])
+
+
+def simhash_md5(tokens: Column) -> Column:
+    """Simhash of an array of words, by bigrams and the first 64 bits of md5, which SQL engines share; 0 for no words."""
+    return _simhash_md5(F.array_join(tokens, "\x1f"))
 
 
 @F.pandas_udf(LongType())
@@ -88,11 +104,7 @@ def simhash_blake2b(texts: pd.Series) -> pd.Series:
     import hashlib
     import re
 
-    def one(text: str | None) -> int:
-        words = re.findall(r"\w+", (text or "").casefold())
-        return _voted([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in _bigrams(words)])
-
-    return texts.map(one, na_action=None)
+    return _simhash(texts, lambda t: re.findall(r"\w+", (t or "").casefold()), lambda g: hashlib.blake2b(g, digest_size=8).digest())
 
 
 def unsigned(value: Column) -> Column:

@@ -94,7 +94,7 @@ def copy_classes(hashed: DataFrame, bits: int = D.copy_bits) -> tuple[DataFrame,
     masks = [signed(x | y | z) for x, y, z in itertools.combinations(parts, 3)]
     sig = F.array(*[F.struct(F.lit(i).alias("parts"), F.col("simhash").bitwiseAND(F.lit(mask).cast("long")).alias("equal")) for i, mask in enumerate(masks)])
     n = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = distinct.repartition(n, "simhash").select("simhash", "first", F.explode(sig).alias("sig"))  # even, as each row becomes many
+    side = distinct.repartition(n, F.xxhash64("simhash")).select("simhash", "first", F.explode(sig).alias("sig"))  # dealt out anew, as each row becomes many; by another hash than before, or Spark would take it for done
     x, y = (side.select("sig", F.col("simhash").alias(f"{p}_hash"), F.col("first").alias(f"{p}_id")) for p in "xy")
     links = x.join(y, "sig").where((F.col("x_id") > F.col("y_id")) & (hamming(F.col("x_hash"), F.col("y_hash")) <= bits))
     return rows.join(distinct, "simhash").select("id", "first"), links.select(F.col("x_id").alias("src"), F.col("y_id").alias("dst")).distinct()
@@ -104,17 +104,66 @@ def all_edges(items: DataFrame) -> DataFrame:
     return ref_edges(items).union(copy_edges(items)).union(url_edges(items)).union(author_edges(items))
 
 
-def origins(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """story_id, id, origin: which independent origin each item belongs to.
+def shared_keys() -> Column:
+    """What an item shares with others of its story, as keys: its author and its URLs. Items of one key are linked as by
+    author_edges and url_edges, without a pair between them."""
+    author = F.when(F.col("author_ref") != "", F.array(F.concat(F.lit("author:"), "author_ref"))).otherwise(F.array().cast("array<string>"))
+    urls = F.transform(F.filter("urls", lambda u: u != ""), lambda u: F.concat(F.lit("url:"), u))
+    return F.concat(author, F.coalesce(urls, F.array().cast("array<string>")))
 
-    Components over items and over the keys that they share, so that two items of one organisation meet
-    without a pair between them. Edges to items that are not there are left out.
+
+def key_classes(items: DataFrame) -> DataFrame:
+    """story_id, key, id, first, n_links: of each key that items share the item that came first, and to how many others
+    each is linked. A row an item and key, however many share it."""
+    rows = items.select("story_id", "id", "ts", F.explode(F.array_distinct(shared_keys())).alias("key"))
+    groups = rows.groupBy("story_id", "key").agg(F.min(F.struct("ts", "id")).alias("first"), (F.count("*") - 1).alias("n_links"))
+    return rows.join(groups, ["story_id", "key"]).select("story_id", "key", "id", F.col("first.id").alias("first"), "n_links")
+
+
+def origins(items: DataFrame, edges: DataFrame, keys: Column | None = None, most: int = 50_000) -> DataFrame:
+    """story_id, id, source, origin: which independent origin each item belongs to.
+
+    Items meet by edges, by their organisation and by keys (an array of strings), so that two of one organisation or key
+    meet without a pair between them. Edges to items that are not there are left out. A story of up to most items is
+    one group in memory; those of more are joined into components, which no task holds.
     """
+    wide = items.withColumn("linked_by", F.concat(F.when(origin_key() != "", F.array(F.concat(F.lit("org:"), origin_key()))).otherwise(F.array().cast("array<string>")), keys if keys is not None else F.array().cast("array<string>")))
+    wide = wide.select("story_id", "id", "source", "linked_by")
+    crowded = frozen(items.groupBy("story_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("story_id"))
+    if crowded.isEmpty():
+        return _origins_of_small(wide, edges)
+    part = lambda rows, how: rows.join(crowded, "story_id", how)
+    return _origins_of_small(part(wide, "left_anti"), part(edges, "left_anti")).union(_origins_of_large(part(wide, "left_semi"), part(edges, "left_semi")))
+
+
+def _origins_of_small(items: DataFrame, edges: DataFrame) -> DataFrame:
+    targets = edges.groupBy("story_id", F.col("src").alias("id")).agg(F.collect_set("dst").alias("targets"))
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+
+    def run(group):
+        parent = {i: i for i in group["id"]}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        owner: dict = {}
+        for i, keys, dsts in zip(group["id"], group["linked_by"], group["targets"], strict=True):
+            for other in [*(d for d in (dsts if dsts is not None else ()) if d in parent), *(owner.setdefault(k, i) for k in keys)]:
+                parent[find(other)] = find(i)
+        return group[["story_id", "id", "source"]].assign(origin=[str(find(i)) for i in group["id"]])
+
+    return items.join(targets, ["story_id", "id"], "left").groupBy("story_id").applyInPandas(run, f"story_id {kinds['story_id']}, id {kinds['id']}, source string, origin string")
+
+
+def _origins_of_large(items: DataFrame, edges: DataFrame) -> DataFrame:
     known = items.select("story_id", "id")
     node = lambda kind, value: F.concat_ws("|", F.col("story_id").cast("string"), F.lit(kind), F.col(value).cast("string"))
     there = edges.join(known.withColumnRenamed("id", "src"), ["story_id", "src"], "left_semi").join(known.withColumnRenamed("id", "dst"), ["story_id", "dst"], "left_semi")
     linked = there.select(node("item", "src").alias("a"), node("item", "dst").alias("b"))
-    keyed = items.withColumn("okey", origin_key()).where("okey <> ''").select(node("item", "id").alias("a"), node("key", "okey").alias("b"))
+    keyed = items.select("story_id", "id", F.explode("linked_by").alias("key")).select(node("item", "id").alias("a"), node("key", "key").alias("b"))
     roots = components(linked.union(keyed))
     return items.withColumn("node", node("item", "id")).join(roots, "node", "left").select("story_id", "id", "source", F.coalesce("root", "node").alias("origin"))
 
@@ -141,9 +190,9 @@ def primary_in_story(items: DataFrame) -> DataFrame:
     return items.groupBy("story_id").agg((F.bool_or(F.col("source_class") == "social") & official).alias("primary_matched"))
 
 
-def trust_states(items: DataFrame, edges: DataFrame, current: DataFrame | None = None) -> DataFrame:
+def trust_states(items: DataFrame, edges: DataFrame, current: DataFrame | None = None, keys: Column | None = None) -> DataFrame:
     """State of each story as its final graph has it: story_id, independent_origins, distinct_sources, trust_state."""
-    found = corroboration(origins(items, edges)).join(primary_in_story(items), "story_id")
+    found = corroboration(origins(items, edges, keys)).join(primary_in_story(items), "story_id")
     found = found.join(current.select("story_id", "trust_state"), "story_id", "left") if current is not None else found.withColumn("trust_state", F.lit("rumor"))
     state = next_state(F.coalesce("trust_state", F.lit("rumor")), F.col("independent_origins"), F.col("distinct_sources"), F.col("primary_matched"))
     return found.select("story_id", "independent_origins", "distinct_sources", state.alias("trust_state"))

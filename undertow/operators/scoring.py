@@ -44,6 +44,14 @@ def copies(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("edge_type").isin("copy", "author")).groupBy("story_id").agg(F.count("*").alias("copy_edges"))
 
 
+def copies_by_class(copied: DataFrame, classes: DataFrame) -> DataFrame:
+    """As copies, from edges of copies alone and from key_classes: n items of one author are n (n - 1) / 2 edges, which
+    need not be made to be counted."""
+    authors = classes.where(F.col("key").startswith("author:")).groupBy("story_id").agg((F.sum("n_links") / 2).cast("long").alias("n"))
+    rest = copied.where("edge_type = 'copy'").groupBy("story_id").agg(F.count("*").alias("n"))
+    return authors.union(rest).groupBy("story_id").agg(F.sum("n").alias("copy_edges")).where("copy_edges > 0")
+
+
 def story_inauthenticity(items: DataFrame, edges: DataFrame, origins: DataFrame, previous: DataFrame) -> DataFrame:
     """story_id, social_items, synced_items, low_rep_items, copy_edges, inauthenticity, for stories with social items."""
     joined = synchronised(items).join(low_reputation(items, previous), "story_id", "left").join(copies(edges), "story_id", "left").join(origins.select("story_id", "independent_origins"), "story_id", "left")

