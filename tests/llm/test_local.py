@@ -256,3 +256,15 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
     for piece in (1, 2, 7):
         monkeypatch.setattr(langid, "PIECE", piece)
         assert all((langid.counts(t) == w).all() for t, w in zip(texts, whole, strict=True))
+
+
+def test_a_worker_holds_one_operators_tables():
+    from undertow.llm import common
+
+    made = []
+    make = lambda name: lambda: made.append(name) or name
+    for owner, detail in (("a", None), ("a", None), ("a", 1), ("b", None), ("b", None), ("a", None)):
+        common.held(owner, make(f"{owner}{detail}"), detail)
+    assert made == ["aNone", "a1", "bNone", "aNone"]
+    common.claim("c")
+    assert list(common._held) == ["c"]

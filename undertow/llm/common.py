@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import types as T
 
 from undertow.operators.graph import components, frozen, shared_folder
 
-__all__ = ["arrow_schema", "as_bytes", "components", "frozen", "held", "keyed", "map_batches", "same_document", "shared_folder", "table", "text_key", "whole"]
+__all__ = ["arrow_schema", "as_bytes", "claim", "components", "frozen", "held", "keyed", "map_batches", "same_document", "shared_folder", "table", "text_key", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,7 @@ def map_batches(docs: DataFrame, columns: list, ddl: str, work: Callable[[pa.Rec
     schema, arrow = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(work.__module__)
         for batch in batches:
             if batch.num_rows:
                 for out in work(batch):
@@ -69,15 +73,27 @@ def same_document(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, on, how).drop("ut_doc_id", "ut_key")
 
 
-_held: dict = {}
+_held: dict[str, dict] = {}
 
 
-def held(name, make: Callable):
-    """What make returns, kept by a Python worker from batch to batch; what it kept under another name is let go.
+def claim(owner: str) -> None:
+    """Let go, in this Python worker, of what other operators than owner hold, and give the memory back.
 
     Workers serve one stage after the other. So one holds one operator's tables at a time, and not those of all.
     """
-    if name not in _held:
+    if _held and owner not in _held:
         _held.clear()
-        _held[name] = make()
-    return _held[name]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library of another system
+            ctypes.CDLL(None).malloc_trim(0)
+    _held.setdefault(owner, {})
+
+
+def held(owner: str, make: Callable, detail=None):
+    """What make returns, kept by a Python worker from batch to batch for owner (a module's name) and each detail."""
+    claim(owner)
+    own = _held[owner]
+    if detail not in own:
+        own[detail] = make()
+    return own[detail]

@@ -171,7 +171,7 @@ def indexes(benchmark: DataFrame, block_words: int = 500_000) -> Iterator:
 
 
 def words() -> Words:
-    return held("decontam", Words)
+    return held(__name__, Words)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import map_batches
+from undertow.llm.common import held, map_batches
 
 DIM = 1 << 13
 BINS = 14
@@ -44,13 +44,11 @@ def counts(text: str) -> np.ndarray:
 
 
 _LAST = 0x30000
-_table: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    if not _table:
-        _table.append(np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(_LAST)] + [True]))
-    return _table[0]
+    """Whether each code point below _LAST is a letter; all from there on count as letters."""
+    return held(__name__, lambda: np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(_LAST)] + [True]))
 
 
 def grams_bin(rows: np.ndarray) -> np.ndarray:

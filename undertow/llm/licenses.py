@@ -98,7 +98,7 @@ def machines() -> tuple:
 
 def tagged_expressions(text: bytes) -> list[bytes]:
     """What stands behind each identifier tag, to its end. Latin-1 keeps a character a byte, so places are the text's."""
-    ends = [end + 1 for end, _ in held("licenses", machines)[1].iter(text.lower().decode("latin-1"))]
+    ends = [end + 1 for end, _ in held(__name__, machines)[1].iter(text.lower().decode("latin-1"))]
     return [found[1] for found in (EXPRESSION.match(text, end) for end in ends) if found]
 
 
@@ -108,7 +108,7 @@ def scan(text: bytes) -> tuple:
     folded = f" {b' '.join(words).decode('utf-8', 'replace')} "
     places, base, more, expressions, free = [], set(), set(), [], []
     tagged, seen, at = False, 0, 0
-    for end, (label, own, length) in held("licenses", machines)[0].iter(folded):
+    for end, (label, own, length) in held(__name__, machines)[0].iter(folded):
         start = end - length + 1
         if label == TAG:
             tagged = True

@@ -203,7 +203,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
         import pyarrow as pa
 
         path = public_tokenizers.path(vocabulary)
-        words = held(("packing", path), lambda: WordIds(path))
+        words = held(__name__, lambda: WordIds(path), path)
         context = TaskContext.get()
         state = {"base": (context.partitionId() if context else 0) << 32, "sequences": 0, "groups": 0}
         end, waiting, size = end_id.to_bytes(4, "little"), [], 0

@@ -260,7 +260,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
         import public_tokenizers
 
         path = public_tokenizers.path(vocabulary)
-        machine = held(("tokens", path), lambda: CountTransducer(path))
+        machine = held(__name__, lambda: CountTransducer(path), path)
         ids, texts = batch.column(0), as_bytes(batch.column(1))
         tokens = [machine.count(t) if t else 0 for t in texts]
         yield {"doc_id": ids, "n_bytes": [len(t) if t else 0 for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
