@@ -285,7 +285,7 @@ def covered(docs: DataFrame, window: int, buckets: int, chunk: int, hot: np.ndar
     return strings.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket").mapInArrow(gather, out_schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, buckets: int | None = None, chunk: int = 12 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, buckets: int | None = None, chunk: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text) of every row of docs (doc_id integer, text; nothing else is read).
 
     Words are what ASCII white space separates. A word goes if a window of consecutive words that covers it
