@@ -193,14 +193,13 @@ def cycle_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("story_id", F.lit("story").alias("kind"), F.col("mainstream_presence").alias("presence")).union(due.select("story_id", F.lit("alert"), "gap"))
 
 
-#: 48 SHA-256 digests are 384 unsigned integers, lowest byte first.
-@query("""WITH d AS (SELECT doc_id, i, j, sha256(i || ':' || coalesce(text, '')) AS x FROM documents, (SELECT unnest(range(48)) AS i), (SELECT unnest(range(8)) AS j)),
-w AS (SELECT doc_id, i * 8 + j AS place, ('0x' || substr(x, j * 8 + 7, 2) || substr(x, j * 8 + 5, 2) || substr(x, j * 8 + 3, 2) || substr(x, j * 8 + 1, 2))::UBIGINT / 4294967295.0 - 0.5 AS v FROM d),
-n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM w GROUP BY doc_id)
-SELECT doc_id, place, round(v / n, 4) AS value FROM w JOIN n USING (doc_id) WHERE place % 64 = 63""")
-def hash_embed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 64th number of the hash embedder's vectors."""
+#: 48 SHA-256 digests are 384 unsigned integers, lowest byte first. Sums are compared, as the vectors hold single precision.
+@query("""WITH d AS (SELECT doc_id, i, sha256(i || ':' || coalesce(text, '')) AS x FROM documents, (SELECT unnest(range(48)) AS i)),
+w AS (SELECT doc_id, i * 8 + j AS place, ('0x' || substr(x, j * 8 + 7, 2) || substr(x, j * 8 + 5, 2) || substr(x, j * 8 + 3, 2) || substr(x, j * 8 + 1, 2))::UBIGINT / 4294967295.0 - 0.5 AS v FROM d, (SELECT unnest(range(8)) AS j))
+SELECT doc_id, count(*) AS n, CAST(round(sum(v * (place + 1)) / sqrt(sum(v * v))) AS BIGINT) AS weighted FROM w GROUP BY doc_id""")
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the hash embedder's vectors, and the sum of their numbers weighted by place."""
     from undertow.functions.vector import hash_embedding
 
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(hash_embedding()("text")).alias("place", "value"))
-    return rows.where("place % 64 = 63").select("doc_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 4).alias("value"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double") * (F.col("place") + 1))).cast("long").alias("weighted"))

@@ -9,6 +9,7 @@ from undertow.config import D
 from undertow.functions.text import CUES
 from undertow.functions.series import corroboration_weight, gap_score
 from undertow.operators import admission, labels, provenance, scoring, serving, storage
+from undertow.operators.graph import frozen
 from undertow.plans.adapters import ALERTS, EDGES, ITEMS, LAST, MENTIONS, MINUTES, NOW, START, STORY_ROWS, alerts, edges, items, last_mention, latest, mentions, stories, table
 from undertow.plans.catalog import query
 
@@ -230,7 +231,7 @@ w2 AS (SELECT idx, coalesce(w, 0) - 0.5 * (g + 0.0001 * coalesce(w, 0)) AS w FRO
 def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model trained over all labelled items, for two epochs, and its scores of all items, as joins of sparse features."""
     rows = items(spark, sf_dir)
-    found = labels.features(rows)
+    found = frozen(labels.features(rows))  # to train on and to score
     weights = labels.trained_sparse(found, labels.weak_labels(rows, stories(spark, sf_dir)).select("id", "label"), epochs=2)
     return labels.scored(found, weights).select("id", F.round("score", 6).alias("score"))
 

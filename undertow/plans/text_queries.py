@@ -11,7 +11,6 @@ from undertow.functions import text as T
 from undertow.functions.geo import haversine_km
 from undertow.functions.url import canonical_url as canonical
 from undertow.functions.url import canonical_url_exact as canonical_exact
-from undertow.functions.vector import hash_embedding
 from undertow.operators import entities, labels, provenance, storage
 from undertow.plans.adapters import ITEMS, items, table
 from undertow.plans.catalog import query
@@ -19,8 +18,8 @@ from undertow.plans.catalog import query
 CUES = "|".join(T.CUES)
 
 
-@query(f"""SELECT doc_id, round(least(1.0, 0.3 + CASE WHEN length(text) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{CUES}') THEN 0.3 ELSE 0 END), 6) AS score,
-round(least(1.0, least(1.0, 0.3 + CASE WHEN length(text) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{CUES}') THEN 0.3 ELSE 0 END) + CASE WHEN doc_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN doc_id % 3 > 0 THEN 0.15 ELSE 0 END), 6) AS composed FROM documents""")
+@query(f"""SELECT doc_id, CAST(score AS DOUBLE) AS score, CAST(composed AS DOUBLE) AS composed FROM (SELECT doc_id, round(least(1.0, 0.3 + CASE WHEN length(text) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{CUES}') THEN 0.3 ELSE 0 END), 6) AS score,
+round(least(1.0, least(1.0, 0.3 + CASE WHEN length(text) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{CUES}') THEN 0.3 ELSE 0 END) + CASE WHEN doc_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN doc_id % 3 > 0 THEN 0.15 ELSE 0 END), 6) AS composed FROM documents)""")
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, score = F.col("doc_id"), F.col("score")
     rows = table(spark, sf_dir, "documents").select("doc_id", T.relevance(F.col("text")).alias("score"))
@@ -154,11 +153,6 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.digest_key("bsky:", uri).alias("content_hash"), T.digest_key("", F.col("source"), 32).alias("author_ref"))
 
 
-@query()
-def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", hash_embedding()("text").alias("embedding"))
-
-
 @query(f"WITH {ITEMS} SELECT id FROM items WHERE CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8)) AS UBIGINT) % 10000 < 200")
 def exploration_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reproducible two per cent of items that are kept when shed: a sampling operator."""
