@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import decontam, embeddings, langid, licenses, linededup, packing, shard, simhash, substrings, tokens
+from undertow.llm import conversations, decontam, embeddings, langid, licenses, linededup, packing, pivots, runs, shard, simhash, substrings, tokens
 from undertow.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.looped(table(spark, sf_dir, "documents"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_token_counts": op2_token_counts,
@@ -68,5 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op11_pivot_search": op11_pivot_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": linededup.SQL, "op6_embedding_duplicates": embeddings.SQL, "op8_substrings": substrings.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": linededup.SQL, "op6_embedding_duplicates": embeddings.SQL, "op8_substrings": substrings.SQL, "op11_pivot_search": pivots.SQL, "op13_conversation_repair": conversations.SQL}
