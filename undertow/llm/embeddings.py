@@ -36,6 +36,7 @@ class Grid:
         self.axes, self.cell, self.least = axes, cell, least
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
+        vectors = sized(vectors)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         return unit @ self.rotation
 
@@ -67,6 +68,11 @@ class Grid:
         return fits.argmax(1)
 
 
+def sized(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that takes its largest component to 0.5 to 1, so that no square over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True, initial=0))[1])
+
+
 def hashed(cells: np.ndarray, block: int) -> np.ndarray:
     mix, out = np.uint64(0x9E3779B97F4A7C15), np.full(len(cells), block + 1, np.uint64)
     for i in range(cells.shape[1]):
@@ -146,7 +152,7 @@ def verified(rows: DataFrame, grid: Grid, kind: str) -> DataFrame:
             return
         block, tile, parts = (waiting[0].column(i)[0].as_py() for i in (1, 3, 4))
         part, guest, vids, copies = (np.concatenate([w.column(i).to_numpy(zero_copy_only=False) for w in waiting]) for i in (5, 6, 7, 8))
-        raw = np.concatenate([bodies(w.column(9)) for w in waiting]).astype(float)
+        raw = sized(np.concatenate([bodies(w.column(9)) for w in waiting]).astype(float))
         unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
         turned = unit @ grid.rotation
         a, b = grid.edges[block], grid.edges[block + 1]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from zlib import crc32
 
 import numpy as np
@@ -12,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import held, map_batches
+from undertow.llm.common import frozen, held, map_batches
 
 DIM = 1 << 13
 BINS = 14
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -79,7 +77,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and whether rejected, for whole texts."""
         langs, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        useful = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        useful = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if not self.langs:
             return langs, scores, rejected
         for at in range(0, len(useful), 64):
@@ -148,7 +146,8 @@ def fit(docs: DataFrame, per_lang: int = 300, max_rows: int = 20_000, clusters:
             yield {"lang": [lang] * 2, "snippet": [False, True], "at": [x.astype("<u2").tobytes() for x in at], "n": [f[x].astype("<u4").tobytes() for f, x in zip(found, at, strict=True)]}
 
     columns = [F.col("doc_id"), F.col("lang"), F.col("text")]
-    got = sorted((r["lang"], r["snippet"], r["at"], r["n"]) for r in map_batches(sample, columns, "lang string, snippet boolean, at binary, n binary", work).toLocalIterator())
+    drawn = frozen(map_batches(sample, columns, "lang string, snippet boolean, at binary, n binary", work))  # in one job, by all tasks; what the driver reads is bounded
+    got = sorted((r["lang"], r["snippet"], r["at"], r["n"]) for r in drawn.collect())
     if not got:
         return Model.empty()
 

@@ -82,7 +82,17 @@ def dedup_lines(docs: DataFrame, window: int = 3, words: int | None = 50) -> Dat
     window, into the repeated run. The first place of a window is aggregated before the shuffle and joined back, so a
     line however frequent costs its own rows and no pairs.
     """
-    rows = keyed(docs.drop("n_lines", "n_removed"))
+    out = _kept(keyed(docs.drop("n_lines", "n_removed")), docs, window, words)
+    return out.select("ut_row.*", F.col("ut_n").alias("n_lines"), F.col("ut_m").alias("n_removed"))
+
+
+def without_repeats(docs: DataFrame, window: int = 3, words: int | None = 50) -> DataFrame:
+    """docs as dedup_lines cleans them, with its own columns and no others, be they named as they may."""
+    return whole(_kept(keyed(docs), docs, window, words))
+
+
+def _kept(rows: DataFrame, docs: DataFrame, window: int, words: int | None) -> DataFrame:
+    """ut_row with the text cleaned, and how many lines it had (ut_n) and lost (ut_m)."""
     joined = same_document(rows, repeated_lines(docs, window, words), "left")
     lines = F.split("ut_row.text", "\n", -1)
     # the stretches between those that go
@@ -93,7 +103,7 @@ def dedup_lines(docs: DataFrame, window: int = 3, words: int | None = 50) -> Dat
     kept = F.when(F.col("ut_gone").isNull(), F.col("ut_row.text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
     added = F.coalesce(F.size("ut_lines"), F.lit(0)), F.coalesce(F.size("ut_gone"), F.lit(0))
     out = ready.select(F.col("ut_row").withField("text", kept).alias("ut_row"), added[0].alias("ut_n"), added[1].alias("ut_m"))
-    return out.select("ut_row.*", F.when(F.col("ut_n") < 0, 0).otherwise(F.col("ut_n")).alias("n_lines"), F.when(F.col("ut_m") < 0, 0).otherwise(F.col("ut_m")).alias("n_removed"))
+    return out.select("ut_row", *[F.greatest(F.col(c), F.lit(0)).alias(c) for c in ("ut_n", "ut_m")])
 
 
 #: The result of dedup_lines(window=3, words=50) over documents: doc_id, n_lines, n_removed, text.

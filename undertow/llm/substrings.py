@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 from undertow.llm.common import arrow_schema, as_bytes, frozen, map_batches, same_document
 
-#: Stands for a missing doc_id: no document's is smaller for it being there.
+#: Stands for a missing doc_id, of which NAMELESS, a bit of the row's key beyond those of short_key, tells a document that
+#: has the greatest id. A document without doc_id is later than all that have one.
 NO_ID = np.iinfo(np.int64).max
+NAMELESS = 1 << 31
 ROW = "bucket long, body binary, places binary"
 
 
@@ -77,7 +79,7 @@ def super_kmers(docs: list[tuple[int, int, bytes]], window: int, buckets: int, l
     are covered, which needs no further look. So a group of copies costs a string for each call, not each copy.
     Windows whose minimiser is among hot (sorted) are dealt by a hash of all their words instead, one string each.
     """
-    docs = sorted(docs, key=lambda d: d[0])
+    docs = sorted(docs, key=lambda d: (d[0], d[1] & NAMELESS))
     words, sizes = flat_words([text for _, _, text in docs], window)
     if not words:
         return [], []
@@ -121,13 +123,15 @@ def super_kmers(docs: list[tuple[int, int, bytes]], window: int, buckets: int, l
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     text_from, text_to = begins[firsts].tolist(), ends[tails - 1].tolist()
     id_list = owner_id.tolist()
+    place = [2 * d[0] + (d[1] & NAMELESS > 0) for d in docs]  # in the order of documents, equal for those of one doc_id
+    order_of = [place[i] for i in owner.tolist()]
     for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         seen: dict[bytes, int] = {}
         strings, kept = [], []
         # in the order of doc_id, as runs of one bucket are in the order of documents
         for i in range(low, high):
             string = flat[text_from[i] : text_to[i]]
-            if seen.setdefault(string, id_list[i]) < id_list[i]:
+            if seen.setdefault(string, order_of[i]) < order_of[i]:
                 covered.append(i)
             else:
                 strings.append(string)
@@ -166,7 +170,7 @@ def covered_windows(rows: list[tuple], window: int, most: int = 1 << 21) -> tupl
     valid[ends - window + 1] = -1
     at = np.flatnonzero(np.cumsum(valid[: len(mixed)], dtype=np.int8))
     shares = -(-len(at) // most)
-    found = [repeated(codes, mixed, at if shares == 1 else at[mixed[at] % np.uint64(shares) == k], ids, ends, window) for k in range(shares)]
+    found = [repeated(codes, mixed, at if shares == 1 else at[mixed[at] % np.uint64(shares) == k], ids, keys & NAMELESS > 0, ends, window) for k in range(shares)]
     found = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
     none = np.zeros(0, np.int64)
     if not len(found):
@@ -178,7 +182,7 @@ def covered_windows(rows: list[tuple], window: int, most: int = 1 << 21) -> tupl
     return ids[piece[first]], keys[piece[first]], starts[piece[first]] + offset[first], starts[piece[last]] + offset[last] + window
 
 
-def repeated(codes: np.ndarray, mixed: np.ndarray, at: np.ndarray, ids: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+def repeated(codes: np.ndarray, mixed: np.ndarray, at: np.ndarray, ids: np.ndarray, nameless: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     """Of the windows that start at the given places those whose words also stand in a document with a smaller id."""
     hashes = mixed[at]
     order = np.argsort(hashes)
@@ -198,9 +202,11 @@ def repeated(codes: np.ndarray, mixed: np.ndarray, at: np.ndarray, ids: np.ndarr
         new = np.zeros(len(place) - 1, bool)
         for i in range(window):
             new |= codes[place[1:] + i] != codes[place[:-1] + i]
-    owner = ids[np.searchsorted(ends, place, "right")]
-    least = np.minimum.reduceat(owner, np.concatenate([[0], np.flatnonzero(new) + 1]))
-    return place[owner > least[np.concatenate([[0], np.cumsum(new)])]]
+    piece = np.searchsorted(ends, place, "right")
+    owner, named = ids[piece], ~nameless[piece]
+    starts, group = np.concatenate([[0], np.flatnonzero(new) + 1]), np.concatenate([[0], np.cumsum(new)])
+    least, some = np.minimum.reduceat(owner, starts)[group], np.logical_or.reduceat(named, starts)[group]
+    return place[(owner > least) | ~named & some]
 
 
 def hot_minimisers(docs: DataFrame, window: int, buckets: int, one_in: int = 64, fewest: int = 100_000) -> np.ndarray:
@@ -232,7 +238,7 @@ def hot_minimisers(docs: DataFrame, window: int, buckets: int, one_in: int = 64,
 
 def short_key() -> F.Column:
     """Tells two texts under one doc_id apart."""
-    return F.xxhash64("text").bitwiseAND((1 << 32) - 1).alias("ut_text_key")
+    return F.xxhash64("text").bitwiseAND(NAMELESS - 1).alias("ut_text_key")
 
 
 def covered(docs: DataFrame, window: int, buckets: int, chunk: int, hot: np.ndarray) -> DataFrame:
@@ -243,7 +249,7 @@ def covered(docs: DataFrame, window: int, buckets: int, chunk: int, hot: np.ndar
         for batch in batches:
             for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 if text:
-                    held.append((NO_ID if doc_id is None else doc_id, key, text))
+                    held.append((NO_ID, key | NAMELESS, text) if doc_id is None else (doc_id, key, text))
                     size += len(text)
                 if size >= chunk:
                     yield from sent(held)
@@ -275,7 +281,7 @@ def covered(docs: DataFrame, window: int, buckets: int, chunk: int, hot: np.ndar
             yield result(*covered_windows(held, window))
 
     def result(ids, keys, a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(keys), pa.array(a), pa.array(b)], schema=out_arrow)
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=keys & NAMELESS > 0), pa.array(keys & ~NAMELESS), pa.array(a), pa.array(b)], schema=out_arrow)
 
     row_schema, row_arrow = arrow_schema(ROW)
     out_schema, out_arrow = arrow_schema("doc_id long, ut_text_key long, a long, b long")
