@@ -54,8 +54,63 @@ def test_origins_by_keys_equal_those_by_edges(spark, most):
     want = provenance.corroboration(provenance.origins(rows, provenance.ref_edges(rows).union(provenance.url_edges(rows)).union(provenance.author_edges(rows))))
     got = provenance.corroboration(provenance.origins(rows, provenance.ref_edges(rows), provenance.shared_keys(), most))
     assert found(got, "story_id", "independent_origins", "distinct_sources") == found(want, "story_id", "independent_origins", "distinct_sources")
-    pairs = provenance.author_edges(rows)
-    assert found(scoring.copies_by_class(pairs, provenance.key_classes(rows)), "story_id", "copy_edges") == found(scoring.copies(pairs), "story_id", "copy_edges")
+
+
+def tangled(spark, n=80, stories=4, seed=12):
+    """Items with every kind of edge, copies of equal and of near simhashes among them."""
+    rng = random.Random(seed)
+    base = [rng.getrandbits(62) | 1 for _ in range(4)]
+    simhash = lambda: rng.choice([0, rng.getrandbits(62), rng.choice(base), rng.choice(base) ^ sum({1 << rng.randrange(62) for _ in range(rng.randint(1, 6))})])
+    return table(spark, [item(i, i % stories, ts=rng.randint(0, n), source=f"s{i % 5}", author_ref=rng.choice(["", "", "", f"a{i % 7}"]), urls=rng.choice([[], [], [f"u{i % 9}"]]), simhash=simhash(), content_hash=f"h{rng.randrange(n)}", parent_ref=f"h{rng.randrange(n)}" if rng.random() < 0.3 else "") for i in range(n)])
+
+
+def linked(rows):
+    """The edges that are no keys, without pairs of copies."""
+    links = provenance.story_copies(rows)[1].select("story_id", "src", "dst")
+    return provenance.ref_links(rows).union(links)
+
+
+@pytest.mark.parametrize("most", [3, 50_000])
+def test_copies_count_by_class_as_by_pair(spark, most):
+    rows = tangled(spark)
+    pairs = provenance.all_edges(rows)
+    assert pairs.where("edge_type = 'copy'").count() > 20
+    assert found(scoring.copies_by_class(rows), "story_id", "copy_edges") == found(scoring.copies(pairs), "story_id", "copy_edges")
+    want, got = provenance.origins(rows, pairs), provenance.origins(rows, linked(rows), provenance.shared_keys(copies=True), most)
+    assert found(got, "story_id", "id", "origin") == found(want, "story_id", "id", "origin")  # names and all, whatever the path
+
+
+def test_replay_of_links_equals_every_prefix_of_all_pairs(spark):
+    rows = tangled(spark, 60, 3, 5)
+    pairs = [(r["story_id"], r["src"], r["dst"]) for r in provenance.all_edges(rows).collect()]
+    want = []
+    for story in range(3):
+        order = sorted((r for r in rows.collect() if r["story_id"] == story), key=lambda r: (r["ts"], r["id"]))
+        for n in range(1, len(order) + 1):
+            root = {r["id"]: r["id"] for r in order[:n]}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for s, a, b in pairs:
+                if s == story and a in root and b in root:
+                    root[find(a)] = find(b)
+            origins = {find(r["id"]) for r in order[:n]}
+            sources = {min(r["source"] for r in order[:n] if find(r["id"]) == o) for o in origins}
+            want.append((story, order[n - 1]["id"], n - 1, len(origins), len(sources)))
+    got = provenance.replay(rows, linked(rows), provenance.shared_keys(copies=True))
+    assert found(got, "story_id", "id", "seq", "independent_origins", "distinct_sources") == sorted(want)
+
+
+def test_ref_links_connect_what_edges_do_at_every_moment(spark):
+    rows = table(spark, [item(1, content_hash="x"), item(2, content_hash="x"), item(3, parent_ref="x"), item(4, parent_ref="x"), item(5, content_hash="x"), item(6, parent_ref="h6", content_hash="h6"), item(7, content_hash="h6")])
+    assert found(provenance.ref_links(rows), "src", "dst") == [(1, 3), (2, 3), (3, 1), (4, 1), (5, 3), (7, 6)]
+
+
+def test_more_simhashes_meet_under_longer_keys():
+    assert [provenance._equal_parts(n, 6) for n in (0, 1000, 10_000, 10**6, 10**7, 10**10, 10**15)] == [1, 1, 2, 3, 4, 6, 6]
 
 
 def test_states_never_fall(spark):
@@ -369,7 +424,7 @@ def test_feed_and_notifier(spark):
     assert serving.Notifier.at_newest(lambda *m: sent.append(m), alerts).poll(alerts, rows) == 0
     notifier = serving.Notifier(lambda *m: sent.append(m), 5)
     assert notifier.poll(alerts, rows, batch=1) == 2 and notifier.poll(alerts, rows) == 0
-    assert sorted(m[0] for m in sent) == ["Developing: b", "Developing: unknown entities"]
+    assert sorted(m[0] for m in sent) == ["Developing story: b", "Developing story: unknown entities"]
 
     def fails(*_):
         raise OSError

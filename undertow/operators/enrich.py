@@ -11,7 +11,7 @@ from undertow.functions.text import composed_relevance, relevance
 from undertow.functions.vector import hash_embedding
 from undertow.operators.admission import governed
 from undertow.operators.entities import filled_geo, merged
-from undertow.operators.storage import first_of_key
+from undertow.operators.storage import dedup_key, first_of_key
 from undertow.schemas import ENTITY, GEO
 
 
@@ -31,13 +31,15 @@ def enriched(
 ) -> DataFrame:
     """The items that pass, with entities, geo, relevance, exploration and embedding.
 
-    items (id, ts seconds, text, content_hash, source_class, entities, geo). Of copies the first stays, and none whose
-    content_hash known has. The governor sees each of these once, in order of ts; of those that it sheds a reproducible
+    items (id, ts seconds, text, content_hash, source_class, entities, geo). Of copies the first stays, and none whose key
+    (content_hash, or the text where that is empty) is that of an item of known (content_hash, text). The governor sees each of these once, in order of ts; of those that it sheds a reproducible
     few stay, marked as exploration. Only what stays is tagged (match: a gazetteer's matcher; tag: a tagger) and embedded.
     """
     first = first_of_key(items, ["ts", "id"])
     if known is not None:
-        first = first.join(known.select("content_hash").where("content_hash <> ''"), "content_hash", "left_anti").select(*items.columns)
+        texts = known if "text" in known.columns else known.where("content_hash <> ''").withColumn("text", F.lit(None).cast("string"))
+        seen = texts.select(dedup_key().alias("known_key")).distinct()
+        first = first.withColumn("dedup_key", dedup_key()).join(seen, F.col("dedup_key").eqNullSafe(F.col("known_key")), "left_anti").select(*items.columns)
     scored = judged(first, score)
     stays = governed(scored.select("id", "ts", "relevance", "source_class"), lanes).where("admitted OR exploration").select("id", "exploration")
     out = scored.join(stays, "id")

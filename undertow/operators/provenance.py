@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+from array import array
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undertow.config import D
 from undertow.functions.geo import haversine_km
@@ -78,38 +80,84 @@ def copy_edges(items: DataFrame, bits: int = D.copy_bits) -> DataFrame:
     return _oriented(x.join(y, ["story_id", "key"]).where((F.col("x_id") < F.col("y_id")) & (hamming(F.col("x_hash"), F.col("y_hash")) <= bits)), "copy")
 
 
+def _signatures(bits: int, equal: int) -> Column:
+    """Parts of simhash under which two that differ by at most bits meet: of bits + equal parts of the 64 bits equal ones are the same."""
+    n = bits + equal
+    parts = [sum(1 << b for b in range(64 * i // n, 64 * (i + 1) // n)) for i in range(n)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [signed(sum(some)) for some in itertools.combinations(parts, equal)]
+    return F.array(*[F.struct(F.lit(i).alias("parts"), F.col("simhash").bitwiseAND(F.lit(mask).cast("long")).alias("equal")) for i, mask in enumerate(masks)])
+
+
+def _equal_parts(rows: int, bits: int) -> int:
+    """The fewest equal parts whose bits tell about as many values apart as there are rows, so that few meet by chance."""
+    return next(e for e in range(1, 7) if e == 6 or 2 ** (64 * e // (bits + e)) >= rows / 4)
+
+
 def copy_classes(hashed: DataFrame, bits: int = D.copy_bits) -> tuple[DataFrame, DataFrame]:
     """((id, first), (src, dst)) for copies among all rows (id, simhash), however many stories they are in.
 
     first is the least id of those with the same simhash; src and dst are two such first ids, the later one first, whose
     simhashes lie within bits. So copies of one simhash are a class and no pairs, and a link between two classes is one
-    row. Simhashes of 0 are left out. Of bits + 3 parts of the 64 bits three are equal in such a pair at least: rows
-    meet under every three parts, which at 6 bits are 84 keys of 21 bits each, and each pair counts once.
+    row. Simhashes of 0 are left out. Of the 64 bits, cut into a few parts more than bits, some parts are equal in such a
+    pair at least: rows meet under all choices of so many parts. Their number follows the number of simhashes, from 28 keys
+    of 16 bits at 6 bits for 10,000 to 924 of 32 for billions, so that a key's rows do not grow with the table.
     """
     rows = frozen(hashed.where(F.coalesce("simhash", F.lit(0)) != 0).select("id", "simhash"))
-    distinct = rows.groupBy("simhash").agg(F.min("id").alias("first"))
-    cuts = [64 * i // (bits + 3) for i in range(bits + 4)]
-    parts = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts, cuts[1:], strict=False)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(x | y | z) for x, y, z in itertools.combinations(parts, 3)]
-    sig = F.array(*[F.struct(F.lit(i).alias("parts"), F.col("simhash").bitwiseAND(F.lit(mask).cast("long")).alias("equal")) for i, mask in enumerate(masks)])
+    distinct = frozen(rows.groupBy("simhash").agg(F.min("id").alias("first")))
     n = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sig = _signatures(bits, _equal_parts(distinct.count(), bits))
     side = distinct.repartition(n, F.xxhash64("simhash")).select("simhash", "first", F.explode(sig).alias("sig"))  # dealt out anew, as each row becomes many; by another hash than before, or Spark would take it for done
     x, y = (side.select("sig", F.col("simhash").alias(f"{p}_hash"), F.col("first").alias(f"{p}_id")) for p in "xy")
     links = x.join(y, "sig").where((F.col("x_id") > F.col("y_id")) & (hamming(F.col("x_hash"), F.col("y_hash")) <= bits))
     return rows.join(distinct, "simhash").select("id", "first"), links.select(F.col("x_id").alias("src"), F.col("y_id").alias("dst")).distinct()
 
 
+def story_copies(items: DataFrame, bits: int = D.copy_bits) -> tuple[DataFrame, DataFrame]:
+    """((story_id, simhash, first, n), (story_id, src, dst, n)) for copies within stories of items (story_id, id, ts, simhash).
+
+    The first are classes of equal simhash, not 0: the item that came first and how many there are. The second are links
+    between the first items of two classes whose simhashes lie within bits, the later one first, with the number of pairs
+    that the link stands for. So m copies of one text are one row, and not m (m - 1) / 2.
+    """
+    known = items.where(F.coalesce("simhash", F.lit(0)) != 0)
+    classes = frozen(known.groupBy("story_id", "simhash").agg(F.min(F.struct("ts", "id")).alias("first"), F.count("*").alias("n")))
+    largest = classes.groupBy("story_id").count().agg(F.max("count")).first()[0] or 0
+    side = classes.select("story_id", "simhash", "first", "n", F.explode(_signatures(bits, _equal_parts(largest, bits))).alias("sig"))
+    x, y = (side.select("story_id", "sig", *[F.col(c).alias(f"{p}_{c}") for c in ("simhash", "first", "n")]) for p in "xy")
+    met = x.join(y, ["story_id", "sig"]).where((F.col("x_first") > F.col("y_first")) & (hamming(F.col("x_simhash"), F.col("y_simhash")) <= bits))
+    links = met.select("story_id", F.col("x_first.id").alias("src"), F.col("y_first.id").alias("dst"), (F.col("x_n") * F.col("y_n")).alias("n")).distinct()
+    return classes.select("story_id", "simhash", F.col("first.id").alias("first"), "n"), links
+
+
+def ref_links(items: DataFrame) -> DataFrame:
+    """story_id, src, dst: links that connect, at every moment, what ref_edges connects, at most two for each item.
+
+    Of the items that refer to a content_hash and of those that have it the first ones stand for all: a referring item is
+    linked to the first that is referred to, and such a one to the first that refers.
+    """
+    place = F.struct("ts", "id")
+    x, y = (items.where(f"{c} <> ''").groupBy("story_id", F.col(c).alias("key")).agg(F.min(place)["id"].alias(name)) for c, name in (("parent_ref", "x0"), ("content_hash", "y0")))
+    both = x.join(y, ["story_id", "key"])
+    sides = [items.select("story_id", F.col(c).alias("key"), "id").join(both, ["story_id", "key"]).select("story_id", F.col("id").alias("src"), F.col(other).alias("dst")) for c, other in (("parent_ref", "y0"), ("content_hash", "x0"))]
+    return sides[0].union(sides[1]).where("src <> dst").distinct()
+
+
 def all_edges(items: DataFrame) -> DataFrame:
     return ref_edges(items).union(copy_edges(items)).union(url_edges(items)).union(author_edges(items))
 
 
-def shared_keys() -> Column:
-    """What an item shares with others of its story, as keys: its author and its URLs. Items of one key are linked as by
-    author_edges and url_edges, without a pair between them."""
+def shared_keys(copies: bool = False) -> Column:
+    """What an item shares with others of its story, as keys: its author and its URLs, and with copies its simhash if it is
+    not 0. Items of one key are linked as by author_edges, url_edges and copy_edges, without a pair between them; links of
+    simhashes that are not equal are story_copies'."""
     author = F.when(F.col("author_ref") != "", F.array(F.concat(F.lit("author:"), "author_ref"))).otherwise(F.array().cast("array<string>"))
     urls = F.transform(F.filter("urls", lambda u: u != ""), lambda u: F.concat(F.lit("url:"), u))
-    return F.concat(author, F.coalesce(urls, F.array().cast("array<string>")))
+    found = F.concat(author, F.coalesce(urls, F.array().cast("array<string>")))
+    if not copies:
+        return found
+    text = F.when(F.coalesce("simhash", F.lit(0)) != 0, F.array(F.concat(F.lit("text:"), F.col("simhash").cast("string"))))
+    return F.concat(found, F.coalesce(text, F.array().cast("array<string>")))
 
 
 def key_classes(items: DataFrame) -> DataFrame:
@@ -124,8 +172,9 @@ def origins(items: DataFrame, edges: DataFrame, keys: Column | None = None, most
     """story_id, id, source, origin: which independent origin each item belongs to.
 
     Items meet by edges, by their organisation and by keys (an array of strings), so that two of one organisation or key
-    meet without a pair between them. Edges to items that are not there are left out. A story of up to most items is
-    one group in memory; those of more are joined into components, which no task holds.
+    meet without a pair between them. Edges to items that are not there are left out. An origin is named by the least id
+    of its items, as a string, however large its story. A story of up to most items is one group in memory; those of more
+    are joined into components, which no task holds.
     """
     wide = items.withColumn("linked_by", F.concat(F.when(origin_key() != "", F.array(F.concat(F.lit("org:"), origin_key()))).otherwise(F.array().cast("array<string>")), keys if keys is not None else F.array().cast("array<string>")))
     wide = wide.select("story_id", "id", "source", "linked_by")
@@ -153,7 +202,10 @@ def _origins_of_small(items: DataFrame, edges: DataFrame) -> DataFrame:
         for i, keys, dsts in zip(group["id"], group["linked_by"], group["targets"], strict=True):
             for other in [*(d for d in (dsts if dsts is not None else ()) if d in parent), *(owner.setdefault(k, i) for k in keys)]:
                 parent[find(other)] = find(i)
-        return group[["story_id", "id", "source"]].assign(origin=[str(find(i)) for i in group["id"]])
+        least: dict = {}
+        for i in group["id"]:
+            least[find(i)] = min(least.get(find(i), i), i)
+        return group[["story_id", "id", "source"]].assign(origin=[str(least[find(i)]) for i in group["id"]])
 
     return items.join(targets, ["story_id", "id"], "left").groupBy("story_id").applyInPandas(run, f"story_id {kinds['story_id']}, id {kinds['id']}, source string, origin string")
 
@@ -165,7 +217,9 @@ def _origins_of_large(items: DataFrame, edges: DataFrame) -> DataFrame:
     linked = there.select(node("item", "src").alias("a"), node("item", "dst").alias("b"))
     keyed = items.select("story_id", "id", F.explode("linked_by").alias("key")).select(node("item", "id").alias("a"), node("key", "key").alias("b"))
     roots = components(linked.union(keyed))
-    return items.withColumn("node", node("item", "id")).join(roots, "node", "left").select("story_id", "id", "source", F.coalesce("root", "node").alias("origin"))
+    found = frozen(items.withColumn("node", node("item", "id")).join(roots, "node", "left").select("story_id", "id", "source", F.coalesce("root", "node").alias("root")))
+    named = found.groupBy("root").agg(F.min("id").cast("string").alias("origin"))
+    return found.join(named, "root").select("story_id", "id", "source", "origin")
 
 
 def corroboration(origin_rows: DataFrame) -> DataFrame:
@@ -198,54 +252,98 @@ def trust_states(items: DataFrame, edges: DataFrame, current: DataFrame | None =
     return found.select("story_id", "independent_origins", "distinct_sources", state.alias("trust_state"))
 
 
-def replay(items: DataFrame, edges: DataFrame) -> DataFrame:
+def arrivals(items: DataFrame, links: DataFrame, keys: Column | None = None) -> DataFrame:
+    """items numbered within their story (seq, from 0, by ts and id), each with the numbers of earlier items that it meets.
+
+    Of the items of one organisation or key each meets the first, of links (story_id, src, dst) the later end meets the
+    earlier. At every moment that connects what all pairs would, with a row an item and key.
+    """
+    own = F.when(origin_key() != "", F.array(F.concat(F.lit("org:"), origin_key()))).otherwise(F.array().cast("array<string>"))
+    order = F.row_number().over(W.partitionBy("story_id").orderBy("ts", "id")) - 1
+    rows = frozen(items.select("story_id", "id", order.alias("seq"), "source", "source_class", (F.concat(own, keys) if keys is not None else own).alias("keys")))
+    keyed = rows.select("story_id", "seq", F.explode(F.array_distinct("keys")).alias("key"))
+    first = keyed.groupBy("story_id", "key").agg(F.min("seq").alias("first"))
+    met = keyed.join(first, ["story_id", "key"]).where("seq > first").select("story_id", "seq", "first")
+    number = lambda end: rows.select("story_id", F.col("id").alias(end), F.col("seq").alias(f"{end}_seq"))
+    ends = links.select("story_id", "src", "dst").join(number("src"), ["story_id", "src"]).join(number("dst"), ["story_id", "dst"])
+    linked = ends.where("src_seq <> dst_seq").select("story_id", F.greatest("src_seq", "dst_seq").alias("seq"), F.least("src_seq", "dst_seq").alias("first"))
+    targets = met.union(linked).groupBy("story_id", "seq").agg(F.collect_set("first").alias("earlier"))
+    return rows.drop("keys").join(targets, ["story_id", "seq"], "left")
+
+
+def replay(items: DataFrame, links: DataFrame, keys: Column | None = None) -> DataFrame:
     """story_id, id, seq, independent_origins, distinct_sources, trust_state after each item, in order of arrival.
 
     The state never falls, so it depends on every prefix: later items may merge origins that counted apart.
-    The first item of a story is not judged. One story is one group in memory, as its graph is.
+    The first item of a story is not judged. links (story_id, src, dst) and keys as for origins. Items pass in order, one by
+    one, each with the earlier ones that it meets (arrivals); of those before it only their forest is in memory, four bytes
+    an item, and the source of each origin. No story is a group in memory, and no pair of items is made.
     """
-    key = items.select("story_id", "id", "ts", "source", "source_class", origin_key().alias("okey"))
-    out_edges = edges.groupBy("story_id", F.col("src").alias("id")).agg(F.collect_list("dst").alias("dsts"))
-    rows = key.join(out_edges, ["story_id", "id"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-
-    def run(group):
-        import pandas as pd
-
-        group = group.sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
-        parent: dict = {}
-        sources: dict = {}
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def union(a, b):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[b] = a
-                sources[a] = min((s for s in (sources[a], sources.pop(b)) if s), default="")
-
-        owner, out, state, social, official = {}, [], 0, False, False
-        for i, row in enumerate(group.itertuples(index=False)):
-            parent[row.id], sources[row.id] = row.id, row.source or ""
-            for dst in row.dsts if row.dsts is not None else ():
-                if dst in parent:
-                    union(dst, row.id)
-            if row.okey:
-                union(owner.setdefault(row.okey, row.id), row.id)
-            social |= row.source_class == "social"
-            official |= row.source_class in ("authoritative", "primary")
-            n, m = len(sources), len({s for s in sources.values() if s})
-            if i:
-                state = max(state, 2 if social and official else 1 if n >= D.origins and m >= D.sources else 0)
-            out.append((row.story_id, row.id, i, n, m, list(RANK)[state]))
-        return pd.DataFrame(out, columns=["story_id", "id", "seq", "independent_origins", "distinct_sources", "trust_state"])
-
-    schema = f"story_id {kinds['story_id']}, id {kinds['id']}, seq int, independent_origins int, distinct_sources int, trust_state string"
-    return rows.groupBy("story_id").applyInPandas(run, schema)
+    schema = T._parse_datatype_string(f"story_id {kinds['story_id']}, id {kinds['id']}, seq int, independent_origins int, distinct_sources int, trust_state string")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, names, story = to_arrow_schema(schema), list(RANK), Prefix()
+        at = object()
+        for batch in batches:
+            out = []
+            for story_id, i, seq, source, source_class, earlier in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if story_id != at:
+                    at, story = story_id, Prefix()
+                story.add(source or "", source_class, earlier or ())
+                out.append((story_id, i, seq, story.origins, story.n_sources, names[story.state]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = arrivals(items, links, keys).select("story_id", "id", "seq", "source", "source_class", "earlier")
+    return rows.repartition(n, "story_id").sortWithinPartitions("story_id", "seq").mapInArrow(run, schema)
+
+
+class Prefix:
+    """A story's origins as far as it has come: a forest of item numbers, and of each tree the first of its sources by name."""
+
+    def __init__(self):
+        self.parent, self.source, self.counts = array("i"), {}, {}
+        self.origins = self.n_sources = self.state = 0
+        self.social = self.official = False
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def count(self, source: str, n: int) -> None:
+        if source:
+            now = self.counts.get(source, 0) + n
+            self.n_sources += (now > 0) - (now - n > 0)
+            if now:
+                self.counts[source] = now
+            else:
+                del self.counts[source]
+
+    def add(self, source: str, source_class: str, earlier) -> None:
+        own = len(self.parent)
+        trees = {self.find(x) for x in earlier}
+        named = [s for s in (source, *(self.source.pop(x) for x in trees if x in self.source)) if s]
+        for s in named[bool(source):]:
+            self.count(s, -1)
+        self.parent.append(own)
+        for x in trees:
+            self.parent[x] = own
+        if named:
+            self.source[own] = min(named)
+            self.count(min(named), 1)
+        self.origins += 1 - len(trees)
+        self.social |= source_class == "social"
+        self.official |= source_class in ("authoritative", "primary")
+        if own:
+            self.state = max(self.state, 2 if self.social and self.official else int(self.origins >= D.origins and self.n_sources >= D.sources))
 
 
 def candidates(replayed: DataFrame, least: int = D.candidate_origins) -> DataFrame:

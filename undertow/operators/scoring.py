@@ -10,7 +10,8 @@ from undertow.config import D
 from undertow.functions.series import acceleration, bin_start, corroboration_weight, ewma, gap_score, inauthenticity, z_of_last
 from undertow.operators import tallies
 from undertow.operators.graph import frozen
-from undertow.operators.storage import exists, insert_absent, save_snapshot, scores_updated, snapshot, upserted
+from undertow.operators.provenance import story_copies
+from undertow.operators.storage import change_snapshot, exists, insert_absent, scores_updated, snapshot, upserted
 
 
 def mainstream_presence(items: DataFrame) -> DataFrame:
@@ -44,17 +45,22 @@ def copies(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("edge_type").isin("copy", "author")).groupBy("story_id").agg(F.count("*").alias("copy_edges"))
 
 
-def copies_by_class(copied: DataFrame, classes: DataFrame) -> DataFrame:
-    """As copies, from edges of copies alone and from key_classes: n items of one author are n (n - 1) / 2 edges, which
-    need not be made to be counted."""
-    authors = classes.where(F.col("key").startswith("author:")).groupBy("story_id").agg((F.sum("n_links") / 2).cast("long").alias("n"))
-    rest = copied.where("edge_type = 'copy'").groupBy("story_id").agg(F.count("*").alias("n"))
-    return authors.union(rest).groupBy("story_id").agg(F.sum("n").alias("copy_edges")).where("copy_edges > 0")
+def copies_by_class(items: DataFrame) -> DataFrame:
+    """As copies, from items (story_id, id, ts, author_ref, simhash) without an edge between two of them: n items of one
+    author, or of one simhash, are n (n - 1) / 2 edges, and two simhashes near each other the product of their numbers."""
+    pairs = (F.sum(F.col("n") * (F.col("n") - 1)) / 2).cast("long").alias("n")
+    authors = items.where("author_ref <> ''").groupBy("story_id", "author_ref").agg(F.count("*").alias("n")).groupBy("story_id").agg(pairs)
+    classes, links = story_copies(items)
+    found = authors.union(classes.groupBy("story_id").agg(pairs)).union(links.groupBy("story_id").agg(F.sum("n").alias("n")))
+    return found.groupBy("story_id").agg(F.sum("n").alias("copy_edges")).where("copy_edges > 0")
 
 
-def story_inauthenticity(items: DataFrame, edges: DataFrame, origins: DataFrame, previous: DataFrame) -> DataFrame:
-    """story_id, social_items, synced_items, low_rep_items, copy_edges, inauthenticity, for stories with social items."""
-    joined = synchronised(items).join(low_reputation(items, previous), "story_id", "left").join(copies(edges), "story_id", "left").join(origins.select("story_id", "independent_origins"), "story_id", "left")
+def story_inauthenticity(items: DataFrame, copied: DataFrame, origins: DataFrame, previous: DataFrame) -> DataFrame:
+    """story_id, social_items, synced_items, low_rep_items, copy_edges, inauthenticity, for stories with social items.
+
+    copied (story_id, copy_edges) is copies' or copies_by_class'.
+    """
+    joined = synchronised(items).join(low_reputation(items, previous), "story_id", "left").join(copied, "story_id", "left").join(origins.select("story_id", "independent_origins"), "story_id", "left")
     joined = joined.fillna(0, ["low_rep_items", "copy_edges", "independent_origins"])
     score = inauthenticity(*(F.col(c) for c in ("social_items", "independent_origins", "copy_edges", "synced_items", "low_rep_items")))
     return joined.withColumn("inauthenticity", score)
@@ -85,17 +91,17 @@ def active(stories: DataFrame, now: int, most: int | None = None) -> DataFrame:
     return out.orderBy(F.desc("last_seen"), "story_id").limit(most) if most else out
 
 
-def score_cycle(stories: DataFrame, items: DataFrame, edges: DataFrame, mentions: DataFrame, now: int, seconds: int = D.bin_s) -> DataFrame:
+def score_cycle(stories: DataFrame, items: DataFrame, copied: DataFrame, mentions: DataFrame, now: int, seconds: int = D.bin_s) -> DataFrame:
     """Scores of all active stories as one plan: no loop over stories.
 
-    stories (story_id, last_seen, entity_set, trust_state, independent_origins, inauthenticity).
+    stories (story_id, last_seen, entity_set, trust_state, independent_origins, inauthenticity); copied (story_id, copy_edges).
     """
     live = active(stories, now).select("story_id", "entity_set", "trust_state", "independent_origins")
     start = warming(mentions, now).first()  # one row
     since = start["since"] // seconds * seconds
     entities = live.select("story_id", F.explode("entity_set").alias("entity"))
     velocity = velocities(entities, mentions, since, now, seconds)
-    fake = story_inauthenticity(items, edges, live, stories).select("story_id", F.col("inauthenticity").alias("new_inauthenticity"))
+    fake = story_inauthenticity(items, copied, live, stories).select("story_id", F.col("inauthenticity").alias("new_inauthenticity"))
     joined = live.join(velocity, "story_id", "left").join(mainstream_presence(items), "story_id", "left").join(fake, "story_id", "left")
     joined = joined.select("story_id", "trust_state", F.coalesce("velocity_z", F.lit(0.0)).alias("velocity_z"), F.coalesce("mainstream_presence", F.lit(0.0)).alias("mainstream_presence"), F.coalesce("new_inauthenticity", F.lit(0.0)).alias("inauthenticity"))
     gap = gap_score(F.col("velocity_z"), F.col("mainstream_presence"), corroboration_weight(F.col("trust_state")), F.col("inauthenticity"))
@@ -113,12 +119,12 @@ def new_alerts(scored: DataFrame, alerts: DataFrame, now: int, cooldown_s: int =
     return due.join(recent, "story_id", "left_anti")
 
 
-def cycle(stories: DataFrame, items: DataFrame, edges: DataFrame, mentions: DataFrame, alerts: DataFrame, now: int, seconds: int = D.bin_s) -> dict[str, DataFrame]:
+def cycle(stories: DataFrame, items: DataFrame, copied: DataFrame, mentions: DataFrame, alerts: DataFrame, now: int, seconds: int = D.bin_s) -> dict[str, DataFrame]:
     """A whole cycle, each part a table for its writer: scores, stories with them, alerts to append, and the health beat.
 
     Scores are of all active stories at once; alerts follow from them; the beat tells readers whether the baseline warms.
     """
-    scored = score_cycle(stories, items, edges, mentions, now, seconds)
+    scored = score_cycle(stories, items, copied, mentions, now, seconds)
     warm = F.coalesce(F.bool_or("warming"), F.lit(True))
     value = F.to_json(F.struct(warm.alias("baseline_warming"), F.count("*").alias("stories")))
     beat = scored.agg(value.alias("value")).select(F.lit("score").alias("key"), "value", F.timestamp_seconds(F.lit(now)).alias("updated_at"))
@@ -130,11 +136,11 @@ def run_cycle(spark: SparkSession, folder: str, now: int, seconds: int = D.bin_s
     stories = snapshot(spark, f"{folder}/stories")
     read = {name: spark.read.parquet(f"{folder}/{name}") for name in ("items", "edges", "mentions")}
     old = spark.read.parquet(f"{folder}/alerts") if exists(spark, f"{folder}/alerts") else spark.createDataFrame([], "story_id long, ts long")
-    parts = cycle(stories, read["items"], read["edges"], read["mentions"], old, now, seconds)
+    parts = cycle(stories, read["items"], copies(read["edges"]), read["mentions"], old, now, seconds)
     found = frozen(parts["alerts"].join(stories.select("story_id", "entity_set"), "story_id"))
-    save_snapshot(parts["stories"], f"{folder}/stories")
+    scores = frozen(parts["scores"])
+    change_snapshot(spark, f"{folder}/stories", lambda rows: scores_updated(rows, scores))  # on what another writer has left, if one was faster
     insert_absent(found.withColumn("at", F.timestamp_seconds("ts")), f"{folder}/alerts", "alerts", "at")
-    state = f"{folder}/state"
-    current = snapshot(spark, state) if exists(spark, f"{state}/current") else parts["state"].limit(0)
-    save_snapshot(upserted(current, parts["state"]), state)
-    return {"scored": parts["scores"].count(), "alerts": found.count()}
+    beat = frozen(parts["state"])
+    change_snapshot(spark, f"{folder}/state", lambda rows: beat if rows is None else upserted(rows, beat))
+    return {"scored": scores.count(), "alerts": found.count()}

@@ -53,10 +53,10 @@ def alerts_after(alert_rows: DataFrame, stories: DataFrame, cursor: int, batch:
 
 
 def push_message() -> tuple[F.Column, F.Column]:
-    """Title and body of a push for an alert with entity_set, gap, velocity_z and trust_state."""
+    """Title and body of a push for an alert with story_id, entity_set, gap, velocity_z and trust_state."""
     names = F.array_join(F.slice(F.coalesce("entity_set", F.array().cast("array<string>")), 1, 5), ", ")
-    title = F.concat(F.lit("Developing: "), F.when(names != "", names).otherwise("unknown entities"))
-    body = F.format_string("gap %.1f, velocity %.1f, %s", "gap", "velocity_z", "trust_state")
+    title = F.concat(F.lit("Developing story: "), F.when(names != "", names).otherwise("unknown entities"))
+    body = F.format_string("gap %.1f · velocity z %.1f · %s · story %s", "gap", "velocity_z", "trust_state", F.col("story_id").cast("string"))
     return title, body
 
 

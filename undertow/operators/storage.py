@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.config import D
+from undertow.operators.commits import CommitLog, Conflict
 
 KEYS = {
     "items": ("id", "ts_observed"),
@@ -67,24 +69,57 @@ def insert_absent(rows: DataFrame, path: str, name: str, ts: str) -> None:
     append(rows, path, ts)
 
 
+def has_snapshot(spark: SparkSession, folder: str) -> bool:
+    return CommitLog(spark, folder).latest()[0] >= 0
+
+
+def change_snapshot(spark: SparkSession, folder: str, change: Callable[[DataFrame | None], DataFrame], keep: int = 2) -> str:
+    """Replace a whole table by what change makes of it (None before the first version): its rows are written as a version
+    of their own, and a commit makes them the table. If another writer committed in between, change is asked again with
+    that one's rows, so neither is lost. A writer that dies in between leaves the table as it was, and rows that drop_strays
+    takes away. The last keep versions stay for those who still read them."""
+    log = CommitLog(spark, folder)
+    while True:
+        number, state = log.latest()
+        versions = state["versions"] if state else []
+        rows = change(spark.read.parquet(f"{folder}/v={versions[-1]}") if versions else None)
+        version = uuid.uuid4().hex
+        rows.write.parquet(f"{folder}/v={version}")
+        try:
+            log.put(number + 1, {"versions": [*versions, version][-keep:]})
+        except Conflict:
+            log.delete(f"v={version}")
+            continue
+        for old in [*versions, version][:-keep]:
+            log.delete(f"v={old}")
+        log.trim()
+        return version
+
+
 def save_snapshot(rows: DataFrame, folder: str) -> str:
-    """Write rows as a new version of a whole table, then the pointer that readers follow, then drop all older versions
-    but the last, which a reader may still hold. rows may be made of the version before."""
-    spark, version = rows.sparkSession, uuid.uuid4().hex
-    before = spark.read.parquet(f"{folder}/current").first()["version"] if exists(spark, f"{folder}/current") else None
-    rows.write.parquet(f"{folder}/v={version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("v=") and name[2:] not in (version, before):
-            files.delete(status.getPath(), True)
-    return version
+    """change_snapshot for rows that do not depend on those before, or whose writer is the only one."""
+    return change_snapshot(rows.sparkSession, folder, lambda _: rows)
 
 
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v={spark.read.parquet(f'{folder}/current').first()['version']}")
+    number, state = CommitLog(spark, folder).latest()
+    if state is None:
+        raise FileNotFoundError(f"no version of {folder}")
+    return spark.read.parquet(f"{folder}/v={state['versions'][-1]}")
+
+
+def drop_strays(spark: SparkSession, folder: str, seconds: int = 86_400) -> list[str]:
+    """Delete versions that no commit names and that are older than seconds: what writers left that died."""
+    log = CommitLog(spark, folder)
+    root = log.hadoop.Path(folder)
+    now, gone = spark._jvm.java.lang.System.currentTimeMillis(), []
+    listed = [(status.getPath().getName(), status.getModificationTime()) for status in log.files.listStatus(root)]
+    named = {f"v={version}" for number in log.numbers() for version in log.read(number)["versions"]}
+    for name, at in listed:
+        if name.startswith("v=") and name not in named and now - at >= seconds * 1000:
+            log.delete(name)
+            gone.append(name)
+    return sorted(gone)
 
 
 def updated(current: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
@@ -125,13 +160,31 @@ def insert_edges(edges: DataFrame, path: str) -> None:
 
 def declare(spark: SparkSession, folder: str, name: str, prefix: str, days: int = D.retention_days, cap: int = 65_536) -> DataFrame:
     """The settings of all declared streams, with this one created or brought up to date: how long its records stay, how
-    long one may be, and the subjects it takes. drop_old and publishable are held to them."""
+    long one may be, and the subjects it takes. settings() hands them to publishable and drop_old."""
     row = spark.createDataFrame([(name, prefix, days, cap)], "name string, prefix string, days int, cap int")
-    rows = snapshot(spark, folder).where(F.col("name") != name).unionByName(row) if exists(spark, f"{folder}/current") else row
-    save_snapshot(rows, folder)
+    change_snapshot(spark, folder, lambda rows: row if rows is None else rows.where(F.col("name") != name).unionByName(row))
     return snapshot(spark, folder)
 
 
+def settings(spark: SparkSession, folder: str, name: str) -> dict:
+    """prefix, days and cap of a declared stream; KeyError if it is none."""
+    row = snapshot(spark, folder).where(F.col("name") == name).first()
+    if row is None:
+        raise KeyError(f"stream {name} is not declared in {folder}")
+    return {k: row[k] for k in ("prefix", "days", "cap")}
+
+
+def publish(rows: DataFrame, subject: str, streams: str, name: str) -> DataFrame:
+    """publishable under the declared stream's prefix and cap."""
+    own = settings(rows.sparkSession, streams, name)
+    return publishable(rows, subject, own["prefix"], own["cap"])
+
+
+def expire(spark: SparkSession, path: str, today: str, streams: str, name: str) -> list[str]:
+    """drop_old with the days that the stream was declared with."""
+    return drop_old(spark, path, today, settings(spark, streams, name)["days"])
+
+
 def tally_state(flushes: DataFrame) -> DataFrame:
     """The newest health beat of each replica in flushes, as a row of system_state."""
     newest = flushes.groupBy("replica").agg(F.max_by(F.struct("sampling_active", "theta"), "flushed_at").alias("v"), F.max("flushed_at").alias("updated_at"))
@@ -153,17 +206,30 @@ def drop_old(spark: SparkSession, path: str, today: str, days: int = D.retention
 
 
 def publish_model(weights: DataFrame, folder: str, meta: str) -> str:
-    """Write weights and their metadata under a new version, then the pointer that readers follow."""
+    """Write weights and their metadata as a new version, which a commit makes the current one."""
     spark, version = weights.sparkSession, uuid.uuid4().hex
     weights.write.parquet(f"{folder}/{version}/weights")
     spark.createDataFrame([(version, meta)], "version string, meta string").write.parquet(f"{folder}/{version}/meta")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
+    CommitLog(spark, folder).commit(lambda _: {"version": version})
     return version
 
 
+def model_version(spark: SparkSession, folder: str) -> str | None:
+    """The current model's version; None where no model was published."""
+    state = CommitLog(spark, folder).latest()[1]
+    return state["version"] if state else None
+
+
+def model_of(spark: SparkSession, folder: str, version: str) -> tuple[DataFrame, str]:
+    """Weights and metadata of a version."""
+    return spark.read.parquet(f"{folder}/{version}/weights"), spark.read.parquet(f"{folder}/{version}/meta").first()["meta"]
+
+
 def current_model(spark: SparkSession, folder: str) -> tuple[str, DataFrame, str]:
-    version = spark.read.parquet(f"{folder}/current").first()["version"]
-    return version, spark.read.parquet(f"{folder}/{version}/weights"), spark.read.parquet(f"{folder}/{version}/meta").first()["meta"]
+    version = model_version(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"no model in {folder}")
+    return version, *model_of(spark, folder, version)
 
 
 def publishable(rows: DataFrame, subject: str, prefix: str, cap: int = 65_536) -> DataFrame:
@@ -175,12 +241,17 @@ def publishable(rows: DataFrame, subject: str, prefix: str, cap: int = 65_536) -
     return payload.select(F.lit(subject).alias("subject"), fits.alias("payload"))
 
 
+def dedup_key() -> F.Column:
+    """What makes two items copies: SHA-256 of the content_hash, or of the text where that is empty; null for neither."""
+    return F.sha2(F.when(F.coalesce("content_hash", F.lit("")) != "", F.col("content_hash")).otherwise(F.col("text")).cast("binary"), 256)
+
+
 def first_of_key(rows: DataFrame, order: list[str], key: F.Column | None = None) -> DataFrame:
     """Exact dedup: the first row of each content_hash, or of each text where that is empty.
 
     An aggregation and no window, so copies meet before the shuffle: a text that a third of all rows hold
     costs a row for each task.
     """
-    key = key if key is not None else F.when(F.coalesce("content_hash", F.lit("")) != "", F.col("content_hash")).otherwise(F.col("text"))
+    own = F.sha2(key.cast("binary"), 256) if key is not None else dedup_key()
     first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("first")
-    return rows.groupBy(F.sha2(key.cast("binary"), 256).alias("dedup_key")).agg(first).select("first.*")
+    return rows.groupBy(own.alias("dedup_key")).agg(first).select("first.*")

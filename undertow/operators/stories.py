@@ -51,8 +51,8 @@ def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours,
 
     fitting = lsh_shape(theta)
     tables, bits = tables or fitting[0], bits or fitting[1]
-    dim = items.select(F.size("embedding")).where("embedding is not null").first()[0]
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
+    known = items.where("embedding is not null").select(F.size("embedding")).first()
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, known[0] if known else 1))
 
     @F.pandas_udf("array<long>")
     def buckets(vectors):

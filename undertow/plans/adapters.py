@@ -47,10 +47,11 @@ ITEMS = f"""items AS (
   FROM documents)"""
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stories(spark: SparkSession, sf_dir: str, told: DataFrame | None = None) -> DataFrame:
+    """Stories of told (items of sf_dir, unless given)."""
     s = F.col("story_id")
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities"))))
-    rows = items(spark, sf_dir).groupBy("story_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), names.alias("entity_set"), F.array_sort(F.collect_set("source")).alias("source_set"))
+    rows = (items(spark, sf_dir) if told is None else told).groupBy("story_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), names.alias("entity_set"), F.array_sort(F.collect_set("source")).alias("source_set"))
     return rows.select(
         "*", F.get(F.array(*map(F.lit, TRUST_STATES)), (s % 3).cast("int")).alias("trust_state"), ((s % 10) / 10).alias("inauthenticity"), ((s * 7 % 50) / 10).alias("gap"),
         ((s * 3 % 40) / 10 - 1).alias("velocity_z"), (s % 6).alias("independent_origins"),
@@ -94,6 +95,23 @@ def last_mention(spark: SparkSession, sf_dir: str) -> int:
 LAST = "(SELECT max(ts) FROM mentions)"
 
 
+def copied_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """items with simhash, of which those of one simhash are in one story, that of the first; written once, without texts."""
+    from undertow.functions.text import simhash_md5, word_tokens
+    from undertow.operators.graph import frozen
+
+    rows = frozen(items(spark, sf_dir).withColumn("simhash", simhash_md5(word_tokens(F.col("text")))).drop("text"))
+    first = rows.where("simhash <> 0").groupBy("simhash").agg(F.min("id").alias("first"))
+    return frozen(rows.join(first, "simhash", "left").withColumn("story_id", F.coalesce("first", "id") % STORIES).drop("first"))
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """What connects copied_items beside shared_keys(copies=True): references, and simhashes near each other."""
+    from undertow.operators import provenance
+
+    return provenance.ref_links(rows).union(provenance.story_copies(rows)[1].select("story_id", "src", "dst"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from undertow.operators import provenance
 
@@ -106,3 +124,17 @@ EDGES = """pairs AS (
   UNION SELECT x.story_id, x.id, y.id, 'author' FROM items x JOIN items y ON x.story_id = y.story_id AND x.author_ref = y.author_ref WHERE x.author_ref <> '' AND x.id > y.id
   UNION SELECT x.story_id, x.id, y.id, 'url' FROM items x JOIN items y ON x.story_id = y.story_id AND x.urls[1] = y.urls[1] WHERE x.id > y.id),
 edges AS (SELECT DISTINCT story_id, greatest(x, y) AS src, least(x, y) AS dst, edge_type FROM pairs)"""
+
+#: Word bigrams, hashed by 64 bits of md5, 64 votes each.
+SIMHASH = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM t),
+h AS (SELECT doc_id, CAST(('0x' || substr(md5(s), 1, 16)) AS UBIGINT) AS h FROM g),
+b AS (SELECT doc_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, (SELECT CAST(unnest(range(64)) AS UBIGINT) AS bit) GROUP BY ALL),
+f AS (SELECT doc_id, CAST(sum(CASE WHEN v > 0 THEN CAST(1 AS HUGEINT) << CAST(bit AS HUGEINT) ELSE CAST(0 AS HUGEINT) END) AS UBIGINT) AS u FROM b GROUP BY doc_id),
+sim AS (SELECT d.doc_id, coalesce(u, 0) AS u FROM documents d LEFT JOIN f USING (doc_id))"""
+#: items as copied_items has them, and all pairs of them with an edge, copies included.
+COPIED_ITEMS = f"""{SIMHASH}, {ITEMS.replace("items AS (", "dealt AS (", 1)}, items AS (
+  SELECT * REPLACE (CASE WHEN u = 0 THEN id ELSE least_id END % {STORIES} AS story_id) FROM (SELECT dealt.*, u, min(id) OVER (PARTITION BY u) AS least_id FROM dealt JOIN sim ON sim.doc_id = dealt.id))"""
+COPIED_EDGES = EDGES.replace("),\nedges AS", """
+  UNION SELECT x.story_id, x.id, y.id, 'copy' FROM items x JOIN items y ON x.story_id = y.story_id AND x.id > y.id WHERE x.u <> 0 AND y.u <> 0 AND bit_count(xor(x.u, y.u)) <= 6),
+edges AS""")

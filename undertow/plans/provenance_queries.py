@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.operators import provenance, stories as story_ops
-from undertow.plans.adapters import EDGES, ITEMS, START, edges, items, table
+from undertow.plans.adapters import COPIED_EDGES, COPIED_ITEMS, EDGES, ITEMS, START, copied_items, items, links, table
 from undertow.plans.catalog import query
 
-WIRED = f"""{ITEMS}, keyed AS (SELECT *, CASE WHEN source_class IN ('local_news', 'mainstream') AND id % 11 = 0 THEN 'wire:ap' WHEN author_ref <> '' THEN author_ref
+WIRED = f"""{COPIED_ITEMS}, keyed AS (SELECT *, CASE WHEN source_class IN ('local_news', 'mainstream') AND id % 11 = 0 THEN 'wire:ap' WHEN author_ref <> '' THEN author_ref
 WHEN source_class <> '' AND source_class <> 'social' THEN 'src:' || source ELSE '' END AS okey FROM items)"""
 
 
 #: Items of stories of three kinds: as they are; without official ones; and all social, of one source.
-MIXED_ITEMS = ITEMS.replace("items AS (", "plain_items AS (", 1) + """, items AS (SELECT * REPLACE (CASE story_id % 3 WHEN 0 THEN source_class WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'social' ELSE 'mainstream' END ELSE 'social' END AS source_class,
+MIXED_ITEMS = COPIED_ITEMS.replace(", items AS (", ", plain_items AS (", 1) + """, items AS (SELECT * REPLACE (CASE story_id % 3 WHEN 0 THEN source_class WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'social' ELSE 'mainstream' END ELSE 'social' END AS source_class,
   CASE story_id % 3 WHEN 2 THEN 'one' ELSE source END AS source) FROM plain_items)"""
 
 
@@ -25,8 +25,8 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of which every eleventh credits a wire service."""
-    return items(spark, sf_dir).withColumn("wire_ref", F.when(F.col("id") % 11 == 0, "ap").otherwise(""))
+    """Items with copies, of which every eleventh credits a wire service."""
+    return copied_items(spark, sf_dir).withColumn("wire_ref", F.when(F.col("id") % 11 == 0, "ap").otherwise(""))
 
 
 @query(f"WITH {WIRED} SELECT id, okey AS origin_key FROM keyed")
@@ -49,14 +49,12 @@ def url_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.url_edges(items(spark, sf_dir)).select("story_id", "src", "dst")
 
 
-@query(f"WITH {ITEMS}, {EDGES} SELECT story_id, count(*) AS copy_edges FROM edges WHERE edge_type IN ('copy', 'author') GROUP BY story_id")
+@query(f"WITH {COPIED_ITEMS}, {COPIED_EDGES} SELECT story_id, count(*) AS copy_edges FROM edges WHERE edge_type IN ('copy', 'author') GROUP BY story_id")
 def copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted from classes of authors, without an edge between two of their items."""
+    """Counted from classes of authors and of copies, without an edge between two of their items."""
     from undertow.operators import scoring
 
-    rows = items(spark, sf_dir)
-    none = spark.createDataFrame([], "story_id long, src long, dst long, ts long, edge_type string")
-    return scoring.copies_by_class(none, provenance.key_classes(rows))
+    return scoring.copies_by_class(copied_items(spark, sf_dir))
 
 
 @query(f"""WITH {ITEMS}, k AS (SELECT story_id, id, 'author:' || author_ref AS key FROM items WHERE author_ref <> '' UNION ALL SELECT story_id, id, 'url:' || unnest(urls) FROM items)
@@ -75,31 +73,36 @@ def reply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Vertices are items and keys. Labels fall by one hop a round, from the keys' own members; rounds end when nothing changes.
-ORIGINS = f"""{WIRED}, {EDGES}, hops AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges UNION
+ORIGINS = f"""{WIRED}, {COPIED_EDGES}, hops AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges UNION
   SELECT x.id, y.id FROM keyed x JOIN keyed y ON x.story_id = y.story_id AND x.okey = y.okey WHERE x.okey <> '' AND x.id <> y.id),
 reach AS (SELECT id AS a, id AS b FROM items UNION SELECT reach.a, hops.b FROM reach JOIN hops ON reach.b = hops.a),
 origin AS (SELECT a AS id, min(b) AS origin FROM reach GROUP BY a)"""
 
 
+def _origins(rows: DataFrame) -> DataFrame:
+    return provenance.origins(rows, links(rows), provenance.shared_keys(copies=True))
+
+
 @query(f"WITH RECURSIVE {ORIGINS} SELECT story_id, count(DISTINCT origin) AS independent_origins FROM items JOIN origin USING (id) GROUP BY story_id")
 def independent_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = provenance.corroboration(provenance.origins(wired(spark, sf_dir), provenance.ref_edges(items(spark, sf_dir)), provenance.shared_keys()))
+    found = provenance.corroboration(_origins(wired(spark, sf_dir)))
     return found.select("story_id", "independent_origins")
 
 
 @query(f"WITH RECURSIVE {ORIGINS}, s AS (SELECT story_id, origin, min(source) AS source FROM items JOIN origin USING (id) GROUP BY ALL) SELECT story_id, count(DISTINCT source) AS distinct_sources FROM s GROUP BY story_id")
 def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = provenance.corroboration(provenance.origins(wired(spark, sf_dir), provenance.ref_edges(items(spark, sf_dir)), provenance.shared_keys()))
+    found = provenance.corroboration(_origins(wired(spark, sf_dir)))
     return found.select("story_id", "distinct_sources")
 
 
-@query(f"""WITH RECURSIVE {ORIGINS.replace(ITEMS, MIXED_ITEMS)}, s AS (SELECT story_id, origin, min(source) AS source FROM items JOIN origin USING (id) GROUP BY ALL),
+@query(f"""WITH RECURSIVE {ORIGINS.replace(COPIED_ITEMS, MIXED_ITEMS)}, s AS (SELECT story_id, origin, min(source) AS source FROM items JOIN origin USING (id) GROUP BY ALL),
 c AS (SELECT story_id, count(*) AS o, count(DISTINCT source) AS d FROM s GROUP BY story_id),
 p AS (SELECT story_id, bool_or(source_class = 'social') AND bool_or(source_class IN ('authoritative', 'primary')) AS m FROM items GROUP BY story_id)
 SELECT story_id, o AS independent_origins, d AS distinct_sources, CASE WHEN m THEN 'primary_backed' WHEN o >= 3 AND d >= 2 THEN 'corroborated' ELSE 'rumor' END AS trust_state FROM c JOIN p USING (story_id)""")
 def trust_state_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of stories of three kinds, so that every state occurs."""
-    return provenance.trust_states(mixed(spark, sf_dir), provenance.ref_edges(items(spark, sf_dir)), keys=provenance.shared_keys())
+    rows = mixed(spark, sf_dir)
+    return provenance.trust_states(rows, links(rows), keys=provenance.shared_keys(copies=True))
 
 
 @query(f"WITH {MIXED_ITEMS} SELECT story_id, bool_or(source_class = 'social') AND bool_or(source_class IN ('authoritative', 'primary')) AS primary_matched FROM items GROUP BY story_id")
@@ -107,15 +110,32 @@ def primary_in_story(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.primary_in_story(mixed(spark, sf_dir))
 
 
-@query()
+#: Reach within every prefix of every story: i is the number of its last item.
+REPLAY = f"""{ORIGINS.split("reach AS")[0]} placed AS (SELECT story_id, id, source, source_class, row_number() OVER (PARTITION BY story_id ORDER BY ts, id) - 1 AS seq FROM items),
+prefix AS (SELECT l.story_id, l.id AS last, l.seq AS i, p.id, p.source, p.source_class FROM placed l JOIN placed p ON p.story_id = l.story_id AND p.seq <= l.seq),
+paths AS (SELECT l.seq AS i, l.story_id, a, b FROM hops JOIN placed x ON x.id = a JOIN placed y ON y.id = b JOIN placed l ON l.story_id = x.story_id AND y.story_id = x.story_id AND l.seq >= x.seq AND l.seq >= y.seq),
+reach AS (SELECT story_id, i, id AS a, id AS b FROM prefix UNION SELECT r.story_id, r.i, r.a, p.b FROM reach r JOIN paths p ON p.story_id = r.story_id AND p.i = r.i AND p.a = r.b),
+origin AS (SELECT story_id, i, a AS id, min(b) AS origin FROM reach GROUP BY ALL),
+one AS (SELECT story_id, i, origin, min(CASE WHEN source <> '' THEN source END) AS source FROM origin JOIN prefix USING (story_id, i, id) GROUP BY ALL),
+judged AS (SELECT story_id, i, count(*) AS o, count(DISTINCT source) AS d FROM one GROUP BY ALL),
+official AS (SELECT story_id, last, i, bool_or(source_class = 'social') AND bool_or(source_class IN ('authoritative', 'primary')) AS m FROM prefix GROUP BY ALL),
+replayed AS (SELECT story_id, last AS id, i AS seq, o, d, max(CASE WHEN i = 0 THEN 0 WHEN m THEN 2 WHEN o >= 3 AND d >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY story_id ORDER BY i) AS state FROM judged JOIN official USING (story_id, i))"""
+CANDIDATES = "candidates AS (SELECT story_id, id FROM replayed WHERE seq > 0 AND o >= 2)"
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    return provenance.replay(rows, links(rows), provenance.shared_keys(copies=True))
+
+
+@query(f"WITH RECURSIVE {REPLAY.replace(COPIED_ITEMS, MIXED_ITEMS)} SELECT story_id, id, CAST(seq AS INTEGER) AS seq, CAST(o AS INTEGER) AS independent_origins, CAST(d AS INTEGER) AS distinct_sources, (['rumor', 'corroborated', 'primary_backed'])[state + 1] AS trust_state FROM replayed")
 def trust_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State after every item: it depends on each prefix of a story, which no single query can walk."""
-    return provenance.replay(wired(spark, sf_dir), edges(spark, sf_dir))
+    """State after every item, of stories of three kinds."""
+    return _replayed(mixed(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {REPLAY}, {CANDIDATES} SELECT story_id, id FROM candidates")
 def candidate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.candidates(provenance.replay(wired(spark, sf_dir), edges(spark, sf_dir))).select("story_id", "id")
+    return provenance.candidates(_replayed(wired(spark, sf_dir))).select("story_id", "id")
 
 
 @query()
@@ -123,7 +143,7 @@ def extracted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of candidates by the stand-in for a chat model."""
     from undertow.operators import entities
 
-    wanted = provenance.candidates(provenance.replay(wired(spark, sf_dir), edges(spark, sf_dir))).select("story_id", F.col("id").alias("item_id"))
+    wanted = provenance.candidates(_replayed(wired(spark, sf_dir))).select("story_id", F.col("id").alias("item_id"))
     texts = items(spark, sf_dir).select(F.col("id").alias("item_id"), "text")
     return entities.claims(wanted.join(texts, "item_id"), entities.first_sentence)
 

@@ -127,7 +127,7 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entity", F.unix_timestamp("bucket_ts").alias("bucket"), "mentions")
 
 
-@query(f"""WITH {ITEMS}, {STORY_ROWS}, {ALERTS} SELECT 'Developing: ' || CASE WHEN len(s.entity_set) = 0 THEN 'unknown entities' ELSE array_to_string(s.entity_set[1:5], ', ') END AS title,
+@query(f"""WITH {ITEMS}, {STORY_ROWS}, {ALERTS} SELECT 'Developing story: ' || CASE WHEN len(s.entity_set) = 0 THEN 'unknown entities' ELSE array_to_string(s.entity_set[1:5], ', ') END AS title,
 'gap ' || printf('%.1f', a.gap) || ', velocity ' || printf('%.1f', a.velocity_z) || ', ' || a.trust_state AS body FROM alerts a JOIN stories s USING (story_id) WHERE a.ts > (SELECT min(ts) FROM alerts)""")
 def notified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pushes of a notifier that starts at the oldest alert and polls by fives until there is nothing new."""

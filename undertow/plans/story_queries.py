@@ -10,7 +10,7 @@ from undertow.functions.text import CUES
 from undertow.functions.series import corroboration_weight, gap_score
 from undertow.operators import admission, labels, provenance, scoring, serving, storage
 from undertow.operators.graph import frozen
-from undertow.plans.adapters import ALERTS, EDGES, ITEMS, LAST, MENTIONS, MINUTES, NOW, START, STORY_ROWS, alerts, edges, items, last_mention, latest, mentions, stories, table
+from undertow.plans.adapters import ALERTS, COPIED_EDGES, COPIED_ITEMS, EDGES, ITEMS, LAST, MENTIONS, MINUTES, NOW, START, STORY_ROWS, alerts, copied_items, edges, items, last_mention, latest, mentions, stories, table
 from undertow.plans.catalog import query
 
 BASE = f"WITH {ITEMS}, {STORY_ROWS}"
@@ -86,8 +86,8 @@ def newest_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts(spark, sf_dir).agg(F.max("ts").alias("newest"))
 
 
-@query(f"""{BASE}, {ALERTS} SELECT a.story_id, 'Developing: ' || CASE WHEN len(s.entity_set) = 0 THEN 'unknown entities' ELSE array_to_string(s.entity_set[1:5], ', ') END AS title,
-'gap ' || printf('%.1f', a.gap) || ', velocity ' || printf('%.1f', a.velocity_z) || ', ' || a.trust_state AS body FROM alerts a JOIN stories s USING (story_id)""")
+@query(f"""{BASE}, {ALERTS} SELECT a.story_id, 'Developing story: ' || CASE WHEN len(s.entity_set) = 0 THEN 'unknown entities' ELSE array_to_string(s.entity_set[1:5], ', ') END AS title,
+'gap ' || printf('%.1f', a.gap) || ' · velocity z ' || printf('%.1f', a.velocity_z) || ' · ' || a.trust_state || ' · story ' || a.story_id AS body FROM alerts a JOIN stories s USING (story_id)""")
 def push_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     title, body = serving.push_message()
     joined = alerts(spark, sf_dir).join(stories(spark, sf_dir).select("story_id", "entity_set"), "story_id")
@@ -123,7 +123,7 @@ def inauth_low_rep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SYNC = """ordered AS (SELECT story_id, ts, lag(ts) OVER w AS b, lead(ts) OVER w AS a FROM items WHERE source_class = 'social' WINDOW w AS (PARTITION BY story_id ORDER BY ts, id)),
 sync AS (SELECT story_id, count(*) AS social_items, count(*) FILTER (WHERE ts - b <= 60 OR a - ts <= 60) AS synced_items FROM ordered GROUP BY story_id)"""
-INAUTH = f"""{LOW_REP.replace('0.3)', f'{D.rep_share})')}, low AS (SELECT story_id, count(*) AS low_rep_items FROM social JOIN authors USING (author_ref) GROUP BY story_id), {SYNC}, {EDGES},
+INAUTH = f"""{LOW_REP.replace('0.3)', f'{D.rep_share})')}, low AS (SELECT story_id, count(*) AS low_rep_items FROM social JOIN authors USING (author_ref) GROUP BY story_id), {SYNC}, {COPIED_EDGES},
 copied AS (SELECT story_id, count(*) AS copy_edges FROM edges WHERE edge_type IN ('copy', 'author') GROUP BY story_id),
 parts AS (SELECT sync.story_id, social_items, synced_items, coalesce(low_rep_items, 0) AS low_rep_items, coalesce(copy_edges, 0) AS copy_edges, independent_origins AS o
   FROM sync LEFT JOIN low USING (story_id) LEFT JOIN copied USING (story_id) JOIN stories USING (story_id)),
@@ -131,10 +131,11 @@ fake AS (SELECT story_id, social_items, synced_items, low_rep_items, copy_edges,
   least(1.0, 0.3 * greatest(0.0, least(1.0, 1 - o / social_items)) + 0.3 * least(1.0, copy_edges / social_items) + 0.2 * least(1.0, synced_items / social_items) + 0.2 * least(1.0, low_rep_items / social_items)) END AS inauthenticity FROM parts)"""
 
 
-@query(f"{BASE}, {INAUTH} SELECT story_id, social_items, synced_items, low_rep_items, copy_edges, round(inauthenticity, 6) AS inauthenticity FROM fake")
+@query(f"WITH {COPIED_ITEMS}, {STORY_ROWS}, {INAUTH} SELECT story_id, social_items, synced_items, low_rep_items, copy_edges, round(inauthenticity, 6) AS inauthenticity FROM fake")
 def inauth_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stories(spark, sf_dir)
-    out = scoring.story_inauthenticity(items(spark, sf_dir), edges(spark, sf_dir), rows, rows)
+    told = copied_items(spark, sf_dir)
+    rows = stories(spark, sf_dir, told)
+    out = scoring.story_inauthenticity(told, scoring.copies_by_class(told), rows, rows)
     return out.select("story_id", "social_items", "synced_items", "low_rep_items", "copy_edges", F.round("inauthenticity", 6).alias("inauthenticity"))
 
 
@@ -158,18 +159,19 @@ z AS (SELECT story_id, CASE WHEN list_stddev_pop(a[1:-2]) < 1e-9 THEN CASE WHEN
 presence AS (SELECT story_id, least(1.0, count(*) FILTER (WHERE source_class = 'mainstream') / 3.0) AS p FROM items GROUP BY story_id)"""
 
 
-@query(f"""{BASE}, {INAUTH}, {CYCLE} SELECT l.story_id, round(coalesce(z, 0.0), 6) AS velocity_z, round(p, 6) AS mainstream_presence, round(coalesce(f.inauthenticity, 0.0), 6) AS inauthenticity,
+@query(f"""WITH {COPIED_ITEMS}, {STORY_ROWS}, {INAUTH}, {CYCLE} SELECT l.story_id, round(coalesce(z, 0.0), 6) AS velocity_z, round(p, 6) AS mainstream_presence, round(coalesce(f.inauthenticity, 0.0), 6) AS inauthenticity,
 round(greatest(0.0, coalesce(z, 0.0)) * (1 - p) * CASE trust_state WHEN 'primary_backed' THEN 1.0 WHEN 'corroborated' THEN 0.7 ELSE 0.0 END * (1 - coalesce(f.inauthenticity, 0.0)), 6) AS gap, (SELECT warming FROM since) AS warming
 FROM live l LEFT JOIN z USING (story_id) LEFT JOIN presence USING (story_id) LEFT JOIN fake f USING (story_id)""")
 def score_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from undertow.operators import tallies
 
     now = last_mention(spark, sf_dir)
-    rows, s = stories(spark, sf_dir), F.col("story_id")
+    told = copied_items(spark, sf_dir)
+    rows, s = stories(spark, sf_dir, told), F.col("story_id")
     names = F.array(*map(F.lit, ("view", "click", "signup", "error", "purchase")))
     entities = F.array_distinct(F.array(F.get(names, (s % 5).cast("int")), F.get(names, ((s + 2) % 5).cast("int"))))
     live = rows.withColumn("entity_set", entities).withColumn("last_seen", F.lit(now).cast("long"))
-    out = scoring.score_cycle(live, items(spark, sf_dir), edges(spark, sf_dir), tallies.minute_tallies(mentions(spark, sf_dir)), now, 3600)
+    out = scoring.score_cycle(live, told, scoring.copies_by_class(told), tallies.minute_tallies(mentions(spark, sf_dir)), now, 3600)
     rounded = {c: F.round(c, 6) for c in ("velocity_z", "mainstream_presence", "inauthenticity", "gap")}
     return out.withColumns(rounded).select("story_id", *rounded, "warming")
 

@@ -12,7 +12,7 @@ from undertow.functions.geo import haversine_km
 from undertow.functions.url import canonical_url as canonical
 from undertow.functions.url import canonical_url_exact as canonical_exact
 from undertow.operators import entities, labels, provenance, storage
-from undertow.plans.adapters import ITEMS, items, table
+from undertow.plans.adapters import ITEMS, SIMHASH, items, table
 from undertow.plans.catalog import query
 
 CUES = "|".join(T.CUES)
@@ -49,15 +49,6 @@ def gazetteer_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "e.text", "e.type").agg(F.count("*").alias("n"))
 
 
-# Word bigrams, hashed by 64 bits of md5, 64 votes each.
-SIMHASH = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
-g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM t),
-h AS (SELECT doc_id, CAST(('0x' || substr(md5(s), 1, 16)) AS UBIGINT) AS h FROM g),
-b AS (SELECT doc_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, (SELECT CAST(unnest(range(64)) AS UBIGINT) AS bit) GROUP BY ALL),
-f AS (SELECT doc_id, CAST(sum(CASE WHEN v > 0 THEN CAST(1 AS HUGEINT) << CAST(bit AS HUGEINT) ELSE CAST(0 AS HUGEINT) END) AS UBIGINT) AS u FROM b GROUP BY doc_id),
-sim AS (SELECT d.doc_id, coalesce(u, 0) AS u FROM documents d LEFT JOIN f USING (doc_id))"""
-
-
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simhash of every document: words in the JVM, votes by Arrow batch; no row for each bit."""
     return table(spark, sf_dir, "documents").select("doc_id", T.simhash_md5(T.word_tokens(F.col("text"))).alias("simhash"))

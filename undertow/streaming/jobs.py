@@ -178,8 +178,7 @@ def write_tally_flushes(flushes: DataFrame, tallies: str, state: str, checkpoint
         batch.persist()
         storage.insert_absent(storage.exploded_tallies(batch), tallies, "entity_tallies", "bucket_ts")
         beats = storage.tally_state(batch)
-        current = storage.snapshot(batch.sparkSession, state) if storage.exists(batch.sparkSession, f"{state}/current") else beats.limit(0)
-        storage.save_snapshot(storage.upserted(current, beats), state)
+        storage.change_snapshot(batch.sparkSession, state, lambda rows: beats if rows is None else storage.upserted(rows, beats))
         batch.unpersist()
 
     return flushes.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
