@@ -42,12 +42,16 @@ def enriched(
         first = first.withColumn("dedup_key", dedup_key()).join(seen, F.col("dedup_key").eqNullSafe(F.col("known_key")), "left_anti").select(*items.columns)
     scored = judged(first, score)
     stays = governed(scored.select("id", "ts", "relevance", "source_class"), lanes).where("admitted OR exploration").select("id", "exploration")
-    out = scored.join(stays, "id")
+    return finished(scored.join(stays, "id"), match, tag, embed or hash_embedding())
+
+
+def finished(out: DataFrame, match: Callable | None, tag: Callable | None, embed: Callable) -> DataFrame:
+    """Items that stay, with what tag and match find in their texts merged into entities and geo, and with embedding."""
     for find in (tag, match):
         if find is not None:
             out = out.withColumn("found", F.transform(find("text"), as_entity(has_place=find is match)))
             out = out.withColumn("geo", filled_geo(F.col("geo"), F.col("entities"), F.col("found"))).withColumn("entities", merged(F.col("entities"), F.col("found"))).drop("found")
-    return out.withColumn("embedding", (embed or hash_embedding())("text"))
+    return out.withColumn("embedding", embed("text"))
 
 
 def as_entity(has_place: bool) -> Callable[[Column], Column]:

@@ -34,6 +34,11 @@ def exploded_tallies(flushes: DataFrame) -> DataFrame:
     return rows.groupBy("entity", "bucket_ts", "replica").agg(F.sum("mentions").cast("int").alias("mentions"))
 
 
+def summed_tallies(tallies: DataFrame) -> DataFrame:
+    """Tallies (entity, bucket_ts, mentions) with the counts of one entity and minute added up."""
+    return tallies.groupBy("entity", "bucket_ts").agg(F.sum("mentions").cast("int").alias("mentions"))
+
+
 def upserted(current: DataFrame, rows: DataFrame, key: str = "key", order: str = "updated_at") -> DataFrame:
     """Last writer wins, by order; among equals the greatest value."""
     both = current.unionByName(rows)

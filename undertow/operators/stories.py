@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from undertow.config import D
 from undertow.functions.vector import dot, unit
-from undertow.operators.graph import roots
+from undertow.operators.graph import frozen, roots
+from undertow.operators.parts import Parts
 
 
-def nearest(items: DataFrame, k: int = D.neighbours, window_s: int = D.story_window_s) -> DataFrame:
-    """id, neighbour, similarity, place: for each item the k most similar earlier ones of the window.
+def nearest(items: DataFrame, k: int = D.neighbours, window_s: int = D.story_window_s, among: DataFrame | None = None) -> DataFrame:
+    """id, neighbour, similarity, place: for each item the k most similar earlier ones of the window, in among if given.
 
     items (id, ts, embedding, entities). Exact: an item meets those of its own and the earlier slots of the
     window only, by an equality join on slots as long as the window. Ties go to the smaller id.
     """
-    rows = items.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), F.floor(F.col("ts") / window_s).alias("slot"))
+    placed = lambda df: df.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), F.floor(F.col("ts") / window_s).alias("slot"))
+    rows = placed(items)
     left = rows.select("id", "ts", F.col("unit").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
-    right = rows.select("slot", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("unit").alias("other"))
+    right = (rows if among is None else placed(among)).select("slot", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("unit").alias("other"))
     earlier = F.struct("then", "neighbour") < F.struct("ts", "id")
     pairs = left.join(right, "slot").where(earlier & (F.col("then") >= F.col("ts") - window_s)).select("id", "neighbour", dot(F.col("own"), F.col("other")).alias("similarity"))
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
@@ -76,13 +79,13 @@ def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours,
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 
 
-def parents(items: DataFrame, neighbours: DataFrame, theta: float = D.theta) -> DataFrame:
-    """node, parent: the nearest of an item's neighbours that is similar enough and shares an entity; else itself.
+def parents(items: DataFrame, neighbours: DataFrame, theta: float = D.theta, among: DataFrame | None = None) -> DataFrame:
+    """node, parent: the nearest of an item's neighbours (of among, if given) that is similar enough and shares an entity; else itself.
 
     The cut to k neighbours comes before the look at entities.
     """
     own = items.select("id", F.transform("entities", F.lower).alias("own"))
-    other = items.select(F.col("id").alias("neighbour"), F.transform("entities", F.lower).alias("other"))
+    other = (items if among is None else among).select(F.col("id").alias("neighbour"), F.transform("entities", F.lower).alias("other"))
     fits = neighbours.where(F.col("similarity") >= theta).join(own, "id").join(other, "neighbour").where(F.arrays_overlap("own", "other"))
     chosen = fits.groupBy("id").agg(F.min_by("neighbour", "place").alias("parent"))
     return items.select("id").join(chosen, "id", "left").select(F.col("id").alias("node"), F.coalesce("parent", "id").alias("parent"))
@@ -103,10 +106,71 @@ def assigned(parent_rows: DataFrame) -> DataFrame:
 
 
 def folded(items: DataFrame) -> DataFrame:
-    """One row for each story of items (story_id, id, ts, source, entities, embedding): sets, first and last time, first vector."""
+    """One row for each story of items (story_id, id, ts, source, entities, embedding): sets, first and last time, first item
+    and its vector."""
     first = F.struct("ts", "id")
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("entities", F.lower)))))
     return items.groupBy("story_id").agg(
         F.count("*").alias("n_items"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), names.alias("entity_set"),
-        F.array_sort(F.collect_set("source")).alias("source_set"), F.min_by("embedding", first).alias("centroid"),
+        F.array_sort(F.collect_set("source")).alias("source_set"), F.min_by("embedding", first).alias("centroid"), F.min_by("id", first).alias("first_id"),
     )
+
+
+def refolded(folds: DataFrame) -> DataFrame:
+    """Folds of the same stories over different items, as one fold over all of them."""
+    first = F.struct("first_seen", "first_id")
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    out = folds.groupBy("story_id").agg(
+        F.sum("n_items").alias("n_items"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), union("entity_set"),
+        union("source_set"), F.min_by("centroid", first).alias("centroid"), F.min_by("first_id", first).alias("first_id"),
+    )
+    return out.select(folds.columns)
+
+
+class StoryStore:
+    """Stories that grow by batches of items: what a batch adds is found from its own items and the stored ones of their window.
+
+    Three tables in one commit: vectors (id, ts, embedding, entities), assigned (id, ts, story_id) and folds of stories, of
+    which each batch writes those it has touched; stories() merges a story's folds. An item's story depends on earlier items
+    only, so batches in the order of time give what all items at once would. An item that comes late finds those earlier
+    ones that are there, and does not move items that are assigned.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, theta: float = D.theta, k: int = D.neighbours, window_s: int = D.story_window_s, fan: int = 8):
+        self.parts = Parts(spark, folder, {"folds": refolded}, fan)
+        self.theta, self.k, self.window_s = theta, k, window_s
+
+    def add(self, number: int, items: DataFrame, before_commit: Callable[[], None] | None = None) -> bool:
+        """Assign and store a batch of items (id, ts, embedding, entities, source); False if it was added before."""
+        if self.parts.batch() >= number:
+            return False
+        rows = frozen(items.select("id", "ts", "embedding", "entities", "source"))
+        known, since = self._window(rows)
+        window = rows.drop("source") if known is None else known.unionByName(rows.drop("source"))
+        found = frozen(parents(rows, nearest(rows, self.k, self.window_s, window), self.theta, window))
+        inside = found.join(rows.select(F.col("id").alias("parent")), "parent", "left_semi").select("node", "parent")
+        outside = found.join(rows.select(F.col("id").alias("parent")), "parent", "left_anti").select("node", F.col("parent").alias("earlier"))
+        tops = roots(inside.union(outside.select("node", F.col("node").alias("parent"))))
+        named = tops.join(outside.withColumnRenamed("node", "root"), "root", "left")
+        if known is not None:  # what leads out of the batch ends at an item of the window, whose story is known
+            told = self.parts.read("assigned").where(F.col("ts") >= since).select(F.col("id").alias("earlier"), F.col("story_id").alias("told"))
+            named = named.join(told, "earlier", "left").withColumn("root", F.coalesce("told", "root"))
+        assigned = frozen(named.select(F.col("node").alias("id"), F.col("root").alias("story_id")).join(rows.select("id", "ts"), "id").select("id", "ts", "story_id"))
+        folds = folded(rows.join(assigned.select("id", "story_id"), "id"))
+        if before_commit is not None:
+            before_commit()
+        return self.parts.add(number, {"vectors": rows.drop("source"), "assigned": assigned, "folds": folds})
+
+    def _window(self, rows: DataFrame) -> tuple[DataFrame | None, float | None]:
+        """Stored items that a batch may meet, and from when on: parts are pruned by their least and greatest times."""
+        stored = self.parts.read("vectors")
+        since = rows.agg(F.min("ts")).first()[0]
+        if stored is None or since is None:
+            return None, None
+        return stored.where(F.col("ts") >= since - self.window_s), since - self.window_s
+
+    def assigned(self) -> DataFrame | None:
+        return self.parts.read("assigned")
+
+    def stories(self) -> DataFrame | None:
+        return self.parts.merged("folds")

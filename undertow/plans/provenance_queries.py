@@ -188,13 +188,19 @@ def story_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return story_ops.assigned(story_ops.parents(rows, story_ops.nearest(rows), THETA))
 
 
-@query(f"""WITH RECURSIVE {FOREST} SELECT story_id, count(*) AS n_items, min(ts) AS first_seen, max(ts) AS last_seen, array_to_string(list_sort(list_distinct(flatten(list(entities)))), ',') AS entity_set,
-array_to_string(list_sort(list(DISTINCT 's' || (id % 5))), ',') AS source_set, round(arg_min(e[1], ts), 6) AS head FROM formed JOIN v USING (id) GROUP BY story_id""")
+FOLD = f"""{FOREST} SELECT story_id, count(*) AS n_items, min(ts) AS first_seen, max(ts) AS last_seen, array_to_string(list_sort(list_distinct(flatten(list(entities)))), ',') AS entity_set,
+array_to_string(list_sort(list(DISTINCT 's' || (id % 5))), ',') AS source_set, round(arg_min(e[1], ts), 6) AS head FROM formed JOIN v USING (id) GROUP BY story_id"""
+
+
+def shown_folds(out: DataFrame) -> DataFrame:
+    return out.select("story_id", "n_items", "first_seen", "last_seen", F.array_join("entity_set", ",").alias("entity_set"), F.array_join("source_set", ",").alias("source_set"), F.round(F.get("centroid", F.lit(0)).cast("double"), 6).alias("head"))
+
+
+@query(f"WITH RECURSIVE {FOLD}")
 def story_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     formed = story_ops.assigned(story_ops.parents(rows, story_ops.nearest(rows), THETA))
-    out = story_ops.folded(rows.join(formed, "id"))
-    return out.select("story_id", "n_items", "first_seen", "last_seen", F.array_join("entity_set", ",").alias("entity_set"), F.array_join("source_set", ",").alias("source_set"), F.round(F.get("centroid", F.lit(0)).cast("double"), 6).alias("head"))
+    return shown_folds(story_ops.folded(rows.join(formed, "id")))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT a.vec_id AS id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")

@@ -123,7 +123,7 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.coalesce(1).write.mode("append").parquet(f"{out}/in")
         again = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
         jobs.write_tallies(again, f"{out}/tallies", f"{out}/checkpoint").awaitTermination()
-    found = jobs.newest_tallies(spark.read.parquet(f"{out}/tallies"))
+    found = jobs.newest_tallies(spark, f"{out}/tallies")
     return found.select("entity", F.unix_timestamp("bucket_ts").alias("bucket"), "mentions")
 
 

@@ -366,7 +366,7 @@ def stories_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.snapshot(spark, path).select("story_id", "independent_origins", "trust_state", F.round("gap", 6).alias("gap"))
 
 
-def _raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as they come: no text is known to be a copy, and none has entities or a place."""
     from undertow.schemas import ENTITY, GEO
 
@@ -375,14 +375,17 @@ def _raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: While items come a minute apart, the governor sheds none; its threshold stays at zero.
-@query(f"""WITH {ITEMS}, f AS (SELECT min_by(id, ts) AS id, text FROM items GROUP BY text) SELECT id, CAST(round(least(1.0, 0.3 + CASE WHEN length(coalesce(text, '')) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(coalesce(text, '')), '{"|".join(CUES)}') THEN 0.3 ELSE 0 END), 6) AS DOUBLE) AS relevance,
-len(list_distinct(regexp_extract_all(' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), '  ') || ' ', ' (?:of|the|und|de) '))) AS n_entities, 384 AS n_dim FROM f""")
+CALM = f"""WITH {ITEMS}, f AS (SELECT min_by(id, ts) AS id, text FROM items GROUP BY text) SELECT id, CAST(round(least(1.0, 0.3 + CASE WHEN length(coalesce(text, '')) > 80 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(coalesce(text, '')), '{"|".join(CUES)}') THEN 0.3 ELSE 0 END), 6) AS DOUBLE) AS relevance,
+len(list_distinct(regexp_extract_all(' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), '  ') || ' ', ' (?:of|the|und|de) '))) AS n_entities, 384 AS n_dim FROM f"""
+CALM_PHRASES = {p: ("other", p, None, None) for p in ("of", "the", "und", "de")}
+
+
+@query(CALM)
 def enrich_calm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of enrichment over all items, at the pace at which they come."""
     from undertow.operators import enrich, entities
 
-    phrases = {p: ("other", p, None, None) for p in ("of", "the", "und", "de")}
-    out = enrich.enriched(_raw_items(spark, sf_dir), match=entities.matcher(phrases))
+    out = enrich.enriched(raw_items(spark, sf_dir), match=entities.matcher(CALM_PHRASES))
     return out.select("id", F.round("relevance", 6).alias("relevance"), F.size("entities").cast("long").alias("n_entities"), F.size("embedding").alias("n_dim"))
 
 
@@ -391,5 +394,5 @@ def enrich_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same twenty times as fast, so that the governor sheds: what it lets pass depends on all that came before."""
     from undertow.operators import enrich
 
-    out = enrich.enriched(_raw_items(spark, sf_dir).withColumn("ts", F.col("ts") / 1200))
+    out = enrich.enriched(raw_items(spark, sf_dir).withColumn("ts", F.col("ts") / 1200))
     return out.select("id", F.round("relevance", 6).alias("relevance"), "exploration")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from undertow.operators.graph import shared_folder
 from undertow.plans.adapters import seconds
+from undertow.plans.provenance_queries import FOLD, THETA, shown_folds, vectors
+from undertow.plans.story_queries import CALM, CALM_PHRASES, raw_items
 from undertow.plans.catalog import query
 from undertow.streaming import jobs
 
@@ -29,7 +31,7 @@ def stream_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark)
     rows = stream(spark, sf_dir, "events").select(F.col("event_type").alias("entity"), F.timestamp_seconds(seconds(F.col("ts"))).alias("ts"))
     jobs.write_tallies(rows, f"{out}/tallies", f"{out}/checkpoint").awaitTermination()
-    return jobs.newest_tallies(spark.read.parquet(f"{out}/tallies")).select("entity", F.unix_timestamp("bucket_ts").alias("bucket"), "mentions")
+    return jobs.newest_tallies(spark, f"{out}/tallies").select("entity", F.unix_timestamp("bucket_ts").alias("bucket"), "mentions")
 
 
 @query("SELECT md5(text) AS digest, length(text) AS n_chars FROM documents GROUP BY text")
@@ -39,3 +41,52 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream(spark, sf_dir, "documents").select("doc_id", "text", F.lit("").alias("content_hash"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("ts_observed"))
     jobs.deduplicated(rows).select("doc_id", "text").writeStream.format("parquet").option("path", f"{out}/kept").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/kept").select(F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
+def arriving(rows: DataFrame, path: str, slices: int):
+    """rows laid down in path as files, one slice of time after the other; yields after each."""
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    width = (last - first) // slices + 1
+    for i in range(slices):
+        rows.where((F.col("ts") >= first + i * width) & (F.col("ts") < first + (i + 1) * width)).write.mode("append").parquet(path)
+        yield i
+
+
+@query(CALM)
+def enrich_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """enrich_calm as a stream that is stopped and started again for each of three batches: keys of earlier ones are state."""
+    from undertow.operators import entities
+    from undertow.streaming import enrichment
+
+    out, rows = folder(spark), raw_items(spark, sf_dir)
+    for _ in arriving(rows, f"{out}/in", 3):
+        coming = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+        enrichment.enrich_stream(coming, f"{out}/kept", f"{out}/checkpoint", match=entities.matcher(CALM_PHRASES)).awaitTermination()
+    kept = enrichment.store(spark, f"{out}/kept").read("items")
+    return kept.select("id", F.round("relevance", 6).alias("relevance"), F.size("entities").cast("long").alias("n_entities"), F.size("embedding").alias("n_dim"))
+
+
+@query(f"""WITH t AS (SELECT {1_704_067_200} + doc_id * 60 AS ts, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), '  ') || ' ' AS flat FROM documents),
+m AS (SELECT ts, trim(unnest(regexp_extract_all(flat, ' (?:of|the|und|de) '))) AS entity FROM t)
+SELECT entity, ts // 60 * 60 AS bucket, CAST(count(*) AS INTEGER) AS mentions FROM m GROUP BY ALL""")
+def enrich_stream_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same stream counts, copies included, in the commits that its items become visible in."""
+    from undertow.operators import entities
+    from undertow.streaming import enrichment
+
+    out, rows = folder(spark), raw_items(spark, sf_dir)
+    for _ in arriving(rows, f"{out}/in", 3):
+        coming = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+        enrichment.enrich_stream(coming, f"{out}/kept", f"{out}/checkpoint", match=entities.matcher(CALM_PHRASES)).awaitTermination()
+    return enrichment.store(spark, f"{out}/kept").merged("tallies").select("entity", F.unix_timestamp("bucket_ts").alias("bucket"), "mentions")
+
+
+@query(f"WITH RECURSIVE {FOLD}")
+def stories_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """story_fold from three batches, each of which meets the stored vectors of its window only."""
+    from undertow.operators.stories import StoryStore
+
+    out, rows = folder(spark), vectors(spark, sf_dir)
+    for _ in arriving(rows, f"{out}/in", 3):
+        jobs.write_stories(spark.readStream.schema(rows.schema).parquet(f"{out}/in"), f"{out}/stories", f"{out}/checkpoint", THETA).awaitTermination()
+    return shown_folds(StoryStore(spark, f"{out}/stories", THETA).stories())

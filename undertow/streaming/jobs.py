@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from undertow.config import D
 from undertow.operators.admission import Governor
+from undertow.operators.parts import Parts
 from undertow.operators.storage import insert_absent
 
 WALL = f"{D.retention_days} days"
@@ -123,18 +124,38 @@ def tallied(mentions: DataFrame, minutes: int = 1) -> DataFrame:
     return windows.agg(F.count("*").alias("mentions")).select("entity", F.col("window.start").alias("bucket_ts"), "mentions")
 
 
-def write_tallies(mentions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep path at the newest counts: each batch's updated windows go to a folder of its own, so a repeated batch
-    replaces what it wrote; newest_tallies() reads the last count of each window."""
+def tally_parts(spark: SparkSession, path: str, fan: int = 8, since=None) -> Parts:
+    """The table that write_tallies keeps: merges leave the newest count of each window, and of windows from since on only."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        kept = rows if since is None else rows.where(F.col("bucket_ts") >= F.lit(since))
+        return kept.groupBy("entity", "bucket_ts").agg(F.max_by("mentions", "batch").alias("mentions"), F.max("batch").alias("batch"))
+
+    return Parts(spark, path, {"tallies": merge}, fan)
+
+
+def write_tallies(mentions: DataFrame, path: str, checkpoint: str, fan: int = 8, since=None) -> StreamingQuery:
+    """Keep path at the newest counts: each batch's updated windows are a part of tally_parts, which a repeated batch adds
+    once, and parts are merged as they grow many. newest_tallies() reads the last count of each window."""
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part={number:012d}")
+        tally_parts(batch.sparkSession, path, fan, since).add(number, {"tallies": batch.withColumn("batch", F.lit(number).cast("long"))})
 
     return tallied(mentions).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_tallies(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("entity", "bucket_ts").agg(F.max_by("mentions", "batch").alias("mentions"))
+def newest_tallies(spark: SparkSession, path: str) -> DataFrame:
+    return tally_parts(spark, path).merged("tallies").drop("batch")
+
+
+def write_stories(items: DataFrame, path: str, checkpoint: str, theta: float = D.theta, before_commit: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Cluster a stream of items (id, ts seconds, embedding, entities, source) batch by batch into the StoryStore at path."""
+    from undertow.operators.stories import StoryStore
+
+    def save(batch: DataFrame, number: int) -> None:
+        StoryStore(batch.sparkSession, path, theta).add(number, batch, None if before_commit is None else lambda: before_commit(number))
+
+    return items.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def governed(items: DataFrame) -> DataFrame:
