@@ -215,3 +215,43 @@ def test_a_gazetteer_of_two_files(spark, tmp_path):
     assert "lima" in found and "oslo" in found and found["both"][0] == "kind1"
     (tmp_path / "2.json").write_text("broken")
     assert entities.gazetteer(spark, str(tmp_path)) == entities.SEED
+
+
+@pytest.mark.parametrize(("cells", "block"), [(1, 10_000), (4, 7), (64, 2048)])
+def test_neighbours_by_the_index_equal_those_of_whole_slots(spark, cells, block):
+    from undertow.functions.vector import unit
+    from undertow.operators.neighbours import nearest_indexed
+
+    items = vectors(spark, 150, 9)
+    items = items.union(items.where("id < 6").selectExpr("id + 500", "ts + 86400", "embedding", "entities", "source")).union(items.where("id = 9").selectExpr("id + 900", "ts", "embedding", "entities", "source"))
+    ready = items.select("id", "ts", unit(F.col("embedding")).alias("unit"))
+    shown = lambda df: rows_of(df.select("id", "neighbour", "place", F.round("similarity", 9).alias("s")), "id", "neighbour", "place", "s")
+    want = shown(stories.nearest_by_slots(items))
+    assert shown(nearest_indexed(ready, None, 10, 2 * 86_400, cells, block)) == want
+    late = lambda df: df.where("id >= 100")
+    got = nearest_indexed(late(ready), ready.where("id < 100"), 10, 2 * 86_400, cells, block)
+    assert shown(got) == [r for r in want if r[0] >= 100]
+
+
+def test_the_index_skips_blocks_that_cannot_hold_a_neighbour(spark, monkeypatch):
+    from undertow.functions.vector import unit
+    from undertow.operators import neighbours
+
+    rng = random.Random(1)
+    rows = [(i, i, [rng.gauss(0, 0.02) + 5 * (i % 40 == j) for j in range(40)]) for i in range(8000)]
+    ready = spark.createDataFrame(rows, "id long, ts long, embedding array<double>").select("id", "ts", unit(F.col("embedding")).alias("unit"))
+    asked = []
+    frame = type(ready)
+    whole = frame.mapInArrow
+
+    def counted(df, f, schema):
+        out = whole(df, f, schema)
+        if f.__name__ == "probe":
+            out = neighbours.frozen(out)
+            asked.append(out.agg(F.sum(F.size("ids"))).first()[0])
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    found = neighbours.nearest_indexed(ready, None, 10, 2 * 86_400, 40, 200)
+    assert found.groupBy("id").count().where("count = 10").count() == 7990
+    assert asked[0] <= 8000 * 40 / 10  # a query looks into a tenth of the blocks at most

@@ -12,19 +12,27 @@ from pyspark.sql import functions as F
 from undertow.config import D
 from undertow.functions.vector import dot, unit
 from undertow.operators.graph import frozen, roots
+from undertow.operators.neighbours import nearest_indexed
 from undertow.operators.parts import Parts
 
 
-def nearest(items: DataFrame, k: int = D.neighbours, window_s: int = D.story_window_s, among: DataFrame | None = None) -> DataFrame:
-    """id, neighbour, similarity, place: for each item the k most similar earlier ones of the window, in among if given.
+def nearest(items: DataFrame, k: int = D.neighbours, window_s: int = D.story_window_s, known: DataFrame | None = None, floor: float = -2.0) -> DataFrame:
+    """id, neighbour, similarity, place: for each item the k most similar earlier ones of the window, known ones included,
+    without those less similar than floor.
 
-    items (id, ts, embedding, entities). Exact: an item meets those of its own and the earlier slots of the
-    window only, by an equality join on slots as long as the window. Ties go to the smaller id.
+    items (id, ts, embedding, entities), known likewise. Exact, by an index of blocks (nearest_indexed) that skips what can't
+    be among the k. Ties go to the smaller id; items without an embedding, or with one of length 0, have no neighbours and
+    are none. Embeddings have one length.
     """
-    placed = lambda df: df.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), F.floor(F.col("ts") / window_s).alias("slot"))
-    rows = placed(items)
+    placed = lambda df: df.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit")).where("unit is not null")
+    return nearest_indexed(placed(items), None if known is None else placed(known), k, window_s, floor=floor)
+
+
+def nearest_by_slots(items: DataFrame, k: int = D.neighbours, window_s: int = D.story_window_s) -> DataFrame:
+    """As nearest, by comparing each item with all of its own and the earlier slot of the window: what nearest is held against."""
+    rows = items.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), F.floor(F.col("ts") / window_s).alias("slot"))
     left = rows.select("id", "ts", F.col("unit").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
-    right = (rows if among is None else placed(among)).select("slot", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("unit").alias("other"))
+    right = rows.select("slot", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("unit").alias("other"))
     earlier = F.struct("then", "neighbour") < F.struct("ts", "id")
     pairs = left.join(right, "slot").where(earlier & (F.col("then") >= F.col("ts") - window_s)).select("id", "neighbour", dot(F.col("own"), F.col("other")).alias("similarity"))
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
@@ -94,10 +102,10 @@ def parents(items: DataFrame, neighbours: DataFrame, theta: float = D.theta, amo
 def formed(items: DataFrame, theta: float = D.theta, exact: bool = False) -> DataFrame:
     """id, story_id of items (id, ts, embedding, entities): the path from vectors to stories, by buckets unless exact.
 
-    With buckets, whose number follows theta, an item meets those near it and not the whole window; of neighbours at
-    theta it finds 0.95 and of nearer ones more. Exact is for small windows, and to measure the other against.
+    Exact goes by the index and skips what can't be as near as theta. With buckets, whose number follows theta, an item meets
+    those near it and not the whole window; of neighbours at theta it finds 0.95 and of nearer ones more.
     """
-    return assigned(parents(items, nearest(items) if exact else nearest_lsh(items, theta), theta))
+    return assigned(parents(items, nearest(items, floor=theta) if exact else nearest_lsh(items, theta), theta))
 
 
 def assigned(parent_rows: DataFrame) -> DataFrame:
@@ -147,7 +155,7 @@ class StoryStore:
         rows = frozen(items.select("id", "ts", "embedding", "entities", "source"))
         known, since = self._window(rows)
         window = rows.drop("source") if known is None else known.unionByName(rows.drop("source"))
-        found = frozen(parents(rows, nearest(rows, self.k, self.window_s, window), self.theta, window))
+        found = frozen(parents(rows, nearest(rows, self.k, self.window_s, known, self.theta), self.theta, window))
         inside = found.join(rows.select(F.col("id").alias("parent")), "parent", "left_semi").select("node", "parent")
         outside = found.join(rows.select(F.col("id").alias("parent")), "parent", "left_anti").select("node", F.col("parent").alias("earlier"))
         tops = roots(inside.union(outside.select("node", F.col("node").alias("parent"))))

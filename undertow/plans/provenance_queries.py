@@ -184,8 +184,7 @@ def choose_story(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {FOREST} SELECT id, story_id FROM formed")
 def story_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    return story_ops.assigned(story_ops.parents(rows, story_ops.nearest(rows), THETA))
+    return story_ops.formed(vectors(spark, sf_dir), THETA, exact=True)
 
 
 FOLD = f"""{FOREST} SELECT story_id, count(*) AS n_items, min(ts) AS first_seen, max(ts) AS last_seen, array_to_string(list_sort(list_distinct(flatten(list(entities)))), ',') AS entity_set,
@@ -199,7 +198,7 @@ def shown_folds(out: DataFrame) -> DataFrame:
 @query(f"WITH RECURSIVE {FOLD}")
 def story_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    formed = story_ops.assigned(story_ops.parents(rows, story_ops.nearest(rows), THETA))
+    formed = story_ops.formed(rows, THETA, exact=True)
     return shown_folds(story_ops.folded(rows.join(formed, "id")))
 
 
