@@ -237,13 +237,17 @@ def current_model(spark: SparkSession, folder: str) -> tuple[str, DataFrame, str
     return version, *model_of(spark, folder, version)
 
 
-def publishable(rows: DataFrame, subject: str, prefix: str, cap: int = 65_536) -> DataFrame:
-    """rows as JSON payloads under a subject: refused outside prefix, and too long a payload fails the job."""
-    if not subject.startswith(prefix):
-        raise PermissionError(f"{subject} is not under {prefix}")
-    payload = rows.select(F.to_json(F.struct(*rows.columns)).alias("payload"))
+def publishable(rows: DataFrame, subject: str | F.Column, prefix: str, cap: int = 65_536) -> DataFrame:
+    """rows as JSON payloads under a subject, or each under its own: refused outside prefix, and too long a payload fails the job."""
+    if isinstance(subject, str):
+        if not subject.startswith(prefix):
+            raise PermissionError(f"{subject} is not under {prefix}")
+        own = F.lit(subject)
+    else:
+        own = F.when(subject.startswith(prefix), subject).otherwise(F.raise_error(F.concat(F.coalesce(subject, F.lit("null")), F.lit(f" is not under {prefix}"))))
+    payload = rows.select(own.alias("subject"), F.to_json(F.struct(*rows.columns)).alias("payload"))
     fits = F.when(F.octet_length("payload") <= cap, F.col("payload")).otherwise(F.raise_error(F.lit(f"payload over {cap} bytes")))
-    return payload.select(F.lit(subject).alias("subject"), fits.alias("payload"))
+    return payload.select("subject", fits.alias("payload"))
 
 
 def dedup_key() -> F.Column:

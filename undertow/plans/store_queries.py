@@ -63,11 +63,11 @@ def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", F.lit("fine").alias("fate")).union(said)
 
 
-@query("SELECT 'ingest.' || source AS subject, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}' AS payload FROM documents WHERE source = (SELECT min(source) FROM documents)")
+@query("SELECT 'ingest.' || source AS subject, '{\"source\":\"' || source || '\",\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}' AS payload FROM documents")
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents")
-    source = rows.agg(F.min("source")).first()[0]
-    return storage.publishable(rows.where(F.col("source") == source).select("doc_id", "lang"), f"ingest.{source}", "ingest.")
+    """Every document under its source's subject."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    return storage.publishable(rows, F.concat(F.lit("ingest."), F.col("source")), "ingest.")
 
 
 @query("SELECT CAST(doc_id AS INTEGER) AS idx, n_chars / 8.0::DOUBLE AS weight FROM documents")
@@ -181,16 +181,17 @@ def gazetteer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(~F.col("e.text").isin([v[1] for v in entities.SEED.values()])).groupBy("doc_id", F.col("e.text").alias("name")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {ITEMS}, {STORY_ROWS}, due AS (SELECT * FROM stories WHERE story_id % 2 = 0) SELECT story_id, 'story' AS kind, 0.5::DOUBLE AS presence FROM due
-UNION ALL SELECT story_id, 'alert', gap FROM due WHERE gap > {D.alert_gap} AND trust_state <> 'rumor'""")
+@query(f"""WITH {ITEMS}, {STORY_ROWS}, seen AS (SELECT story_id, least(1.0, count(*) FILTER (WHERE source_class = 'mainstream') / 3.0) AS p FROM items GROUP BY story_id)
+SELECT story_id, 'story' AS kind, round(p, 6)::DOUBLE AS presence FROM stories JOIN seen USING (story_id)
+UNION ALL SELECT story_id, 'alert', round(gap, 6) FROM stories WHERE gap > {D.alert_gap} AND trust_state <> 'rumor'""")
 def cycle_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a cycle hands to its writers, with scores that are given: stories brought up to date, and alerts."""
+    """What a cycle hands to its writers, with gaps that are given: stories brought up to date, and alerts."""
     rows = stories(spark, sf_dir)
-    scored = rows.where("story_id % 2 = 0").select("story_id", "velocity_z", F.lit(0.5).alias("mainstream_presence"), "inauthenticity", "gap", "trust_state", F.lit(False).alias("warming"))
+    scored = rows.join(scoring.mainstream_presence(items(spark, sf_dir)), "story_id").select("story_id", "velocity_z", "mainstream_presence", "inauthenticity", "gap", "trust_state", F.lit(False).alias("warming"))
     none = spark.createDataFrame([], "story_id long, ts long")
-    changed = storage.scores_updated(rows.withColumn("mainstream_presence", F.lit(0.0)), scored).where("mainstream_presence = 0.5")
+    changed = storage.scores_updated(rows.withColumn("mainstream_presence", F.lit(-1.0)), scored)
     due = scoring.new_alerts(scored, none, 0)
-    return changed.select("story_id", F.lit("story").alias("kind"), F.col("mainstream_presence").alias("presence")).union(due.select("story_id", F.lit("alert"), "gap"))
+    return changed.select("story_id", F.lit("story").alias("kind"), F.round("mainstream_presence", 6).alias("presence")).union(due.select("story_id", F.lit("alert"), F.round("gap", 6)))
 
 
 #: 48 SHA-256 digests are 384 unsigned integers, lowest byte first. Sums are compared, as the vectors hold single precision.

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from undertow.config import D
 from undertow.operators.admission import Governor
+from undertow.operators.admission import State as Held
 from undertow.operators.parts import Parts
 from undertow.operators.storage import insert_absent
 
@@ -167,11 +168,11 @@ def governed(items: DataFrame) -> DataFrame:
 
         governor = Governor()
         if state.exists:
-            governor.theta, governor.rate, last = state.get
-            governor.last = None if last < 0 else last
+            theta, rate, last = state.get
+            governor.state = Held(theta, rate, None if last < 0 else last)
         rows = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
         out = [(r.id, governor.admit(r.relevance, r.source_class, r.ts), governor.theta) for r in rows.itertuples(index=False)]
-        state.update((governor.theta, governor.rate, -1.0 if governor.last is None else governor.last))
+        state.update((governor.theta, governor.rate, -1.0 if governor.state.last is None else governor.state.last))
         yield pd.DataFrame(out, columns=["id", "admitted", "theta"])
 
     keyed = items.select(F.lit(0).alias("one"), F.col("id").cast("long").alias("id"), F.col("ts").cast("double").alias("ts"), F.col("relevance").cast("double").alias("relevance"), "source_class")
