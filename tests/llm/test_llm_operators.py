@@ -465,4 +465,4 @@ def test_every_language_is_learned_and_odd_texts_are_rejected(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted({int(n[2:].split("_")[0]) for n in catalog.QUERIES}) == list(range(1, 11)) and len(catalog.QUERIES) == 10
+    assert sorted({int(n[2:].split("_")[0]) for n in catalog.QUERIES}) == list(range(1, 14)) and len(catalog.QUERIES) == 13
