@@ -138,7 +138,9 @@ def candidate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.candidates(_replayed(wired(spark, sf_dir))).select("story_id", "id")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {REPLAY}, {CANDIDATES}, t AS (SELECT story_id, id AS item_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM candidates JOIN documents ON doc_id = id),
+s AS (SELECT story_id, item_id, string_split(CASE WHEN regexp_matches(t, '[.!?]\s') THEN regexp_extract(t, '^((?s:.*?)[.!?])\s', 1) ELSE t END, chr(10))[1] AS c FROM t)
+SELECT story_id, item_id, left(trim(c), 2048) AS claim FROM s WHERE trim(c) <> ''""")
 def extracted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of candidates by the stand-in for a chat model."""
     from undertow.operators import entities
