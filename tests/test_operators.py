@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from undertow.config import D, Defaults
 from undertow.operators import admission, graph, labels, provenance, scoring, serving, storage, stories, tallies
+from undertow.operators.commits import CommitLog
 
 ITEM = "story_id int, id int, ts long, source string, source_class string, author_ref string, parent_ref string, content_hash string, urls array<string>, simhash long, wire_ref string, entities array<string>"
 
@@ -477,7 +478,7 @@ def test_retrain_and_gate(spark, tmp_path):
     assert report["version"] == version and report["f1"] == 1.0 and report["enough"] and evaluation(spark, str(tmp_path / "none"), str(tmp_path / "rows"))["version"] is None
     spark.createDataFrame([(3, 9.0)], "idx int, weight double").write.mode("overwrite").parquet(str(tmp_path / "bad" / "weights"))
     spark.createDataFrame([("bad", '{"sha256": "0"}')], "version string, meta string").write.parquet(str(tmp_path / "bad" / "meta"))
-    spark.createDataFrame([("bad",)], "version string").write.mode("overwrite").parquet(str(tmp_path / "current"))
+    CommitLog(spark, str(tmp_path)).commit(lambda _: {"version": "bad"})
     assert model.get() is not None and model.version == version and labels.CurrentModel(spark, str(tmp_path)).get() is None
     counts = {0: 150, 1: 150}
     assert labels.promotes(counts, 0.5, 0.5) and labels.promotes(counts, 0.1, None) and not labels.promotes(counts, 0.4, 0.5) and not labels.promotes({0: 190, 1: 29}, 1.0, None)
