@@ -100,13 +100,13 @@ def copy_classes(hashed: DataFrame, bits: int = D.copy_bits) -> tuple[DataFrame,
     first is the least id of those with the same simhash; src and dst are two such first ids, the later one first, whose
     simhashes lie within bits. So copies of one simhash are a class and no pairs, and a link between two classes is one
     row. Simhashes of 0 are left out. Of the 64 bits, cut into a few parts more than bits, some parts are equal in such a
-    pair at least: rows meet under all choices of so many parts. Their number follows the number of simhashes, from 28 keys
-    of 16 bits at 6 bits for 10,000 to 924 of 32 for billions, so that a key's rows do not grow with the table.
+    pair at least: rows meet under all choices of so many parts. Their number follows the number of simhashes, from 84 keys
+    of 21 bits at 6 bits to 924 of 32 for billions, so that a key's rows do not grow with the table.
     """
     rows = frozen(hashed.where(F.coalesce("simhash", F.lit(0)) != 0).select("id", "simhash"))
     distinct = frozen(rows.groupBy("simhash").agg(F.min("id").alias("first")))
     n = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sig = _signatures(bits, _equal_parts(distinct.count(), bits))
+    sig = _signatures(bits, max(3, _equal_parts(distinct.count(), bits)))  # shorter keys meet too often, as texts of one language are alike
     side = distinct.repartition(n, F.xxhash64("simhash")).select("simhash", "first", F.explode(sig).alias("sig"))  # dealt out anew, as each row becomes many; by another hash than before, or Spark would take it for done
     x, y = (side.select("sig", F.col("simhash").alias(f"{p}_hash"), F.col("first").alias(f"{p}_id")) for p in "xy")
     links = x.join(y, "sig").where((F.col("x_id") > F.col("y_id")) & (hamming(F.col("x_hash"), F.col("y_hash")) <= bits))
