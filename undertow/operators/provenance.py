@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undertow.config import D
-from undertow.functions.geo import haversine_km
 from undertow.functions.text import hamming
 from undertow.operators.graph import components, frozen
+from undertow.operators.matching import primary_matches
 
 RANK = {"rumor": 0, "corroborated": 1, "primary_backed": 2}
 
@@ -367,27 +367,6 @@ def claim_matches(claims: DataFrame, items: DataFrame) -> DataFrame:
     return primary_matches(eligible_claims(claims, items), items.where(F.col("source_class").isin("authoritative", "primary")))
 
 
-def primary_matches(claims: DataFrame, official: DataFrame) -> DataFrame:
-    """story_id, id, primary_id: the newest official item that backs a claim.
-
-    claims (story_id, id, ts, entities, lat, lon); official (id, ts, entities, lat, lon). Some entity in
-    common, within a day, and not farther apart than 500 km where both have a place. Only the newest 50
-    with a common entity in time are looked at, before distance is. Claims and official items meet by entity and day,
-    so an entity's whole history is never one key.
-    """
-    day = F.floor(F.col("ts") / D.match_s)
-    names = lambda rows: F.array_distinct(F.filter(F.transform("entities", F.lower), lambda e: e != ""))
-    a = claims.select("story_id", F.col("id").alias("claim"), F.col("ts").alias("t"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.explode(names(claims)).alias("entity"), F.array(day - 1, day, day + 1).alias("days"))
-    a = a.withColumn("day", F.explode("days")).drop("days")
-    b = official.select("id", "ts", "lat", "lon", F.explode(names(official)).alias("entity"), day.alias("day"))
-    met = a.join(b, ["entity", "day"]).where(F.abs(F.col("ts") - F.col("t")) <= D.match_s).drop("entity", "day").distinct()
-    newest = F.row_number().over(W.partitionBy("story_id", "claim").orderBy(F.desc("ts"), "id"))
-    near = met.withColumn("place", newest).where(F.col("place") <= D.match_candidates)
-    km = haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))
-    fits = near.where(F.coalesce(km <= D.match_km, F.lit(True)))
-    return fits.groupBy("story_id", F.col("claim").alias("id")).agg(F.min_by("id", "place").alias("primary_id"))
-
-
 def promoted(stories: DataFrame, matches: DataFrame) -> DataFrame:
     """stories with primary_backed where some claim was matched."""
     hit = matches.select("story_id").distinct().withColumn("hit", F.lit(True))
