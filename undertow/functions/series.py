@@ -10,9 +10,20 @@ from undertow.functions.text import let
 
 
 def ewma(series: Column, alpha: float = D.alpha) -> Column:
-    """Exponentially weighted means; the first value starts them."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(series, start, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x.cast("double")).otherwise(alpha * x + (1 - alpha) * F.element_at(acc, -1)))))
+    """Exponentially weighted means; the first value starts them.
+
+    A step is an affine map, and maps compose whatever the brackets, so the means are a prefix scan: each pass adds what is
+    1, 2, 4, ... places before, weighted by (1 - alpha) to that power. Passes end where that weight is below a double's
+    precision, so a series of n values costs n times their number, however long it is.
+    """
+    keep = 1 - alpha
+    steps = [1]
+    while keep ** steps[-1] > 1e-18 and steps[-1] < 1 << 30:
+        steps.append(2 * steps[-1])
+    start = F.transform(series, lambda x, i: F.when(i == 0, x.cast("double")).otherwise(alpha * x))
+    before = lambda acc, i, step: F.when(i >= step["at"], step["weight"] * F.get(acc, i - step["at"])).otherwise(0.0)
+    passes = F.array(*[F.struct(F.lit(s).alias("at"), F.lit(keep**s).alias("weight")) for s in steps])
+    return F.aggregate(passes, start, lambda acc, step: F.transform(acc, lambda x, i: x + before(acc, i, step)))
 
 
 def acceleration(series: Column) -> Column:
