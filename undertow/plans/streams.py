@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.operators.graph import shared_folder
-from undertow.plans.adapters import seconds
+from undertow.plans.adapters import MENTIONS, MINUTES, last_mention, mentions, seconds
+from undertow.plans.mention_queries import HOUR, SERIES
 from undertow.plans.provenance_queries import FOLD, THETA, shown_folds, vectors
 from undertow.plans.story_queries import CALM, CALM_PHRASES, raw_items
 from undertow.plans.catalog import query
-from undertow.streaming import jobs
+from undertow.streaming import jobs, velocity
 
 
 def folder(spark: SparkSession) -> str:
@@ -90,3 +91,15 @@ def stories_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in arriving(rows, f"{out}/in", 3):
         jobs.write_stories(spark.readStream.schema(rows.schema).parquet(f"{out}/in"), f"{out}/stories", f"{out}/checkpoint", THETA).awaitTermination()
     return shown_folds(StoryStore(spark, f"{out}/stories", THETA).stories())
+
+
+@query(f"WITH {MENTIONS}, {MINUTES}, {SERIES} SELECT entity, round(velocity_z, 6) AS velocity_z FROM z")
+def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """velocity_z of a stream that is stopped and started again for each of four batches, from summaries of runs of bins."""
+    out, rows = folder(spark), mentions(spark, sf_dir).select("entity", "ts")
+    for _ in arriving(rows, f"{out}/mentions", 4):
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{out}/mentions")
+        velocity.write_velocity(arrived, f"{out}/velocity", f"{out}/checkpoint", HOUR, 16).awaitTermination()
+    until = last_mention(spark, sf_dir) // HOUR * HOUR
+    scored = velocity.VelocityState(spark, f"{out}/velocity", HOUR, 16).z(until - 240 * HOUR, until)
+    return scored.select("entity", F.round("velocity_z", 6).alias("velocity_z"))
