@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from undertow.config import D
 from undertow.operators.matching import newest_shared, primary_matches
+from undertow.streaming.matching import MatchStore
 
 SIDE = "id long, ts long, entities array<string>, lat double, lon double, story_id long"
 
@@ -64,3 +65,19 @@ def test_empty_sides(spark):
     assert [tuple(r) for r in primary_matches(one, one).collect()] == [(1, 1, 1)]
     text = one.withColumn("id", F.lit("é")).withColumn("ts", F.lit(2.5))
     assert [tuple(r) for r in primary_matches(text, text).collect()] == [(1, "é", "é")]
+
+
+def test_batches_equal_one_pass(spark, tmp_path):
+    """Official items that come late back claims of earlier batches, or push their match out of the newest fifty."""
+    claims, official = sides(4, 500, 2 * 86_400, 0.5)
+    far = [(9000 + i, 50_400, ["Solo"], 80.0, 80.0, 0) for i in range(50)]
+    claims, official = [*claims, (8000, 50_000, ["solo"], 1.0, 1.0, 1)], [(8500, 50_100, ["solo"], 1.0, 1.0, 0), *official]
+    for batch in range(3):
+        some = official[batch::3] + (far if batch == 2 else [])
+        for _ in range(2):
+            store = MatchStore(spark, str(tmp_path / "m"), fan=2)
+            store.add(batch, spark.createDataFrame(claims[batch::3], SIDE), spark.createDataFrame(some, SIDE))
+        seen = [o for b in range(batch + 1) for o in official[b::3]] + (far if batch == 2 else [])
+        asked = [c for b in range(batch + 1) for c in claims[b::3]]
+        assert sorted(map(tuple, store.matches().collect())) == brute(asked, seen)
+    assert all(r["id"] != 8000 for r in store.matches().collect())

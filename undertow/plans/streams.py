@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.operators.graph import shared_folder
-from undertow.plans.adapters import MENTIONS, MINUTES, last_mention, mentions, seconds
+from undertow.plans.adapters import MENTIONS, MINUTES, items, last_mention, mentions, seconds
 from undertow.plans.mention_queries import HOUR, SERIES
 from undertow.plans.provenance_queries import FOLD, THETA, shown_folds, vectors
 from undertow.plans.story_queries import CALM, CALM_PHRASES, raw_items
-from undertow.plans.catalog import query
-from undertow.streaming import jobs, velocity
+from undertow.plans.catalog import ORACLE_SQL, query
+from undertow.streaming import jobs, matching, velocity
 
 
 def folder(spark: SparkSession) -> str:
@@ -103,3 +103,15 @@ def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     until = last_mention(spark, sf_dir) // HOUR * HOUR
     scored = velocity.VelocityState(spark, f"{out}/velocity", HOUR, 16).z(until - 240 * HOUR, until)
     return scored.select("entity", F.round("velocity_z", 6).alias("velocity_z"))
+
+
+@query(ORACLE_SQL["primary_match"])
+def stream_primary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """primary_match of items that come in three batches, of which each holds items of all times, so most are late."""
+    out = folder(spark)
+    rows = items(spark, sf_dir).select("story_id", "id", "ts", "source_class", "entities", "lat", "lon")
+    for batch in range(3):
+        rows.where(F.floor(F.col("id") / 7) % 3 == batch).write.mode("append").parquet(f"{out}/items")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{out}/items")
+        matching.write_matches(arrived, f"{out}/matches", f"{out}/checkpoint").awaitTermination()
+    return matching.MatchStore(spark, f"{out}/matches").matches()
