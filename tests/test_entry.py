@@ -13,7 +13,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 TABLES = "/root/testdata/sf0.001"
-PARITY = ("gap_rank", "tally_minute", "feed_gap", "inauth_score", "weak_labels", "trust_state_final", "copy_pairs", "story_fold", "normalize_noaa", "canonical_url", "trust_replay", "knn_topk", "time_split")
+PARITY = ("gap_rank", "tally_minute", "feed_gap", "inauth_score", "weak_labels", "trust_state_final", "copy_pairs", "story_fold", "normalize_noaa", "canonical_url", "trust_replay", "knn_topk", "time_split", "primary_match", "stream_velocity", "inserted_once")
 
 
 def test_imports_without_a_session_and_without_the_subpackage(tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.operators.graph import shared_folder
-from undertow.plans.adapters import MENTIONS, MINUTES, items, last_mention, mentions, seconds
+from undertow.plans.adapters import ITEMS, MENTIONS, MINUTES, items, last_mention, mentions, seconds
 from undertow.plans.mention_queries import HOUR, SERIES
 from undertow.plans.provenance_queries import FOLD, THETA, shown_folds, vectors
 from undertow.plans.story_queries import CALM, CALM_PHRASES, raw_items
@@ -115,3 +115,15 @@ def stream_primary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         arrived = spark.readStream.schema(rows.schema).parquet(f"{out}/items")
         matching.write_matches(arrived, f"{out}/matches", f"{out}/checkpoint").awaitTermination()
     return matching.MatchStore(spark, f"{out}/matches").matches()
+
+
+@query(f"WITH {ITEMS} SELECT id, ts FROM items")
+def inserted_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in three batches, of which each brings again half of those before; the filter names what to look for."""
+    from undertow.operators.once import OnceStore
+
+    rows = items(spark, sf_dir).select("id", "ts", F.timestamp_seconds("ts").alias("ts_observed"), "source")
+    store = OnceStore(spark, f"{folder(spark)}/items", ("id", "ts_observed"), "ts_observed", blocks=16)
+    for batch in range(3):
+        store.add(batch, rows.where((F.col("id") % 3 == batch) | (F.col("id") % 3 < batch) & (F.col("id") % 2 == 0)))
+    return store.rows().select("id", "ts")
