@@ -89,10 +89,11 @@ class Degradable:
 
 
 class Notifier:
-    """Pushes alerts newer than a cursor, which starts at the newest and moves only behind what was pushed."""
+    """Pushes alerts newer than a cursor, which starts at the newest and moves only behind what was pushed. message() gives
+    title and body as columns of an alert with its story's entity_set."""
 
-    def __init__(self, push: Callable[[str, str], None], cursor: int):
-        self.push, self.cursor = push, cursor
+    def __init__(self, push: Callable[[str, str], None], cursor: int, message: Callable[[], tuple[F.Column, F.Column]] = push_message):
+        self.push, self.cursor, self.message = push, cursor, message
 
     @classmethod
     def at_newest(cls, push: Callable[[str, str], None], alert_rows: DataFrame) -> Notifier:
@@ -100,7 +101,7 @@ class Notifier:
 
     def poll(self, alert_rows: DataFrame, stories: DataFrame, batch: int = 50) -> int:
         """Number pushed. All alerts of a second go together, so none is lost at a batch's end."""
-        title, body = push_message()
+        title, body = self.message()
         last = alert_rows.where(F.col("ts") > self.cursor).orderBy("ts").limit(batch).agg(F.max("ts")).first()[0]
         if last is None:
             return 0
