@@ -30,3 +30,17 @@ def parity(spark, name, folder=TABLES, tables=("events", "documents", "embedding
 @needs_tables
 def test_notified_equals_its_sql(spark):
     parity(spark, "notified")
+
+
+def test_hash_embedding_in_double_precision(spark):
+    """Single precision moves the sum by some 1e-6 of its size, and with it the rounded sum of one in many texts."""
+    from undertow.functions.vector import hash_embedding
+
+    texts = [f"t{i}" for i in range(50)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hash_embedding(kind="double")("t").alias("v"), hash_embedding()("t").alias("single")).collect()
+    for r in rows:
+        raw = b"".join(hashlib.sha256(f"{i}:{r['t']}".encode()).digest() for i in range(48))
+        plain = [int.from_bytes(raw[i : i + 4], "little") / (2**32 - 1) - 0.5 for i in range(0, len(raw), 4)]
+        length = sum(x * x for x in plain) ** 0.5
+        assert r["v"] == pytest.approx([x / length for x in plain], abs=1e-14)
+        assert r["single"] == pytest.approx(r["v"], abs=1e-6)

@@ -22,19 +22,21 @@ def unit(a: Column) -> Column:
     return F.get(F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), F.lit(0))
 
 
-def hash_embedding(dim: int = 384):
-    """A unit vector that only depends on the text: sha256 of the text and a counter, as unsigned integers."""
+def hash_embedding(dim: int = 384, kind: str = "float"):
+    """A unit vector that only depends on the text: sha256 of the text and a counter, as unsigned integers. kind is float or double."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(f"array<{kind}>")
     def embed(texts: pd.Series) -> pd.Series:
         import hashlib
 
         import numpy as np
 
+        exact = np.float64 if kind == "double" else np.float32
+
         def one(text: str | None) -> list[float]:
             raw = b"".join(hashlib.sha256(f"{i}:{text or ''}".encode()).digest() for i in range(-(-dim * 4 // 32)))
-            v = np.frombuffer(raw[: 4 * dim], "<u4").astype(np.float32) / (2**32 - 1) - 0.5
-            return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32).tolist()
+            v = np.frombuffer(raw[: 4 * dim], "<u4").astype(exact) / (2**32 - 1) - 0.5
+            return (v / (np.linalg.norm(v) or 1.0)).astype(exact).tolist()
 
         return texts.map(one, na_action=None)
 
