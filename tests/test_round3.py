@@ -51,3 +51,37 @@ def test_entities_without_a_semicolon_stay(spark):
 
     row = spark.range(1).select(*[f(F.lit(" <p>a &amp b &amp;copy; &copy;&#65;&nope; &quo")).alias(n) for n, f in (("closed", text.html_text_closed), ("all", text.html_text))]).first()
     assert row["closed"] == "a &amp b &copy; ©A&nope; &quo" and row["all"] == "a & b &copy; ©A&nope; &quo"
+
+
+MEMBERS = "story_id int, id int, ts long, author_ref string, parent_ref string, content_hash string, urls array<string>"
+
+
+def members(n):
+    return [(i % 2, i, 100 - i, "a" if i % 3 else "", f"h{i - 2}" if i > 1 else "", f"h{i}", [f"u{i % 2}", "u", ""][: i % 4]) for i in range(n)]
+
+
+def brute(rows, shares):
+    return sorted((x[0], *((x[1], y[1]) if (x[2], x[1]) > (y[2], y[1]) else (y[1], x[1])), max(x[2], y[2])) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and shares(x, y))
+
+
+def by_author(x, y):
+    return x[3] == y[3] != ""
+
+
+def by_url(x, y):
+    return bool({u for u in x[6] if u} & {u for u in y[6] if u})
+
+
+@pytest.mark.parametrize("kind, shares", [("author", by_author), ("url", by_url)])
+def test_edges_of_members_by_tiles(spark, kind, shares):
+    from undertow.operators import provenance
+
+    rows = members(40)
+    df = spark.createDataFrame(rows + rows[:7], MEMBERS)
+    want = brute(rows, shares)
+    for tile in (3, 2048):
+        found = provenance.member_edges(provenance.edge_members(df, kind), kind, tile)
+        assert sorted(tuple(r) for r in found.select("story_id", "src", "dst", "ts").collect()) == want
+    made = (provenance.author_edges if kind == "author" else provenance.url_edges)(df)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith("Aggregate")  # pairs are not shuffled to be told apart

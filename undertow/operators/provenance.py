@@ -38,11 +38,15 @@ def nodes(items: DataFrame) -> DataFrame:
     return items.withColumns({"urls": urls, "simhash": F.coalesce(simhash_blake2b("text"), F.lit(0)), "wire_ref": wire_ref(F.col("text"))})
 
 
-def _oriented(pairs: DataFrame, kind: str) -> DataFrame:
-    """Edges lead from the later item to the earlier one, one for each pair."""
+def _toward(pairs: DataFrame, kind: str) -> DataFrame:
+    """Edges lead from the later item to the earlier one."""
     later = F.struct("x_ts", "x_id") > F.struct("y_ts", "y_id")
-    both = pairs.where(F.col("x_id") != F.col("y_id"))
-    return both.select("story_id", F.when(later, F.col("x_id")).otherwise(F.col("y_id")).alias("src"), F.when(later, F.col("y_id")).otherwise(F.col("x_id")).alias("dst"), F.greatest("x_ts", "y_ts").alias("ts"), F.lit(kind).alias("edge_type")).distinct()
+    return pairs.select("story_id", F.when(later, F.col("x_id")).otherwise(F.col("y_id")).alias("src"), F.when(later, F.col("y_id")).otherwise(F.col("x_id")).alias("dst"), F.greatest("x_ts", "y_ts").alias("ts"), F.lit(kind).alias("edge_type"))
+
+
+def _oriented(pairs: DataFrame, kind: str) -> DataFrame:
+    """One edge for each pair, however often it is there."""
+    return _toward(pairs.where(F.col("x_id") != F.col("y_id")), kind).distinct()
 
 
 def _side(items: DataFrame, prefix: str, key: Column) -> DataFrame:
@@ -55,18 +59,43 @@ def ref_edges(items: DataFrame) -> DataFrame:
     return _oriented(x.join(_side(items, "y", F.col("content_hash")), ["story_id", "key"]), "ref")
 
 
-def _pairs(items: DataFrame, key: Column, kind: str) -> DataFrame:
-    x, y = _side(items, "x", key).where("key <> ''"), _side(items, "y", key).where("key <> ''")
-    return _oriented(x.join(y, ["story_id", "key"]).where("x_id < y_id"), kind)
+def edge_members(items: DataFrame, kind: str) -> DataFrame:
+    """story_id, key, id, ts, before: who shares an author or a URL (kind), a row an item and key, in the place of all pairs.
+    before has those of the item's keys that sort before this one."""
+    if kind == "author":
+        rows = items.select("story_id", F.col("author_ref").alias("key"), "id", "ts", F.array().cast("array<string>").alias("before"))
+    else:
+        keys = items.select("story_id", "id", "ts", F.filter(F.array_distinct("urls"), lambda u: u != "").alias("keys"))
+        rows = keys.withColumn("key", F.explode("keys")).select("story_id", "key", "id", "ts", F.array_sort(F.filter("keys", lambda u: u < F.col("key"))).alias("before"))
+    return rows.where("key <> ''")
+
+
+def member_edges(members: DataFrame, kind: str, tile: int = 2048) -> DataFrame:
+    """Edges between all members (story_id, key, id, ts, before) of a key, each pair once: in the first key that it shares.
+
+    No pair is shuffled or held. A key's members are dealt into tiles of about tile rows, and each two tiles meet in a place
+    of their own, so the pairs of a crowded key are made by many tasks, and a member travels once for each tile of its key.
+    """
+    spot = ["story_id", "key", "x_tile", "y_tile"]
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.select("story_id", "key", "id", "ts", "before").distinct()
+    tiles = rows.groupBy("story_id", "key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(tiles, ["story_id", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    named = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("id", "ts", "before")]
+    x = dealt.select("story_id", "key", F.col("tile").alias("x_tile"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("y_tile"), *named("x"))
+    y = dealt.select("story_id", "key", F.explode(F.sequence(F.lit(0), "tile")).alias("x_tile"), F.col("tile").alias("y_tile"), *named("y"))
+    # dealt out by number, as adaptive execution would join the few bytes of members into few tasks, which make all pairs
+    met = x.repartition(n, *spot).join(y.repartition(n, *spot), spot).where((F.col("x_tile") < F.col("y_tile")) | (F.col("x_id") < F.col("y_id")))
+    return _toward(met if kind == "author" else met.where(~F.arrays_overlap("x_before", "y_before")), kind)
 
 
 def author_edges(items: DataFrame) -> DataFrame:
-    return _pairs(items, F.col("author_ref"), "author")
+    return member_edges(edge_members(items, "author"), "author")
 
 
 def url_edges(items: DataFrame) -> DataFrame:
     """Canonical URLs in common; empty ones do not count."""
-    return _pairs(items.withColumn("url", F.explode(F.array_distinct("urls"))), F.col("url"), "url")
+    return member_edges(edge_members(items, "url"), "url")
 
 
 def copy_edges(items: DataFrame, bits: int = D.copy_bits) -> DataFrame:
