@@ -85,3 +85,19 @@ def test_edges_of_members_by_tiles(spark, kind, shares):
     made = (provenance.author_edges if kind == "author" else provenance.url_edges)(df)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not plan.startswith("Aggregate")  # pairs are not shuffled to be told apart
+
+
+def test_edge_store_keeps_members_and_makes_each_edge_once(spark, tmp_path):
+    from undertow.operators.edges import EdgeStore
+
+    rows = members(40)
+    df = spark.createDataFrame(rows, MEMBERS)
+    store = EdgeStore(spark, str(tmp_path / "edges"))
+    assert store.edges() is None
+    assert store.add(0, df.where("id % 2 = 0 or id < 9"), ("ref", "author")) and not store.add(0, df)
+    assert store.add(1, df) and store.add(2, df)
+    assert store.parts.read("author").count() == sum(1 for r in rows if r[3])  # a row a member, however often it came
+    found = sorted((r["edge_type"], r["story_id"], r["src"], r["dst"]) for r in store.edges().collect())
+    refers = lambda x, y: x[4] == y[5] or y[4] == x[5]
+    want = sorted((kind, *e[:3]) for kind, shares in (("author", by_author), ("url", by_url), ("ref", refers)) for e in brute(rows, shares))
+    assert found == want
