@@ -101,3 +101,42 @@ def test_edge_store_keeps_members_and_makes_each_edge_once(spark, tmp_path):
     refers = lambda x, y: x[4] == y[5] or y[4] == x[5]
     want = sorted((kind, *e[:3]) for kind, shares in (("author", by_author), ("url", by_url), ("ref", refers)) for e in brute(rows, shares))
     assert found == want
+
+
+def test_fifo_that_forgets_nothing_is_dealt_into_lanes(spark, tmp_path):
+    from undertow.streaming import jobs
+
+    texts = [f"t{i * 7 % 60}" for i in range(200)]
+    ddl, out = "id long, ts long, text string, content_hash string", str(tmp_path / "out")
+    for part in (range(120, 200), range(0, 120)):  # what comes in the second batch is older, and late
+        spark.createDataFrame([(i, -i, texts[i], "") for i in part], ddl).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+        jobs.fifo_deduplicated(stream, most=None, lanes=5).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    first = {}
+    for part in (range(199, 119, -1), range(119, -1, -1)):
+        for i in part:
+            first.setdefault(texts[i], i)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == sorted(first.values())
+
+
+def test_first_sight_holds_lanes_of_keys_that_expire():
+    import types
+
+    import pandas as pd
+
+    from undertow.streaming.enrichment import FirstSight
+
+    held = []
+    state = types.SimpleNamespace(exists=lambda: bool(held), get=lambda: held[-1], update=held.append)
+    sight = FirstSight(10)
+    sight.init(types.SimpleNamespace(getValueState=lambda *a, **b: state))
+
+    def seen(now_s, rows):
+        parts = [pd.DataFrame([(hashlib.md5(k.encode()).hexdigest(), ts, i, f"{k}{i}") for k, ts, i in part], columns=["digest", "place_ts", "place_id", "payload"]) for part in rows]
+        timer = types.SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now_s * 1000)
+        out = pd.concat(list(sight.handleInputRows((0,), iter(parts), timer)))
+        return sorted(out.loc[out["fresh"].astype(bool), "payload"]), len(out)
+
+    assert seen(100, [[("a", 5.0, 1), ("b", 1.0, 2)], [("a", 4.0, 3), ("a", 4.0, 4), ("b", None, 0)]]) == (["a3", "b2"], 5)
+    assert seen(105, [[("a", 0.0, 5), ("c", 0.0, 6)]]) == (["c6"], 2)
+    assert seen(111, [[("a", 9.0, 7), ("c", 0.0, 8)]]) == (["a7"], 2) and len(held[-1][0]) == 32

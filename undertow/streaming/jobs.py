@@ -15,6 +15,8 @@ from undertow.operators.parts import Parts
 from undertow.operators.storage import insert_absent
 
 WALL = f"{D.retention_days} days"
+#: Groups that keys are dealt to where their order is free. State lies by them, so they follow no setting.
+LANES = 1024
 
 
 def validated(raw: DataFrame, ddl: str, valid, cap: int = 65_536) -> tuple[DataFrame, DataFrame]:
@@ -78,23 +80,35 @@ def deduplicated(items: DataFrame, ts: str = "ts_observed") -> DataFrame:
     return items.withColumn("dedup_key", key).withWatermark(ts, WALL).dropDuplicatesWithinWatermark(["dedup_key"]).drop("dedup_key")
 
 
-def fifo_deduplicated(items: DataFrame, order: tuple[str, ...] = ("ts", "id"), most: int = 50_000, lanes: int = 1) -> DataFrame:
+def fifo_deduplicated(items: DataFrame, order: tuple[str, ...] = ("ts", "id"), most: int | None = 50_000, lanes: int | None = None) -> DataFrame:
     """Rows of a stream whose key (content_hash, or the text where that is empty) is not among the last most new ones.
 
     As FifoDeduper, as state: keys leave in the order in which they came, and a hit does not renew a key's place. Each
-    of lanes, by a hash of the key, remembers its share; one lane keeps the order of all. A batch is taken by order.
+    of lanes, by a hash of the key, remembers its share; one lane, as without lanes, keeps the order of all. A batch is
+    taken by order. With most None no key leaves, so the order of different keys does not matter and lanes change no
+    result: there are LANES of them, and each holds its keys and the first row of each new one.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     from undertow.operators.seen import FifoDeduper
 
+    lanes = lanes or (LANES if most is None else 1)
+
     def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
+        held = state.get[0] if state.exists else b""
+        keys = dict.fromkeys(held[i : i + 16] for i in range(0, len(held), 16))
+        if most is None:
+            first = None
+            for part in batches:
+                part = part[[bytes.fromhex(k) not in keys for k in part["dedup_key"]]]
+                first = pd.concat([x for x in (first, part) if x is not None]).sort_values(list(order), kind="stable").drop_duplicates("dedup_key")
+            state.update((held + b"".join(bytes.fromhex(k) for k in first["dedup_key"]),))
+            yield first[columns]
+            return
         known = FifoDeduper(max(1, most // lanes))
-        if state.exists:
-            (held,) = state.get
-            known.keys = dict.fromkeys(held[i : i + 16] for i in range(0, len(held), 16))
+        known.keys = keys
         rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
         fresh = [not known.seen(bytes.fromhex(k)) for k in rows["dedup_key"]]
         state.update((b"".join(known.keys),))
