@@ -33,10 +33,10 @@ def hash_embedding(dim: int = 384, kind: str = "float"):
 
         exact = np.float64 if kind == "double" else np.float32
 
-        def one(text: str | None) -> list[float]:
+        def one(text: str | None) -> np.ndarray:
             raw = b"".join(hashlib.sha256(f"{i}:{text or ''}".encode()).digest() for i in range(-(-dim * 4 // 32)))
             v = np.frombuffer(raw[: 4 * dim], "<u4").astype(exact) / (2**32 - 1) - 0.5
-            return (v / (np.linalg.norm(v) or 1.0)).astype(exact).tolist()
+            return (v / (np.linalg.norm(v) or 1.0)).astype(exact)
 
         return texts.map(one, na_action=None)
 
