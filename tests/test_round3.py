@@ -140,3 +140,38 @@ def test_first_sight_holds_lanes_of_keys_that_expire():
     assert seen(100, [[("a", 5.0, 1), ("b", 1.0, 2)], [("a", 4.0, 3), ("a", 4.0, 4), ("b", None, 0)]]) == (["a3", "b2"], 5)
     assert seen(105, [[("a", 0.0, 5), ("c", 0.0, 6)]]) == (["c6"], 2)
     assert seen(111, [[("a", 9.0, 7), ("c", 0.0, 8)]]) == (["a7"], 2) and len(held[-1][0]) == 32
+
+
+def test_basic_words_of_far_characters():
+    from undertow.operators import entities
+
+    text = "Aé́x_1 \U0001d49c\U0001d4d0b, \U00020000c\U00010100d　 一퟿e\U000e0001f×­$"
+    found = [text[a:b] for a, b in entities.WordPiece(["[UNK]"]).spans(text)]
+    assert found == ["Aé\u0301x", "_", "1", "\U0001d49c\U0001d4d0b", ",", "\U00020000", "c", "\U00010100", "d", "\u4e00", "e", "f×", "$"]
+
+
+def test_long_texts_are_cut_into_basic_words_in_little_time():
+    import time
+
+    from undertow.operators import entities
+
+    words, text = entities.WordPiece(["[UNK]"]), "some words, of little note " * 20_000
+    words.spans("a")
+    start = time.process_time()
+    assert len(words.spans(text)) == 120_000
+    assert time.process_time() - start < 0.6
+
+
+def test_simhashes_are_made_once_for_copies(spark):
+    from undertow.operators import provenance
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("long")
+    def hashed(ids):
+        made.add(len(ids))
+        return ids % 5
+
+    rows = spark.range(100).select("id", hashed("id").alias("simhash"))
+    members, links = provenance.copy_classes(rows)
+    assert members.count() == 80 and links.count() == 6 and made.value == 100
