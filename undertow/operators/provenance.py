@@ -132,7 +132,8 @@ def copy_classes(hashed: DataFrame, bits: int = D.copy_bits) -> tuple[DataFrame,
     pair at least: rows meet under all choices of so many parts. Their number follows the number of simhashes, from 84 keys
     of 21 bits at 6 bits to 924 of 32 for billions, so that a key's rows do not grow with the table.
     """
-    rows = frozen(hashed.where(F.coalesce("simhash", F.lit(0)) != 0).select("id", "simhash"))
+    every = frozen(hashed.select("id", "simhash"))  # before the filter, which would have hashes made once more for itself
+    rows = every.where(F.coalesce("simhash", F.lit(0)) != 0)
     distinct = frozen(rows.groupBy("simhash").agg(F.min("id").alias("first")))
     n = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sig = _signatures(bits, max(3, _equal_parts(distinct.count(), bits)))  # shorter keys meet too often, as texts of one language are alike
