@@ -175,3 +175,19 @@ def test_simhashes_are_made_once_for_copies(spark):
     rows = spark.range(100).select("id", hashed("id").alias("simhash"))
     members, links = provenance.copy_classes(rows)
     assert members.count() == 80 and links.count() == 6 and made.value == 100
+
+
+def test_feature_cells_are_made_where_rows_lie_and_score_alike(spark):
+    from undertow.operators import labels
+
+    rows = spark.createDataFrame([(1, "A b a, c"), (2, ""), (3, None), (4, "b b c d")], "id int, text string")
+    found = labels.features(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    cells = labels.feature_cells(rows)
+    assert {r["id"]: len(r["cells"]["idx"]) for r in cells.collect()} == {1: 3, 2: 0, 3: 0, 4: 3}
+    weights = found.where("id = 1").select("idx", F.col("value").alias("weight")).union(spark.createDataFrame([(-1, 0.25)], "idx int, weight double"))
+    long, wide = ({r["id"]: r["score"] for r in labels.scored(x, weights).collect()} for x in (found, cells))
+    assert sorted(wide) == [1, 4] and wide == pytest.approx(long, abs=1e-12)
+    labelled = rows.withColumn("label", F.col("id") % 2)
+    models = [{r["idx"]: r["weight"] for r in labels.trained_sparse(x, labelled, epochs=3).collect()} for x in (found, cells)]
+    assert models[0] == pytest.approx(models[1], abs=1e-12)
