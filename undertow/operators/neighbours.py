@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +39,11 @@ def centres(rows: DataFrame, cells: int, sample: int = 4096, rounds: int = 5) ->
     return at
 
 
-def _best(queries, others, k: int, window_s: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+def _best(queries, others, k: int, window_s: float, meets: Callable[[slice], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(row of queries, rows of others, similarities, how many were compared) for each query: its up to k most similar earlier ones.
 
     Sums of products in bulk find who can be among them; of these the similarities are summed anew, the same for equal vectors.
+    meets says which others some queries may be held against, if not all.
     """
     ids, ts, units, least = queries
     other_ids, other_ts, other_units = others
@@ -53,6 +54,8 @@ def _best(queries, others, k: int, window_s: float) -> Iterator[tuple[int, np.nd
         near = units[part] @ other_units.T
         then, now = other_ts[None, :], ts[part, None]
         fits = ((then < now) | (then == now) & (other_rank[None, :] < rank[part, None])) & (then >= now - window_s) & (near >= least[part, None] - SLACK)
+        if meets is not None:
+            fits &= meets(part)
         for i in range(near.shape[0]):
             at = np.flatnonzero(fits[i])
             n = len(at)
@@ -148,3 +151,57 @@ def nearest_indexed(items: DataFrame, known: DataFrame | None, k: int, window_s:
     pairs = tiles.select("ids", "ts", "units", "least", "other_ids", "other_ts", "other_units").mapInArrow(compare, found_schema).where(F.col("similarity") >= floor)
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+
+def nearest_met(rows: DataFrame, k: int, window_s: int, floor: float, tables: int, bits: int, block: int = 2048) -> DataFrame:
+    """id, neighbour, similarity: of rows (id, ts as double, embedding, norm, buckets: one a table, slot of the window) the
+    earlier ones of the window that share a bucket with a row and are at least as similar as floor, k a row and tile at most.
+
+    A vector travels to its own slot and to the one before, where it only asks, and not once for each of its buckets: these
+    go with it and are compared there. A slot of more than block rows is dealt out in parts of about block, each two of which
+    are a tile; one so full that its parts are more than the tables is dealt out by bucket before. So a vector travels a few
+    times, and at most about twice a bucket if no bucket is crowded; no task holds more than a tile. A pair that shares
+    several buckets meets in the first.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    columns = ["there", "bucket", "a", "b", "id", "ts", "embedding", "norm", "buckets", "asks", "known"]
+    here = F.col("slot") == F.col("there")
+    both = rows.select("*", F.explode(F.array("slot", F.col("slot") - 1)).alias("there"))
+    whole = lambda df: df.select("*", F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("asks"), here.alias("known")).select(columns)
+    crowded = frozen(rows.groupBy(F.col("slot").alias("there")).agg(F.count("*").alias("n")).where(F.col("n") > block))
+    if crowded.isEmpty():
+        tiles = whole(both)
+    else:
+        cells = F.when(F.col("n") > block * tables, F.col("buckets").cast("array<long>")).otherwise(F.array(F.lit(-1).cast("long")))
+        dealt = both.join(crowded, "there").withColumn("bucket", F.explode(cells))
+        sizes = frozen(dealt.groupBy("there", "bucket").agg(F.ceil(F.count("*") / block).alias("parts")))
+        parted = dealt.join(sizes, ["there", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        other = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        same = F.col("part") == F.col("other")
+        asking = other.select("*", F.col("part").alias("a"), F.col("other").alias("b"), F.lit(True).alias("asks"), (here & same).alias("known"))
+        known = other.where(here & ~same).select("*", F.col("other").alias("a"), F.col("part").alias("b"), F.lit(False).alias("asks"), F.lit(True).alias("known"))
+        tiles = whole(both.join(crowded, "there", "left_anti")).union(asking.select(columns)).union(known.select(columns))
+    schema, arrow = _schema(f"id {kind}, neighbour {kind}, similarity double")
+
+    def compare(tile: pa.Table) -> pa.Table:
+        of = tile.combine_chunks()
+        asks, known = (np.flatnonzero(of[c].to_numpy()) for c in ("asks", "known"))
+        out: tuple[list, list, list] = [], [], []
+        if len(asks) and len(known):
+            ids, ts = of["id"].to_pylist(), of["ts"].to_numpy()
+            flat = lambda c: of[c].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            units, buckets, bucket = flat("embedding").astype(float) / of["norm"].to_numpy()[:, None], flat("buckets"), of["bucket"][0].as_py()
+
+            def meets(part: slice) -> np.ndarray:
+                shared = buckets[asks[part], None] == buckets[None, known]
+                return shared.any(2) if bucket < 0 else shared.any(2) & (shared.argmax(2) == bucket >> bits)
+
+            own = lambda at: ([ids[i] for i in at], ts[at], units[at])
+            others = own(known)
+            for i, rows_of, similarity, _ in _best((*own(asks), np.full(len(asks), floor)), others, k, window_s, meets):
+                out[0].extend([ids[asks[i]]] * len(rows_of))
+                out[1].extend(others[0][j] for j in rows_of)
+                out[2].extend(similarity.tolist())
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    return tiles.groupBy("there", "bucket", "a", "b").applyInArrow(compare, schema).where(F.col("similarity") >= floor)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from undertow.config import D
 from undertow.functions.vector import dot, unit
 from undertow.operators.graph import frozen, roots
-from undertow.operators.neighbours import nearest_indexed
+from undertow.operators.neighbours import nearest_indexed, nearest_met
 from undertow.operators.parts import Parts
 
 
@@ -52,8 +52,8 @@ def lsh_shape(theta: float, recall: float = 0.95, most: int = 32) -> tuple[int,
     return shape
 
 
-def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours, window_s: int = D.story_window_s, tables: int | None = None, bits: int | None = None, seed: int = 5) -> DataFrame:
-    """As nearest, for large windows: only items that share a bucket of random hyperplane signs meet; then exact.
+def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours, window_s: int = D.story_window_s, tables: int | None = None, bits: int | None = None, seed: int = 5, block: int = 2048) -> DataFrame:
+    """As nearest, for large windows: only items that share a bucket of random hyperplane signs meet (nearest_met); then exact.
 
     A neighbour at cosine c is met with probability 1 - (1 - (1 - acos(c) / pi) ** bits) ** tables. Tables and
     bits not given are those of lsh_shape, so this is 0.95 at theta and more above; a low theta saves little.
@@ -65,7 +65,7 @@ def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours,
     known = items.where("embedding is not null").select(F.size("embedding")).first()
     planes = np.random.default_rng(seed).normal(size=(tables, bits, known[0] if known else 1))
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>" if tables << bits < 1 << 31 else "array<long>")
     def buckets(vectors):
         import pandas as pd
 
@@ -74,15 +74,9 @@ def nearest_lsh(items: DataFrame, theta: float = D.theta, k: int = D.neighbours,
         codes = (signs * (1 << np.arange(bits))).sum(2)
         return pd.Series(list(codes + (np.arange(tables) << bits)))
 
-    rows = items.where("embedding is not null").select("id", "ts", unit(F.col("embedding")).alias("unit"), buckets("embedding").alias("all"), F.floor(F.col("ts") / window_s).alias("slot"))
-    rows = rows.select("*", F.posexplode("all").alias("place", "bucket"))
-    left = rows.select("id", "ts", "bucket", "place", F.col("all").alias("own_all"), F.col("unit").alias("own"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
-    right = rows.select("slot", "bucket", F.col("id").alias("neighbour"), F.col("ts").alias("then"), F.col("all").alias("other_all"), F.col("unit").alias("other"))
-    earlier = F.struct("then", "neighbour") < F.struct("ts", "id")
-    # a pair meets in the first of the buckets that it shares only
-    first = F.array_position(F.zip_with("own_all", "other_all", lambda x, y: x == y), True) == F.col("place") + 1
-    met = left.join(right, ["slot", "bucket"]).where(earlier & (F.col("then") >= F.col("ts") - window_s) & first)
-    pairs = met.select("id", "neighbour", dot(F.col("own"), F.col("other")).alias("similarity")).where(F.col("similarity") >= theta).distinct()
+    norm, slot = F.sqrt(dot(F.col("embedding"), F.col("embedding"))), F.floor(F.col("ts") / window_s)
+    rows = items.where("embedding is not null").select("id", F.col("ts").cast("double").alias("ts"), "embedding", norm.alias("norm"), buckets("embedding").alias("buckets"), slot.alias("slot"))
+    pairs = nearest_met(frozen(rows.where("norm > 0 AND norm < double('Infinity')")), k, window_s, theta, tables, bits, block).distinct()
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
 
