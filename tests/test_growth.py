@@ -59,3 +59,33 @@ def test_vectors_do_not_travel_once_a_bucket(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert 0 < moved < 1000 * 64 * 4 * 6  # six times the vectors as floats; by buckets they are 66
+
+
+def test_texts_travel_once_and_are_scored_once(spark):
+    import random
+
+    from undertow.operators import enrich
+    from undertow.schemas import ENTITY, GEO
+
+    rng, made = random.Random(4), spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def score(texts):
+        made.add(len(texts))
+        return texts.fillna("").str.len() % 7 / 10
+
+    texts = [rng.randbytes(2000).hex() for _ in range(300)]
+    rows = [(i, 60.0 * i, t, "", "social") for i, t in enumerate(texts)] + [(300, 60.0 * 300, texts[5], "", "social"), (301, 60.0 * 301, None, "", "social"), (302, 60.0 * 302, None, None, "primary")]
+    rows += rows[:20]  # delivered twice
+    items = spark.createDataFrame(rows, "id int, ts double, text string, content_hash string, source_class string").withColumns({"entities": F.array().cast(f"array<{ENTITY}>"), "geo": F.lit(None).cast(GEO)})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = shuffled(spark, lambda: items.repartition(4, "id").write.format("noop").mode("overwrite").save())
+        moved = shuffled(spark, lambda: enrich.enriched(items, score=score).write.format("noop").mode("overwrite").save())
+        assert 0.9 * once < moved < 1.3 * once and made.value == len(rows)
+        out = enrich.enriched(items, score=score).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r["id"] for r in out) == [*range(300), 301]
+    assert out[0].asDict().keys() == {*items.columns, "relevance", "exploration", "embedding"} and all(len(r["embedding"]) == 384 for r in out)

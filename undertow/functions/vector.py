@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +25,8 @@ def unit(a: Column) -> Column:
 def hash_embedding(dim: int = 384, kind: str = "float"):
     """A unit vector that only depends on the text: sha256 of the text and a counter, as unsigned integers. kind is float or double."""
 
-    @F.pandas_udf(f"array<{kind}>")
-    def embed(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(f"array<{kind}>")
+    def embed(texts: pa.Array) -> pa.Array:
         import hashlib
 
         import numpy as np
@@ -34,10 +34,15 @@ def hash_embedding(dim: int = 384, kind: str = "float"):
         exact = np.float64 if kind == "double" else np.float32
 
         def one(text: str | None) -> np.ndarray:
-            raw = b"".join(hashlib.sha256(f"{i}:{text or ''}".encode()).digest() for i in range(-(-dim * 4 // 32)))
+            body, heads = (text or "").encode(), [hashlib.sha256(b"%d:" % i) for i in range(-(-dim * 4 // 32))]
+            for head in heads:
+                head.update(body)
+            raw = b"".join(head.digest() for head in heads)
             v = np.frombuffer(raw[: 4 * dim], "<u4").astype(exact) / (2**32 - 1) - 0.5
             return (v / (np.linalg.norm(v) or 1.0)).astype(exact)
 
-        return texts.map(one, na_action=None)
+        found = [one(text) for text in texts.to_pylist()]
+        flat = pa.array(np.concatenate(found) if found else np.zeros(0, exact))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * dim, pa.int32()), flat)
 
     return embed

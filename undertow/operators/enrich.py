@@ -11,7 +11,7 @@ from undertow.functions.text import composed_relevance, relevance
 from undertow.functions.vector import hash_embedding
 from undertow.operators.admission import governed
 from undertow.operators.entities import filled_geo, merged
-from undertow.operators.storage import dedup_key, first_of_key
+from undertow.operators.storage import dedup_key
 from undertow.schemas import ENTITY, GEO
 
 
@@ -35,14 +35,19 @@ def enriched(
     (content_hash, or the text where that is empty) is that of an item of known (content_hash, text). The governor sees each of these once, in order of ts; of those that it sheds a reproducible
     few stay, marked as exploration. Only what stays is tagged (match: a gazetteer's matcher; tag: a tagger) and embedded.
     """
-    first = first_of_key(items, ["ts", "id"])
+    keyed = judged(items, score).select("id", "ts", "relevance", "source_class", dedup_key().alias("dedup_key"))  # narrow: texts come back for what stays
+    first = keyed.groupBy("dedup_key").agg(F.min_by(F.struct("id", "ts", "relevance", "source_class"), F.struct("ts", "id")).alias("first")).select("first.*", "dedup_key")
     if known is not None:
         texts = known if "text" in known.columns else known.where("content_hash <> ''").withColumn("text", F.lit(None).cast("string"))
         seen = texts.select(dedup_key().alias("known_key")).distinct()
-        first = first.withColumn("dedup_key", dedup_key()).join(seen, F.col("dedup_key").eqNullSafe(F.col("known_key")), "left_anti").select(*items.columns)
-    scored = judged(first, score)
-    stays = governed(scored.select("id", "ts", "relevance", "source_class"), lanes).where("admitted OR exploration").select("id", "exploration")
-    return finished(scored.join(stays, "id"), match, tag, embed or hash_embedding())
+        first = first.join(seen, F.col("dedup_key").eqNullSafe(F.col("known_key")), "left_anti")
+    stays = governed(first.select("id", "ts", "relevance", "source_class"), lanes).where("admitted OR exploration").select("id", "exploration")
+    place = F.to_json(F.struct("id", "ts", "dedup_key")).alias("place")  # one string, so that the join's order serves what follows
+    chosen = first.join(stays, "id").select(place, "relevance", "exploration")
+    whole = items.withColumn("dedup_key", dedup_key()).select(*items.columns, place)
+    # an item that was delivered twice is there once
+    out = whole.join(chosen, "place").dropDuplicates(["place"]).drop("place")
+    return finished(out, match, tag, embed or hash_embedding())
 
 
 def finished(out: DataFrame, match: Callable | None, tag: Callable | None, embed: Callable) -> DataFrame:
