@@ -89,3 +89,42 @@ def test_texts_travel_once_and_are_scored_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(r["id"] for r in out) == [*range(300), 301]
     assert out[0].asDict().keys() == {*items.columns, "relevance", "exploration", "embedding"} and all(len(r["embedding"]) == 384 for r in out)
+
+
+def test_simhashes_equal_votes_of_single_digests_and_take_no_call_a_bigram(monkeypatch):
+    import hashlib
+    import random
+
+    import pandas as pd
+
+    from undertow.functions import text
+
+    rng, calls, md5 = random.Random(8), [], hashlib.md5
+    texts = [[rng.choice("aéz漢") * rng.randint(0, 40) for _ in range(rng.randint(0, 60))] for _ in range(60)] + [["a"], ["b" * 55], ["b" * 56], ["c" * 200, "d"], [f"w{i}" for i in range(9000)]]
+    want = []
+    for words in texts:
+        grams = [f"{a} {b}".encode() for a, b in zip(words, words[1:], strict=False)] or [w.encode() for w in words[:1] if w]
+        heads = [int.from_bytes(md5(g).digest()[:8], "big") for g in grams]
+        value = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in heads) > len(heads))
+        want.append(value - (1 << 64) if value >> 63 else value)
+    monkeypatch.setattr(hashlib, "md5", lambda *a: calls.append(1) or md5(*a))
+    assert text._simhash_md5.func(pd.Series([*("\x1f".join(t) for t in texts), None])).tolist() == [*want, 0]
+    short = pd.Series(["\x1f".join(texts[-1])])
+    calls.clear()
+    assert text._simhash_md5.func(short).tolist() == want[-1:] and not calls
+
+
+def test_copies_meet_as_narrow_rows(spark):
+    from undertow.operators import provenance
+
+    rows = spark.range(400).select((F.col("id") % 3).alias("story_id"), "id", (F.lit(1000) - F.col("id") % 50).alias("ts"), F.when(F.col("id") % 10 == 0, 0).otherwise((F.col("id") % 120).cast("long") * 5).alias("simhash"))
+    data = [(r["story_id"], r["id"], r["ts"], r["simhash"]) for r in rows.collect() if r["simhash"]]
+    first, n = {}, {}
+    for story, i, ts, h in data:
+        first[story, h] = min(first.get((story, h), (ts, i)), (ts, i))
+        n[story, h] = n.get((story, h), 0) + 1
+    want = {(s, x[1], y[1], n[s, h] * n[s, g]) for (s, h), x in first.items() for (t, g), y in first.items() if s == t and x > y and (h ^ g).bit_count() <= 2}
+    classes, links = provenance.story_copies(rows, bits=2)
+    assert {tuple(r) for r in links.select("story_id", "src", "dst", "n").collect()} == want and len(want) > 100
+    generated = [line for line in links._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in line]
+    assert generated and all("first" not in line for line in generated)

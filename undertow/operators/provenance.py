@@ -153,10 +153,15 @@ def story_copies(items: DataFrame, bits: int = D.copy_bits) -> tuple[DataFrame,
     known = items.where(F.coalesce("simhash", F.lit(0)) != 0)
     classes = frozen(known.groupBy("story_id", "simhash").agg(F.min(F.struct("ts", "id")).alias("first"), F.count("*").alias("n")))
     largest = classes.groupBy("story_id").count().agg(F.max("count")).first()[0] or 0
-    side = classes.select("story_id", "simhash", "first", "n", F.explode(_signatures(bits, _equal_parts(largest, bits))).alias("sig"))
-    x, y = (side.select("story_id", "sig", *[F.col(c).alias(f"{p}_{c}") for c in ("simhash", "first", "n")]) for p in "xy")
-    met = x.join(y, ["story_id", "sig"]).where((F.col("x_first") > F.col("y_first")) & (hamming(F.col("x_simhash"), F.col("y_simhash")) <= bits))
-    links = met.select("story_id", F.col("x_first.id").alias("src"), F.col("y_first.id").alias("dst"), (F.col("x_n") * F.col("y_n")).alias("n")).distinct()
+    # narrow rows meet, as each class becomes many; who came first and how many are looked up for the pairs that are found
+    side = classes.select("story_id", "simhash", F.explode(_signatures(bits, _equal_parts(largest, bits))).alias("sig")).select("story_id", F.col("sig.parts").alias("parts"), F.col("sig.equal").alias("equal"), "simhash")
+    x, y = (side.withColumnRenamed("simhash", f"{p}_hash") for p in "xy")
+    near = (F.col("x_hash") < F.col("y_hash")) & (hamming(F.col("x_hash"), F.col("y_hash")) <= bits)
+    met = x.join(y, ["story_id", "parts", "equal"]).where(near).select("story_id", "x_hash", "y_hash").distinct()
+    own = lambda p: classes.select("story_id", F.col("simhash").alias(f"{p}_hash"), F.col("first").alias(f"{p}_first"), F.col("n").alias(f"{p}_n"))
+    both = met.join(own("x"), ["story_id", "x_hash"]).join(own("y"), ["story_id", "y_hash"])
+    later, earlier = (f("x_first", "y_first")["id"] for f in (F.greatest, F.least))
+    links = both.where("x_first <> y_first").select("story_id", later.alias("src"), earlier.alias("dst"), (F.col("x_n") * F.col("y_n")).alias("n")).distinct()
     return classes.select("story_id", "simhash", F.col("first.id").alias("first"), "n"), links
 
 
