@@ -126,5 +126,6 @@ def test_copies_meet_as_narrow_rows(spark):
     want = {(s, x[1], y[1], n[s, h] * n[s, g]) for (s, h), x in first.items() for (t, g), y in first.items() if s == t and x > y and (h ^ g).bit_count() <= 2}
     classes, links = provenance.story_copies(rows, bits=2)
     assert {tuple(r) for r in links.select("story_id", "src", "dst", "n").collect()} == want and len(want) > 100
-    generated = [line for line in links._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in line]
-    assert generated and all("first" not in line for line in generated)
+    lines = links._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = [lines[i - 1] for i, line in enumerate(lines) if "Generate explode" in line]  # what each of a class's keys takes along
+    assert above and all("first" not in line for line in above)
